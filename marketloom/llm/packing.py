@@ -15,10 +15,11 @@ import zlib
 from functools import lru_cache
 
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memo, vocabulary as place
+from .bpe import Memo, byte_alphabet, vocabulary as place
 from .common import map_rows, texts
 
 VOCABULARY = "word_bpe_49k.json"
@@ -39,10 +40,9 @@ class WordEncoder:
     a text's ids are its chunks' ids in order. Other texts go to the library whole.
     """
 
-    #: White space of the library (Unicode White_Space).
-    WHITE = re.compile("[\t-\r \x85\xa0]+")
-    OTHER = re.compile("[^\x00-˿]|<\\|")
-    PARTS = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+    #: What sends a whole text to the library: code points from U+0300 on, separators that only str.split() knows, special names.
+    OTHER = re.compile("[^\x00-\x1b\x20-\u02ff]")
+    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -51,6 +51,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
+        self.letters = {b: c for c, b in byte_alphabet().items()}
         self.chunks = Memo(self._chunk)
         self.words = Memo(self._word)
 
@@ -59,18 +60,20 @@ class WordEncoder:
         return b"".join(i.to_bytes(4, "little") for i in ids)
 
     def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
         return self._packed([t.id for t in self.model.tokenize(word)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii() and "'" not in chunk and chunk.isprintable():
+        if chunk.isprintable():
             return b"".join(map(self.words.__getitem__, self.PARTS.findall(chunk.lower())))
         return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if self.OTHER.search(text):
+        if "<|" in text or self.OTHER.search(text):
             return self._packed(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.chunks.__getitem__, filter(None, self.WHITE.split(text))))
+        return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
 @lru_cache(maxsize=4)
