@@ -9,6 +9,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from marketloom.functions.columns import col
 
@@ -22,7 +23,7 @@ def clean(c: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(col(c), "<[^>]+>", " "), r"\s+", " "))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def unescaped(s: pd.Series) -> pd.Series:
     """HTML entities as their characters: no native function knows them all."""
     return s.map(html.unescape, na_action="ignore")
@@ -50,7 +51,7 @@ def normalize_match_text(value: str) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub("<[^>]+>", " ", plain)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def match_text(s: pd.Series) -> pd.Series:
     return s.map(normalize_match_text, na_action="ignore")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 UNSEEN = "1999-01-01"
 DECISION = "2024-01-15 00:00:00"
 
+#: Read once per step of a recursion.
+STEPPED = {"ordered", "step", "line", "item"}
 #: name: (what it needs, SQL)
 CTES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -24,7 +26,7 @@ def query(body: str, *needs: str) -> str:
 
     for n in needs:
         visit(n)
-    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' if n in STEPPED else ''}({CTES[n][1]})" for n in order) + "\n" + body
 
 
 cte(
@@ -310,4 +312,4 @@ cte("variant", "SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 3)) v(variant, n
 cte("variant_signal", "SELECT variant, component, signal_id AS component_signal_id, variant || ':' || component || ':' || signal_id AS signal_id, symbol, known_at, direction, horizon, component AS source FROM signal JOIN variant ON src = source", "signal", "variant")
 traded("variant_trades", "variant_signal", "variant_signal")
 risky("va", "variant_trades", "variant, ")
-cte("labelled", f"SELECT t.*, CASE WHEN known >= DATE '{UNSEEN}' THEN 'unseen' ELSE 'selection' END AS period_split, {REGIME} AS market_regime FROM trades t LEFT JOIN regime g ON g.date = t.known WHERE status = 'ok'", "trades", "regime")
+cte("labelled", f"SELECT t.*, g.regime_return, CASE WHEN known >= DATE '{UNSEEN}' THEN 'unseen' ELSE 'selection' END AS period_split, {REGIME} AS market_regime FROM trades t LEFT JOIN regime g ON g.date = t.known WHERE status = 'ok'", "trades", "regime")

@@ -1,7 +1,8 @@
 """Registered queries and the SQL that they are checked against.
 
 A query is a builder (spark, sf_dir) -> DataFrame and a list of output columns. The list shapes both sides alike: ``~`` rounds
-to six digits, ``#`` casts to BIGINT, ``%`` to INT.
+to six digits, ``#`` casts to BIGINT, ``%`` to INT, ``^`` gives ``log_`` columns: sign times log(1 + size), for compounded values
+that outgrow any fixed number of digits.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from marketloom.functions.columns import after_close, full, past_return, period_
 from marketloom.operators import asof, backtest, catch_up, events, fundamentals, indicators, reversals, signals, splits, variants, weekday
 from marketloom.plans import oracles as O
 from marketloom.sources import tables as T
+from marketloom.store import kept
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -24,13 +26,18 @@ SCALE = 1_000_000.0
 
 
 def _spark(c: str) -> Column:
-    name = c.lstrip("~#%")
+    name = c.lstrip("~#%^")
+    if c[0] == "^":
+        x = F.col(name)
+        return (F.floor(F.signum(x) * F.log1p(F.abs(x)) * SCALE + 0.5) / SCALE).alias(f"log_{name}")
     kind = {"~": F.floor(F.col(name).cast("double") * SCALE + 0.5) / SCALE, "#": F.col(name).cast("bigint"), "%": F.col(name).cast("int")}
     return kind.get(c[0], F.col(name)).alias(name)
 
 
 def _sql(c: str) -> str:
-    name = c.lstrip("~#%")
+    name = c.lstrip("~#%^")
+    if c[0] == "^":
+        return f"floor(sign({name}) * ln(1 + abs({name})) * {SCALE} + 0.5) / {SCALE} AS log_{name}"
     return {"~": f"floor(CAST({name} AS DOUBLE) * {SCALE} + 0.5) / {SCALE}", "#": f"CAST({name} AS BIGINT)", "%": f"CAST({name} AS INTEGER)"}.get(c[0], name) + f" AS {name}"
 
 
@@ -125,7 +132,7 @@ def _(spark, d):
 # ------------------------------------------------------------------------------------------------ sector catch-up
 
 
-@T.kept("catch_up_rows")
+@kept("catch_up_rows")
 def catch_up_rows(spark, d):
     return catch_up.observations(bars(spark, d))
 
@@ -153,7 +160,7 @@ def _(spark, d):
 # ------------------------------------------------------------------------------------------------ weekday patterns
 
 
-@T.kept("weekday_rows")
+@kept("weekday_rows")
 def weekday_rows(spark, d):
     return weekday.observations(bars(spark, d), benchmark(spark, d), unseen_start_date=O.UNSEEN)
 
@@ -205,7 +212,7 @@ def _(spark, d):
 EVENT = "symbol event_family event_type event_date known_at ~value ~reference details"
 
 
-@T.kept("all_events")
+@kept("all_events")
 def all_events(spark, d):
     return events.detect(indicators.add_all(bars(spark, d)))
 
@@ -251,7 +258,7 @@ def _(spark, d):
     return asof.next_bar(asked, bars(spark, d), "known", (1, 5, 20)).withColumn("exit_close", F.col("exit_price"))
 
 
-@T.kept("reversal_rows")
+@kept("reversal_rows")
 def reversal_rows(spark, d):
     return reversals.observations(bars(spark, d), all_events(spark, d), benchmark(spark, d))
 
@@ -288,7 +295,7 @@ def _(spark, d):
     return fundamentals.metric_rows(fundamentals_records(spark, d))
 
 
-@T.kept("reactions")
+@kept("reactions")
 def reactions(spark, d):
     return fundamentals.observations(fundamentals_records(spark, d), bars(spark, d), benchmark(spark, d))
 
@@ -330,12 +337,12 @@ def _(spark, d):
 # ------------------------------------------------------------------------------------------------ signals, backtest, splits, variants
 
 
-@T.kept("signal_rows")
+@kept("signal_rows")
 def signal_rows(spark, d):
     return signals.assemble(catch_up_rows(spark, d), weekday_rows(spark, d), reversal_rows(spark, d), reactions(spark, d))
 
 
-@T.kept("trade_rows")
+@kept("trade_rows")
 def trade_rows(spark, d):
     return backtest.run(signal_rows(spark, d), bars(spark, d), benchmark(spark, d), T.sector_benchmarks(spark, d), T.universe(spark, d), horizons=(5, 20))
 
@@ -350,7 +357,7 @@ def _(spark, d):
     return trade_rows(spark, d)
 
 
-SUMMARY = "#signal_count #trade_count #symbol_count ~average_gross_return ~median_gross_return ~average_cost_adjusted_return ~median_cost_adjusted_return ~cumulative_return ~sharpe_ratio ~maximum_drawdown ~win_rate ~cumulative_benchmark_return ~benchmark_difference ~average_benchmark_relative_return ~average_sector_relative_return"
+SUMMARY = "#signal_count #trade_count #symbol_count ~average_gross_return ~median_gross_return ~average_cost_adjusted_return ~median_cost_adjusted_return ^cumulative_return ~sharpe_ratio ~maximum_drawdown ~win_rate ^cumulative_benchmark_return ^benchmark_difference ~average_benchmark_relative_return ~average_sector_relative_return"
 
 
 @register("backtest_summary", "status " + SUMMARY, "bt_summary CROSS JOIN bt_risk", "bt_summary", "bt_risk")
@@ -358,7 +365,7 @@ def _(spark, d):
     return backtest.summary(trade_rows(spark, d))
 
 
-@register("risk_metrics", "~cumulative_return ~sharpe_ratio ~maximum_drawdown ~win_rate ~cumulative_benchmark_return ~benchmark_difference", "bt_risk", "bt_risk")
+@register("risk_metrics", "^cumulative_return ~sharpe_ratio ~maximum_drawdown ~win_rate ^cumulative_benchmark_return ^benchmark_difference", "bt_risk", "bt_risk")
 def _(spark, d):
     return backtest.risk_metrics(trade_rows(spark, d))
 
@@ -368,7 +375,7 @@ def _(spark, d):
     return backtest.exit_date_returns(trade_rows(spark, d))
 
 
-@register("drawdown_curve", "exit_date ~equity ~peak ~drawdown", "bt_curve", "bt_curve")
+@register("drawdown_curve", "exit_date ^equity ^peak ~drawdown", "bt_curve", "bt_curve")
 def _(spark, d):
     return backtest.drawdown_curve(backtest.exit_date_returns(trade_rows(spark, d)))
 
@@ -407,7 +414,7 @@ def _(spark, d):
 
 
 @register(
-    "strategy_variants", "variant description status components missing_components data_start data_end ~trading_cost_bps ~slippage_bps #signal_count #trade_count ~average_gross_return ~cumulative_return ~sharpe_ratio ~maximum_drawdown ~win_rate ~benchmark_difference",
+    "strategy_variants", "variant description status components missing_components data_start data_end ~trading_cost_bps ~slippage_bps #signal_count #trade_count ~average_gross_return ^cumulative_return ~sharpe_ratio ~maximum_drawdown ~win_rate ^benchmark_difference",
     """SELECT v.*, p.*, 10.0 AS trading_cost_bps, 5.0 AS slippage_bps, s.* EXCLUDE (variant, status), r.* EXCLUDE (variant) FROM (VALUES ('A', 'technical', 'ok', 'technical', ''), ('B', 'technical + sector', 'ok', 'technical+sector', ''),
     ('C', 'technical + sector + fundamentals', 'ok', 'technical+sector+fundamentals', ''), ('D', 'technical + sector + fundamentals + macro', 'unavailable', 'technical+sector+fundamentals+macro', 'macro'),
     ('E', 'technical + sector + fundamentals + macro + verified news/video context', 'unavailable', 'technical+sector+fundamentals+macro+news_video', 'macro+news_video')) v(variant, description, status, components, missing_components)

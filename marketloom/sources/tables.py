@@ -2,37 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import by_symbol, ratio
+from marketloom.store import kept
 
 BANK_SECTOR = "EUROPE"
 DOWNLOADED = "2030-01-01 00:00:00"
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
-
-
-def kept(name: str):
-    """Keep what a builder (spark, sf_dir) returns for the session: many studies start from the same bars.
-
-    Blocks go to disk where memory is short and are computed anew where an executor is lost.
-    """
-
-    def wrap(build):
-        def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf_dir, name)
-            if key not in _kept:
-                _kept[key] = build(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)
-            return _kept[key]
-
-        return get
-
-    return wrap
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
