@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -12,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.store import scratch, shared_dir, stored  # noqa: F401
+
 #: The white space of the contracts, in Java and Python regular expressions alike.
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -20,47 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir where it is set.
-
-    A local session that has none (tests) gets a temporary folder of its own.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("marketloom.shared.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="marketloom-")
-        spark.conf.set("marketloom.shared.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it goes when the driver's Python ends."""
-    path = f"{shared_dir(spark)}/marketloom-{name}-{uuid.uuid4().hex}"
-
-    def gone() -> None:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session may have ended before Python does
-            pass
-
-    atexit.register(gone)
-    return path
-
-
-def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
-    """Write to the shared folder and read back: lineage ends here, and a lost executor loses no part of it."""
-    spark, schema = df.sparkSession, df.schema
-    path = scratch(spark, name)
-    df.write.options(**(options or {})).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most_rows: int = 512) -> DataFrame:
     """``mapInArrow`` by slices of at most ``most_rows`` rows, so that a worker holds few long texts at a time."""
 
