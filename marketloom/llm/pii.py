@@ -98,8 +98,10 @@ SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_NAMES}|plus)(?!\w)", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 AT = re.compile(rf"\x20*{OPEN}\x20*(?:at|@|arobase|arroba)\x20*{CLOSE}\x20*", re.I)
 DOT = re.compile(rf"\x20*{OPEN}\x20*(?:dot|point|punkt|punto|\.)\x20*{CLOSE}\x20*", re.I)
-#: The same in words alone, only as a whole address: name at host dot domain.
-WORDED = re.compile(r"(?<![\w@.])[A-Za-z0-9._%+-]+(?:\x20dot\x20[A-Za-z0-9_%+-]+){0,4}\x20at\x20[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+){0,4}\x20dot\x20[A-Za-z]{2,12}(?!\w)", re.I)
+#: Domain endings that aren't also common words.
+_ENDS = "com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|uk|eu|fr|de|ch|nl|pl|pt|ru|cn|jp|br|ca"
+#: The same in words alone, only as a whole address: name at host dot ending.
+WORDED = re.compile(rf"(?<![\w@.])[A-Za-z0-9._%+-]+(?:\x20dot\x20[A-Za-z0-9_%+-]+){{0,4}}\x20at\x20[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+){{0,4}}\x20dot\x20(?:{_ENDS})(?!\w)", re.I)
 WORD = re.compile(r"\x20(at|dot)\x20", re.I)
 #: What a text without disguises lacks; one cheap search decides for most texts.
 HINT = re.compile(rf"[ɐ-￿\U00010000-\U0010ffff­ı]|{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}|\x20dot\x20|(?<!\w)(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}(?:{_NAMES})(?!\w)", re.I)
