@@ -118,7 +118,10 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 
 
 def _joined(kinds: tuple[str, ...]) -> Column:
-    tagged = F.concat(*[F.transform(F.col(k), lambda x, n=n: F.struct(x["s"].alias("s"), F.lit(n).alias("kind"), x["e"].alias("e"))) for n, k in enumerate(kinds)])
+    def tag(n: int):  # a lambda of two parameters would get the index as its second
+        return lambda x: F.struct(x["s"].alias("s"), F.lit(n).alias("kind"), x["e"].alias("e"))
+
+    tagged = F.concat(*[F.transform(F.col(k), tag(n)) for n, k in enumerate(kinds)])
     names = F.array(*[F.lit(k) for k in kinds])
     return F.array_join(F.transform(F.array_sort(tagged), lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["s"].cast("string"), x["e"].cast("string"))), ",")
 
