@@ -8,7 +8,7 @@ before them by a union with the bars and one running maximum. Neither form compa
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import by_symbol
@@ -17,15 +17,21 @@ from marketloom.functions.columns import by_symbol
 NEVER = "0001-01-01"
 
 
-def with_exits(bars: DataFrame, horizons: tuple[int, ...], entry: str = "close", close: str = "close") -> DataFrame:
-    """symbol, previous, entry_date, entry_price, exits: a map from horizon to (exit_date, exit_price)."""
+def entries(bars: DataFrame, entry: str = "close", close: str = "close", exits: Column | None = None) -> DataFrame:
+    """symbol, previous, entry_date, entry_price, entry_close, first_close, place (the bar's number), and exits if asked for."""
     w = by_symbol()
-    exits = F.map_from_arrays(
-        F.array(*[F.lit(h) for h in horizons]),
-        F.array(*[F.struct(F.lead("date", h).over(w).alias("exit_date"), F.lead(close, h).over(w).alias("exit_price")) for h in horizons]),
-    )
     previous = F.coalesce(F.lag("date").over(w), F.lit(NEVER).cast("date"))
-    return bars.select("symbol", previous.alias("previous"), F.col("date").alias("entry_date"), F.col(entry).alias("entry_price"), exits.alias("exits"), F.first(close).over(w).alias("first_close"), F.col(close).alias("entry_close"))
+    return bars.select(
+        "symbol", previous.alias("previous"), F.col("date").alias("entry_date"), F.col(entry).alias("entry_price"), F.col(close).alias("entry_close"),
+        F.first(close).over(w).alias("first_close"), F.row_number().over(w).alias("place"), *([exits.alias("exits")] if exits is not None else []),
+    )
+
+
+def leads(horizons: tuple[int, ...], close: str = "close") -> Column:
+    """A map from horizon to what stands so many bars later."""
+    w = by_symbol()
+    later = [F.struct(F.lead("date", h).over(w).alias("exit_date"), F.lead(close, h).over(w).alias("exit_price")) for h in horizons]
+    return F.map_from_arrays(F.array(*[F.lit(h) for h in horizons]), F.array(*later))
 
 
 def at_or_before(requests: DataFrame, bars: DataFrame, known: str) -> DataFrame:
@@ -37,9 +43,18 @@ def at_or_before(requests: DataFrame, bars: DataFrame, known: str) -> DataFrame:
     return found.filter("_bar IS NULL").select("symbol", F.col("_on").alias(known), "previous")
 
 
-def next_bar(requests: DataFrame, bars: DataFrame, known: str, horizons: tuple[int, ...], entry: str = "close") -> DataFrame:
-    """Requests (with symbol, ``known`` and horizon) with entry_date, entry_price, exit_date, exit_price, entry_close, first_close."""
+def next_bar(requests: DataFrame, bars: DataFrame, known: str, horizons: tuple[int, ...] | None = None, entry: str = "close") -> DataFrame:
+    """Requests (with symbol, ``known`` and horizon) with entry_date, entry_price, exit_date, exit_price, entry_close, first_close.
+
+    ``horizons`` are all that the requests hold: then the exits come with the entry bar, and another horizon is an error.
+    Without them the exit bar is joined by its number.
+    """
     named = requests.join(at_or_before(requests, bars, known), ["symbol", known])
-    out = named.join(with_exits(bars, horizons, entry), ["symbol", "previous"], "left")
-    e = F.col("exits")[F.col("horizon")]
-    return out.withColumns({"exit_date": e["exit_date"], "exit_price": e["exit_price"]}).drop("exits", "previous")
+    if horizons is None:
+        out = named.join(entries(bars, entry), ["symbol", "previous"], "left").withColumn("place", F.col("place") + F.col("horizon"))
+        leave = bars.select("symbol", F.col("date").alias("exit_date"), F.col("close").alias("exit_price"), F.row_number().over(by_symbol()).alias("place"))
+        return out.join(leave, ["symbol", "place"], "left").drop("place", "previous")
+    out = named.join(entries(bars, entry, exits=leads(horizons)), ["symbol", "previous"], "left")
+    known_horizon = F.col("exits").isNull() | F.map_contains_key("exits", F.col("horizon"))
+    e = F.when(known_horizon, F.col("exits")[F.col("horizon")]).otherwise(F.raise_error(F.concat(F.lit("a horizon that wasn't named: "), F.col("horizon").cast("string"))))
+    return out.withColumn("_e", e).withColumns({"exit_date": F.col("_e.exit_date"), "exit_price": F.col("_e.exit_price")}).drop("exits", "previous", "place", "_e")

@@ -33,9 +33,12 @@ def _index_return(rows: DataFrame, index: DataFrame, out: str, *keys: str) -> Da
 
 def run(
     signals: DataFrame, bars: DataFrame, benchmark: DataFrame | None = None, sector_benchmarks: DataFrame | None = None, symbol_sectors: DataFrame | None = None,
-    horizons: tuple[int, ...] = (1, 3, 5, 10, 20), default_horizon: int = 5, trading_cost_bps: float = 10.0, slippage_bps: float = 5.0, extra: tuple[str, ...] = (),
+    horizons: tuple[int, ...] | None = None, default_horizon: int = 5, trading_cost_bps: float = 10.0, slippage_bps: float = 5.0, extra: tuple[str, ...] = (),
 ) -> DataFrame:
-    """One row per signal. ``horizons`` are those that signals may carry; ``extra`` names columns to keep."""
+    """One row per signal. ``extra`` names columns to keep.
+
+    Where ``horizons`` names all that the signals carry, each bar brings its exits along; else exits are found by bar number.
+    """
     if trading_cost_bps < 0 or slippage_bps < 0 or trading_cost_bps + slippage_bps <= 0:
         raise ValueError("costs must not be negative, and not both zero")
     text = lambda c, d: F.coalesce(F.nullif(F.trim(F.col(c)), F.lit("")), F.lit(d)) if c in signals.columns else F.lit(d)
@@ -51,7 +54,7 @@ def run(
         asked = asked.join(symbol_sectors.select("symbol", "sector").distinct(), "symbol", "left")
     else:
         asked = asked.withColumn("sector", F.lit(None).cast("string"))
-    rows = asof.next_bar(asked, prices, "_known", tuple(sorted({*horizons, default_horizon})), "open").join(known, "symbol", "left")
+    rows = asof.next_bar(asked, prices, "_known", tuple(sorted({*horizons, default_horizon})) if horizons else None, "open").join(known, "symbol", "left")
     status = (
         F.when(F.col("direction") != "long", "unsupported_direction")
         .when(F.col("_priced").isNull(), "missing_price_history")
@@ -87,7 +90,8 @@ def run(
 
 def daily_rate(r: str, horizon: str = "horizon") -> Column:
     """A return over ``horizon`` days as one per day; a loss of all stays a loss of all."""
-    return F.pow(F.greatest(1 + F.col(r), F.lit(0.0)), 1 / F.greatest(F.coalesce(F.col(horizon), F.lit(1)), F.lit(1))) - 1
+    rate = F.pow(F.greatest(1 + F.col(r), F.lit(0.0)), 1 / F.greatest(F.coalesce(F.col(horizon), F.lit(1)), F.lit(1))) - 1
+    return F.when(F.col(r).isNotNull(), rate)  # greatest() passes over a missing value
 
 
 def exit_date_returns(trades: DataFrame, *keys: str) -> DataFrame:

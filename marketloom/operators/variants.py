@@ -46,9 +46,9 @@ def trades(signals: DataFrame, bars: DataFrame, benchmark: DataFrame | None = No
     return backtest.run(keyed, bars, benchmark, extra=("variant", "component", "component_signal_id"), **costs)
 
 
-def compare(signals: DataFrame, bars: DataFrame, benchmark: DataFrame | None = None, trading_cost_bps: float = 10.0, slippage_bps: float = 5.0) -> DataFrame:
+def compare(signals: DataFrame, bars: DataFrame, benchmark: DataFrame | None = None, trading_cost_bps: float = 10.0, slippage_bps: float = 5.0, horizons: tuple[int, ...] | None = None) -> DataFrame:
     """One row per variant: status, costs, data period and, where it could run, the backtest's summary."""
-    done = backtest.summary(trades(signals, bars, benchmark, trading_cost_bps=trading_cost_bps, slippage_bps=slippage_bps), "variant").drop("status")
+    done = backtest.summary(trades(signals, bars, benchmark, trading_cost_bps=trading_cost_bps, slippage_bps=slippage_bps, horizons=horizons), "variant").drop("status")
     period = bars.agg(F.min("date").alias("data_start"), F.max("date").alias("data_end"))
     out = availability(signals).join(F.broadcast(period)).join(done, "variant", "left")
     return out.withColumns({"trading_cost_bps": F.lit(float(trading_cost_bps)), "slippage_bps": F.lit(float(slippage_bps))})

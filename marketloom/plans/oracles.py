@@ -279,7 +279,7 @@ def traded(name: str, source: str, *needs: str) -> None:
 
 
 traded("trades", "signal", "signal")
-RATE = "power(greatest(1 + {}, 0), 1.0 / greatest(horizon, 1)) - 1"
+RATE = "CASE WHEN {0} IS NOT NULL THEN power(greatest(1 + {0}, 0), 1.0 / greatest(horizon, 1)) - 1 END"
 
 
 def risky(name: str, trades: str, keys: str = "") -> None:

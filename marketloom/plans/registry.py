@@ -421,4 +421,4 @@ def _(spark, d):
     CROSS JOIN (SELECT min(date) AS data_start, max(date) AS data_end FROM bar) p LEFT JOIN va_summary s ON s.variant = v.variant LEFT JOIN va_risk r ON r.variant = v.variant""", "va_summary", "va_risk", "bar",
 )
 def _(spark, d):
-    return variants.compare(component_rows(spark, d), bars(spark, d), benchmark(spark, d))
+    return variants.compare(component_rows(spark, d), bars(spark, d), benchmark(spark, d), horizons=(5, 20))
