@@ -319,3 +319,26 @@ def test_views(spark):
     snap = views.label(views.snapshot(rows, indicators.add_all(rows), events.detect(indicators.bollinger(rows), ("bollinger",))))
     got = {r.symbol: r for r in snap.collect()}
     assert got["BBB"].catch_up_gap < 0 < got["AAA"].catch_up_gap and got["AAA"].peer_median_return == pytest.approx(got["BBB"].return_20)
+
+
+def test_explanations():
+    from marketloom.operators import explain
+
+    assert explain.command_symbol(["Analyze", "abc.is"]) == "ABC.IS" and explain.command_symbol("xyz") == "XYZ"
+    with pytest.raises(ValueError, match="no symbol"):
+        explain.command_symbol("what is this?")
+    a = explain.offline("ABC", "INVESTIGATE", ["e1"], "ANALYSIS_SAFE")
+    assert explain.contract_issues(a, {"e1"}) == [] and explain.contract_issues(a | {"label": "BUY"}, set()) == ["unknown label: BUY", "unknown evidence: e1"]
+    assert explain.parse_answer('text ```json\n{"a": 1}\n``` more') == {"a": 1}
+    assert explain.offline("ABC", "INVESTIGATE", ["e1"], "ANALYSIS_UNSAFE")["label"] == "ANALYSIS_UNSAFE"
+
+
+def test_workflow_writes_reports(spark, tmp_path, wavy):
+    from marketloom.plans import workflows
+
+    s = settings.Settings(unseen_start_date="2024-04-01")
+    bench = wavy.select("date", "close")
+    both = wavy.unionByName(wavy.withColumns({"symbol": F.lit("BBB"), "close": F.col("close") * 1.01 + F.dayofmonth("date")}))
+    study = workflows.research(both, bench, None, s)
+    paths = workflows.write_reports(study, workflows.trades(study, s), s, str(tmp_path))
+    assert len(paths) == 6 and "technical_reversal_fixed" in (tmp_path / "backtest.md").read_text()
