@@ -22,6 +22,8 @@ from .common import SPACE, stored
 BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 #: What a run is sorted by, and what the index is keyed by.
 DIGEST_BITS = 64
+#: The most shared digests, of eight bytes each, that are sent to every task.
+BROADCAST = 1_000_000
 
 
 def normalised(text: Column) -> Column:
@@ -49,7 +51,9 @@ def compact(runs: DataFrame) -> DataFrame:
 def collisions(docs: DataFrame, level: DataFrame, bits: int) -> DataFrame:
     """Digests whose rows hold different bytes."""
     norm = docs.select(normalised(F.col("text")).alias("norm")).withColumn("digest", digest_of(F.col("norm"), bits))
-    hits = norm.join(level.select("digest"), "digest", "left_semi")
+    # Few shared digests go to every task, so that only texts that are hits move; else each task's distinct texts move once.
+    few = level.count() <= BROADCAST
+    hits = norm.join(F.broadcast(level.select("digest")), "digest", "left_semi") if few else norm.distinct().join(level.select("digest"), "digest", "left_semi")
     apart = hits.groupBy("digest", "norm").agg(F.lit(1).alias("one")).groupBy("digest").agg(F.count("*").alias("texts")).filter("texts > 1")
     return stored(apart.select("digest"), "collisions")
 
