@@ -94,7 +94,8 @@ def drop_copies(docs: DataFrame, bits: int = DIGEST_BITS) -> DataFrame:
     twice = said.filter("NOT kept AND doc_id <=> keep_id").select(F.col("doc_id").alias("_gone"), "_sha").distinct()
     sha = F.unhex(F.sha2(normalised(names["_text"]), 256))
     rows = docs.select(F.struct("*").alias("_row"), names["_id"].alias("_id"), sha.alias("_key"))
-    kept = rows.join(stored(gone, "gone"), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_sha")), "left_anti")
+    # Always by shuffle: rows lie evenly by (doc_id, digest), and the list of dropped rows grows with the input.
+    kept = rows.join(stored(gone, "gone").hint("merge"), F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_sha")), "left_anti")
     twice = stored(twice, "repeats")
     if not twice.isEmpty():
         same = F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_key") == F.col("_sha"))
