@@ -13,6 +13,17 @@
 Defined results: null and empty texts have fingerprint zero and are linked like any other; repeated rows come back each;
 the order of rows with equal keys doesn't matter; a null doc_id never becomes a component_id unless the component has no
 other; an empty table gives an empty table; other columns are not read.
+
+``drop_near_copies`` is a stage of its own and not bound to the fingerprints, which miss most near copies with a few edits at
+any radius that can be searched: it links all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+1. Equal sets collapse to one node. Two similar sets of n and m share one of the first n - ceil(0.8 n) + 1 and
+   m - ceil(0.8 m) + 1 elements under any common order (prefix filter), so only these are keyed. The order puts shingles that
+   are frequent in a sample of the texts last; it decides how many candidates there are, never which links are found.
+2. Nodes that share prefix shingles, and whose sizes and the number and places of these allow the similarity, are candidates.
+3. The sets of candidates are made again from their texts and each pair is verified by its intersection.
+
+A text of fewer words than a shingle is one shingle, so empty texts are alike. Sets are of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +33,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, stored, texts
@@ -33,20 +44,31 @@ SEED = 42
 BLOCKS = 4
 HOT = 2048
 TILE = 512
+COPY_SHINGLE = 5
+#: Least Jaccard similarity of near copies, as a fraction of integers.
+SIMILAR = (4, 5)
+#: One text in ``SAMPLE`` tells which shingles are frequent; at most ``FREQUENT`` of them are sent to the tasks.
+SAMPLE = 16
+FREQUENT = 200_000
+#: Up to so many documents with candidates are sent to every task; beyond, their texts are shuffled.
+BROADCAST = 1_000_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def shingle_hashes(words: list[bytes], shingle: int, seed: int = SEED) -> np.ndarray:
+    n = len(words) - shingle + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
+    digest = xxhash.xxh64_intdigest
+    rows = zip(*(words[k : n + k] for k in range(shingle)), strict=True)
+    return np.fromiter((digest(s, seed) for s in map(b" ".join, rows)), np.uint64, n)
+
+
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     words = text.encode().translate(LOWER).split()
     if not words:
         return 0
-    n = len(words) - shingle + 1
-    if n < 1:
-        hashes = np.array([xxhash.xxh64_intdigest(b" ".join(words), seed)], np.uint64)
-    else:
-        digest = xxhash.xxh64_intdigest
-        rows = zip(*(words[k : n + k] for k in range(shingle)), strict=True)
-        hashes = np.fromiter((digest(s, seed) for s in map(b" ".join, rows)), np.uint64, n)
+    hashes = shingle_hashes(words, shingle, seed)
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -239,24 +261,119 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components did not settle in {most_rounds} rounds")
 
 
+def _told(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The rows (doc_id, fp) with component_id, the least doc_id that their node's edges reach."""
+    roots = components(edges)
+    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = linked.select("fp", "root").join(named, "root").select("fp", "component_id")
+    return rows.join(stored(of, "components"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, hot: int = HOT) -> DataFrame:
     """Per row: doc_id, fingerprint (16 hex digits), component_id."""
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(links(nodes, radius, hot))
-    linked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = linked.select("fp", "root").join(named, "root").select("fp", "component_id")
-    out = rows.join(stored(of, "components"), "fp")
+    out = _told(rows, nodes, links(nodes, radius, hot))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def drop_near_copies(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+def shingle_set(text: str, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    """The distinct hashes of the text's word shingles, sorted."""
+    return np.unique(shingle_hashes(text.encode().translate(LOWER).split(), shingle))
+
+
+def _node(hashes: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED)
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    flat = np.concatenate(arrays) if arrays else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+
+
+def frequent_shingles(docs: DataFrame, shingle: int, sample: int = SAMPLE, most: int = FREQUENT) -> np.ndarray:
+    """Shingles of several texts in the sample, the rarer first."""
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle) for t in texts(b)]
+        return pa.RecordBatch.from_pydict({"h": pa.array((np.concatenate(sets) if sets else np.empty(0, np.uint64)).view(np.int64), pa.int64())})
+
+    some = docs.select("text").filter(F.xxhash64("text") % sample == 0)
+    counted = map_rows(some, work, "h long", 64).groupBy("h").agg(F.count("*").alias("n")).filter("n > 3")
+    top = counted.orderBy(F.desc("n"), "h").limit(most).collect()
+    return np.array([r.h for r in reversed(top)], np.int64).view(np.uint64)
+
+
+def prefixes(docs: DataFrame, shingle: int, similar: tuple[int, int], frequent: np.ndarray) -> DataFrame:
+    """Per row: doc_id, fp (the set's node), size of the set, and the prefix that a similar set must share a shingle with."""
+    num, den = similar
+    order = np.argsort(frequent)
+    known = frequent[order]
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        nodes, sizes, heads = [], [], []
+        for t in texts(b):
+            h = shingle_set(t, shingle)
+            n = len(h)
+            nodes.append(_node(h))
+            sizes.append(n)
+            if len(known):
+                k = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                h = h[np.argsort(np.where(known[k] == h, order[k] + 1, 0), kind="stable")]
+            heads.append(h[: n - -(-num * n // den) + 1])
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), "size": pa.array(sizes, pa.int64()), "prefix": _lists(heads)})
+
+    rows = docs.select("doc_id", "text")
+    return map_rows(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, size long, prefix array<long>")
+
+
+def similar_pairs(docs: DataFrame, signed: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes: all whose sets are at least as similar."""
+    num, den = similar
+    keyed = signed.select("fp", "size", F.posexplode("prefix").alias("at", "h")).repartition("h").dropDuplicates(["h", "fp"])
+    shared = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").drop("n"), "shared-shingles")
+    a, b = (shared.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "at")]) for x in "ab")
+    enough = lambda n: n * (num + den) >= num * (F.col("size_a") + F.col("size_b"))
+    ordered = F.struct("size_a", "fp_a") < F.struct("size_b", "fp_b")
+    close = a.join(b.hint("merge"), "h").filter(ordered & (den * F.col("size_a") >= num * F.col("size_b")))
+    common = close.groupBy("fp_a", "size_a", "fp_b", "size_b").agg(F.count("*").alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    # What both sets can share at most: the common shingles that both prefixes show, and none between the last of them and the
+    # end of the prefix that ends first; the rest of one set is what lies behind its prefix.
+    behind = F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
+    rest = lambda c: F.expr(f"({c} * {num} + {den - 1}) div {den} - 1")
+    most = F.col("n") + F.least(behind, F.greatest(rest("size_a"), rest("size_b")))
+    pairs = stored(common.filter(enough(most)).select("fp_a", "size_a", "fp_b", "size_b"), "candidates")
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [shingle_set(t, shingle) for t in texts(b)]
+        return pa.RecordBatch.from_pydict({"fp": pa.array(np.array([_node(h) for h in sets], np.uint64).view(np.int64), pa.int64()), "hashes": _lists(sets)})
+
+    nodes = stored(pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct(), "candidate-nodes")
+    one = stored(signed.select("doc_id", "fp").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_one")).select("_one").distinct(), "candidate-documents")
+    one = one.hint("broadcast" if one.count() <= BROADCAST else "merge")
+    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
+    sets = stored(map_rows(chosen.select("doc_id", "text"), work, "fp long, hashes array<long>", 64).join(nodes, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    left, right = (sets.select(F.col("fp").alias(f"fp_{x}"), F.col("hashes").alias(f"hashes_{x}")).hint("merge") for x in "ab")
+    both = pairs.join(left, "fp_a").join(right, "fp_b")
+    return both.filter(enough(F.size(F.array_intersect("hashes_a", "hashes_b")))).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+    """Per row: doc_id, component_id: the least doc_id that chains of texts with similar shingle sets reach."""
+    signed = stored(prefixes(docs, shingle, similar, frequent_shingles(docs, shingle)), "prefixes")
+    nodes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    edges = stored(similar_pairs(docs, signed, shingle, similar), "similar")
+    return _told(signed.select("doc_id", "fp"), nodes, edges).select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
     """The input's rows without the documents whose component has a smaller doc_id; all columns stay as they are.
 
     A doc_id that several rows share is dropped only if all of them are; a null doc_id always stays.
     """
-    said = near_duplicates(docs, radius)
+    said = near_copies(docs, shingle, similar)
     gone = said.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias("_gone"))
     # always by shuffle: rows lie evenly by doc_id, and the list of dropped documents grows with the input
     return docs.join(stored(gone, "near-copies").hint("merge"), F.col("_gone") == docs["doc_id"], "left_anti")

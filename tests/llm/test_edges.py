@@ -145,6 +145,35 @@ def test_drop_near_copies(docs):
     assert simhash.drop_near_copies(docs.limit(0)).collect() == []
 
 
+def test_drop_near_copies_finds_all_similar_texts(spark):
+    """Against all pairs by brute force: edits that leave a five-word Jaccard similarity about 0.8, far beyond two bits."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(3000)]
+    texts = []
+    for _ in range(12):
+        base = rng.choices(words, k=rng.choice((4, 30, 90, 400)))
+        texts.append(base)
+        for edits in (1, 1, 2, 3, 8):
+            new = list(base)
+            for _ in range(edits):
+                new[rng.randrange(len(new))] = rng.choice(words)
+            texts.append(new + rng.choices(words, k=rng.randrange(3)))
+    boiler = rng.choices(words, k=40)
+    texts += [boiler + rng.choices(words, k=n) for n in (1, 2, 5, 9, 15, 60)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
+    least = {i: i for i in sets}
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    far = [(a, b) for a, b in pairs if (brute.fingerprint(" ".join(texts[a])) ^ brute.fingerprint(" ".join(texts[b]))).bit_count() > 2]
+    assert len(far) > 5
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()} == least
+    assert {r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).collect()} == {i for i in sets if least[i] == i}
+
+
 def test_packing(docs):
     rows = packing.pack(docs, with_ids=True).collect()
     assert sum(r.length for r in rows if r.doc_id == 1) == 1 and all(r.length in {1 << k for k in range(12)} for r in rows)
