@@ -3,7 +3,7 @@
 Base identifiers are found in the text as it is. Then transducers rewrite a copy: homoglyphs and wide or styled digits to
 ASCII, invisible characters to nothing, spelled digits to digits, "at" and "dot" disguises to ``@`` and ``.``. Each step
 keeps, for every output character, the source span that it stands for. Identifiers found in the copy are mapped back, and
-those that overlap no base span are added. Spans are code points of the source, end exclusive.
+those that no base span covers are added, so that a fragment never stands for the whole. Spans are code points of the source, end exclusive.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned row by row; equal starts are ordered by kind
 as listed; an empty table gives an empty table; other columns are not read; long texts are scanned whole.
@@ -92,7 +92,7 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NAMES = "|".join(sorted(SPELLED, key=len, reverse=True))
-#: Runs of digits and digit names with three names at least.
+#: Runs of digits and digit names with three names at least, or two behind a plus sign.
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}){{2,}}(?:{_NAMES}|[0-9]+)(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_NAMES}|plus)(?!\w)", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
@@ -146,7 +146,7 @@ def spelled_digits(m: Mapped) -> Mapped:
     edits = []
     for run in SPELLED_RUN.finditer(m[0]):
         names = list(SPELLED_ONE.finditer(m[0], run.start(), run.end()))
-        if len(names) < 3:
+        if len(names) < (2 if m[0][: run.start()].endswith("+") else 3):
             continue
         edits.append((run.start(), run.end(), re.sub(r"[^0-9+]", "", SPELLED_ONE.sub(lambda x: "+" if x[0].lower() == "plus" else SPELLED[x[0].lower()], run[0]))))
     # one edit per run would give all its digits the run's span, which is what a match inside it should cover
@@ -177,13 +177,12 @@ def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, in
         new = step(new)
     if new[0] == text:
         return base, base
-    taken = sorted((s, e) for s, _, e in base)
     more, k, reach = [], 0, -1
     for s, kind, e in sorted({(new[1][s], kind, new[2][e - 1]) for s, kind, e in base_spans(new[0])}):
-        while k < len(taken) and taken[k][0] < e:
-            reach = max(reach, taken[k][1])
+        while k < len(base) and base[k][0] <= s:
+            reach = max(reach, base[k][2])
             k += 1
-        if reach <= s:
+        if reach < e:
             more.append((s, kind, e))
     return base, sorted(base + more)
 

@@ -109,6 +109,19 @@ def test_deobfuscation_maps_back():
         assert found(clean) == []
 
 
+def test_fragments_in_the_text_do_not_hide_whole_identifiers():
+    for text, whole in (
+        ("to jоhn.smith@example.com now", "jоhn.smith@example.com"),  # Cyrillic o: the text as it is shows hn.smith@example.com
+        ("to john@mail.exаmple.com now", "john@mail.exаmple.com"),
+    ):
+        assert found(text) == [("email", whole)]
+        assert len(pii.all_spans(text)[0]) == 1  # the fragment stays in the list
+        assert pii.redacted(text) == "to <EMAIL> now"
+    assert found("call +49 30 1234567 eight nine.") == [("phone", "+49 30 1234567 eight nine")]
+    assert pii.redacted("call +49 30 1234567 eight nine.") == "call <PHONE>."
+    assert found("a.b@c.de and ​ 192.168.0.1") == []
+
+
 def test_trees_keep_their_constraints():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
