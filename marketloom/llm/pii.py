@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import map_rows, texts
+from .endings import ENDINGS
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -96,15 +97,30 @@ _NAMES = "|".join(sorted(SPELLED, key=len, reverse=True))
 SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}){{2,}}(?:{_NAMES}|[0-9]+)(?!\w)", re.I)
 SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_NAMES}|plus)(?!\w)", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
-AT = re.compile(rf"\x20*{OPEN}\x20*(?:at|@|arobase|arroba)\x20*{CLOSE}\x20*", re.I)
-DOT = re.compile(rf"\x20*{OPEN}\x20*(?:dot|point|punkt|punto|\.)\x20*{CLOSE}\x20*", re.I)
-#: Domain endings that aren't also common words.
-_ENDS = "com|org|net|edu|gov|mil|info|biz|io|ai|app|dev|uk|eu|fr|de|ch|nl|pl|pt|ru|cn|jp|br|ca"
-#: The same in words alone, only as a whole address: name at host dot ending.
-WORDED = re.compile(rf"(?<![\w@.])[A-Za-z0-9._%+-]+(?:\x20dot\x20[A-Za-z0-9_%+-]+){{0,4}}\x20at\x20[A-Za-z0-9-]+(?:(?:\x20dot\x20|\.)[A-Za-z0-9-]+){{0,4}}\x20dot\x20(?:{_ENDS})(?!\w)", re.I)
-WORD = re.compile(r"\x20(at|dot)\x20", re.I)
+_AT = rf"\x20*{OPEN}\x20*(?:at|@|arobase|arroba)\x20*{CLOSE}\x20*"
+_DOT = rf"\x20*{OPEN}\x20*(?:dot|point|punkt|punto|\.)\x20*{CLOSE}\x20*"
+AT, DOT = re.compile(_AT, re.I), re.compile(_DOT, re.I)
+#: Domain endings that are taken after any host.
+SURE = frozenset("com org net edu gov mil info biz io ai app dev uk eu fr de ch nl pl pt ru cn jp br ca".split())
+#: Words before "dot" that are no host where the ending may be a word too ("at the dot in").
+COMMON = frozenset(
+    """
+    a an the this that these those each every any some no one two three first second third last next other another same such which what
+    my your his her its our their red blue green black white yellow orange pink purple brown grey gray golden silver bright dark light
+    big small little large tiny huge long short high low new old good bad right left top bottom middle center centre central single
+    double only very more most same whole full empty round point it is in on of to by as or and for from with be so do we he me us
+    der die das den dem des ein eine einen einem einer kein rot blau gelb schwarz weiß klein groß le la les un une des du ce cette mon
+    ton son rouge bleu vert noir blanc petit grand el los las una unos unas este esta ese rojo azul verde negro blanco
+    """.split()
+)
+_L, _H = r"[A-Za-z0-9_%+-]++", r"[A-Za-z0-9-]++"
+_SEP = rf"(?:\x20dot\x20|\.|{_DOT})"
+#: Addresses whose @ and dots are literal, worded or in brackets, in any mixture.
+WORDED = re.compile(rf"(?<![\w@.%+-])({_L}(?:{_SEP}{_L}){{0,30}})(\x20at\x20|@|{_AT})({_H}(?:{_SEP}{_H}){{0,30}})({_SEP})([A-Za-z]{{2,63}}+)(?![\w-])", re.I)
+NUMBERS = re.compile(rf"(?<![\w.])[0-9]++(?:{_SEP}[0-9]++){{3,}}(?!\w)", re.I)
+WORD_DOT = re.compile(r"\x20dot\x20", re.I)
 #: What a text without disguises lacks; one cheap search decides for most texts.
-HINT = re.compile(rf"[ɐ-￿\U00010000-\U0010ffff­ı]|{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}|\x20dot\x20|(?<!\w)(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}(?:{_NAMES})(?!\w)", re.I)
+HINT = re.compile(rf"[ɐ-￿\U00010000-\U0010ffff­ı]|{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}|\x20dot\x20|\x20at\x20[a-z0-9-]+\.[a-z0-9]|(?<!\w)(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}(?:{_NAMES})(?!\w)", re.I)
 
 Mapped = tuple[str, list[int], list[int]]
 
@@ -153,10 +169,28 @@ def spelled_digits(m: Mapped) -> Mapped:
     return _rewrite(m, edits) if edits else m
 
 
+def is_address(w: re.Match) -> bool:
+    """Whether a match of WORDED is an address rather than prose: the less is literal, the less the ending has to say."""
+    local, at, host, dot, end = w.groups()
+    if end.lower() not in ENDINGS:
+        return False
+    if at.lower() != " at ":
+        return True
+    if dot == "." and host.replace(".", "").replace("-", "").isalnum():
+        # "look at example.com": only a name that isn't a word alone makes this an address
+        return re.search(r"[A-Za-z]", local) is not None and re.search(r"[0-9._%+\x20-]", local) is not None
+    return end.lower() in SURE or not host.isalnum() or host.lower() not in COMMON
+
+
 def disguises(m: Mapped) -> Mapped:
     edits = [(x.start(), x.end(), "@") for x in AT.finditer(m[0])] + [(x.start(), x.end(), ".") for x in DOT.finditer(m[0])]
     for w in WORDED.finditer(m[0]):
-        edits += [(x.start(), x.end(), "@" if x[1].lower() == "at" else ".") for x in WORD.finditer(m[0], w.start(), w.end())]
+        if is_address(w):
+            if w[2].lower() == " at ":
+                edits.append((w.start(2), w.end(2), "@"))
+            edits += [(x.start(), x.end(), ".") for a, b in ((w.start(1), w.end(1)), (w.start(3), w.end(4))) for x in WORD_DOT.finditer(m[0], a, b)]
+    for w in NUMBERS.finditer(m[0]):
+        edits += [(x.start(), x.end(), ".") for x in WORD_DOT.finditer(m[0], w.start(), w.end())]
     edits.sort()
     kept, floor = [], 0
     for x in edits:

@@ -122,6 +122,19 @@ def test_fragments_in_the_text_do_not_hide_whole_identifiers():
     assert found("a.b@c.de and ​ 192.168.0.1") == []
 
 
+def test_worded_and_mixed_disguises():
+    for email in (
+        "john@example dot com", "john@mail.example dot com", "john.smith at example.com", "john dot smith at example.com", "jane at example (dot) com", "jane (at) example dot com",
+        "ana at correo dot es", "ana at posta dot it", "max at beispiel dot at", "kim at example dot com dot au", "luz at correo dot com dot co", "bo at firma dot co",
+    ):
+        assert ("email", email) in found(f"write to {email}, please"), email
+        assert pii.redacted(f"write to {email}, please") == "write to <EMAIL>, please"
+    for ip in ("192 dot 168 dot 0 dot 1", "192.168 dot 0 dot 1"):
+        assert found(f"host {ip} is up") == [("ip", ip)]
+    for clean in ("look at example.com for more", "the red at the dot in the middle", "stare at the dot at noon", "look at a red dot in it", "300 dot 300 dot 300 dot 300", "see page 7 at example.com"):
+        assert found(clean) == [], clean
+
+
 def test_trees_keep_their_constraints():
     rng = np.random.default_rng(0)
     x = rng.random((3000, 3))
