@@ -36,7 +36,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: a short
 HEX = r"[0-9a-f]{24,}"  # likewise
 #: Candidates of the method.
 WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{16}(?![A-Za-z0-9])"
-WEAK_SECRET = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/]{0,39}[0-9])(?=[a-z0-9+/]{0,39}[A-Z])(?=[A-Z0-9+/]{0,39}[a-z])[A-Za-z0-9+/]{40}(?![A-Za-z0-9+/_.=-])"
+#: 40 characters or more, of all three classes, with padding; "=" may stand before them and a full stop behind.
+WEAK_SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{40,}+={0,2}(?![A-Za-z0-9+/_-])"
 ENDPOINT = r"(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,8}(?:amazonaws\.com|googleapis\.com|windows\.net|cloudflarestorage\.com|digitaloceanspaces\.com)(?![A-Za-z0-9.-])"
 
 

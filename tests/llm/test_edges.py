@@ -70,6 +70,18 @@ def test_weak_candidates_need_a_partner(spark):
     assert got[1].spans == "access:0:20,weak_secret:21:61"
 
 
+def test_weak_secrets_in_their_usual_forms(spark):
+    weak, key = "aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cF3iL6oR9u", "AKIA" + "ABCDEFGHIJKLMNOP"
+    storage, spaces = "k3" + weak + weak + "aB3d==", weak + "x7Q"
+    assert len(storage) == 88 and len(spaces) == 43
+    rows = [(0, f"{key}\nAWS_SECRET_ACCESS_KEY={weak}"), (1, f"{key} is used with {weak}."), (2, f"{key} {storage}"), (3, f"{key} {spaces}"), (4, f"KEY={weak}"), (5, f"{key} {weak}_x")]
+    got = {r.doc_id: r.spans.split(",") for r in secret_scan.secrets(frame(spark, rows)).collect()}
+    for k, token in ((0, weak), (1, weak), (2, storage), (3, spaces)):
+        at = rows[k][1].index(token)
+        assert f"weak_secret:{at}:{at + len(token)}" in got[k]
+    assert not any("weak" in x for k in (4, 5) for x in got[k])
+
+
 def test_exact(docs):
     got = exact_dedup.exact_duplicates(docs).collect()
     by = {}
