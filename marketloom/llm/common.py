@@ -30,6 +30,21 @@ def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], sc
     return df.mapInArrow(each, schema)
 
 
+#: A key that more than one row in ``HOT`` has is hot; there are fewer than ``HOT`` of these, whatever the input.
+HOT = 1000
+
+
+def hot_join(rows: DataFrame, table_: DataFrame, key: str, total: int, hot: int = HOT) -> DataFrame:
+    """Left join of rows with a table of one row per key, whose column ``n`` says how many of ``total`` rows have the key.
+
+    Hot keys are looked up by broadcast, the others by shuffle, where each has a small part of the rows. ``n`` is left out.
+    """
+    often = F.col("n") * hot > total
+    few, many = F.broadcast(table_.filter(often).drop("n")), table_.filter(~often).drop("n")
+    rest = rows.join(few.select(key), key, "left_anti").join(many.hint("merge"), key, "left")
+    return rows.join(few, key).unionByName(rest)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The batch's texts; null counts as empty."""
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
