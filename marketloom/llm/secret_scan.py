@@ -7,10 +7,14 @@ endpoints) are candidates; a candidate is reported only when a complementary par
 * a weak access identifier needs a secret (assignment or weak secret),
 * an endpoint needs an access identifier or a secret.
 
-The interval join runs inside each row by sort and merge: candidates and parts are sorted by start together; a candidate
-at place i with its own number k has i - k parts before it, so its nearest neighbours are parts i - k - 1 and i - k. No
+The interval join runs inside each row by sort and merge: the starts of candidates are sorted among the ends of parts, and
+their ends among the starts of parts; the candidate with number k at place i has i - k of these before it, so that the parts
+next to it on either side are known. A part that overlaps a candidate is no complement of it: no text vouches for itself. No
 pair is ever built that isn't an answer, nothing is shuffled, and a text of n matches costs n log n.
 
+Patterns run only on texts that hold a word which each of their matches has; weak secrets only where an identifier or an
+endpoint may stand, since nothing else can ask for them.
+
 Offsets come from two native functions: ``split`` gives the texts between matches, ``regexp_extract_all`` the matches, and
 running sums of their lengths give the starts (code points, end exclusive).
 
@@ -31,14 +35,17 @@ WEAK = ("weak_access", "weak_secret", "endpoint")
 KINDS = (*BASE, *WEAK)
 
 #: The patterns of the base spans.
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: a shorter run holds no longer match
 HEX = r"[0-9a-f]{24,}"  # likewise
 #: Candidates of the method.
-WEAK_ACCESS = r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA|AGPA|ANPA)[A-Z0-9]{16}(?![A-Za-z0-9])"
+WEAK_PREFIXES = ("ASIA", "AROA", "AIDA", "AGPA", "ANPA")
+WEAK_ACCESS = rf"(?<![A-Za-z0-9])(?:{'|'.join(WEAK_PREFIXES)})[A-Z0-9]{{16}}(?![A-Za-z0-9])"
 #: 40 characters or more, of all three classes, with padding; "=" may stand before them and a full stop behind.
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{40,}+={0,2}(?![A-Za-z0-9+/_-])"
-ENDPOINT = r"(?<![A-Za-z0-9.-])(?:[a-z0-9-]{1,63}\.){1,8}(?:amazonaws\.com|googleapis\.com|windows\.net|cloudflarestorage\.com|digitaloceanspaces\.com)(?![A-Za-z0-9.-])"
+HOSTS = ("amazonaws.com", "googleapis.com", "windows.net", "cloudflarestorage.com", "digitaloceanspaces.com")
+ENDPOINT = rf"(?<![A-Za-z0-9.-])(?:[a-z0-9-]{{1,63}}\.){{1,8}}(?:{'|'.join(HOSTS)})(?![A-Za-z0-9.-])".replace(".com", r"\.com").replace(".net", r"\.net")
 
 
 def _fold(values: Column, start: Column) -> Column:
@@ -69,22 +76,36 @@ def matches(text: Column, pattern: str, least: Column | None = None) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
 
-def linked(weak: Column, parts: Column, scope: int) -> Column:
-    """For each weak span, in order, whether a part lies within ``scope`` code points of it. Both are sorted by start."""
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once: other than a lambda's variable, a column is worked out for each element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _before(points: Column, weak: Column, place: str, first: bool) -> Column:
+    """For each weak span how many of the points lie before its ``place``; ``first``: points at that very place count too."""
     merged = F.array_sort(
         F.concat(
-            F.transform(parts, lambda p: F.struct(p["s"].alias("s"), F.lit(0).alias("weak"), F.lit(-1).alias("k"))),
-            F.transform(weak, lambda w, k: F.struct(w["s"].alias("s"), F.lit(1).alias("weak"), k.alias("k"))),
+            F.transform(points, lambda p: F.struct(p.alias("at"), F.lit(0 if first else 1).alias("turn"), F.lit(-1).alias("k"))),
+            F.transform(weak, lambda w, k: F.struct(w[place].alias("at"), F.lit(1 if first else 0).alias("turn"), k.alias("k"))),
         )
     )
-    at = F.filter(F.transform(merged, lambda m, i: F.struct(m["weak"].alias("weak"), m["k"].alias("k"), (i - m["k"]).alias("before"))), lambda m: m["weak"] == 1)
+    at = F.filter(F.transform(merged, lambda m, i: F.struct(m["k"].alias("k"), (i - m["k"]).alias("n"))), lambda m: m["k"] >= 0)
+    return F.transform(at, lambda m: m["n"])
+
+
+def linked(weak: Column, parts: Column, scope: int) -> Column:
+    """For each weak span, in order, whether a part that doesn't overlap it lies within ``scope`` code points of it.
+
+    Weak spans are sorted and apart from each other; parts may nest in any way.
+    """
+    ends, starts = F.array_sort(F.transform(parts, lambda p: p["e"])), F.array_sort(F.transform(parts, lambda p: p["s"]))
 
-    def near(m: Column) -> Column:
-        w = F.get(weak, m["k"])
-        left, right = F.get(parts, m["before"] - 1), F.get(parts, m["before"])
-        return F.coalesce(w["s"] - left["e"] <= scope, F.lit(False)) | F.coalesce(right["s"] - w["e"] <= scope, F.lit(False))
+    def told(z: Column) -> Column:
+        left = F.zip_with(z["weak"], _before(z["ends"], z["weak"], "s", True), lambda w, n: w["s"] - F.get(z["ends"], n - 1) <= scope)
+        right = F.zip_with(z["weak"], _before(z["starts"], z["weak"], "e", False), lambda w, n: F.get(z["starts"], n) - w["e"] <= scope)
+        return F.zip_with(left, right, lambda x, y: F.coalesce(x, F.lit(False)) | F.coalesce(y, F.lit(False)))
 
-    return F.transform(at, near)
+    return _let(F.struct(weak.alias("weak"), ends.alias("ends"), starts.alias("starts")), told)
 
 
 def only(spans: Column, keep: Column) -> Column:
@@ -94,20 +115,27 @@ def only(spans: Column, keep: Column) -> Column:
 def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Per row: doc_id and an array of spans (s, e) for each kind."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    none = F.array().cast("array<struct<s:int,e:int>>")
+
+    def has(words: tuple[str, ...], of: Column = text) -> Column:
+        found = F.contains(of, F.lit(words[0]))
+        for w in words[1:]:
+            found = found | F.contains(of, F.lit(w))
+        return found
+
+    ids, hosts = has(("AKIA", *WEAK_PREFIXES)), has(HOSTS)
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda g: F.length(g) >= 6)
     one = docs.select(
         "doc_id",
-        matches(text, ASSIGN, long_enough).alias("assign"),
-        matches(text, ACCESS).alias("access"),
+        F.when(has(WORDS, F.lower(text)), matches(text, ASSIGN, long_enough)).otherwise(none).alias("assign"),
+        F.when(has(("AKIA",)), matches(text, ACCESS)).otherwise(none).alias("access"),
         matches(text, HEX).alias("hex"),
-        matches(text, WEAK_ACCESS).alias("weak_access"),
-        matches(text, WEAK_SECRET).alias("weak_secret"),
-        matches(text, ENDPOINT).alias("endpoint"),
+        F.when(has(WEAK_PREFIXES), matches(text, WEAK_ACCESS)).otherwise(none).alias("weak_access"),
+        F.when(ids | hosts, matches(text, WEAK_SECRET)).otherwise(none).alias("weak_secret"),
+        F.when(hosts, matches(text, ENDPOINT)).otherwise(none).alias("endpoint"),
     )
     order = lambda *c: F.array_sort(F.concat(*[F.col(x) for x in c]))
-    # array_sort orders by start, then end: nested or equal spans of several kinds may stand in one list
     ids, secrets = order("access", "weak_access"), order("assign", "weak_secret")
-    none = F.array().cast("array<struct<s:int,e:int>>")
     told = lambda weak, parts: F.when((F.size(weak) > 0) & (F.size(parts) > 0), only(F.col(weak), linked(F.col(weak), parts, scope))).otherwise(none)
     return one.select(
         "doc_id",
