@@ -93,9 +93,11 @@ SPELLED = {
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
 _NAMES = "|".join(sorted(SPELLED, key=len, reverse=True))
+_POINT = r"\x20(?:dot|point|punkt|punto)\x20"
+_BETWEEN = rf"(?:{_POINT}|[\x20,.-]{{1,2}})"
 #: Runs of digits and digit names with three names at least, or two behind a plus sign.
-SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}){{2,}}(?:{_NAMES}|[0-9]+)(?!\w)", re.I)
-SPELLED_ONE = re.compile(rf"(?<!\w)(?:{_NAMES}|plus)(?!\w)", re.I)
+SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_NAMES}|plus|[0-9]+){_BETWEEN}){{2,}}(?:{_NAMES}|[0-9]+)(?!\w)", re.I)
+SPELLED_PART = re.compile(rf"(?P<point>{_POINT})|(?P<gap>[\x20,.-]{{1,2}})|(?P<plus>plus)|(?P<name>{_NAMES})|(?P<number>[0-9]+)", re.I)
 OPEN, CLOSE = r"[\[({<]", r"[\])}>]"
 _AT = rf"\x20*{OPEN}\x20*(?:at|@|arobase|arroba)\x20*{CLOSE}\x20*"
 _DOT = rf"\x20*{OPEN}\x20*(?:dot|point|punkt|punto|\.)\x20*{CLOSE}\x20*"
@@ -120,7 +122,7 @@ WORDED = re.compile(rf"(?<![\w@.%+-])({_L}(?:{_SEP}{_L}){{0,30}})(\x20at\x20|@|{
 NUMBERS = re.compile(rf"(?<![\w.])[0-9]++(?:{_SEP}[0-9]++){{3,}}(?!\w)", re.I)
 WORD_DOT = re.compile(r"\x20dot\x20", re.I)
 #: What a text without disguises lacks; one cheap search decides for most texts.
-HINT = re.compile(rf"[ɐ-￿\U00010000-\U0010ffff­ı]|{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}|\x20dot\x20|\x20at\x20[a-z0-9-]+\.[a-z0-9]|(?<!\w)(?:{_NAMES}|plus|[0-9]+)[\x20,.-]{{1,2}}(?:{_NAMES})(?!\w)", re.I)
+HINT = re.compile(rf"[ɐ-￿\U00010000-\U0010ffff­ı]|{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}|\x20dot\x20|\x20at\x20[a-z0-9-]+\.[a-z0-9]|(?<!\w)(?:{_NAMES}|plus|[0-9]+){_BETWEEN}(?:{_NAMES})(?!\w)", re.I)
 
 Mapped = tuple[str, list[int], list[int]]
 
@@ -159,13 +161,26 @@ def fold_characters(m: Mapped) -> Mapped:
 
 
 def spelled_digits(m: Mapped) -> Mapped:
+    """One edit for each digit name, plus and worded point, so that every digit keeps the place of its own word.
+
+    Gaps beside a name go; a lone full stop stays, as do gaps before a plus, where the next number begins.
+    """
     edits = []
     for run in SPELLED_RUN.finditer(m[0]):
-        names = list(SPELLED_ONE.finditer(m[0], run.start(), run.end()))
-        if len(names) < (2 if m[0][: run.start()].endswith("+") else 3):
+        parts = [(x.lastgroup, x.start(), x.end()) for x in SPELLED_PART.finditer(m[0], run.start(), run.end())]
+        names = sum(k == "name" for k, _, _ in parts)
+        if names < (2 if m[0][: run.start()].endswith("+") or any(k == "plus" for k, _, _ in parts) else 3):
             continue
-        edits.append((run.start(), run.end(), re.sub(r"[^0-9+]", "", SPELLED_ONE.sub(lambda x: "+" if x[0].lower() == "plus" else SPELLED[x[0].lower()], run[0]))))
-    # one edit per run would give all its digits the run's span, which is what a match inside it should cover
+        kinds = [k for k, _, _ in parts]
+        for n, (kind, a, b) in enumerate(parts):
+            if kind == "plus":
+                edits.append((a, b, "+"))
+            elif kind == "name":
+                edits.append((a, b, SPELLED[m[0][a:b].lower()]))
+            elif kind == "point":
+                edits.append((a, b, "."))
+            elif kind == "gap" and kinds[n + 1] != "plus" and m[0][a:b] != "." and (kinds[n - 1] in ("plus", "name") or kinds[n + 1] == "name"):
+                edits.append((a, b, ""))
     return _rewrite(m, edits) if edits else m
 
 
