@@ -1,7 +1,7 @@
 """BPE encoding and decoding by the tokenization automaton (operator 10).
 
 ``bpe.Automaton`` compiles the merges by successive merge gadgets. A text is split into pre-tokens, each distinct one is
-run through the automaton's table once, and decoding emits the labels of the arcs.
+walked through the automaton's stored arcs once, byte by byte, and decoding emits the labels of the arcs.
 
 Defined results: null and empty texts give no ids and the empty text; strings of added special tokens give their id;
 repeated rows are encoded row by row; an empty table gives an empty table; other columns are not read.
@@ -26,7 +26,7 @@ VOCABULARY = "byte_bpe_50k.json"
 class Codec:
     def __init__(self, automaton: bpe.Automaton):
         self.automaton = automaton
-        self.special = bpe.special_split(automaton)
+        self.special = bpe.Special(automaton.special)
         #: Ids as little-endian unsigned 32-bit integers.
         self.words = bpe.Memo(lambda w: self._packed(automaton.encode_word(bpe.as_bytes(w))))
         self.chunks = bpe.Memo(lambda c: b"".join(map(self.words.__getitem__, bpe.SPLIT.findall(c))))
@@ -36,7 +36,7 @@ class Codec:
         return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
-        if self.special is None or "<|" not in text:
+        if not self.special.within(text):
             return b"".join(map(self.chunks.__getitem__, bpe.CHUNK.findall(text)))
         parts = self.special.split(text)
         special = self.automaton.special

@@ -9,7 +9,12 @@ tokens starts as one state that loops on every byte. The gadget of the merge (u,
 After the last merge the automaton reads exactly the token strings that BPE produces. All arcs of one label lead to one
 state, so a state is the set of labels that it does *not* read. A token that gets built by a merge is unreadable in a
 state when its left part is, hence these sets are unions of subtrees of the left-part forest, cut by merge rank. In a
-preorder with late merges first each such subtree is one range, so the transition table is a few ranges per state.
+preorder with late merges first each such subtree is one range, so that automaton is stored as a few ranges per state.
+
+Words are read byte by byte through a second table, whose arcs are stored: each prefix of a word has exactly one path through
+the token automaton, and its last token depends on no more than the longest suffix that begins a token and the last tokens at
+the places in it. These are the byte states. An arc is worked out when it is first walked and looked up from then on; a walk
+goes left to right, one arc a byte, and never back. At ``MOST`` states a worker starts its table anew.
 """
 
 from __future__ import annotations
@@ -19,9 +24,10 @@ import re
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
-import ahocorasick
 import regex
 
+#: The most byte states that a worker holds.
+MOST = 250_000
 #: The pre-tokenisation pattern of the public byte-level BPE.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SPLIT = regex.compile(PATTERN)
@@ -55,13 +61,17 @@ class Automaton:
             self.labels[i] = s.encode()
         self._compile([(self.id_of[raw(u)], self.id_of[raw(v)], self.id_of[raw(u) + raw(v)]) for u, v in merges])
         self.lengths = [len(x) for x in self.labels]
-        self.longest = max(self.lengths)
         self.fits = Memo(lambda pair: self.reads(pair >> 24, pair & 0xFFFFFF), 1_000_000)
         self.whole = {x.decode("latin-1"): i for x, i in self.id_of.items() if self.reach[i]}
-        self.search = ahocorasick.Automaton()
-        for x, i in self.whole.items():
-            self.search.add_word(x, i)
-        self.search.make_automaton()
+        self.heads = {x[:k] for x in self.whole for k in range(len(x) + 1)}
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Byte states: their arcs, the last token of what has been read, and what that follows from.
+        self.arcs: list[dict[str, int]] = [{}]
+        self.last: list[int] = [-1]
+        self.facts: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
+        self.states_of = {self.facts[0]: 0}
 
     def _compile(self, merges: list[tuple[int, int, int]]) -> None:
         size = len(self.labels)
@@ -141,48 +151,59 @@ class Automaton:
         i = bisect_right(starts, p) - 1
         return i < 0 or p >= ends[i]
 
-    def prefixes(self, word: str) -> tuple[list[int], list[int]]:
-        """For each length i of a prefix of one pre-token (bytes as Latin-1): last token of its encoding, token count.
-
-        Every prefix has one encoding, so the automaton is in one state there. The labels that end at i come longest
-        first from a keyword search; the one that the state before it can read is the last token.
-        """
-        n = len(word)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        lengths, fits = self.lengths, self.fits
-        for e, t in self.search.iter(word):
-            i = e + 1
-            if last[i] < 0:
-                j = i - lengths[t]
-                if not j or fits[last[j] << 24 | t]:
-                    last[i], count[i] = t, count[j] + 1
-        return last, count
+    def _arc(self, state: int, byte: str) -> int:
+        """The byte state behind an arc that hasn't been walked yet."""
+        suffix, lasts = self.facts[state]
+        suffix += byte
+        get, fits = self.whole.get, self.fits
+        for k, after in enumerate(lasts):  # the one token that ends here and that the state before it can read
+            t = get(suffix[k:])
+            if t is not None and (after < 0 or fits[after << 24 | t]):
+                break
+        else:
+            raise ValueError(f"the vocabulary has no byte {ord(byte)}")
+        lasts += (t,)
+        cut = 0
+        while suffix[cut:] not in self.heads:
+            cut += 1
+        fact = (suffix[cut:], lasts[cut:])
+        to = self.states_of.get(fact)
+        if to is None:
+            to = self.states_of[fact] = len(self.arcs)
+            self.arcs.append({})
+            self.last.append(t)
+            self.facts.append(fact)
+        self.arcs[state][byte] = to
+        return to
+
+    def walk(self, word: str) -> list[int]:
+        """The last token of each prefix's encoding, for one pre-token (bytes as Latin-1)."""
+        if len(self.arcs) > MOST:
+            self._forget()
+        arcs, last, state, out = self.arcs, self.last, 0, []
+        for byte in word:
+            to = arcs[state].get(byte)
+            state = self._arc(state, byte) if to is None else to
+            out.append(last[state])
+        return out
+
+    def prefixes(self, word: str) -> list[int]:
+        """Token count of each prefix of one pre-token (bytes as Latin-1), the empty one first."""
+        count, lengths = [0], self.lengths
+        for i, t in enumerate(self.walk(word), 1):
+            count.append(count[i - lengths[t]] + 1)
+        return count
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-token (bytes as Latin-1): the one path of the automaton whose labels spell it."""
         t = self.whole.get(word)
         if t is not None:
             return [t]
-        # Depth first, longest label first. A prefix has one path, so no position is entered twice.
-        get, fits, n = self.whole.get, self.fits, len(word)
-        out: list[int] = []
-        ends = [0]
-        i, e, after = 0, min(n, self.longest), -1
-        while i < n:
-            while e > i:
-                t = get(word[i:e])
-                if t is not None and (after < 0 or fits[after << 24 | t]):
-                    out.append(t)
-                    ends.append(e)
-                    i, after = e, t
-                    e = min(n, i + self.longest)
-                    break
-                e -= 1
-            else:
-                out.pop()
-                e = ends.pop() - 1
-                i, after = ends[-1], out[-1] if out else -1
-        return out
+        last, lengths, i, out = self.walk(word), self.lengths, len(word), []
+        while i:
+            out.append(t := last[i - 1])
+            i -= lengths[t]
+        return out[::-1]
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs in order; bytes that aren't UTF-8 become U+FFFD."""
@@ -205,9 +226,19 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def special_split(automaton: Automaton) -> re.Pattern | None:
-    names = sorted(automaton.special, key=len, reverse=True)
-    return re.compile("(" + "|".join(map(re.escape, names)) + ")") if names else None
+class Special:
+    """The names of added special tokens, which stand for one token each."""
+
+    def __init__(self, ids: dict[str, int]):
+        self.names = sorted(ids, key=len, reverse=True)
+        self.cut = re.compile("(" + "|".join(map(re.escape, self.names)) + ")")
+
+    def within(self, text: str) -> bool:
+        return any(x in text for x in self.names)
+
+    def split(self, text: str) -> list[str]:
+        """Ordinary texts and names in turn; a text without names as a whole."""
+        return self.cut.split(text) if self.names else [text]
 
 
 def as_bytes(word: str) -> str:

@@ -16,6 +16,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import bpe
 from .common import map_rows, texts
@@ -30,13 +31,13 @@ class PrefixCounts:
 
     def __init__(self, automaton: bpe.Automaton):
         self.automaton = automaton
-        self.special = bpe.special_split(automaton)
-        self.words = bpe.Memo(lambda w: automaton.prefixes(bpe.as_bytes(w))[1][-1])
+        self.special = bpe.Special(automaton.special)
+        self.words = bpe.Memo(lambda w: automaton.prefixes(bpe.as_bytes(w))[-1])
         self.chunks = bpe.Memo(lambda c: sum(map(self.words.__getitem__, bpe.SPLIT.findall(c))))
 
     def pieces(self, text: str) -> list[tuple[str, int]]:
         """Chunks of the text in order with their token counts."""
-        if self.special is None or "<|" not in text:
+        if not self.special.within(text):
             chunks = bpe.CHUNK.findall(text)
             return list(zip(chunks, map(self.chunks.__getitem__, chunks), strict=True))
         out = []
@@ -48,7 +49,7 @@ class PrefixCounts:
         return out
 
     def count(self, text: str) -> int:
-        if "<|" in text:
+        if self.special.within(text):
             return sum(n for _, n in self.pieces(text))
         return sum(map(self.chunks.__getitem__, bpe.CHUNK.findall(text)))
 
@@ -60,9 +61,9 @@ class PrefixCounts:
         for w in words:
             for k in range(1, len(w) + 1):
                 cut = bpe.SPLIT.findall(w[:k])
-                out.append(base + sum(self.automaton.prefixes(bpe.as_bytes(x))[1][-1] for x in cut) if len(cut) > 1 else 0)
+                out.append(base + sum(self.automaton.prefixes(bpe.as_bytes(x))[-1] for x in cut) if len(cut) > 1 else 0)
             byte_at = list(accumulate(len(c.encode()) for c in w))
-            dp = self.automaton.prefixes(bpe.as_bytes(w))[1]
+            dp = self.automaton.prefixes(bpe.as_bytes(w))
             for k in range(1, len(w) + 1):
                 if not out[done + k]:
                     out[done + k] = base + dp[byte_at[k - 1]]
@@ -110,6 +111,23 @@ def counter(path: str) -> PrefixCounts:
     return PrefixCounts(bpe.load(path))
 
 
+def prefix_tables(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """Per row: doc_id and counts, the number of tokens of the text's first 0, 1, 2, ... code points."""
+
+    def work(b: pa.RecordBatch) -> pa.RecordBatch:
+        c = counter(bpe.vocabulary(vocabulary))
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "counts": pa.array([c.table(t) for t in texts(b)], pa.list_(pa.int32()))})
+
+    rows = docs.select("doc_id", "text")
+    return map_rows(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, counts array<int>", 64)
+
+
+def cut_to(tables: DataFrame, limit: int) -> DataFrame:
+    """Per row of ``prefix_tables``: doc_id, fit_chars and fit_tokens of the longest prefix of at most ``limit`` tokens; no text is read."""
+    chars = F.size("counts") - F.array_position(F.transform(F.reverse("counts"), lambda n: n <= limit), True)
+    return tables.select("doc_id", chars.cast("long").alias("fit_chars"), "counts").select("doc_id", "fit_chars", F.get("counts", F.col("fit_chars").cast("int")).cast("long").alias("fit_tokens"))
+
+
 def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULARY) -> DataFrame:
     """Per row: doc_id, n_bytes, n_tokens, over_limit, and fit_chars, the longest prefix within the limit."""
 
