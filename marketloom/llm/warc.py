@@ -5,13 +5,16 @@ its pages into gzip-per-record archives in the shared folder: HTTP responses in
 records above ``SEGMENT`` bytes of block; copies become revisit records. Files are written under a name of the attempt and
 renamed when whole, so a task that runs again writes the same file.
 
-**Reading.** Each task streams whole archives. Records in one piece are decoded where they are read. Segments are dealt by
-their origin identifier, sorted by segment number and put together one origin at a time; number gaps and totals that don't
-match become errors. Then the chunked transfer framing is taken off and the payload digested.
+**Reading.** Each task streams whole archives. Records in one piece are decoded where they are read, and stay there. Segments are
+dealt by their origin identifier, sorted by segment number and put together one origin at a time; number gaps and totals that
+don't match become errors. Then the chunked transfer framing is taken off and the payload digested. Revisits take length and
+digest of their payload from the response that they refer to; one without its response is an error. A record that can't be
+read becomes a row with an error, and reading goes on with the next gzip member.
 
 Defined results: null html is an empty payload, null urls an empty target; repeated rows give a record each; of equal payloads
 the smallest page_id is the response (rows that repeat that page_id are responses too); a null page_id counts as larger than any;
-an empty table gives an empty table; other columns are not read; payloads of any length are read whole.
+an empty table gives an empty table; other columns are not read; payloads of any length are read whole. A response's record id
+holds page and payload digest, which is what revisits refer to; rows that repeat both have a number of their own behind it.
 """
 
 from __future__ import annotations
@@ -23,15 +26,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, stored
+from . import key_filter
+from .common import hot_join, scratch, stored
 
 LEAST = 100
 SEGMENT = 32 * 1024
 CHUNK = 8 * 1024
 ROLL = 1 << 30
+#: The most bytes of a record's head.
+MOST_HEAD = 1 << 20
 END = b"\r\n\r\n"
 
 
@@ -79,15 +85,19 @@ def header_safe(s: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else "".join(f"%{b:02X}" for b in c.encode()) for c in s or "")
 
 
-def records_of(page_id, url: str | None, payload: bytes, digest: str, refers, name: str, segment: int = SEGMENT) -> Iterator[bytes]:
-    """The WARC records of one page: a response with its continuations, or a revisit."""
-    own = f"<urn:marketloom:page:{'' if page_id is None else page_id}:{name}>"
+def record_id(page_id, digest: str, copy: str = "") -> str:
+    return f"<urn:marketloom:page:{'' if page_id is None else page_id}:{digest}{copy and ':' + copy}>"
+
+
+def records_of(page_id, url: str | None, payload: bytes, digest: str, refers, name: str, copy: bool = False, segment: int = SEGMENT) -> Iterator[bytes]:
+    """The WARC records of one page: a response with its continuations, or a revisit. ``name`` is unique in the archive."""
+    own = record_id(page_id, digest, name if copy else "")
     base = [("WARC-Record-ID", own), ("WARC-Date", "2024-01-01T00:00:00Z"), ("WARC-Target-URI", header_safe(url)), ("WARC-Payload-Digest", f"sha256:{digest}")]
     http = ("Content-Type", "application/http; msgtype=response")
     if refers is not None:
         block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
         profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-        yield record([("WARC-Type", "revisit"), *base, profile, ("WARC-Refers-To", f"<urn:marketloom:page:{refers}>"), http], block)
+        yield record([("WARC-Type", "revisit"), *base, profile, ("WARC-Refers-To", record_id(refers, digest)), http], block)
         return
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
     if len(block) <= segment:
@@ -104,27 +114,45 @@ class _Members:
 
     def __init__(self, stream, size: int = 1 << 20):
         self.stream, self.size, self.rest, self.z = stream, size, b"", None
+        self.whole = True  # whether a member has just ended
 
     def read(self) -> bytes:
-        """Some more bytes; none at the end."""
+        """Some more bytes, of one member; none at the end."""
         while True:
             raw = self.rest or self.stream.read(self.size)
             if not raw:
                 if self.z is not None:
+                    self.z = None
                     raise ValueError("a gzip member is cut short")
                 return b""
             if self.z is None:
                 self.z = zlib.decompressobj(31)
-            out = self.z.decompress(raw)
+            try:
+                out = self.z.decompress(raw)
+            except zlib.error as e:
+                # what follows may hold the head of another member
+                self.rest, self.z = raw[1:], None
+                self.rest = self.rest[max(0, self.rest.find(b"\x1f\x8b\x08")) :] if b"\x1f\x8b\x08" in self.rest else b""
+                self.whole = True
+                raise ValueError(f"not a gzip member: {e}") from e
             self.rest = self.z.unused_data
+            self.whole = self.z.eof
             if self.z.eof:
                 self.z = None
             if out:
                 return out
 
+    def skip(self) -> None:
+        """Pass over the rest of the member."""
+        while not self.whole and self.read():
+            pass
+
 
 def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers, block) of each record of a .warc.gz stream; header names in lower case."""
+    """(headers, block) of each record of a .warc.gz stream; header names in lower case.
+
+    What can't be read gives ({"error": why}, b""), and reading goes on behind the gzip member that it stands in.
+    """
     members, held = _Members(stream), bytearray()
 
     def fill(least: int) -> bool:
@@ -135,21 +163,45 @@ def read_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
             held.extend(more)
         return True
 
-    while fill(1):
+    def one() -> tuple[dict[str, str], bytes] | None:
+        if not fill(1):
+            return None
         end, seen = -1, 0
         while (end := held.find(END, max(0, seen - 3))) < 0:
             seen = len(held)
-            if not fill(seen + 1):
+            if seen >= 5 and not held.startswith(b"WARC/") or seen > MOST_HEAD or not fill(seen + 1):
                 raise ValueError("a WARC head is cut short")
         lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
         if not lines[0].startswith("WARC/"):
             raise ValueError("not a WARC record")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        n = int(headers["content-length"])
+        size = headers.get("content-length", "")
+        if not size.isdecimal():
+            raise ValueError("a WARC record has no length")
+        n = int(size)
         if not fill(end + 4 + n + 4):
             raise ValueError("a WARC block is cut short")
-        yield headers, bytes(held[end + 4 : end + 4 + n])
+        block = bytes(held[end + 4 : end + 4 + n])
         del held[: end + 4 + n + 4]
+        headers.pop("error", None)
+        return headers, block
+
+    while True:
+        try:
+            got = one()
+        except ValueError as e:
+            yield {"error": str(e)}, b""
+            held.clear()
+            while True:
+                try:
+                    members.skip()
+                    break
+                except ValueError:
+                    continue
+            continue
+        if got is None:
+            return
+        yield got
 
 
 # ---------------------------------------------------------------------------------------------------- writing
@@ -159,20 +211,39 @@ def _place(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri or not uri.startswith("file:") else "file://" + uri[5:])
 
 
-def revisits(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """(digest, first): digests that several pages of ``least`` bytes or more share, and their smallest page_id."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    narrow = pages.select("page_id", F.unhex(F.sha2(body, 256)).alias("digest"), F.length(body).alias("size")).filter(F.col("size") >= least)
-    return stored(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "shared-payloads")
+def _body() -> Column:
+    return F.coalesce(F.col("html"), F.lit("")).cast("binary")
+
+
+def shared_payloads(pages: DataFrame, least: int = LEAST) -> DataFrame:
+    """(digest, first, n): digests that several pages of ``least`` bytes or more share, and their smallest page_id."""
+    narrow = pages.select("page_id", F.unhex(F.sha2(_body(), 256)).alias("digest"), F.length(_body()).alias("size")).filter(F.col("size") >= least)
+    return stored(narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "shared-payloads")
+
+
+def repeats(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, n) of several rows."""
+    narrow = pages.select("page_id", F.unhex(F.sha2(_body(), 256)).alias("digest"))
+    return narrow.groupBy("page_id", "digest").agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def write_archives(pages: DataFrame, to: str, segment: int = SEGMENT, least: int = LEAST) -> DataFrame:
-    """Write one record per page below ``to``; returns the manifest (path, records, bytes)."""
-    body = F.coalesce(F.col("html"), F.lit("")).cast("binary")
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), body.alias("body"))
-    rows = rows.withColumn("digest", F.unhex(F.sha2("body", 256))).join(revisits(pages, least), "digest", "left")
+    """Write one record per page below ``to``; returns the manifest (path, records, bytes).
+
+    Pages whose payload nobody shares are written by the task that scans them; a filter of bounded size tells which these are.
+    """
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), _body().alias("body")).withColumn("digest", F.unhex(F.sha2("body", 256)))
+    shared, twice = shared_payloads(pages, least), stored(repeats(pages), "repeats")
+    maybe, alone = key_filter.split(rows, F.col("digest"), key_filter.build(shared, F.col("digest")))
+    rows = hot_join(maybe, shared, "digest", pages.count()).unionByName(alone.withColumn("first", F.lit(None).cast(pages.schema["page_id"].dataType)))
     refers = F.when((F.length("body") >= least) & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = rows.select("page_id", "url", "body", "digest", refers.alias("refers"))
+    rows = rows.select("page_id", "url", "body", "digest", refers.alias("refers"), F.lit(False).alias("copy"))
+    if not twice.isEmpty():
+        key = lambda: F.struct(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "digest")
+        maybe, once = key_filter.split(rows, key(), key_filter.build(twice, key()))
+        many = twice.select(key().alias("_key"), "n", F.lit(True).alias("copy"))
+        found = hot_join(maybe.drop("copy").withColumn("_key", key()), many, "_key", pages.count()).drop("_key").withColumn("copy", F.coalesce("copy", F.lit(False)))
+        rows = once.unionByName(found)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
@@ -194,12 +265,12 @@ def write_archives(pages: DataFrame, to: str, segment: int = SEGMENT, least: int
         seen = 0
         for b in batches:
             for k in range(b.num_rows):
-                page_id, url, payload, digest, refers_to = (b.column(c)[k].as_py() for c in range(5))
+                page_id, url, payload, digest, refers_to, copy = (b.column(c)[k].as_py() for c in range(6))
                 if stream is None:
                     draft = f"{folder}/.draft-{context.partitionId()}-{context.taskAttemptId()}-{len(done)}"
                     stream = fs.open_output_stream(draft, compression=None)
                 seen += 1
-                for r in records_of(page_id, url, payload, digest.hex(), refers_to, f"{context.partitionId()}-{seen}", segment):
+                for r in records_of(page_id, url, payload, digest.hex(), refers_to, f"{context.partitionId()}-{seen}", copy, segment):
                     z = zlib.compressobj(1, zlib.DEFLATED, 31)
                     data = z.compress(r) + z.flush()
                     stream.write(data)
@@ -215,14 +286,15 @@ def write_archives(pages: DataFrame, to: str, segment: int = SEGMENT, least: int
 
 # ---------------------------------------------------------------------------------------------------- reading
 
-READ = "page string, target string, kind string, refers string, payload_digest string, payload_bytes long, origin string, number int, total long, block binary, error string"
-_READ = pa.schema([("page", pa.string()), ("target", pa.string()), ("kind", pa.string()), ("refers", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("origin", pa.string()), ("number", pa.int32()), ("total", pa.int64()), ("block", pa.binary()), ("error", pa.string())])
+READ = "page string, target string, kind string, refers string, payload_digest string, payload_bytes long, origin string, key string, number int, total long, block binary, error string"
+_READ = pa.schema([(c, {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}[t]) for c, t in (x.split() for x in READ.split(", "))])
 BATCH_BYTES = 8 << 20
 
 
-def _page(record_id: str) -> str | None:
-    part = record_id.strip("<>").split(":")
-    return part[3] or None if part[:3] == ["urn", "marketloom", "page"] else None
+def _known(own: str) -> tuple[str | None, str | None]:
+    """The page that a record id names, and the id without the number that tells repeated rows apart."""
+    part = own.strip("<>").split(":")
+    return (part[3] or None, ":".join(part[:5])) if part[:3] == ["urn", "marketloom", "page"] and len(part) > 4 else (None, None)
 
 
 def _decoded(row: dict, block: bytes, claimed: str | None) -> dict:
@@ -236,19 +308,25 @@ def _decoded(row: dict, block: bytes, claimed: str | None) -> dict:
 
 
 def _row(headers: dict[str, str], block: bytes) -> dict:
-    """What one record says: a whole record's result, or a segment to be put together."""
+    """What one record says: a whole record's result, a segment to be put together, or what is wrong with it."""
+    if "error" in headers:
+        return {"error": headers["error"]}
     kind, own = headers.get("warc-type", ""), headers.get("warc-record-id", "")
     claimed = headers.get("warc-payload-digest", "").removeprefix("sha256:") or None
-    number = headers.get("warc-segment-number")
-    row = {"page": _page(own), "target": headers.get("warc-target-uri"), "kind": kind, "origin": own}
+    number, total = headers.get("warc-segment-number"), headers.get("warc-segment-total-length")
+    page, key = _known(own)
+    row = {"page": page, "target": headers.get("warc-target-uri"), "kind": kind, "origin": own, "key": key}
+    if any(x is not None and not (x.isdecimal() and len(x) < 18) for x in (number, total)) or number is not None and int(number) >= 1 << 31:
+        return row | {"error": "a segment's number or total length is no number"}
     if kind == "continuation":
-        return row | {"origin": headers.get("warc-segment-origin-id"), "number": int(number or 0), "total": int(headers["warc-segment-total-length"]) if "warc-segment-total-length" in headers else None, "block": block}
+        if number is None or "warc-segment-origin-id" not in headers:
+            return row | {"error": "a continuation lacks its number or origin"}
+        return row | {"origin": headers["warc-segment-origin-id"], "number": int(number), "total": total and int(total), "block": block}
     if number is not None:
         return row | {"number": int(number), "payload_digest": claimed, "block": block}
     if kind == "revisit":
-        head = block.split(END, 1)[0].decode("latin-1").lower().split("\r\n")
-        size = next((int(x.split(":", 1)[1]) for x in head if x.startswith("content-length:")), None)
-        return row | {"refers": _page(headers.get("warc-refers-to", "")), "payload_digest": claimed, "payload_bytes": size}
+        refers, key = _known(headers.get("warc-refers-to", ""))
+        return row | {"refers": refers, "key": key, "payload_digest": claimed}
     return _decoded(row, block, claimed)
 
 
@@ -282,17 +360,17 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     return files.repartition(max(1, files.count())).mapInArrow(each, READ)
 
 
-def reassemble(records: DataFrame) -> DataFrame:
-    """One row per record: segments of an origin are put together in order, verified, and their payload decoded."""
+def reassemble(segments: DataFrame) -> DataFrame:
+    """One row per origin: its segments are put together in order, verified, and their payload decoded."""
 
     def whole(parts: list[dict]) -> dict:
         first = parts[0]
-        if first.get("number") is None:
-            return first
         row = first | {"block": None, "number": None, "total": None}
         if [p["number"] for p in parts] != list(range(1, len(parts) + 1)):
             return row | {"payload_digest": None, "error": "segments are missing or repeated"}
         block = b"".join(p["block"] for p in parts)
+        if first["kind"] == "continuation":
+            return row | {"payload_digest": None, "error": "the first segment is no record of its own"}
         total = parts[-1]["total"]
         if total != len(block):
             return row | {"payload_digest": None, "error": f"segments have {len(block)} bytes, {total} are due"}
@@ -303,7 +381,7 @@ def reassemble(records: DataFrame) -> DataFrame:
             held: list[dict] = []
             for b in batches:
                 for r in b.to_pylist():
-                    if held and (r["origin"] != held[0]["origin"] or r["number"] is None):
+                    if held and r["origin"] != held[0]["origin"]:
                         yield whole(held)
                         held = []
                     held.append(r)
@@ -312,7 +390,26 @@ def reassemble(records: DataFrame) -> DataFrame:
 
         yield from _batches(rows())
 
-    return records.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(each, READ)
+    return segments.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(each, READ)
+
+
+def resolve(records: DataFrame) -> DataFrame:
+    """Records with the payload of revisits taken from the response that they refer to."""
+    visits, others = records.filter("kind = 'revisit' AND error IS NULL"), records.filter("NOT (kind <=> 'revisit' AND error IS NULL)")
+    wanted = visits.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"))
+    there = others.filter("kind = 'response' AND error IS NULL").groupBy("key").agg(F.max("payload_digest").alias("own_digest"), F.max("payload_bytes").alias("own_bytes"))
+    found = stored(wanted.join(there, "key"), "responses")
+    visits = hot_join(visits, found, "key", visits.count())
+    error = F.when(F.col("own_digest").isNull(), "the response that is referred to is missing").when(F.col("payload_digest") != F.col("own_digest"), "the payload digest differs from the response's")
+    visits = visits.withColumns({"payload_digest": F.col("own_digest"), "payload_bytes": F.col("own_bytes"), "error": error})
+    return others.unionByName(visits.select(others.columns))
+
+
+def read_pages(manifest: DataFrame) -> DataFrame:
+    """One row per record of the archives, segments put together and revisits resolved."""
+    read = stored(read_archives(manifest), "records")
+    joined = reassemble(read.filter("number IS NOT NULL"))
+    return resolve(stored(read.filter("number IS NULL").unionByName(joined).drop("block", "number", "total", "target", "origin"), "whole-records"))
 
 
 def round_trip(pages: DataFrame, segment: int = SEGMENT, least: int = LEAST) -> DataFrame:
@@ -320,8 +417,7 @@ def round_trip(pages: DataFrame, segment: int = SEGMENT, least: int = LEAST) ->
     spark: SparkSession = pages.sparkSession
     manifest = write_archives(pages, scratch(spark, "warc"), segment, least)
     kind = pages.schema["page_id"].dataType.simpleString()
-    read = reassemble(read_archives(manifest))
-    return read.select(
+    return read_pages(manifest).select(
         F.col("page").cast(kind).alias("page_id"),
         "payload_bytes",
         "payload_digest",
