@@ -1,11 +1,16 @@
 """Packing by power-of-two decomposition (operator 8).
 
 A document of n tokens becomes pieces of ``SEQUENCE`` tokens and then one piece for each binary digit of the rest, longest
-first. Pieces of equal length form a bucket (``bucket`` is the length's exponent), from which batches are drawn. Each piece is
-a sequence of its own, so no sequence crosses documents, and none is padded, since every length is a power of two.
+first. Pieces of equal length form a bucket (``bucket`` is the length's exponent). Each piece is a sequence of its own, so no
+sequence crosses documents, and none is padded, since every length is a power of two.
+
+Sequences are numbered bucket by bucket from the longest pieces, without gaps, so that a bucket is a range of sequence ids from
+which batches of one length are drawn; ``write_buckets`` lays them out that way. Within a bucket the order is that of a hash of
+the piece, then of doc_id and start: the same table gets the same numbers however it is split into files and tasks. Numbers come
+from at most 12 x ``SLOTS`` counts and a sort of each slot's own rows.
 
 Defined results: a null or empty text is the end token alone, one piece of length 1; repeated rows are packed row by row;
-an empty table gives an empty table; other columns are not read. ``sequence_id`` is unique in one result.
+an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,15 +21,16 @@ from functools import lru_cache
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import Memo, byte_alphabet, vocabulary as place
-from .common import map_rows, texts
+from .bpe import Memo, Special, byte_alphabet, vocabulary as place
+from .common import map_rows, stored, texts
 
 VOCABULARY = "word_bpe_49k.json"
 SEQUENCE = 2048
 END_ID = 1
+SLOTS = 1024
 
 
 def pieces(n: int, sequence: int = SEQUENCE) -> list[int]:
@@ -51,6 +57,7 @@ class WordEncoder:
         self.library.no_truncation()
         self.library.no_padding()
         self.model = self.library.model
+        self.special = Special({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
         self.letters = {b: c for c, b in byte_alphabet().items()}
         self.chunks = Memo(self._chunk)
         self.words = Memo(self._word)
@@ -71,7 +78,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if "<|" in text or self.OTHER.search(text):
+        if self.special.within(text) or self.OTHER.search(text):
             return self._packed(self.library.encode(text, add_special_tokens=False).ids)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
@@ -81,8 +88,8 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket; with_ids adds the ids."""
+def cut(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, bucket; with_ids adds the ids."""
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(place(vocabulary))
@@ -101,6 +108,26 @@ def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY
 
     rows = docs.select("doc_id", "text")
     kind = rows.schema["doc_id"].dataType.simpleString()
-    out = map_rows(rows, work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids binary" * with_ids)
+    return map_rows(rows, work, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, bucket int" + ", ids binary" * with_ids)
+
+
+def numbered(cut_pieces: DataFrame) -> DataFrame:
+    """The pieces with sequence_id: 0, 1, 2, ... from the longest bucket to the shortest."""
+    rows = stored(cut_pieces.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SLOTS)).cast("int")), "pieces")
+    sizes = rows.groupBy("bucket", "_slot").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.col("bucket").desc(), "_slot").rowsBetween(Window.unboundedPreceding, -1))
+    base = sizes.select("bucket", "_slot", F.coalesce(before, F.lit(0)).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("bucket", "_slot").orderBy("doc_id", "start", "ids_crc32", "doc_tokens"))
+    return rows.withColumn("_own", own).join(F.broadcast(base), ["bucket", "_slot"]).withColumn("sequence_id", F.col("_base") + F.col("_own") - 1).drop("_own", "_base", "_slot")
+
+
+def pack(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """Per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, bucket; with_ids adds the ids."""
+    out = numbered(cut(docs, sequence, vocabulary, end_id, with_ids))
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket", *["ids"] * with_ids]
-    return out.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}).select(columns)
+    return out.withColumn("offset", F.lit(0).cast("long")).select(columns)
+
+
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """A folder for each bucket, rows in the order of their sequences."""
+    packed.sortWithinPartitions("bucket", "sequence_id").write.partitionBy("bucket").parquet(path)
