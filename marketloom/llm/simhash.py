@@ -14,14 +14,19 @@ Defined results: null and empty texts have fingerprint zero and are linked like
 the order of rows with equal keys doesn't matter; a null doc_id never becomes a component_id unless the component has no
 other; an empty table gives an empty table; other columns are not read.
 
-``drop_near_copies`` is a stage of its own and not bound to the fingerprints, which miss most near copies with a few edits at
-any radius that can be searched: it links all texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-1. Equal sets collapse to one node. Two similar sets of n and m share one of the first n - ceil(0.8 n) + 1 and
-   m - ceil(0.8 m) + 1 elements under any common order (prefix filter), so only these are keyed. The order puts shingles that
-   are frequent in a sample of the texts last; it decides how many candidates there are, never which links are found.
-2. Nodes that share prefix shingles, and whose sizes and the number and places of these allow the similarity, are candidates.
-3. The sets of candidates are made again from their texts and each pair is verified by its intersection.
+``drop_near_copies`` keeps one document of each group of texts that chains of five-word Jaccard similarity of 0.8 or more link.
+Fingerprints alone can't tell these: at 0.8 two texts differ in ten bits or so, and at 0.6 in fifteen. So they propose links,
+which are verified on the sets, and an exact search adds what they miss. No step makes all pairs of a group.
+
+1. Equal sets collapse to one node, with the fingerprint of its set.
+2. Two similar sets of n and m share one of the first n - ceil(0.8 n) + 1 and m - ceil(0.8 m) + 1 elements under any common order
+   (prefix filter), so only these are keyed. The order puts shingles that are frequent in a sample of the texts last; it decides
+   how many candidates there are, never which links are found.
+3. Proposed links, a few for each node: the forest of the operator above at its radius, and, of the nodes that lead the groups
+   of a shared prefix shingle, the one with the nearest fingerprint. Verified, they join nearly all of a large group.
+4. Exact search over what is still apart: of each shared prefix shingle, nodes outside its largest component meet the nodes of
+   other components. Pairs whose sizes and shared shingles allow the similarity are verified too.
+5. A pair is verified by the intersection of its sets, made again from the texts of candidates only.
 
 A text of fewer words than a shingle is one shingle, so empty texts are alike. Sets are of 64-bit hashes.
 """
@@ -33,10 +38,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, stored, texts
+from marketloom.operators.graph import components
+
+from . import key_filter
+from .common import hot_join, map_rows, stored, texts
 
 SHINGLE = 3
 RADIUS = 2
@@ -50,8 +58,8 @@ SIMILAR = (4, 5)
 #: One text in ``SAMPLE`` tells which shingles are frequent; at most ``FREQUENT`` of them are sent to the tasks.
 SAMPLE = 16
 FREQUENT = 200_000
-#: Up to so many documents with candidates are sent to every task; beyond, their texts are shuffled.
-BROADCAST = 1_000_000
+#: Fingerprints of leaders that are proposed differ in so many bits at most.
+NEAR = 16
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -68,7 +76,11 @@ def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
     words = text.encode().translate(LOWER).split()
     if not words:
         return 0
-    hashes = shingle_hashes(words, shingle, seed)
+    return majority(shingle_hashes(words, shingle, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have."""
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -242,25 +254,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     return _linked(dealt.repartition("kind", "key").sortWithinPartitions("kind", "key"), radius)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root): each node of the edges and the smallest node that it reaches. Large-star, small-star until nothing moves."""
-    tall = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    e = stored(tall, "edges")
-    state = None
-    for _ in range(most_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").filter("u <> v").distinct()
-        e = stored(small, "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(now) == state:
-            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = tuple(now)
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
-
-
 def _told(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """The rows (doc_id, fp) with component_id, the least doc_id that their node's edges reach."""
     roots = components(edges)
@@ -307,73 +300,126 @@ def frequent_shingles(docs: DataFrame, shingle: int, sample: int = SAMPLE, most:
 
 
 def prefixes(docs: DataFrame, shingle: int, similar: tuple[int, int], frequent: np.ndarray) -> DataFrame:
-    """Per row: doc_id, fp (the set's node), size of the set, and the prefix that a similar set must share a shingle with."""
+    """Per row: doc_id, fp (the set's node), its size and fingerprint ``bits``, and the prefix that a similar set must share a shingle with."""
     num, den = similar
     order = np.argsort(frequent)
     known = frequent[order]
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sizes, heads = [], [], []
+        nodes, sizes, bits, heads = [], [], [], []
         for t in texts(b):
             h = shingle_set(t, shingle)
             n = len(h)
             nodes.append(_node(h))
             sizes.append(n)
+            bits.append(majority(h))
             if len(known):
                 k = np.minimum(np.searchsorted(known, h), len(known) - 1)
                 h = h[np.argsort(np.where(known[k] == h, order[k] + 1, 0), kind="stable")]
             heads.append(h[: n - -(-num * n // den) + 1])
-        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": pa.array(np.array(nodes, np.uint64).view(np.int64), pa.int64()), "size": pa.array(sizes, pa.int64()), "prefix": _lists(heads)})
+        signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64), pa.int64())
+        return pa.RecordBatch.from_pydict({"doc_id": b.column(0), "fp": signed(nodes), "size": pa.array(sizes, pa.int64()), "bits": signed(bits), "prefix": _lists(heads)})
 
     rows = docs.select("doc_id", "text")
-    return map_rows(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, size long, prefix array<long>")
+    return map_rows(rows, work, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long, size long, bits long, prefix array<long>")
+
 
+def shared_shingles(nodes: DataFrame) -> DataFrame:
+    """(h, fp, size, bits, at, n): prefix shingles that n nodes have, n > 1, and their places."""
+    keyed = nodes.select("fp", "size", "bits", F.posexplode("prefix").alias("at", "h"))
+    counts = keyed.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").withColumn("_n", F.col("n"))
+    found = hot_join(keyed, stored(counts, "shingle-counts"), "h", keyed.count())
+    return stored(found.filter("_n IS NOT NULL").withColumnRenamed("_n", "n"), "shared-shingles")
 
-def similar_pairs(docs: DataFrame, signed: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) of nodes: all whose sets are at least as similar."""
+
+def _enough(common: Column, size_a: Column, size_b: Column, similar: tuple[int, int]) -> Column:
+    num, den = similar
+    return common * (num + den) >= num * (size_a + size_b)
+
+
+def proposed(nodes: DataFrame, shared: DataFrame, radius: int, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes that are likely links; three for each node at most."""
     num, den = similar
-    keyed = signed.select("fp", "size", F.posexplode("prefix").alias("at", "h")).repartition("h").dropDuplicates(["h", "fp"])
-    shared = stored(keyed.withColumn("n", F.count("*").over(Window.partitionBy("h"))).filter("n > 1").drop("n"), "shared-shingles")
-    a, b = (shared.select("h", *[F.col(c).alias(f"{c}_{x}") for c in ("fp", "size", "at")]) for x in "ab")
-    enough = lambda n: n * (num + den) >= num * (F.col("size_a") + F.col("size_b"))
-    ordered = F.struct("size_a", "fp_a") < F.struct("size_b", "fp_b")
-    close = a.join(b.hint("merge"), "h").filter(ordered & (den * F.col("size_a") >= num * F.col("size_b")))
-    common = close.groupBy("fp_a", "size_a", "fp_b", "size_b").agg(F.count("*").alias("n"), F.max("at_a").alias("at_a"), F.max("at_b").alias("at_b"))
+    one = nodes.groupBy("bits").agg(F.min("fp").alias("first"))
+    same = nodes.join(one, "bits").select(F.col("fp").alias("a"), F.col("first").alias("b"))
+    forest_ = links(one.select(F.col("bits").alias("fp")), radius)
+    firsts = [one.select(F.col("bits").alias(x), F.col("first").alias(f"_{x}")) for x in "ab"]
+    sliced = forest_.join(firsts[0], "a").join(firsts[1], "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+    # A text from which others were edited has few shingles that nobody shares; such a node leads, or one by chance.
+    own = shared.groupBy("fp").agg(F.count("*").alias("_shared"))
+    lone = shared.join(nodes.join(own, "fp").select("fp", (F.size("prefix") - F.col("_shared")).alias("lone")), "fp")
+    node = F.struct("fp", "size", "bits")
+    leaders = lone.groupBy("h").agg(F.min(F.struct("lone", F.xxhash64("fp").alias("by"), node.alias("node")))["node"].alias("base"), F.min(F.struct(F.xxhash64("fp").alias("by"), node.alias("node")))["node"].alias("any"), F.count("*").alias("n"))
+    met = hot_join(shared.drop("n"), stored(leaders, "leaders"), "h", shared.count())
+    met = met.select("fp", "size", "bits", F.posexplode(F.array("base", "any")).alias("kind", "x"))
+    far = F.bit_count(F.col("bits").bitwiseXOR(F.col("x.bits")))
+    fits = (F.col("fp") != F.col("x.fp")) & (den * F.least("size", F.col("x.size")) >= num * F.greatest("size", F.col("x.size")))
+    nearest = met.filter(fits & (far <= NEAR)).groupBy("fp", "kind").agg(F.min(F.struct(far.alias("far"), F.col("x.fp").alias("to"))).alias("best"))
+    led = nearest.select(F.col("fp").alias("a"), F.col("best.to").alias("b"))
+    every = same.unionByName(sliced).unionByName(led).filter("a <> b")
+    return stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
+
+
+def remaining(shared: DataFrame, linked: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that may be similar: no link between components is missing here."""
+    num, den = similar
+    rooted = shared.drop("n").join(linked.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = stored(rooted, "rooted")
+    of_root = rooted.groupBy("h", "root").agg(F.count("*").alias("n"))
+    main = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    open_ = stored(hot_join(rooted, stored(main, "main-roots"), "h", rooted.count()).filter("main IS NOT NULL"), "open-shingles")
+    side = lambda rows, x: rows.select("h", F.struct("size", "fp", "at").alias(x), F.col("root").alias(f"root_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}"))
+    few, every = side(open_.filter("root <> main"), "x"), side(open_, "y")
+    met = few.join(every.hint("merge"), "h").filter((F.col("root_x") != F.col("root_y")) & (F.col("main_y") | (F.col("x.fp") < F.col("y.fp"))) & (den * F.least("x.size", "y.size") >= num * F.greatest("x.size", "y.size")))
+    pair = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    common = pair.groupBy(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("fp", "size")]).agg(F.count("*").alias("n"), F.max("a.at").alias("at_a"), F.max("b.at").alias("at_b"))
     # What both sets can share at most: the common shingles that both prefixes show, and none between the last of them and the
     # end of the prefix that ends first; the rest of one set is what lies behind its prefix.
     behind = F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
     rest = lambda c: F.expr(f"({c} * {num} + {den - 1}) div {den} - 1")
     most = F.col("n") + F.least(behind, F.greatest(rest("size_a"), rest("size_b")))
-    pairs = stored(common.filter(enough(most)).select("fp_a", "size_a", "fp_b", "size_b"), "candidates")
+    return stored(common.filter(_enough(most, F.col("size_a"), F.col("size_b"), similar)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), "remaining")
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:
+    """The pairs whose sets are similar. Only texts that a filter of bounded size takes for candidates move."""
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(t, shingle) for t in texts(b)]
         return pa.RecordBatch.from_pydict({"fp": pa.array(np.array([_node(h) for h in sets], np.uint64).view(np.int64), pa.int64()), "hashes": _lists(sets)})
 
-    nodes = stored(pairs.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct(), "candidate-nodes")
-    one = stored(signed.select("doc_id", "fp").join(nodes, "fp", "left_semi").groupBy("fp").agg(F.min("doc_id").alias("_one")).select("_one").distinct(), "candidate-documents")
-    one = one.hint("broadcast" if one.count() <= BROADCAST else "merge")
-    chosen = docs.select("doc_id", "text").join(one, F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
-    sets = stored(map_rows(chosen.select("doc_id", "text"), work, "fp long, hashes array<long>", 64).join(nodes, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
-    left, right = (sets.select(F.col("fp").alias(f"fp_{x}"), F.col("hashes").alias(f"hashes_{x}")).hint("merge") for x in "ab")
-    both = pairs.join(left, "fp_a").join(right, "fp_b")
-    return both.filter(enough(F.size(F.array_intersect("hashes_a", "hashes_b")))).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    wanted = stored(pairs.select(F.explode(F.array("a", "b")).alias("fp")).distinct(), "candidate-nodes")
+    ids = stored(nodes.join(wanted, "fp", "left_semi").select(F.col("least").alias("_one")).distinct(), "candidate-documents")
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    maybe, _ = key_filter.split(docs.select("doc_id", "text"), key("doc_id"), key_filter.build(ids, key("_one")))
+    chosen = maybe.join(ids.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_one")), "left_semi")
+    sets = stored(map_rows(chosen.select("doc_id", "text"), work, "fp long, hashes array<long>", 64).join(wanted, "fp", "left_semi").dropDuplicates(["fp"]), "sets")
+    left, right = (sets.select(F.col("fp").alias(x), F.col("hashes").alias(f"_{x}")).hint("merge") for x in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return stored(both.filter(_enough(F.size(F.array_intersect("_a", "_b")), F.size("_a"), F.size("_b"), similar)).select("a", "b"), "similar")
 
 
-def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """Per row: doc_id, component_id: the least doc_id that chains of texts with similar shingle sets reach."""
     signed = stored(prefixes(docs, shingle, similar, frequent_shingles(docs, shingle)), "prefixes")
-    nodes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    edges = stored(similar_pairs(docs, signed, shingle, similar), "similar")
-    return _told(signed.select("doc_id", "fp"), nodes, edges).select("doc_id", "component_id")
+    first = lambda c: F.any_value(c).alias(c)
+    nodes = stored(signed.groupBy("fp").agg(F.min("doc_id").alias("least"), first("size"), first("bits"), first("prefix")), "nodes")
+    shared = shared_shingles(nodes)
+    some = verified(docs, nodes, proposed(nodes, shared, radius, similar), shingle, similar)
+    rest = verified(docs, nodes, remaining(shared, components(some), similar), shingle, similar)
+    return _told(signed.select("doc_id", "fp"), nodes.select("fp", "least"), some.unionByName(rest)).select("doc_id", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: tuple[int, int] = SIMILAR) -> DataFrame:
+def drop_near_copies(docs: DataFrame, shingle: int = COPY_SHINGLE, similar: tuple[int, int] = SIMILAR, radius: int = RADIUS) -> DataFrame:
     """The input's rows without the documents whose component has a smaller doc_id; all columns stay as they are.
 
-    A doc_id that several rows share is dropped only if all of them are; a null doc_id always stays.
+    A doc_id that several rows share is dropped only if all of them are; a null doc_id always stays. Only rows whose doc_id the
+    filter of dropped ones knows move.
     """
-    said = near_copies(docs, shingle, similar)
-    gone = said.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias("_gone"))
-    # always by shuffle: rows lie evenly by doc_id, and the list of dropped documents grows with the input
-    return docs.join(stored(gone, "near-copies").hint("merge"), F.col("_gone") == docs["doc_id"], "left_anti")
+    said = near_copies(docs, shingle, similar, radius)
+    gone = stored(said.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("gone")).filter("gone").select(F.col("doc_id").alias("_gone")), "near-copies")
+    known = key_filter.build(gone, F.col("_gone"))
+    maybe, alone = key_filter.split(docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_id")), F.col("_id"), known)
+    kept = maybe.join(gone.hint("merge"), F.col("_id") == F.col("_gone"), "left_anti")
+    return alone.select("_row.*").unionByName(kept.select("_row.*"))
