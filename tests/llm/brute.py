@@ -94,3 +94,24 @@ def near(rows: list[tuple[int, str | None]]) -> dict[int, tuple[str, int]]:
     for f, ids in by.items():
         least[find(f)] = min(least.get(find(f), 1 << 62), *ids)
     return {i: (f"{f:016x}", least[find(f)]) for i, f in fps.items()}
+
+
+def similar_pairs(rows: list[tuple[int, str | None]], shingle: int = 5) -> list[tuple[int, int]]:
+    """Pairs of ids whose sets of word shingles have a Jaccard similarity of 0.8 or more."""
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} or {tuple(w)}
+    return [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def similar(rows: list[tuple[int, str | None]]) -> dict[int, int]:
+    """Each id's smallest id that chains of similar texts reach."""
+    least = {i: i for i, _ in rows}
+    pairs = similar_pairs(rows)
+    while True:
+        before = dict(least)
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+        if least == before:
+            return least

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from marketloom.llm import automaton_codec, exact_dedup, packing, pii, pu_quality, quality_rules, secret_scan, simhash, token_counts, warc
@@ -174,16 +175,140 @@ def test_drop_near_copies_finds_all_similar_texts(spark):
     texts += [boiler + rng.choices(words, k=n) for n in (1, 2, 5, 9, 15, 60)]
     rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
     rng.shuffle(rows)
-    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for i, w in ((i, t.split()) for i, t in rows)}
-    least = {i: i for i in sets}
-    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
-    for _ in sets:
-        for a, b in pairs:
-            least[a] = least[b] = min(least[a], least[b])
+    pairs, least = brute.similar_pairs(rows), brute.similar(rows)
     far = [(a, b) for a, b in pairs if (brute.fingerprint(" ".join(texts[a])) ^ brute.fingerprint(" ".join(texts[b]))).bit_count() > 2]
     assert len(far) > 5
     assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()} == least
-    assert {r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).collect()} == {i for i in sets if least[i] == i}
+    assert {r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).collect()} == {i for i in least if least[i] == i}
+
+
+def test_near_copies_of_one_text_are_not_paired_with_each_other(spark):
+    """A group of edited copies that are similar to their source but hardly to each other, among texts that share a passage."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    base, passage = rng.choices(words, k=120), rng.choices(words, k=60)
+    texts = [base]
+    for _ in range(60):
+        new = list(base)
+        for at in rng.sample(range(120), 2):
+            new[at] = rng.choice(words)
+        texts.append(new)
+    texts += [passage + rng.choices(words, k=rng.choice((10, 25, 80))) for _ in range(40)]
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    rng.shuffle(rows)
+    docs = frame(spark, rows)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(docs).collect()} == brute.similar(rows)
+    signed = simhash.prefixes(docs, 5, simhash.SIMILAR, simhash.frequent_shingles(docs, 5))
+    nodes = signed.withColumnRenamed("doc_id", "least")
+    shared = simhash.shared_shingles(nodes)
+    some = simhash.verified(docs, nodes, simhash.proposed(nodes, shared, 2, simhash.SIMILAR), 5, simhash.SIMILAR)
+    assert some.count() <= 3 * len(rows)
+    assert simhash.remaining(shared, simhash.components(some), simhash.SIMILAR).count() < 61 * 60 / 8
+
+
+def test_exact_survives_levels_and_full_filters(docs):
+    """Many levels of two runs each, and filters that let every row pass."""
+    want = say(exact_dedup.exact_duplicates(docs).collect())
+    many = docs.repartition(9)
+    for fan, words, bits in ((2, 1, 64), (2, 1 << 20, 2), (64, 1, 0)):
+        assert say(exact_dedup.exact_duplicates(many, bits, fan, words).collect()) == want
+    kept = say([(r.doc_id, r.text) for r in exact_dedup.drop_copies(many, 1, 2, 1).collect()])
+    norm = lambda t: brute.SPACE.sub(" ", t or "")
+    assert sorted(norm(eval(x)[1]) for x in kept) == sorted({norm(t) for _, t in TEXTS})
+
+
+def test_linking_against_all_pairs(spark):
+    """Weak spans apart from each other, parts that nest and overlap in any way."""
+    rng = random.Random(8)
+    rows = []
+    for k in range(120):
+        at, weak = 0, []
+        for _ in range(rng.randrange(6)):
+            at += rng.randrange(1, 60)
+            weak.append((at, at := at + rng.randrange(1, 20)))
+        parts = sorted((s, s + rng.randrange(1, 200)) for s in (rng.randrange(300) for _ in range(rng.randrange(6))))
+        rows.append((k, weak, parts))
+    kind = "array<struct<s:int,e:int>>"
+    got = spark.createDataFrame(rows, f"k int, weak {kind}, parts {kind}").select("k", secret_scan.linked(F.col("weak"), F.col("parts"), 30).alias("told"))
+    told = {r.k: r.told for r in got.collect()}
+    for k, weak, parts in rows:
+        want = [any(0 <= s - e2 <= 30 or 0 <= s2 - e <= 30 for s2, e2 in parts) for s, e in weak]
+        assert told[k] == want, (weak, parts)
+
+
+def test_no_candidate_vouches_for_itself(spark):
+    key = "AKIA" + "ABCDEFGHIJKLMNOP"
+    rows = [(0, 'token: "s3.eu.amazonaws.com"'), (1, "token=ASIA" + "B" * 16), (2, f"secret={key}/" + "x" * 400 + " s3.amazonaws.com"), (3, "token=ASIA" + "B" * 16 + " password=abcdefgh")]
+    got = {r.doc_id: r for r in secret_scan.secrets(frame(spark, rows)).collect()}
+    assert [got[k].n_linked for k in range(4)] == [0, 0, 1, 1]
+
+
+def test_prefix_tables(docs):
+    few = docs.filter("doc_id IS NULL OR doc_id <> 4")
+    tables = token_counts.prefix_tables(few)
+    want = {}
+    c = token_counts.counter(token_counts.bpe.vocabulary(token_counts.VOCABULARY))
+    got = say([(r.doc_id, list(r.counts)) for r in tables.collect()])
+    assert got == say([(i, [c.count((t or "")[:k]) for k in range(len(t or "") + 1)]) for i, t in TEXTS if i != 4])
+    for limit in (0, 3, 40):
+        cut = say([tuple(r) for r in token_counts.cut_to(tables, limit).collect()])
+        want = [(i, n := max(k for k in range(len(t or "") + 1) if c.count((t or "")[:k]) <= limit), c.count((t or "")[:n])) for i, t in TEXTS if i != 4]
+        assert cut == say(want)
+    assert token_counts.prefix_tables(docs.limit(0)).collect() == []
+
+
+def test_packing_buckets(docs, tmp_path, spark):
+    """Sequences are numbered without gaps from the longest, alike however the table is split; rows are laid out by bucket."""
+    a, b = packing.pack(docs.repartition(7)), packing.pack(docs.coalesce(1))
+    rows = sorted(a.collect(), key=lambda r: r.sequence_id)
+    assert say(map(tuple, rows)) == say(map(tuple, b.collect()))
+    assert [r.sequence_id for r in rows] == list(range(len(rows)))
+    assert [r.length for r in rows] == sorted((r.length for r in rows), reverse=True)
+    packing.write_buckets(a, str(tmp_path / "out"))
+    assert {int(p.name.split("=")[1]) for p in (tmp_path / "out").glob("bucket=*")} == {r.length.bit_length() - 1 for r in rows}
+    assert spark.read.parquet(str(tmp_path / "out")).count() == len(rows)
+
+
+def test_warc_records_refer_to_each_other(spark, tmp_path):
+    same = "s" * 200
+    rows = [(5, "u", same), (2, "v", same), (2, "v", same), (7, "w", same + "x"), (9, "w", same + "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(pages, f"file://{tmp_path}/a")
+    ids, refers = [], []
+    for r in manifest.collect():
+        with open(r.path.removeprefix("file://"), "rb") as f:
+            for h, _ in warc.read_records(f):
+                (ids if h["warc-type"] == "response" else refers).append(h.get("warc-refers-to") or h["warc-record-id"])
+    assert len(set(ids)) == len(ids) == 3 and len(refers) == 2
+    assert refers[0] in ids or refers[1] in ids
+    read = {(r.page, r.kind): r for r in warc.read_pages(manifest).collect()}
+    assert read["5", "revisit"].payload_bytes == 200 and read["9", "revisit"].payload_digest == hashlib.sha256((same + "x").encode()).hexdigest()
+    lost = warc.resolve(spark.createDataFrame([("1", None, "revisit", "2", "d", None, None, "urn:marketloom:page:2:d", None, None, None, None)], warc.READ)).collect()
+    assert len(lost) == 1 and "missing" in lost[0].error
+
+
+def test_warc_passes_over_what_it_cannot_read(spark, tmp_path):
+    member = lambda b: (z := zlib.compressobj(1, zlib.DEFLATED, 31)).compress(b) + z.flush()
+    good = [next(warc.records_of(k, "u", b"abc" * 9, hashlib.sha256(b"abc" * 9).hexdigest(), None, f"0-{k}")) for k in range(7)]
+    no_length = good[0].replace(b"Content-Length", b"Content-Lenght")
+    bad_number = warc.record([("WARC-Type", "continuation"), ("WARC-Segment-Number", "two"), ("WARC-Segment-Origin-ID", "x")], b"y")
+    broken = bytearray(member(good[0]))
+    broken[30] ^= 0xFF
+    cut = member(good[0])[:-20]
+    parts = [member(good[1]), member(b"junk" * 50), member(good[2]), member(no_length), member(good[3]), member(good[0][:-30]), member(bad_number), member(good[4] + good[5]), bytes(broken), member(good[6]), cut]
+    path = tmp_path / "x.warc.gz"
+    path.write_bytes(b"".join(parts))
+    got = warc.read_pages(spark.createDataFrame([(f"file://{path}",)], "path string")).collect()
+    assert {r.page for r in got if r.error is None} == {str(k) for k in range(1, 7)}
+    assert len([r for r in got if r.error is not None]) >= 6
+
+
+def test_redact_and_pipeline_on_empty_tables(spark, tmp_path, docs, labels):
+    assert pii.redact(docs.limit(0)).collect() == []
+    src = "/root/testdata/sf0.001"
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{src}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
 
 
 def test_packing(docs):
@@ -232,7 +357,7 @@ def test_warc_reports_broken_segments(spark):
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"abc" * 5000)
     cut = [block[k : k + 4000] for k in range(0, len(block), 4000)]
     def rows(origin, parts, total):
-        return [("1", None, "response" if n == 1 else "continuation", None, None, None, origin, n, total if n == len(cut) else None, bytearray(b), None) for n, b in parts]
+        return [("1", None, "response" if n == 1 else "continuation", None, None, None, origin, origin, n, total if n == len(cut) else None, bytearray(b), None) for n, b in parts]
     good = list(enumerate(cut, 1))
     data = rows("a", good[::-1], len(block)) + rows("b", good[:1] + good[2:], len(block)) + rows("c", good, len(block) + 1)
     got = {r.origin: r for r in warc.reassemble(spark.createDataFrame(data, warc.READ)).collect()}
@@ -252,8 +377,8 @@ def test_pipeline(spark, tmp_path):
     assert sum(labels.get(i) == 1 for i in dropped) <= 2  # of some eighty, learned from as few
     said = brute.exact(rows)
     rows = [(i, t) for i, t in rows if said[i][2]]
-    near = brute.near(rows)
-    rows = {i: pii.redacted(t or "") for i, t in rows if near[i][1] == i}
+    near = brute.similar(rows)
+    rows = {i: pii.redacted(t or "") for i, t in rows if near[i] == i}
     done = corpus_pipeline.run(spark, src).collect()
     assert {r.doc_id for r in done} == set(rows)
     e = packing.encoder(packing.place(packing.VOCABULARY))

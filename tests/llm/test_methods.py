@@ -51,8 +51,7 @@ def test_automaton_is_bpe(v, words):
     for w in words:
         want = [vocab[p.decode()] for p in by_merges(w.encode(), ranks)]
         assert a.encode_word(w) == want
-        _, count = a.prefixes(w)
-        assert count == [0] + [len(by_merges(w[:k].encode(), ranks)) for k in range(1, len(w) + 1)]
+        assert a.prefixes(w) == [0] + [len(by_merges(w[:k].encode(), ranks)) for k in range(1, len(w) + 1)]
         assert a.decode(want) == w
 
 
@@ -109,6 +108,19 @@ def test_deobfuscation_maps_back():
         assert found(clean) == []
 
 
+def test_spelled_digits_keep_their_own_places():
+    one, two = "plus one two three four five five five zero one two three", "plus four four two zero seven nine four six zero nine five eight"
+    assert found(f"call {one} {two} now") == [("phone", one), ("phone", two)]
+    assert found(f"call {one}, {two} now") == [("phone", one), ("phone", two)]
+    assert found(f"one two three {two}") == [("phone", two)]
+    assert found("host one nine two dot one six eight dot zero dot one is up") == [("ip", "one nine two dot one six eight dot zero dot one")]
+    assert found("host one.two.three.four is up") == [("ip", "one.two.three.four")]
+    card = "four one one one one one one one one one one one one one one one"
+    assert found(f"pay by {card} today") == [("card", card)]
+    m = pii.spelled_digits(("a one two three", list(range(15)), list(range(1, 16))))
+    assert m[0] == "a 123" and [(a, b) for a, b in zip(m[1][2:], m[2][2:], strict=True)] == [(2, 5), (6, 9), (10, 15)]
+
+
 def test_fragments_in_the_text_do_not_hide_whole_identifiers():
     for text, whole in (
         ("to jоhn.smith@example.com now", "jоhn.smith@example.com"),  # Cyrillic o: the text as it is shows hn.smith@example.com
