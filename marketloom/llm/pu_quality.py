@@ -1,19 +1,24 @@
 """Quality classifier by positive-unlabelled learning (operator 5).
 
-Trusted positives are documents labelled 1; the unlabelled text is a sample of the corpus itself, whatever its labels. With
-the class prior pi estimated from the labels, the non-negative risk
+Trusted positives are documents labelled 1; the unlabelled text is a sample of the corpus itself, whatever its labels. No
+document labelled 0 is ever used as such. With the class prior pi, the non-negative risk
 
     pi * E_p[l(f)] + max(0, E_u[l(-f)] - pi * E_p[l(-f)])
 
 is minimised by mini-batches of Adam; where the second part turns negative, the step goes up its gradient instead, which keeps
-the model from fitting the unlabelled sample too closely. The model is linear over text statistics and byte frequencies.
-A one-dimensional logistic calibration on labelled training rows turns its output into a probability.
+the model from fitting the unlabelled sample too closely. The model is linear over text statistics and byte frequencies, and
+with the logistic loss its output is the log-odds of a positive.
+
+The prior comes from the same two samples. Whatever part of the texts one looks at, the unlabelled sample has at least pi times
+as much of it as the positives have, so that the ratio of the two shares bounds pi from above. A first model, fitted on one half
+of both samples, orders the other half, and the bin of highest scores with the least upper confidence bound on that ratio gives
+an estimate (best-bin estimation); the least of ``SPLITS`` splits, both halves in turn, is the tightest bound.
 
 Everything is fitted on bounded samples (``SAMPLE`` rows each) outside the held-out fold; scores cover all rows.
 
 Defined results: null and empty texts get the score of their (empty) features; repeated rows are scored row by row; a null
-doc_id is never held out and never learned from; without positives every score is the prior 0.5; an empty table gives an
-empty table; labels, lang, source and doc_id never enter a score; long texts are read whole.
+doc_id is never held out and never learned from, nor is a doc_id with labels that differ; without positives every score is
+0.5, and below ``LEAST`` rows of either sample the prior is taken as 0.5; an empty table gives an empty table; labels, lang, source and doc_id never enter a score; long texts are read whole.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ from pyspark.sql import types as T
 
 from .common import held_out_column, map_rows, texts
 from .document_stats import NAMES, statistics
-from .training import bounded, label_is, learnable, samples
+from .training import agreed, bounded, label_is, learnable, samples
 
 SAMPLE = 6_000
 PREDICT = 0.3
 EPOCHS, BATCH, RATE, DECAY, SMOOTH = 30, 512, 0.02, 1e-4, 40
+SPLITS, FIRST_PRIORS, LEAST, DELTA = 3, (0.5, 0.7), 20, 0.1
 SHARES = [n for n in NAMES if n not in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
 _AT = [NAMES.index(n) for n in SHARES]
 #: Letters are folded by case and other bytes kept, so that no single language has features of its own beyond its letters.
@@ -52,14 +58,12 @@ class Scorer:
     scale: np.ndarray
     weight: np.ndarray
     bias: float
-    slope: float = 1.0
-    shift: float = 0.0
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         return np.clip((x - self.mean) / self.scale, -6, 6) @ self.weight + self.bias
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.margin(x) + self.shift, -35, 35)))
+        return _sigmoid(self.margin(x))
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -92,40 +96,33 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int
     return Scorer(mean, scale, w[:-1], float(w[-1]))
 
 
-def calibrate(model: Scorer, x: np.ndarray, y: np.ndarray) -> Scorer:
-    """Slope and shift of the margin by Newton's method on the logistic loss with a small ridge; the slope stays positive."""
-    if len(set(y.tolist())) < 2:
-        return model
-    z = model.margin(x)
-    a, b = 1.0, 0.0
-    design = np.c_[z, np.ones(len(z))]
-    for _ in range(50):
-        q = _sigmoid(a * z + b)
-        g = design.T @ (q - y) + 1e-2 * np.array([a - 1, 0])
-        h = design.T @ (design * (q * (1 - q))[:, None]) + 1e-2 * np.eye(2)
-        d = np.linalg.solve(h, g)
-        a, b = max(a - d[0], 1e-3), b - d[1]
-        if np.abs(d).max() < 1e-8:
-            break
-    model.slope, model.shift = float(a), float(b)
-    return model
-
-
-def estimated_prior(labels: DataFrame) -> float:
-    """Share of label 1 among the labelled rows outside the held-out fold, kept away from 0 and 1."""
-    known = learnable(labels).filter("quality IN (0, 1)")
-    share = known.agg(F.avg(F.col("quality").cast("double"))).first()[0]
-    return float(np.clip(0.5 if share is None else share, 0.05, 0.95))
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray, delta: float = DELTA) -> float:
+    """The share of positives among unlabelled scores, from the bin of highest scores that bounds it best."""
+    cuts = np.unique(np.concatenate([positive, unlabelled]))
+    of_p, of_u = (1 - np.searchsorted(np.sort(x), cuts) / len(x) for x in (positive, unlabelled))
+    slack = np.sqrt(np.log(4 / delta) / 2) * (len(positive) ** -0.5 + len(unlabelled) ** -0.5)
+    there = of_p > 0
+    k = np.argmin((of_u[there] + slack) / of_p[there])
+    return float(of_u[there][k] / of_p[there][k])
+
+
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, splits: int = SPLITS, seed: int = 11) -> float:
+    """The class prior of the unlabelled sample, kept away from 0 and 1."""
+    if min(len(positive), len(unlabelled)) < LEAST:
+        return 0.5
+    rng, found = np.random.default_rng(seed), []
+    for _ in range(splits):
+        p, u = rng.permutation(len(positive)), rng.permutation(len(unlabelled))
+        for half in (0, 1):
+            for first in FIRST_PRIORS:
+                model = fit(positive[p[half::2]], unlabelled[u[half::2]], first, EPOCHS // 2)
+                found.append(best_bin(model.margin(positive[p[1 - half :: 2]]), model.margin(unlabelled[u[1 - half :: 2]])))
+    return float(np.clip(min(found), 0.05, 0.95))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer | None:
-    known = learnable(labels).filter("quality IN (0, 1)")
-    roles = {
-        "positive": bounded(known.filter(label_is(1)), most),
-        "unlabelled": bounded(learnable(docs), most),
-        "known0": bounded(known.filter(label_is(0)), most // 2),
-        "known1": bounded(known.filter(label_is(1)), most),
-    }
+    """The model of two bounded samples: positives, and texts whatever their labels."""
+    roles = {"positive": bounded(agreed(labels).filter(label_is(1)), most), "unlabelled": bounded(learnable(docs), most)}
 
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         x = [features(t) for t in texts(b)]
@@ -134,15 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer | No
     got = map_rows(samples(docs, roles), work, "roles array<string>, x array<float>").toArrow()
     roles_of = got.column("roles").to_pylist()
     x = np.array(got.column("x").to_pylist(), np.float32).reshape(-1, WIDTH)
-    order = np.lexsort(x.T[:40]) if len(x) else np.array([], int)
+    order = np.lexsort(x.T[:40]) if len(x) else np.array([], int)  # the same model whatever order the rows came in
     x, roles_of = x[order], [roles_of[k] for k in order]
-    has = lambda r: np.array([r in s for s in roles_of], bool)
-    positive, unlabelled = x[has("positive")] if len(x) else x, x[has("unlabelled")] if len(x) else x
+    positive, unlabelled = (x[np.array([r in s for s in roles_of], bool)] for r in ("positive", "unlabelled"))
     if not len(positive) or not len(unlabelled):
         return None
-    model = fit(positive, unlabelled, estimated_prior(labels))
-    zero, one = x[has("known0")], x[has("known1")]
-    return calibrate(model, np.concatenate([zero, one]), np.r_[np.zeros(len(zero)), np.ones(len(one))])
+    return fit(positive, unlabelled, estimated_prior(positive, unlabelled))
 
 
 def _scores(model: Scorer | None, all_texts: list[str]) -> np.ndarray:

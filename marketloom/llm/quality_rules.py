@@ -8,7 +8,7 @@ value further down, so more symbols, repeats or shouting can never raise a score
 The model is fitted on at most ``SAMPLE`` labelled rows outside the held-out fold; statistics and verdicts cover all rows.
 
 Defined results: null and empty texts have no words and fail the base rule; repeated rows are judged row by row; labels that
-are null or have no document are not learned from; without labels of both kinds the verdict is the base rule's; an empty table
+are null, differ for one doc_id or have no document are not learned from; without labels of both kinds the verdict is the base rule's; an empty table
 gives an empty table; other columns are not read; long texts are read whole.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, texts
 from .document_stats import NAMES, statistics
-from .training import bounded, label_is, learnable, samples
+from .training import agreed, bounded, label_is, samples
 
 SAMPLE = 12_000
 TREES, DEPTH, RATE, BINS, L2 = 40, 3, 0.2, 48, 2.0
@@ -120,7 +120,7 @@ def fit(x: np.ndarray, y: np.ndarray, signs: np.ndarray, trees: int = TREES, dep
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Forest | None:
     """Fit on a bounded sample of labelled rows outside the held-out fold."""
-    known = learnable(labels).filter("quality IN (0, 1)")
+    known = agreed(labels)
     # each kind of label gets its share of the bound at least
     roles = {"0": bounded(known.filter(label_is(0)), most // 4), "1": bounded(known.filter(label_is(1)), most - most // 4)}
 

@@ -385,3 +385,14 @@ def test_pipeline(spark, tmp_path):
     for r in done:
         ids = e.encode(rows[r.doc_id]) + (1).to_bytes(4, "little")
         assert r.doc_tokens == len(ids) // 4 and zlib.crc32(ids[4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32
+
+
+def test_samples_are_bounded_in_rows(spark, labels):
+    """Rows that repeat a sampled doc_id go to no sample twice, and labels that differ aren't learned from."""
+    from marketloom.llm import training
+
+    docs = frame(spark, [(1, f"text {k}") for k in range(50)] + [(2, None), (3, "x")])
+    rows = training.samples(docs, {"a": spark.createDataFrame([(1,), (2,)], "doc_id long"), "b": spark.createDataFrame([(1,)], "doc_id long")}).collect()
+    assert say([(r.doc_id, r.text, sorted(r.roles)) for r in rows]) == say([(1, "text 0", ["a", "b"]), (2, None, ["a"])])
+    both = spark.createDataFrame([(21, 1), (21, 0), (22, 1), (22, 1), (24, None)], "doc_id long, quality int")
+    assert [tuple(r) for r in training.agreed(both).collect()] == [(22, 1)]

@@ -167,3 +167,12 @@ def test_positive_unlabelled_risk():
     unlabelled = np.concatenate([good[2000:3400], bad[:600]])
     model = pu_quality.fit(good[:2000].astype(np.float32), unlabelled.astype(np.float32), 0.7)
     assert (model.margin(good[3400:]) > 0).mean() > 0.9 and (model.margin(bad[600:]) < 0).mean() > 0.9
+
+
+def test_class_prior_without_negatives():
+    rng = np.random.default_rng(2)
+    for share in (0.3, 0.6, 0.9):
+        n = int(4000 * share)
+        good, bad = rng.normal(1.5, 1, (3000 + n, 4)).astype(np.float32), rng.normal(-1.5, 1, (4000 - n, 4)).astype(np.float32)
+        assert abs(pu_quality.estimated_prior(good[:3000], np.concatenate([good[3000:], bad])) - share) < 0.05
+    assert pu_quality.estimated_prior(good[:5], good) == 0.5
