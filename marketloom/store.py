@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir where it is set.
 
-    A local session that has none (tests) gets a temporary folder of its own.
+    A local session that has none (tests) gets a temporary folder of its own; on a cluster, whose machines don't share such a
+    folder, that is an error.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("marketloom.shared.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         base = tempfile.mkdtemp(prefix="marketloom-")
         spark.conf.set("marketloom.shared.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -50,19 +54,43 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(schema).parquet(path)
 
 
-_kept: dict[tuple[str, str, str], DataFrame] = {}
+_kept: dict[tuple[str, str, str], tuple[str, str, DataFrame]] = {}
+
+
+def version(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of what lies in a folder, two levels deep: it changes when a table is written anew."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = []
+    for s in files.listStatus(path):
+        below = files.listStatus(s.getPath()) if s.isDirectory() else []
+        out.append((s.getPath().getName(), s.getLen(), s.getModificationTime(), tuple(sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in below))))
+    return repr(sorted(out))
 
 
 def kept(name: str):
-    """Store what a builder (spark, sf_dir) returns once in an application: many studies start from the same bars."""
+    """Store what a builder (spark, sf_dir) returns once in an application: many studies start from the same bars.
+
+    A table is made anew when its source folder has changed since.
+    """
 
     def wrap(build):
         def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-            key = (spark.sparkContext.applicationId, sf_dir, name)
-            if key not in _kept:
-                _kept[key] = stored(build(spark, sf_dir), name)
-            return _kept[key]
+            key, now = (spark.sparkContext.applicationId, sf_dir, name), version(spark, sf_dir)
+            if key not in _kept or _kept[key][0] != now:
+                made = stored(build(spark, sf_dir), name)
+                _kept[key] = (now, made.inputFiles()[0].rsplit("/", 1)[0] if made.inputFiles() else "", made)
+            return _kept[key][2]
 
         return get
 
     return wrap
+
+
+def release(spark: SparkSession) -> None:
+    """Forget the application's kept tables and delete their files."""
+    own = spark.sparkContext.applicationId
+    for key in [k for k in _kept if k[0] == own]:
+        _, path, _ = _kept.pop(key)
+        if path:
+            _delete(spark, path)
