@@ -6,10 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 
 UNIVERSE = "ticker string, yahoo_symbol string, sector string"
 PRICES = "symbol string, date date, open double, high double, low double, close double, adj_close double, volume bigint, source string, download_timestamp timestamp"
-NUMERIC_FUNDAMENTALS = ("revenue", "gross_profit", "operating_profit", "net_income", "net_interest_income", "total_assets", "total_liabilities", "total_equity", "total_debt", "operating_cash_flow", "free_cash_flow", "ebitda")
-FUNDAMENTALS = "ticker string, period_end string, period_type string, disclosure_timestamp string, download_timestamp string, source string, source_url string, currency string, " + ", ".join(f"{c} string" for c in NUMERIC_FUNDAMENTALS)
-CONTEXT_TEXT = ("context_id", "context_type", "indicator_name", "value", "unit", "observed_period_end", "publication_timestamp", "download_timestamp", "source", "source_url", "source_access", "title", "claim", "video_timestamp", "language", "notes")
-CONTEXT = ", ".join(f"{c} string" for c in CONTEXT_TEXT)
+#: The layouts of the fundamentals and context files.
+REQUIRED_FUNDAMENTALS = ("ticker", "period_end", "period_type", "disclosure_timestamp", "download_timestamp", "source")
+NUMERIC_FUNDAMENTALS = (
+    "revenue", "gross_profit", "operating_profit", "net_income", "net_interest_income", "total_assets", "total_liabilities", "total_equity", "total_debt",
+    "cash_and_equivalents", "operating_cash_flow", "free_cash_flow",
+)
+FUNDAMENTALS = (
+    "ticker", "yahoo_symbol", "sector", "metric_profile", "period_end", "period_type", "disclosure_timestamp", "download_timestamp", "source", "currency",
+    *NUMERIC_FUNDAMENTALS,
+)
+REQUIRED_CONTEXT = ("context_id", "context_type", "scope", "observed_period_start", "observed_period_end", "publication_timestamp", "download_timestamp", "source", "source_access")
+CONTEXT = (
+    "context_id", "context_type", "scope", "ticker", "sector", "indicator", "value", "unit", "observed_period_start", "observed_period_end",
+    "publication_timestamp", "download_timestamp", "source", "source_url", "source_access", "title", "claim", "video_timestamp", "notes",
+)
+CONTEXT_TYPES = ("macro", "news", "video")
+SOURCE_ACCESS = ("public", "licensed", "instructor_approved")
+MACRO_INDICATORS = ("usd_try", "eur_try", "tcmb_policy_rate", "tuik_inflation", "fed_policy_rate")
+PERIOD_TYPES = ("quarterly", "annual")
 NEWS = "source_id string, title string, url string, summary string, published_timestamp timestamp, fetched_timestamp timestamp, language string, category string, source_access string, raw_source_url string, content_hash string"
 MATCHED_NEWS = NEWS + ", linked_entities array<string>, matched_terms array<string>"
 ALIASES = "entity_type string, entity_id string, alias string"

@@ -5,20 +5,46 @@ Readers take fixed schemas; bad rows are kept apart with what is wrong with them
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from pathlib import Path
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marketloom import schemas
 from marketloom.functions import text as X
-from marketloom.functions.columns import number
+from marketloom.functions.columns import number, yes
 
-INDICATORS = ("usdtry", "eurtry", "policy_rate", "inflation", "gdp_growth")
 TRUE, FALSE = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
 
 def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+    """A file of a fixed layout. Columns are named by the header, in any order; a file whose header differs is an error."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    return named_csv(spark, path, names).select(*[F.col(n).try_cast(t).alias(n) if t != "string" else F.col(n) for n, t in (x.split() for x in schema.split(", "))])
+
+
+def named_csv(spark: SparkSession, path: str, required: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Text columns by their header names, in any order: the required ones, and those of ``columns`` that are there or missing.
+
+    Spark takes an explicit schema by position, so the header is read first, and every file's header is held against it.
+    Quoted fields may hold line breaks.
+    """
+    reader = lambda: spark.read.option("header", True).option("multiLine", columns is not None).option("escape", '"')
+    names = reader().option("inferSchema", False).csv(path).columns
+    missing = [c for c in required if c not in names]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    raw = reader().schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("enforceSchema", False).csv(path)
+    return raw.select(*[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns or required])
+
+
+def write_header(path: str, columns: Sequence[str]) -> None:
+    """A file of the header alone, to be filled by hand."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(",".join(columns) + "\n", encoding="utf-8")
 
 
 def optional(read, *args) -> DataFrame | None:
@@ -96,28 +122,33 @@ def _filled(c: str) -> Column:
 
 
 def context(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return normalize_context(csv(spark, path, schemas.CONTEXT))
+    return normalize_context(named_csv(spark, path, schemas.REQUIRED_CONTEXT, schemas.CONTEXT))
+
+
+def _text(c: str) -> Column:
+    return F.nullif(F.trim(F.col(c)), F.lit(""))
 
 
 def normalize_context(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Macro, news and video records. Each type has fields of its own that must be there."""
-    rows = raw.withColumns({c: F.lower(F.trim(F.col(c))) for c in ("context_type", "source_access", "indicator_name")})
-    kind = F.col("context_type")
-    value = F.col("value").try_cast("double")
-    spoken = kind.isin("news", "video")
+    """Macro, news and video records. Each type has fields of its own that must be there. Rejected rows stay as they came."""
+    kind, access, value = F.lower(_text("context_type")), F.lower(_text("source_access")), F.trim(F.col("value")).try_cast("double")
+    macro, spoken = kind == "macro", kind.isin("news", "video")
     checks = [
-        *[(~_filled(c), f"{c} is required") for c in ("context_id", "context_type", "source")],
-        (~kind.isin("macro", "news", "video"), "context_type is unknown"),
-        (_date("observed_period_end").isNull(), "observed_period_end is not a date"),
+        *[(~_filled(c), f"{c} is required") for c in ("context_id", "scope", "source")],
+        (~kind.isin(*schemas.CONTEXT_TYPES), "context_type is unknown"),
+        (~access.isin(*schemas.SOURCE_ACCESS), "source_access is unknown"),
+        *[(_date(c).isNull(), f"{c} is not a date") for c in ("observed_period_start", "observed_period_end")],
         *[(_stamp(c).isNull(), f"{c} is not a time stamp") for c in ("publication_timestamp", "download_timestamp")],
         (_filled("value") & value.isNull(), "value is not a number"),
-        ((kind == "macro") & (~F.col("indicator_name").isin(*INDICATORS) | F.col("indicator_name").isNull()), "indicator_name is unknown"),
-        ((kind == "macro") & value.isNull(), "a macro record needs a value"),
-        *[(spoken & ~_filled(c), f"a news or video record needs {c}") for c in ("title", "claim", "source_url")],
-        ((kind == "video") & ~_filled("video_timestamp"), "a video record needs video_timestamp"),
+        (yes(macro) & ~yes(_text("indicator").isin(*schemas.MACRO_INDICATORS)), "indicator is unknown"),
+        (yes(macro) & value.isNull(), "a macro record needs a value"),
+        *[(yes(spoken) & ~_filled(c), f"a news or video record needs {c}") for c in ("title", "claim", "source_url")],
+        (yes(kind == "video") & ~_filled("video_timestamp"), "a video record needs video_timestamp"),
     ]
-    valid, rejected = _checked(rows, checks)
-    return valid.withColumns({"value": value, "observed_period_end": _date("observed_period_end"), "publication_timestamp": _stamp("publication_timestamp"), "download_timestamp": _stamp("download_timestamp")}), rejected
+    valid, rejected = _checked(raw, checks)
+    typed = {"context_type": kind, "source_access": access, "scope": F.lower(_text("scope")), "value": number(value)}
+    typed |= {c: _date(c) for c in ("observed_period_start", "observed_period_end")} | {c: _stamp(c) for c in ("publication_timestamp", "download_timestamp")}
+    return valid.select(*[typed.get(c, _text(c)).alias(c) for c in schemas.CONTEXT]), rejected
 
 
 def known_by(records: DataFrame, decision: str) -> DataFrame:
@@ -126,28 +157,31 @@ def known_by(records: DataFrame, decision: str) -> DataFrame:
 
 
 def fundamentals(spark: SparkSession, path: str, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return normalize_fundamentals(csv(spark, path, schemas.FUNDAMENTALS), members)
+    return normalize_fundamentals(named_csv(spark, path, schemas.REQUIRED_FUNDAMENTALS, schemas.FUNDAMENTALS), members)
 
 
 def normalize_fundamentals(raw: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records of universe members with typed numbers, a metric profile and the default currency."""
-    dim = members.select(F.upper("ticker").alias("ticker"), F.col("yahoo_symbol").alias("symbol"), "sector")
-    rows = raw.withColumn("ticker", F.upper(F.trim("ticker"))).join(F.broadcast(dim), "ticker", "left")
-    rows = rows.withColumn("period_type", F.lower(F.trim("period_type")))
-    numeric = [c for c in schemas.NUMERIC_FUNDAMENTALS if c in raw.columns]
+    """Records of universe members with typed numbers, a metric profile and the default currency. Symbol and sector come from the universe."""
+    dim = members.select(F.col("ticker").alias("_ticker"), F.col("yahoo_symbol").alias("_symbol"), F.col("sector").alias("_sector"))
+    columns = [F.col(c) if c in raw.columns else F.lit(None).cast("string").alias(c) for c in schemas.FUNDAMENTALS]
+    rows = raw.select(*columns).join(dim, F.upper(F.trim("ticker")) == F.col("_ticker"), "left")
+    kind = F.lower(_text("period_type"))
+    numeric = schemas.NUMERIC_FUNDAMENTALS
     checks = [
-        (F.col("symbol").isNull(), "ticker is not in the universe"),
-        (~F.col("period_type").isin("quarterly", "annual") | F.col("period_type").isNull(), "period_type is unknown"),
+        (F.col("_symbol").isNull(), "ticker is not in the universe"),
+        (~kind.isin(*schemas.PERIOD_TYPES), "period_type is unknown"),
         (_date("period_end").isNull(), "period_end is not a date"),
         *[(_stamp(c).isNull(), f"{c} is not a time stamp") for c in ("disclosure_timestamp", "download_timestamp")],
         (~_filled("source"), "source is required"),
-        *[(_filled(c) & F.col(c).try_cast("double").isNull(), f"{c} is not a number") for c in numeric],
+        *[(_filled(c) & F.trim(F.col(c)).try_cast("double").isNull(), f"{c} is not a number") for c in numeric],
     ]
     valid, rejected = _checked(rows, checks)
-    typed = {c: number(F.col(c).try_cast("double")) for c in numeric}
-    bank = F.lower("sector").contains("bank")
-    more = {"period_end": _date("period_end"), "currency": F.when(_filled("currency"), F.upper(F.trim("currency"))).otherwise("TRY") if "currency" in raw.columns else F.lit("TRY"), "metric_profile": F.when(bank, "bank").otherwise("industrial")}
-    return valid.withColumns(typed | more), rejected
+    typed = {
+        "ticker": F.col("_ticker"), "yahoo_symbol": F.col("_symbol"), "sector": F.col("_sector"), "metric_profile": F.when(F.lower("_sector").contains("bank"), "bank").otherwise("industrial"),
+        "period_end": _date("period_end"), "period_type": kind, "disclosure_timestamp": _stamp("disclosure_timestamp"), "download_timestamp": _stamp("download_timestamp"),
+        "currency": F.coalesce(_text("currency"), F.lit("TRY")), **{c: number(F.trim(F.col(c)).try_cast("double")) for c in numeric},
+    }
+    return valid.select(*[typed.get(c, _text(c)).alias(c) for c in schemas.FUNDAMENTALS]), rejected.select(*schemas.FUNDAMENTALS, "errors")
 
 
 def statements(wide: DataFrame, labels: dict[str, tuple[str, ...]], ticker: str = "ticker", label: str = "label") -> DataFrame:
@@ -163,11 +197,39 @@ def statements(wide: DataFrame, labels: dict[str, tuple[str, ...]], ticker: str
     return out.filter(F.coalesce(*labels).isNotNull())
 
 
-def fx_context(rates: DataFrame, downloaded: str) -> DataFrame:
-    """Exchange rates (pair, date, close) as macro records, public from the next morning at 09:00, UTC+3, if downloaded later."""
-    public = F.to_timestamp(F.concat(F.date_format(F.date_add("date", 1), "yyyy-MM-dd"), F.lit("T09:00:00+03:00")))
-    rows = rates.select(F.concat_ws(":", F.lit("macro"), F.lower("pair"), F.col("date").cast("string")).alias("context_id"), F.lit("macro").alias("context_type"), F.lower("pair").alias("indicator_name"), number("close").alias("value"), F.col("date").alias("observed_period_end"), public.alias("publication_timestamp"), F.lit(downloaded).cast("timestamp").alias("download_timestamp"))
-    return rows.filter("publication_timestamp <= download_timestamp AND value IS NOT NULL")
+def _next_morning(day: Column) -> Column:
+    """09:00 of the next day, UTC+3: when what a day's market shows counts as public."""
+    return F.to_timestamp(F.concat(F.date_format(F.date_add(day, 1), "yyyy-MM-dd"), F.lit("T09:00:00+03:00")))
+
+
+def fx_context(rates: DataFrame, downloaded: str, unit: str = "TRY", source: str = "exchange_rates") -> DataFrame:
+    """Exchange rates (indicator, date, close) as macro records; a rate that wasn't public yet at the download is left out."""
+    day, at = F.col("date").cast("date"), F.lit(downloaded).cast("timestamp")
+    rows = rates.select("indicator", day.alias("_day"), number("close").alias("value")).filter("value IS NOT NULL AND _day IS NOT NULL")
+    known = {
+        "context_id": F.concat_ws("-", F.lit("macro"), "indicator", F.col("_day").cast("string")), "context_type": F.lit("macro"), "scope": F.lit("macro"), "indicator": F.col("indicator"), "value": F.col("value"),
+        "unit": F.lit(unit), "observed_period_start": F.col("_day"), "observed_period_end": F.col("_day"), "publication_timestamp": _next_morning(F.col("_day")), "download_timestamp": at,
+        "source": F.lit(source), "source_access": F.lit("public"),
+    }
+    out = rows.select(*[known.get(c, F.lit(None).cast("string")).alias(c) for c in schemas.CONTEXT])
+    return out.filter("publication_timestamp <= download_timestamp")
+
+
+#: Macro records that are kept by hand: id, scope, indicator, value, unit, period, publication, source.
+CURATED = (
+    ("macro-tcmb-policy-rate-2026-09-10", "macro", "tcmb_policy_rate", 37.0, "%", "2026-09-10", "2026-09-10", "2026-09-10T14:00:00+03:00", "tcmb_press_release"),
+    ("macro-tuik-inflation-2026-08", "macro", "tuik_inflation", 31.51, "% yoy", "2026-08-01", "2026-08-31", "2026-09-03T10:00:00+03:00", "tuik_cpi_release"),
+    ("macro-fed-policy-rate-2026-09-16", "global", "fed_policy_rate", 3.875, "% target midpoint", "2026-09-16", "2026-09-16", "2026-09-16T14:00:00-04:00", "federal_reserve_fomc_statement"),
+)
+
+
+def curated_macro(spark: SparkSession, downloaded: str) -> DataFrame:
+    """The records that are kept by hand, in the layout of context files."""
+    names = ("context_id", "scope", "indicator", "value", "unit", "observed_period_start", "observed_period_end", "publication_timestamp", "source")
+    rows = spark.createDataFrame(CURATED, ", ".join(f"{n} {'double' if n == 'value' else 'string'}" for n in names))
+    fixed = {"context_type": F.lit("macro"), "source_access": F.lit("public"), "download_timestamp": F.lit(downloaded).cast("timestamp")}
+    typed = {c: F.to_date(c) for c in ("observed_period_start", "observed_period_end")} | {"publication_timestamp": F.to_timestamp("publication_timestamp")}
+    return rows.select(*[(fixed | typed).get(c, F.col(c) if c in names else F.lit(None).cast("string")).alias(c) for c in schemas.CONTEXT])
 
 
 def aliases(spark: SparkSession, path: str) -> DataFrame:
