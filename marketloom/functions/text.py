@@ -17,18 +17,35 @@ from marketloom.functions.columns import col
 TURKISH_FROM = "çğıöşüÇĞİIÖŞÜ"
 TURKISH_TO = "cgiosucgiiosu"
 
+#: Unicode white space.
+WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+
 
 def clean(c: str | Column) -> Column:
     """Tags out, white space collapsed, trimmed. Entities must be unescaped before (``unescaped``)."""
-    return F.trim(F.regexp_replace(F.regexp_replace(col(c), "<[^>]+>", " "), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(col(c), "<[^>]+>", " "), WHITE, " "))
+
+
+#: Entities that are replaced natively; a text with any other goes to the function below.
+PLAIN_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "\xa9", "middot": "\xb7", "#39": "'", "#039": "'", "#x27": "'", "amp": "&"}
+OTHER_ENTITY = rf"&(?!(?:{'|'.join(PLAIN_ENTITIES)});)(?:#|[A-Za-z])"
 
 
 @F.pandas_udf(StringType())
-def unescaped(s: pd.Series) -> pd.Series:
-    """HTML entities as their characters: no native function knows them all."""
+def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
+def unescaped(c: str | Column) -> Column:
+    """HTML entities as their characters. Texts with none but common ones stay in the JVM; the others' go to the full table."""
+    text = col(c)
+    plain = text
+    for name, character in PLAIN_ENTITIES.items():  # amp comes last, so that what it uncovers isn't replaced again
+        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    other = F.rlike(text, F.lit(OTHER_ENTITY))
+    return F.when(other, _unescaped(F.when(other, text))).otherwise(plain)
+
+
 def url_key(c: str | Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(col(c))), "/+$", "")
 
@@ -38,12 +55,6 @@ def content_hash(*parts: str | Column) -> Column:
     return F.sha2(F.concat_ws("\n", *[F.coalesce(col(p).cast("string"), F.lit("")) for p in parts]), 256)
 
 
-def match_text_native(c: str | Column) -> Column:
-    """The matching form for text whose letters the table covers: folded letters, then runs of a-z0-9 joined by one space."""
-    folded = F.lower(F.translate(col(c), TURKISH_FROM, TURKISH_TO))
-    return F.trim(F.regexp_replace(F.regexp_replace(folded, "<[^>]+>", " "), "[^a-z0-9]+", " "))
-
-
 def normalize_match_text(value: str) -> str:
     """The matching form of any text: case folding and compatibility decomposition, marks dropped."""
     folded = unicodedata.normalize("NFKD", value.translate(str.maketrans(TURKISH_FROM, TURKISH_TO)).casefold())
@@ -51,11 +62,48 @@ def normalize_match_text(value: str) -> str:
     return re.sub("[^a-z0-9]+", " ", re.sub("<[^>]+>", " ", plain)).strip()
 
 
+def _folding() -> tuple[str, str, str]:
+    """(characters, their replacements, characters that become several), by rule over the basic plane.
+
+    Marks come last and without replacement, which drops them; what becomes neither letter, digit nor angle bracket is left
+    out, since it is a gap like any other character.
+    """
+    one, to, marks, several = [], [], [], []
+    turkish = str.maketrans(TURKISH_FROM, TURKISH_TO)
+    for n in (*range(ord("A"), ord("Z") + 1), *range(0x80, 0xD800), *range(0xE000, 0x10000)):
+        folded = unicodedata.normalize("NFKD", chr(n).translate(turkish).casefold())
+        plain = "".join(ch for ch in folded if not unicodedata.combining(ch))
+        if not plain:
+            marks.append(chr(n))
+        elif len(plain) == 1 and re.match("[a-z0-9<>]", plain):
+            one.append(chr(n))
+            to.append(plain)
+        elif re.search("[a-z0-9<>]", plain):
+            several.append(chr(n))
+    return "".join(one + marks), "".join(to), "".join(several)
+
+
+FOLD_FROM, FOLD_TO, SEVERAL = _folding()
+#: Texts with characters that become several, or beyond the basic plane, take the slower function; the German sharp s doesn't.
+SHARP = "\xdf\u1e9e"
+RARE = "[" + "".join(c for c in SEVERAL if c not in SHARP) + "\U00010000-\U0010ffff]"
+
+
 @F.pandas_udf(StringType())
-def match_text(s: pd.Series) -> pd.Series:
+def _match_text(s: pd.Series) -> pd.Series:
     return s.map(normalize_match_text, na_action="ignore")
 
 
+def match_text(c: str | Column) -> Column:
+    """The matching form: folded letters and digits, everything else one space. Only rare characters leave the JVM."""
+    text = col(c)
+    sharp = F.replace(F.replace(text, F.lit(SHARP[0]), F.lit("ss")), F.lit(SHARP[1]), F.lit("ss"))
+    plain = F.translate(sharp, FOLD_FROM, FOLD_TO)
+    native = F.trim(F.regexp_replace(F.regexp_replace(plain, "<[^>]+>", " "), "[^a-z0-9]+", " "))
+    rare = F.rlike(text, F.lit(RARE))
+    return F.when(rare, _match_text(F.when(rare, text))).otherwise(native)
+
+
 def feed_timestamp(c: str | Column) -> Column:
     """RFC 822 or ISO 8601 text as a time stamp; what is neither is missing. No zone means UTC."""
     v = F.trim(col(c))

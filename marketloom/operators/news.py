@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import text as X
+from marketloom.operators.graph import components
+from marketloom.store import stored
+
+MOST_ALIASES = 1_000_000
 
 ITEM = ("source_id", "title", "url", "summary", "published_timestamp", "fetched_timestamp", "language", "category", "source_access", "raw_source_url", "content_hash")
 FEED = "struct<title:string,link:string,guid:string,description:string,pubDate:string>"
@@ -36,9 +44,9 @@ def parse_feeds(feeds: DataFrame) -> DataFrame:
     return rows.select(*ITEM)
 
 
-def normalize(items: DataFrame, entities: bool = True) -> DataFrame:
-    """Clean title and summary, and the hash of the clean item. ``entities=False`` for text known to hold none stays native."""
-    fix = (lambda c: X.clean(X.unescaped(F.col(c)))) if entities else X.clean
+def normalize(items: DataFrame) -> DataFrame:
+    """Clean title and summary, and the hash of the clean item."""
+    fix = lambda c: X.clean(X.unescaped(F.col(c)))
     out = items.withColumns({"title": fix("title"), "summary": F.nullif(fix("summary"), F.lit("")), "url": F.trim("url")})
     return out.withColumn("content_hash", X.content_hash("source_id", "title", X.url_key("url"), "published_timestamp", "summary"))
 
@@ -46,59 +54,83 @@ def normalize(items: DataFrame, entities: bool = True) -> DataFrame:
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
     """Keep an item unless its address or title is that of an item kept before it."""
     urls, titles, kept = set(), set(), []
-    for u, t in pdf.sort_values(["_rank", "source_id", "url"])[["_u", "_t"]].itertuples(index=False):
-        ok = not (u and u in urls) and not (t and t in titles)
+    pdf = pdf.sort_values(["_rank", "source_id", "url", "_id"], na_position="first")
+    for u, t in pdf[["_u", "_t"]].itertuples(index=False):
+        ok = u not in urls and t not in titles
         kept.append(ok)
         if ok:
-            urls.add(u)
-            titles.add(t)
-    out = pdf.sort_values(["_rank", "source_id", "url"])
-    return out[kept][["_id"]]
+            urls |= {u} - {None}
+            titles |= {t} - {None}
+    return pdf[kept][["_id"]]
 
 
-def deduplicate(items: DataFrame, key: str, order: str = "published_timestamp", rounds: int = 20) -> DataFrame:
-    """Greedy first-seen deduplication by address, then title, in the order of time, source, address.
+def deduplicate(items: DataFrame, key: str, order: str = "published_timestamp", rounds: int = 3) -> DataFrame:
+    """Greedy first-seen deduplication by address, then title, in the order of time, source, address; an empty one is no key.
 
-    Dropped items register nothing, so this isn't one deduplication per key. Items whose address and title are both unique
-    stay at once. The others fall into components that share keys, found by passing the smallest identifier along; within a
-    component copies of the same (address, title) collapse to their first before the ordered pass over what is left.
+    Dropped items register nothing, so this isn't one deduplication per key. In each round an item that is the first of all
+    with its address and with its title stays, and those that share either with it go; that decides all but chains in which
+    each item waits for another. What is open after ``rounds`` falls into components that share keys, each of which takes an
+    ordered pass over narrow rows. Copies of one (address, title) collapse before anything else.
     """
-    rows = items.withColumns({"_u": X.url_key("url"), "_t": F.lower("title"), "_rank": F.col(order), "_id": F.col(key)})
-    first = Window.partitionBy("_u", "_t").orderBy(F.col("_rank").asc_nulls_first(), "source_id", "url", "_id")
-    # equal keys: only the first can be kept
-    one = rows.select("_id", "_u", "_t", "_rank", "source_id", "url").withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
-    shares = (F.count("*").over(Window.partitionBy("_u")) > 1) & (F.col("_u") != "") | (F.count("*").over(Window.partitionBy("_t")) > 1) & (F.col("_t") != "")
-    marked = one.withColumn("_shared", shares)
-    alone, tied = marked.filter("NOT _shared").select("_id"), marked.filter("_shared")
-    label = tied.withColumn("_c", F.col("_id")).persist()
+    at = F.coalesce(order, "fetched_timestamp") if "fetched_timestamp" in items.columns and order == "published_timestamp" else F.col(order)
+    place = F.struct(at.alias("_rank"), "source_id", "url", F.col(key).alias("_id"))
+    keyed = items.select(F.nullif(X.url_key("url"), F.lit("")).alias("_u"), F.nullif(F.lower("title"), F.lit("")).alias("_t"), place.alias("_o"))
+    bare = F.col("_u").isNull() & F.col("_t").isNull()
+    free = keyed.filter(bare).select("_o._id")
+    open_ = stored(keyed.filter(~bare).groupBy("_u", "_t").agg(F.min("_o").alias("_o")), "open-items")
+    kept = []
+    first = lambda c: open_.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("_o").alias(f"_first{c}"))
     for _ in range(rounds):
-        least = lambda k: F.when(F.col(k) != "", F.min("_c").over(Window.partitionBy(k))).otherwise(F.col("_c"))
-        step = label.withColumn("_c2", least("_u"))
-        step = step.withColumn("_c3", F.when(F.col("_t") != "", F.min("_c2").over(Window.partitionBy("_t"))).otherwise(F.col("_c2"))).persist()
-        moved = step.filter("_c3 <> _c").limit(1).count()
-        label = step.drop("_c", "_c2").withColumnRenamed("_c3", "_c")
-        if not moved:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    kept = label.select("_id", "_u", "_t", "_rank", "source_id", "url", "_c").groupBy("_c").applyInPandas(_greedy, f"_id {items.schema[key].dataType.simpleString()}")
-    return items.join(alone.unionByName(kept).withColumnRenamed("_id", key), key, "left_semi")
-
-
-def match_aliases(items: DataFrame, aliases: DataFrame, key: str, text: Column | None = None, most_words: int = 6) -> DataFrame:
+        told = open_.join(first("_u"), "_u", "left").join(first("_t"), "_t", "left")
+        leads = lambda c: F.col(c).isNull() | (F.col("_o") == F.col(f"_first{c}"))
+        stay = stored(told.filter(leads("_u") & leads("_t")).select("_u", "_t", "_o"), "kept-items")
+        kept.append(stay.select("_o._id"))
+        rest = open_.join(stay.select("_u"), "_u", "left_anti").join(stay.select("_t"), "_t", "left_anti")
+        open_ = stored(rest, "open-items")
+    if not open_.isEmpty():
+        share = lambda c: open_.join(first(c), c).select(F.col("_o._id").alias("a"), F.col(f"_first{c}._id").alias("b"))
+        roots = components(share("_u").unionByName(share("_t")))
+        group = open_.select("_o.*", "_u", "_t").join(roots.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_c", F.coalesce("root", "_id")).drop("root")
+        kept.append(group.groupBy("_c").applyInPandas(_greedy, f"_id {items.schema[key].dataType.simpleString()}"))
+    ids = free
+    for k in kept:
+        ids = ids.unionByName(k)
+    return items.join(ids.withColumnRenamed("_id", key), key, "left_semi")
+
+
+def match_aliases(items: DataFrame, aliases: DataFrame, key: str, text: Column | None = None) -> DataFrame:
     """(key, entity_type, entity_id, matched_term) of the aliases that stand in a text between word boundaries.
 
-    The text's words and runs of words meet the normalised aliases in an equi-join, so the work follows the text and not
-    text times aliases. The alias table is a dimension; ``most_words`` is checked against it.
+    The alias table is a dimension and goes to the driver (at most ``MOST_ALIASES`` rows, else an error); each text is read once
+    by a keyword automaton over all aliases, however many there are. Texts without a match leave no row.
     """
-    body = text if text is not None else X.match_text_native(F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))))
-    words = F.split(body, " ")
-    runs = lambda n: F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))), lambda i: F.array_join(F.slice("_w", i + 1, n), " "))
-    sizes = [r[0] for r in aliases.select(F.size(F.split("normalized_alias", " "))).distinct().collect()]
-    if sizes and max(sizes) > most_words:
-        raise ValueError(f"an alias has {max(sizes)} words, more than {most_words}")
-    grams = items.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(F.flatten(F.array(*[runs(n) for n in sorted(set(sizes)) or [1]])))).alias("normalized_alias"))
-    return grams.join(F.broadcast(aliases), "normalized_alias").select(key, "entity_type", "entity_id", F.col("alias").alias("matched_term")).distinct()
+    terms = aliases.select("normalized_alias", "entity_type", "entity_id", "alias").filter("normalized_alias <> ''").distinct().limit(MOST_ALIASES + 1).collect()
+    if len(terms) > MOST_ALIASES:
+        raise ValueError(f"more than {MOST_ALIASES} aliases")
+    of: dict[str, list[tuple[str, str, str]]] = {}
+    for r in terms:
+        of.setdefault(f" {r.normalized_alias} ", []).append((r.entity_type, r.entity_id, r.alias))
+    body = text if text is not None else X.match_text(F.concat_ws(" ", "title", F.coalesce("summary", F.lit(""))))
+    rows = items.select(key, body.alias("_text"))
+    names = ("entity_type", "entity_id", "matched_term")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = ahocorasick.Automaton()
+        for k in of:
+            search.add_word(k, k)
+        if of:
+            search.make_automaton()
+        for b in batches:
+            at, found = [], []
+            for n, t in enumerate(b.column(1).to_pylist()):
+                hits = dict.fromkeys(k for _, k in search.iter(f" {t} ")) if of and t else ()
+                for e in dict.fromkeys(e for k in hits for e in of[k]):
+                    at.append(n)
+                    found.append(e)
+            columns = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array([f[k] for f in found], pa.string()) for k in range(3))]
+            yield pa.RecordBatch.from_arrays(columns, [key, *names])
+
+    return rows.mapInArrow(work, f"{key} {items.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} string" for n in names))
 
 
 def linked(items: DataFrame, matches: DataFrame, key: str) -> DataFrame:

@@ -24,7 +24,7 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 
 def aliases(spark):
     rows = spark.createDataFrame(ALIASES, "entity_type string, entity_id string, alias string")
-    return rows.withColumn("normalized_alias", X.match_text_native("alias"))
+    return rows.withColumn("normalized_alias", X.match_text("alias"))
 
 
 VALUES = ", ".join(f"('{t}', '{i}', '{a}', '{X.normalize_match_text(a)}')" for t, i, a in ALIASES)
@@ -35,7 +35,7 @@ O.cte(
     substr(coalesce(text, ''), length(split_part(coalesce(text, ''), chr(10), 1)) + 2) AS summary, strftime(make_timestamp((1704067200 + doc_id % 1000 * 3600) * 1000000), '%Y-%m-%d %H:%M:%S') AS published, lang FROM documents""",
 )
 O.cte("item", f"SELECT item_id, source_id, {SPACE.format('title')} AS title, trim(url) AS url, nullif({SPACE.format('summary')}, '') AS summary, published, regexp_replace(lower(trim(url)), '/+$', '') AS url_key FROM item0", "item0")
-O.cte("item_text", f"SELECT *, trim(regexp_replace(regexp_replace(lower(translate(concat_ws(' ', title, coalesce(summary, '')), '{X.TURKISH_FROM}', '{X.TURKISH_TO}')), '<[^>]+>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS match_text FROM item", "item")
+O.cte("item_text", f"SELECT *, trim(regexp_replace(regexp_replace(strip_accents(replace(lower(translate(concat_ws(' ', title, coalesce(summary, '')), '{X.TURKISH_FROM}', '{X.TURKISH_TO}')), 'ß', 'ss')), '<[^>]+>', ' ', 'g'), '[^a-z0-9]+', ' ', 'g')) AS match_text FROM item", "item")
 O.cte("alias", f"SELECT * FROM (VALUES {VALUES}) t(entity_type, entity_id, alias, norm)")
 O.cte("hit", "SELECT DISTINCT item_id, entity_type, entity_id, alias AS matched_term FROM item_text JOIN alias ON contains(' ' || match_text || ' ', ' ' || norm || ' ')", "item_text", "alias")
 O.cte("ordered", "SELECT *, row_number() OVER (ORDER BY published, source_id, url, item_id) AS n, lower(title) AS title_key FROM item", "item")
@@ -50,7 +50,7 @@ O.cte(
 
 @kept("items")
 def items(spark, d):
-    return news.normalize(T.news(spark, d), entities=False)
+    return news.normalize(T.news(spark, d))
 
 
 @kept("matches")
@@ -63,9 +63,13 @@ def _(spark, d):
     return items(spark, d)
 
 
-@register("page_text", "page_id page_text", f"SELECT page_id, {SPACE.format('html')} AS page_text FROM pages")
+#: The entities of the generated pages; ampersands come last, some without their semicolon.
+ENTITIES = "regexp_replace(replace(replace(replace(html, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+@register("page_text", "page_id page_text", f"SELECT page_id, {SPACE.format(ENTITIES)} AS page_text FROM pages")
 def _(spark, d):
-    return T.table(spark, d, "pages").withColumn("page_text", X.clean("html"))
+    return T.table(spark, d, "pages").withColumn("page_text", X.clean(X.unescaped("html")))
 
 
 @register("url_normalized", "page_id url_key", "SELECT page_id, regexp_replace(lower(trim(url)), '/+$', '') AS url_key FROM pages")
@@ -75,7 +79,7 @@ def _(spark, d):
 
 @register("match_text_normalized", "item_id match_text", "item_text", "item_text")
 def _(spark, d):
-    return items(spark, d).withColumn("match_text", X.match_text_native(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))))
+    return items(spark, d).withColumn("match_text", X.match_text(F.concat_ws(" ", "title", F.coalesce("summary", F.lit("")))))
 
 
 @register("content_hash", "item_id content_hash", "SELECT item_id, sha256(source_id || chr(10) || title || chr(10) || url_key || chr(10) || published || chr(10) || coalesce(summary, '')) AS content_hash FROM item", "item")
