@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketloom.functions.columns import forward_return, past_return, yes
+from marketloom.functions.columns import col, forward_return, past_return, yes
 
 COLUMNS = (
     "symbol", "sector", "date", "close", "lookback_return", "peer_count", "peer_median_lookback_return", "catch_up_score", "rank_in_sector",
@@ -13,27 +13,33 @@ COLUMNS = (
 )
 
 
-def without_one(sorted_values: Column, rank: Column, own: Column) -> Column:
-    """Median of a sorted array without the element at ``rank`` (0-based); of all of it where ``own`` is missing."""
-    n = F.size(sorted_values)
-    m = n - F.when(own.isNotNull(), 1).otherwise(0)
+def middle(values: str | Column) -> Column:
+    """Of a group's values what a median without any one of them needs: their number and the three in the middle."""
+    c = col(values)
+    there = F.sort_array(F.collect_list(c))
+    first = F.greatest(F.floor((F.count(c) - 2) / 2), F.lit(0)).cast("int")
+    return F.struct(F.count(c).alias("n"), first.alias("first"), F.slice(there, first + 1, F.lit(3)).alias("values"))
+
+
+def without_one(mid: Column, rank: Column, own: Column) -> Column:
+    """Median of a group, known by its ``middle``, without the value at ``rank`` (0-based); of all of it where ``own`` is missing."""
+    m = mid["n"] - F.when(own.isNotNull(), 1).otherwise(0)
 
     def at(k: Column) -> Column:
-        return F.get(sorted_values, (k + F.when(own.isNotNull() & (k >= rank), 1).otherwise(0)).cast("int"))
+        return F.get(mid["values"], (k + F.when(own.isNotNull() & (k >= rank), 1).otherwise(0) - mid["first"]).cast("int"))
 
     return F.when(m > 0, (at(F.floor((m - 1) / 2)) + at(F.floor(m / 2))) / 2)
 
 
-def peer_medians(frame: DataFrame, **of: str) -> DataFrame:
-    """Add for each ``name=value column`` the median over the other rows of (sector, date).
+def peer_medians(frame: DataFrame, keys: tuple[str, ...] = ("sector", "date"), **of: str) -> DataFrame:
+    """Add for each ``name=value column`` the median over the other rows of the keys.
 
-    The sorted values of a sector's day are gathered once and joined back on the same partitioning; a row finds its median
-    by its own rank, so the work is k log k for k peers where a self-join would take k squared.
+    A group's values are gathered and sorted once; what is joined back onto its rows are the three in the middle, and a row
+    finds its median by its own rank. The work is k log k for k peers where a self-join would take k squared.
     """
-    keys = ["sector", "date"]
-    day = frame.groupBy(keys).agg(*[F.sort_array(F.collect_list(c)).alias(f"_{n}") for n, c in of.items()])
+    day = frame.groupBy(*keys).agg(*[middle(c).alias(f"_{n}") for n, c in of.items()])
     ranks = {f"_{n}_rank": F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last(), "symbol")) - 1 for n, c in of.items()}
-    out = frame.withColumns(ranks).join(day, keys)
+    out = frame.withColumns(ranks).join(day, list(keys))
     out = out.withColumns({n: without_one(F.col(f"_{n}"), F.col(f"_{n}_rank"), F.col(c)) for n, c in of.items()})
     return out.drop(*[f"_{n}" for n in of], *ranks)
 

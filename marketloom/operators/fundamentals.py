@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marketloom.functions.columns import change, ratio, utc_date
 from marketloom.operators import asof
+from marketloom.operators.catch_up import peer_medians
 
+#: The metrics of each profile, and the columns of the result.
 INDUSTRIAL = ("revenue", "gross_margin", "operating_margin", "net_income", "debt_to_assets", "operating_cash_flow", "free_cash_flow")
 BANK = ("net_interest_income", "net_income", "assets_to_equity", "liabilities_to_assets")
 METRICS = tuple(dict.fromkeys(INDUSTRIAL + BANK))
@@ -50,17 +52,17 @@ def observations(records: DataFrame, bars: DataFrame, benchmark: DataFrame | Non
     """One row per record, metric and horizon. Returns are computed once per symbol, disclosure and horizon, not per metric."""
     asked = records.select("symbol", "sector", utc_date("disclosure_timestamp").alias("known")).distinct()
     asked = asked.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
-    own = asof.next_bar(asked.drop("sector"), bars, "known", horizons).select("symbol", "known", "horizon", "entry_date", F.col("entry_price").alias("entry_close"), "exit_date", F.col("exit_price").alias("exit_close"), (ratio("exit_price", "entry_price") - 1).alias("post_disclosure_return"))
-
-    # peers: each other symbol of the sector, seen from the same disclosure date
-    of_sector = records.select(F.col("symbol").alias("peer"), "sector").distinct()
-    pairs = asked.join(of_sector, "sector").filter("peer <> symbol")
-    peer_asked = pairs.select(F.col("peer").alias("symbol"), "known", "horizon").distinct()
-    peer_return = asof.next_bar(peer_asked, bars, "known", horizons).select(F.col("symbol").alias("peer"), "known", "horizon", (ratio("exit_price", "entry_price") - 1).alias("r"))
-    peers = pairs.join(peer_return, ["peer", "known", "horizon"]).groupBy("symbol", "known", "horizon").agg(F.count("r").alias("sector_peer_count"), F.median("r").alias("sector_peer_median_return"))
+    # Every symbol of the sector is seen once from each date on which any of it disclosed; a record's peers are the others there.
+    seen = asked.select("sector", "known", "horizon").distinct().join(records.select("symbol", "sector").distinct(), "sector")
+    own = asof.next_bar(seen.drop("sector").distinct(), bars, "known", horizons).select("symbol", "known", "horizon", "entry_date", F.col("entry_price").alias("entry_close"), "exit_date", F.col("exit_price").alias("exit_close"), (ratio("exit_price", "entry_price") - 1).alias("post_disclosure_return"))
+    group = ("sector", "known", "horizon")
+    ranked = peer_medians(seen.join(own.select("symbol", "known", "horizon", "post_disclosure_return"), ["symbol", "known", "horizon"]), group, sector_peer_median_return="post_disclosure_return")
+    counts = ranked.groupBy(*group).agg(F.count("post_disclosure_return").alias("_n"))
+    peers = ranked.join(counts, list(group)).join(asked, ["symbol", *group], "left_semi")
+    peers = peers.select("symbol", *group, (F.col("_n") - F.col("post_disclosure_return").isNotNull().cast("int")).alias("sector_peer_count"), "sector_peer_median_return")
 
     rows = metric_rows(records).withColumns({"known": utc_date("disclosure_timestamp"), "horizon": F.explode(F.array(*[F.lit(h) for h in horizons]))})
-    rows = rows.join(own, ["symbol", "known", "horizon"], "left").join(peers, ["symbol", "known", "horizon"], "left")
+    rows = rows.join(own, ["symbol", "known", "horizon"], "left").join(peers, ["symbol", "sector", "known", "horizon"], "left")
     ok = F.col("exit_date").isNotNull()
     if benchmark is None:
         rows = rows.withColumn("_b", F.lit(None).cast("double"))

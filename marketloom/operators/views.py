@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketloom.functions.columns import past_return, yes
-from marketloom.operators.catch_up import without_one
+from marketloom.operators.catch_up import peer_medians
 
 GAP = {"potential": "POTENTIAL_CATCH_UP_CANDIDATE", "look": "INVESTIGATE", "open": "INCONCLUSIVE_DATA_GAP"}
 
@@ -27,9 +27,7 @@ def snapshot(bars: DataFrame, frame: DataFrame, events: DataFrame, lookback_days
     """The last bar of each symbol with its return, the median of its sector's other symbols at their own last bars, and state."""
     rows = bars.select("symbol", "sector", "date", "close").withColumn("return_20", past_return("close", lookback_days))
     last = latest(rows).drop("back")
-    w = Window.partitionBy("sector")
-    ranked = last.withColumns({"_all": F.sort_array(F.collect_list("return_20").over(w)), "_r": F.row_number().over(w.orderBy(F.col("return_20").asc_nulls_last(), "symbol")) - 1})
-    ranked = ranked.withColumn("peer_median_return", without_one(F.col("_all"), F.col("_r"), F.col("return_20"))).drop("_all", "_r")
+    ranked = peer_medians(last, ("sector",), peer_median_return="return_20")
     out = ranked.join(frame.drop("sector", "close", "open", "high", "low", "volume"), ["symbol", "date"]).join(recent_events(last, events), "symbol", "left")
     return out.withColumns({"catch_up_gap": F.col("return_20") - F.col("peer_median_return"), "recent_event": yes(F.col("recent_event"))})
 
