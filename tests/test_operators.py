@@ -231,8 +231,8 @@ def test_greedy_dedup_is_not_one_pass_per_key(spark):
 
 def test_text(spark):
     df = spark.createDataFrame([("Türk Hava Yolları döviz", "Mon, 01 Jan 2024 09:30:00 +0300", " HTTP://A/B// ", "a &amp; <b>b</b>\n c"), (None, "2024-01-01T00:00:00Z", None, None), ("İŞ ß é", "nonsense", "", "")], "t string, s string, u string, h string")
-    got = df.select(X.match_text("t").alias("m"), X.match_text_native("t").alias("n"), F.date_format(X.feed_timestamp("s"), "yyyy-MM-dd HH:mm").alias("s"), X.url_key("u").alias("u"), X.clean(X.unescaped("h")).alias("h")).collect()
-    assert got[0] == ("turk hava yollari doviz", "turk hava yollari doviz", "2024-01-01 06:30", "http://a/b", "a & b c")
+    got = df.select(X.match_text("t").alias("m"), F.lit(None).cast("string").alias("n"), F.date_format(X.feed_timestamp("s"), "yyyy-MM-dd HH:mm").alias("s"), X.url_key("u").alias("u"), X.clean(X.unescaped("h")).alias("h")).collect()
+    assert got[0] == ("turk hava yollari doviz", None, "2024-01-01 06:30", "http://a/b", "a & b c")
     assert got[1].m is None and got[1].s == "2024-01-01 00:00" and got[2].m == "is ss e" and got[2].s is None
 
 
@@ -281,10 +281,6 @@ def test_files(spark, tmp_path):
     assert {r.code for r in files.universe_issues(u).collect()} == {"WRONG_SIZE", "DUPLICATE_TICKER", "BLANK_FIELD", "WRONG_SUFFIX"}
     assert files.resolve_member(u, "aaa.is").count() == 2
     assert files.optional(files.universe, spark, str(tmp_path / "none.csv")) is None
-    (tmp_path / "c.csv").write_text(",".join(files.schemas.CONTEXT_TEXT) + "\nm1,Macro,Inflation,4.5,,2024-01-01,2024-01-02T00:00:00Z,2024-01-03T00:00:00Z,src,,,,,,,\nm2,macro,inflation,x,,2024-01-01,2024-01-02T00:00:00Z,2024-01-03T00:00:00Z,src,,,,,,,\nn1,news,,,,2024-01-01,bad,2024-01-03T00:00:00Z,src,,,,,,,\n")
-    ok, bad = files.context(spark, str(tmp_path / "c.csv"))
-    assert [r.context_id for r in ok.collect()] == ["m1"] and {r.context_id: len(r.errors) for r in bad.collect()} == {"m2": 2, "n1": 4}
-    assert files.known_by(ok, "2024-01-01 12:00:00").count() == 0
     wide = spark.createDataFrame([("T", "Total Revenue", 5.0, None), ("T", "Net Income", 1.0, None)], "ticker string, label string, `2024-03-31` double, `2023-12-31` double")
     got = files.statements(wide, {"revenue": ("Operating Revenue", "Total Revenue"), "net_income": ("NetIncome",)}).collect()
     assert [(r.revenue, r.net_income) for r in got] == [(5.0, 1.0)]
@@ -299,6 +295,175 @@ def test_files(spark, tmp_path):
     assert "<td>Banking</td>" in (tmp_path / "r.html").read_text()
 
 
+#: The header lines of the files that people fill in.
+CONTEXT_HEADER = "context_id,context_type,scope,ticker,sector,indicator,value,unit,observed_period_start,observed_period_end,publication_timestamp,download_timestamp,source,source_url,source_access,title,claim,video_timestamp,notes"
+FUNDAMENTALS_HEADER = "ticker,yahoo_symbol,sector,metric_profile,period_end,period_type,disclosure_timestamp,download_timestamp,source,currency,revenue,gross_profit,operating_profit,net_income,net_interest_income,total_assets,total_liabilities,total_equity,total_debt,cash_and_equivalents,operating_cash_flow,free_cash_flow"
+
+
+def test_context_files(spark, tmp_path):
+    at = "2024-01-01,2024-01-31,2024-02-02T10:00:00+03:00,2024-02-03T00:00:00Z"
+    rows = [
+        f"m1,Macro,Macro,,,tuik_inflation,4.5,%,{at},src,,PUBLIC,,,,",
+        f"m2,macro,macro,,,tuik_inflation,x,%,{at},src,,public,,,,",
+        f"m3,macro,macro,,,TUIK_INFLATION,1,%,{at},src,,public,,,,",
+        f"m4,macro,,,,usd_try,1,,{at},src,,public,,,,",
+        f"m5,macro,macro,,,usd_try,1,,{at},src,,stolen,,,,",
+        f'n1,news,ticker,AAA,,,,,{at},src,http://x,licensed,"A ""title"", with\na break",claim,,note',
+        f"v1,video,ticker,AAA,,,,,{at},src,http://x,public,t,c,,",
+        "n2,news,ticker,,,,,,2024-01-01,2024-01-31,bad,,src,http://x,public,t,c,,",
+    ]
+    path = tmp_path / "c.csv"
+    path.write_text("\n".join([CONTEXT_HEADER, *rows]) + "\n")
+    ok, bad = files.context(spark, str(path))
+    got = {r.context_id: r for r in ok.collect()}
+    assert ok.columns == CONTEXT_HEADER.split(",") and set(got) == {"m1", "n1"}
+    assert (got["m1"].scope, got["m1"].value, got["m1"].source_access, got["m1"].observed_period_end) == ("macro", 4.5, "public", dt.date(2024, 1, 31))
+    assert got["n1"].title == 'A "title", with\na break' and got["m1"].publication_timestamp == dt.datetime(2024, 2, 2, 7)
+    assert {r.context_id: len(r.errors) for r in bad.collect()} == {"m2": 2, "m3": 1, "m4": 1, "m5": 1, "v1": 1, "n2": 2}
+    assert files.known_by(ok, "2024-02-02 06:59:59").count() == 0 and files.known_by(ok, "2024-02-02 07:00:00").count() == 2
+    names = CONTEXT_HEADER.split(",")
+    turned = [",".join(reversed(r.split(","))) for r in rows[:1]]
+    path.write_text("\n".join([",".join(reversed(names)), *turned]) + "\n")
+    assert [r.value for r in files.context(spark, str(path))[0].collect()] == [4.5]
+    path.write_text("context_id,scope\na,b\n")
+    with pytest.raises(ValueError, match="source_access"):
+        files.context(spark, str(path))
+    files.write_header(str(path), files.schemas.CONTEXT)
+    assert path.read_text() == CONTEXT_HEADER + "\n" and [x.count() for x in files.context(spark, str(path))] == [0, 0]
+
+
+def test_fundamentals_files(spark, tmp_path):
+    members = spark.createDataFrame([("AAA", "AAA.IS", "Private Banking"), ("BBB", "BBB.IS", "Retail")], "ticker string, yahoo_symbol string, sector string")
+    rows = [
+        "aaa,,,,2024-03-31,Quarterly,2024-05-10T18:30:00+03:00,2024-06-01T00:00:00Z,src,,100,,,10,,,,,,7.5,,",
+        "BBB,,,,2024-03-31,annual,2024-05-10T18:30:00+03:00,2024-06-01T00:00:00Z,src,USD,1,2,3,4,5,6,7,8,9,10,11,12",
+        "CCC,,,,2024-03-31,monthly,x,2024-06-01T00:00:00Z,,,1,,,,,,,,,z,,",
+    ]
+    path = tmp_path / "f.csv"
+    path.write_text("\n".join([FUNDAMENTALS_HEADER, *rows]) + "\n")
+    ok, bad = files.fundamentals(spark, str(path), members)
+    got = {r.ticker: r for r in ok.collect()}
+    assert ok.columns == FUNDAMENTALS_HEADER.split(",")
+    a, b = got["AAA"], got["BBB"]
+    assert (a.yahoo_symbol, a.metric_profile, a.currency, a.revenue, a.gross_profit, a.cash_and_equivalents, a.period_type) == ("AAA.IS", "bank", "TRY", 100.0, None, 7.5, "quarterly")
+    assert (b.metric_profile, b.currency, b.free_cash_flow, b.disclosure_timestamp) == ("industrial", "USD", 12.0, dt.datetime(2024, 5, 10, 15, 30))
+    assert [len(r.errors) for r in bad.collect()] == [5]
+    path.write_text("ticker,period_end,period_type,disclosure_timestamp,download_timestamp,source\nBBB,2024-03-31,annual,2024-05-10T18:30:00+03:00,2024-06-01T00:00:00Z,src\n")
+    assert files.fundamentals(spark, str(path), members)[0].first().revenue is None
+
+
+def test_macro_rows(spark):
+    rates = spark.createDataFrame([("usd_try", "2024-01-01", 30.0), ("usd_try", "2024-01-02", float("nan")), ("usd_try", "2024-01-03", 31.0)], "indicator string, date string, close double")
+    got = files.fx_context(rates, "2024-01-04 05:00:00").collect()
+    assert [(r.context_id, r.publication_timestamp) for r in got] == [("macro-usd_try-2024-01-01", dt.datetime(2024, 1, 2, 6))]
+    curated = files.curated_macro(spark, "2026-09-20 00:00:00")
+    assert {r.indicator: r.value for r in curated.collect()} == {"tcmb_policy_rate": 37.0, "tuik_inflation": 31.51, "fed_policy_rate": 3.875}
+    text = curated.select(*[F.col(c).cast("string").alias(c) for c in curated.columns])
+    assert [x.count() for x in files.normalize_context(text)] == [3, 0]
+
+
+def test_price_files_are_read_by_name(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("date,symbol,close,open,high,low,adj_close,volume,source,download_timestamp\n2024-01-02,AAA,5,4,6,3,,,x,2024-01-03\nbad,AAA,1,1,1,1,1,1,x,2024-01-03\n")
+    got = files.prices(spark, str(tmp_path / "p.csv")).collect()
+    assert [(r.symbol, r.open, r.high, r.low, r.close, r.adj_close, r.volume) for r in got] == [("AAA", 4.0, 6.0, 3.0, 5.0, 5.0, 0)]
+
+
+def test_matching_form_of_every_character(spark):
+    points = [n for n in (*range(0x20, 0xD800), *range(0xE000, 0x10000), *range(0x1D400, 0x1D800))]
+    texts = ["".join(f"x{chr(n)}y " for n in points[k : k + 40]) for k in range(0, len(points), 40)] + ["été über señor STRASSE Straße ẞ", "e\u0301a ＜b＞c", "<i>a</i>b", ""]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.match_text("t").alias("m")).collect()
+    assert [r.t for r in got if r.m != X.normalize_match_text(r.t)] == []
+    assert X.normalize_match_text(texts[-4]) == "ete uber senor strasse strasse ss"
+
+
+def test_entities(spark):
+    import html
+
+    texts = ["a &amp;lt; b", "&copy; &middot; &quot;x&quot; &#39; &#x27; &nbsp;.", "&amp b &am", "&euro;&lt;&#8364;", "no", "&", "& b", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.unescaped("t").alias("h"), X.clean(X.unescaped("t")).alias("c")).collect()
+    assert [r.h for r in got] == [None if t is None else html.unescape(t) for t in texts]
+    assert got[1].c == "© · \"x\" ' ' ."
+
+
+def greedy_by_hand(rows):
+    urls, titles, kept = set(), set(), set()
+    for i, u, t in rows:
+        u, t = u.strip().lower().rstrip("/"), t.lower()
+        if not (u and u in urls) and not (t and t in titles):
+            kept.add(i)
+            urls |= {u} - {""}
+            titles |= {t} - {""}
+    return kept
+
+
+def test_dedup_of_long_chains_and_large_groups(spark):
+    import random
+
+    rng = random.Random(1)
+    chain = [(k, f"u{(k + 1) // 2}", f"t{k // 2}") for k in range(10_000)]
+    group = [(20_000 + k, "same" if k % 3 else f"v{rng.randrange(4000)}", f"w{rng.randrange(9000)}" if k % 2 else "") for k in range(100_000)]
+    rows = chain + group + [(200_000 + k, "", "") for k in range(50)]
+    df = spark.createDataFrame([(i, "s", u, t, i) for i, u, t in rows], "id long, source_id string, url string, title string, published_timestamp long")
+    assert {r.id for r in news.deduplicate(df, "id").collect()} == greedy_by_hand(rows)
+    for order in range(3):
+        some = [(k, rng.choice(["", "a", "b", "c/", "C", "d"]), rng.choice(["", "T", "t", "u", "v", "w", "x"])) for k in range(60)]
+        df = spark.createDataFrame([(i, "s", u, t, i) for i, u, t in some], "id long, source_id string, url string, title string, published_timestamp long")
+        assert {r.id for r in news.deduplicate(df, "id", rounds=order).collect()} == greedy_by_hand(some)
+
+
+def test_components(spark):
+    from marketloom.operators.graph import components
+
+    edges = [(k, k + 1) for k in range(0, 500) if k % 100 != 99] + [(1000, k) for k in range(2000, 2300)] + [(7, 7), (3000, 2999)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    want = {k: k // 100 * 100 for k in range(501)} | {k: 1000 for k in (1000, *range(2000, 2300))} | {3000: 2999, 2999: 2999}
+    assert {k: v for k, v in got.items() if k != v} == {k: v for k, v in want.items() if k != v}
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_aliases_of_any_length(spark):
+    items = spark.createDataFrame([(1, "AB Bank of the North opens", None), (2, "bank", "of the north"), (3, "Banks of the north", ""), (4, None, None)], "id long, title string, summary string")
+    long = "one two three four five six seven eight nine"
+    items = items.unionByName(spark.createDataFrame([(5, long, "ten")], items.schema))
+    names = [("ticker", "A", "Bank of the North"), ("ticker", "A", "bank"), ("sector", "B", "bank"), ("macro", "C", long), ("macro", "D", "the north opens"), ("macro", "E", "")]
+    al = spark.createDataFrame(names, "entity_type string, entity_id string, alias string").withColumn("normalized_alias", X.match_text("alias"))
+    got = {tuple(r) for r in news.match_aliases(items, al, "id").collect()}
+    both = {("ticker", "A", "Bank of the North"), ("ticker", "A", "bank"), ("sector", "B", "bank")}
+    assert got == {(1, *x) for x in both | {("macro", "D", "the north opens")}} | {(2, *x) for x in both} | {(5, "macro", "C", long)}
+
+
+def test_peer_medians_against_all_pairs(spark):
+    import random
+    import statistics
+
+    from marketloom.operators import catch_up
+
+    rng = random.Random(6)
+    rows = [(f"s{k}", f"g{rng.randrange(6)}", rng.choice([None, 1.0, 2.0, rng.random()])) for k in range(40)]
+    got = catch_up.peer_medians(spark.createDataFrame(rows, "symbol string, sector string, v double"), ("sector",), m="v").collect()
+    for r in got:
+        rest = [v for s, g, v in rows if g == r.sector and s != r.symbol and v is not None]
+        assert r.m == (pytest.approx(statistics.median(rest)) if rest else None)
+
+
+def test_kept_tables_follow_their_source(spark, tmp_path):
+    from marketloom import store
+
+    built = []
+
+    @store.kept("test-table")
+    def build(s, d):
+        built.append(d)
+        return s.read.parquet(f"{d}/t.parquet")
+
+    spark.range(3).write.parquet(f"{tmp_path}/t.parquet")
+    assert build(spark, str(tmp_path)).count() == 3 and build(spark, str(tmp_path)).count() == 3 and len(built) == 1
+    spark.range(5).write.mode("overwrite").parquet(f"{tmp_path}/t.parquet")
+    assert build(spark, str(tmp_path)).count() == 5
+    store.release(spark)
+    assert build(spark, str(tmp_path)).count() == 5 and len(built) == 3
+
+
 def test_settings(tmp_path):
     (tmp_path / "s.yaml").write_text("backtest:\n  trading_cost_bps: 7\n  horizons: [1, 5]\nexperiment:\n  unseen_start_date: \"2025-10-01\"\n  regime_lookback_days: 10  # days\n")
     s = settings.load(str(tmp_path / "s.yaml"))
