@@ -15,6 +15,7 @@ import hashlib
 import re
 import unicodedata
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ KINDS = ("email", "ip", "card", "phone")
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]*")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+DOTTED = re.compile(r"\.[0-9]+\.[0-9]")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -63,7 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order."""
     out = [(s, 0, e) for s, e in emails(text)] if "@" in text else []
     if DIGIT.search(text):
-        for m in IP.finditer(text):
+        for m in IP.finditer(text) if DOTTED.search(text) else ():
             if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split(".")):
                 out.append((m.start(), 1, m.end()))
         for m in CARD.finditer(text):
@@ -121,8 +123,33 @@ _SEP = rf"(?:\x20dot\x20|\.|{_DOT})"
 WORDED = re.compile(rf"(?<![\w@.%+-])({_L}(?:{_SEP}{_L}){{0,30}})(\x20at\x20|@|{_AT})({_H}(?:{_SEP}{_H}){{0,30}})({_SEP})([A-Za-z]{{2,63}}+)(?![\w-])", re.I)
 NUMBERS = re.compile(rf"(?<![\w.])[0-9]++(?:{_SEP}[0-9]++){{3,}}(?!\w)", re.I)
 WORD_DOT = re.compile(r"\x20dot\x20", re.I)
-#: What a text without disguises lacks; one cheap search decides for most texts.
-HINT = re.compile(rf"[ɐ-￿\U00010000-\U0010ffff­ı]|{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}|\x20dot\x20|\x20at\x20[a-z0-9-]+\.[a-z0-9]|(?<!\w)(?:{_NAMES}|plus|[0-9]+){_BETWEEN}(?:{_NAMES})(?!\w)", re.I)
+#: Characters that fold to others.
+RARE = re.compile("[\u0250-\uffff\U00010000-\U0010ffff\xad\u0131]")
+#: In texts in small letters: two parts of a spelled number side by side, and where the second begins.
+PAIR = re.compile(rf"(?<!\w)(?:{_NAMES}|plus|[0-9]+){_BETWEEN}(?:{_NAMES})(?!\w)")
+BRACKETED = re.compile(rf"{OPEN}\x20*(?:at|@|arobase|arroba|dot|point|punkt|punto|\.)\x20*{CLOSE}")
+AT_HOST = re.compile(r"\x20at\x20[a-z0-9-]+\.[a-z0-9]")
+SECOND = ahocorasick.Automaton()
+for _gap in " ,.-":
+    for _name in SPELLED:
+        SECOND.add_word(_gap + _name, len(_name) + 1)
+SECOND.make_automaton()
+ENDS = frozenset(n[-1] for n in SPELLED) | frozenset("0123456789s,.- ")
+
+
+def disguised(text: str) -> bool:
+    """Whether a text may hold a disguise: what one without lacks is looked for in turn, the cheapest first."""
+    if RARE.search(text):
+        return True
+    low = text.lower()
+    if " dot " in low or any(c in low for c in "[({<") and BRACKETED.search(low) or " at " in low and AT_HOST.search(low):
+        return True
+    for end, size in SECOND.iter(low):
+        at = end - size + 1
+        if at and low[at - 1] in ENDS and PAIR.search(low, max(0, at - 24), end + 2):
+            return True
+    return False
+
 
 Mapped = tuple[str, list[int], list[int]]
 
@@ -218,7 +245,7 @@ def disguises(m: Mapped) -> Mapped:
 def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """Base spans, and all spans: those and what only the rewritten text shows."""
     base = base_spans(text)
-    if not HINT.search(text):
+    if not disguised(text):
         return base, base
     source: Mapped = (text, list(range(len(text))), list(range(1, len(text) + 1)))
     new = source
