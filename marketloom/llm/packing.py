@@ -16,11 +16,12 @@ an empty table gives an empty table; other columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,15 +41,18 @@ def pieces(n: int, sequence: int = SEQUENCE) -> list[int]:
 
 
 class WordEncoder:
-    """Ids of the tokenizers library; equal white-space-separated chunks are encoded once.
+    """Ids of the tokenizers library; equal words are encoded once.
 
     The vocabulary drops white space and treats each code point below U+0300 on its own (these are normalised already), so
-    a text's ids are its chunks' ids in order. Other texts go to the library whole.
+    a text's ids are its words' ids in order. Other texts go to the library whole.
     """
 
     #: What sends a whole text to the library: code points from U+0300 on, separators that only str.split() knows, special names.
     OTHER = re.compile("[^\x00-\x1b\x20-\u02ff]")
-    PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    #: What sends a chunk between white space to the library: control characters, and letters whose small form lies elsewhere.
+    ODD = re.compile("[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\xad" + "".join(c for c in map(chr, range(0x300)) if len(c.lower()) > 1 or c.lower() > "\u02ff") + "]")
+    LETTERS, DIGITS = (re.escape("".join(c for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == k)) for k in "LN")
+    PARTS = re.compile(rf"[{LETTERS}]+|'(?:[stmd]|re|ve|ll)|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,28 +63,30 @@ class WordEncoder:
         self.model = self.library.model
         self.special = Special({t.content: i for i, t in self.library.get_added_tokens_decoder().items()})
         self.letters = {b: c for c, b in byte_alphabet().items()}
-        self.chunks = Memo(self._chunk)
-        self.words = Memo(self._word)
+        self.words = Memo(self._word, 200_000)
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         if not word.isascii():
             word = "".join(map(self.letters.__getitem__, word.encode()))
         return self._packed([t.id for t in self.model.tokenize(word)])
 
-    def _chunk(self, chunk: str) -> bytes:
-        if chunk.isprintable():
-            return b"".join(map(self.words.__getitem__, self.PARTS.findall(chunk.lower())))
-        return self._packed(self.library.encode(chunk, add_special_tokens=False).ids)
+    def _whole(self, text: str) -> bytes:
+        return self._packed(self.library.encode(text, add_special_tokens=False).ids)
+
+    def _parts(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, self.PARTS.findall(text.lower())))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.special.within(text) or self.OTHER.search(text):
-            return self._packed(self.library.encode(text, add_special_tokens=False).ids)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+            return self._whole(text)
+        if self.ODD.search(text):
+            return b"".join(self._whole(c) if self.ODD.search(c) else self._parts(c) for c in text.split())
+        return self._parts(text)
 
 
 @lru_cache(maxsize=4)
