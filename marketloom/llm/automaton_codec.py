@@ -28,19 +28,22 @@ class Codec:
         self.automaton = automaton
         self.special = bpe.Special(automaton.special)
         #: Ids as little-endian unsigned 32-bit integers.
-        self.words = bpe.Memo(lambda w: self._packed(automaton.encode_word(bpe.as_bytes(w))))
+        self.words = bpe.Memo(lambda w: self._packed(automaton.encode_word(w.encode())))
         self.chunks = bpe.Memo(lambda c: b"".join(map(self.words.__getitem__, bpe.SPLIT.findall(c))))
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return pack(f"<{len(ids)}I", *ids)
 
+    def _plain(self, text: str) -> bytes:
+        words = bpe.pre_tokens(text)
+        return b"".join(map(self.chunks.__getitem__, bpe.CHUNK.findall(text)) if words is None else map(self.words.__getitem__, words))
+
     def encode(self, text: str) -> bytes:
         if not self.special.within(text):
-            return b"".join(map(self.chunks.__getitem__, bpe.CHUNK.findall(text)))
-        parts = self.special.split(text)
+            return self._plain(text)
         special = self.automaton.special
-        return b"".join(self._packed([special[p]]) if p in special else b"".join(map(self.chunks.__getitem__, bpe.CHUNK.findall(p))) for p in parts)
+        return b"".join(self._packed([special[p]]) if p in special else self._plain(p) for p in self.special.split(text))
 
     def decode(self, packed: bytes) -> str:
         return self.automaton.decode(np.frombuffer(packed, "<u4").tolist())

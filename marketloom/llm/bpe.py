@@ -12,8 +12,8 @@ state when its left part is, hence these sets are unions of subtrees of the left
 preorder with late merges first each such subtree is one range, so that automaton is stored as a few ranges per state.
 
 Words are read byte by byte through a second table, whose arcs are stored: each prefix of a word has exactly one path through
-the token automaton, and its last token depends on no more than the longest suffix that begins a token and the last tokens at
-the places in it. These are the byte states. An arc is worked out when it is first walked and looked up from then on; a walk
+the token automaton, and its last token depends on no more than the longest suffix that begins a token and that automaton's
+states at the places in it from which a token may begin. These are the byte states. An arc is worked out when it is first walked and looked up from then on; a walk
 goes left to right, one arc a byte, and never back. At ``MOST`` states a worker starts its table anew.
 """
 
@@ -21,11 +21,14 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import regex
 
+#: Instead of the token automaton's state at a place: the start of the word, or a place that doesn't matter.
+START, UNUSED = -1, -2
 #: The most byte states that a worker holds.
 MOST = 250_000
 #: The pre-tokenisation pattern of the public byte-level BPE.
@@ -36,6 +39,17 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 
 
+#: The same pattern where all characters lie below U+0300 and no separator is one that only Python takes for white space.
+_LETTERS, _DIGITS = (re.escape("".join(c for c in map(chr, range(0x300)) if unicodedata.category(c)[0] == k)) for k in "LN")
+LATIN = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^\s{_LETTERS}{_DIGITS}]+|\s+(?!\S)|\s+")
+NOT_LATIN = re.compile("[^\x00-\x1b\x20-\u02ff]")
+
+
+def pre_tokens(text: str) -> list[str] | None:
+    """The pre-tokens of a text; None where it takes the general pattern."""
+    return None if NOT_LATIN.search(text) else LATIN.findall(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable stand-ins of byte-level vocabularies: visible Latin-1 stands for itself, the rest is moved past 255."""
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
@@ -61,16 +75,17 @@ class Automaton:
             self.labels[i] = s.encode()
         self._compile([(self.id_of[raw(u)], self.id_of[raw(v)], self.id_of[raw(u) + raw(v)]) for u, v in merges])
         self.lengths = [len(x) for x in self.labels]
-        self.fits = Memo(lambda pair: self.reads(pair >> 24, pair & 0xFFFFFF), 1_000_000)
-        self.whole = {x.decode("latin-1"): i for x, i in self.id_of.items() if self.reach[i]}
+        self.fits = Memo(lambda pair: self.reads(pair >> 24, pair & 0xFFFFFF), 300_000)
+        self.whole = {x: i for x, i in self.id_of.items() if self.reach[i]}
         self.heads = {x[:k] for x in self.whole for k in range(len(x) + 1)}
         self._forget()
 
     def _forget(self) -> None:
-        #: Byte states: their arcs, the last token of what has been read, and what that follows from.
-        self.arcs: list[dict[str, int]] = [{}]
+        #: Byte states are numbered 0, 256, 512, ...; an arc is stored under its state plus its byte.
+        self.arcs: dict[int, int] = {}
+        #: The last token of what has been read at each state, and what the state follows from.
         self.last: list[int] = [-1]
-        self.facts: list[tuple[str, tuple[int, ...]]] = [("", (-1,))]
+        self.facts: list[tuple[bytes, tuple[int, ...], int]] = [(b"", (START,), -1)]
         self.states_of = {self.facts[0]: 0}
 
     def _compile(self, merges: list[tuple[int, int, int]]) -> None:
@@ -118,14 +133,16 @@ class Automaton:
         self.reach = [s is not None for s in to]
         self.pre = pre
         ranks = {x: [rank[c] for c in cs] for x, cs in children.items()}
-        made: dict[tuple, tuple[list[int], list[int]]] = {}
-        of: dict[int, tuple[list[int], list[int]]] = {}
-        self.barred: list[tuple[list[int], list[int]] | None] = [None] * size
+        made: dict[tuple, int] = {}
+        of: dict[int, int] = {}
+        #: The state that each label leads to, and each state's ranges of labels that it doesn't read.
+        self.behind: list[int] = [-1] * size
+        self.barred: list[tuple[list[int], list[int]]] = []
         for t, state in enumerate(to):
             if state is None:
                 continue
             if id(state) in of:
-                self.barred[t] = of[id(state)]
+                self.behind[t] = of[id(state)]
                 continue
             ranges = []
             for x, k in state.items():
@@ -139,71 +156,69 @@ class Automaton:
                 else:
                     flat.append([a, b])
             key = tuple(map(tuple, flat))
-            self.barred[t] = of[id(state)] = made.setdefault(key, ([a for a, _ in flat], [b for _, b in flat]))
-        self.states = len(made)
-
-    def reads(self, after: int, token: int) -> bool:
-        """Whether the state behind the label ``after`` (-1: the start) has an arc ``token``."""
-        if after < 0:
-            return self.reach[token]
-        starts, ends = self.barred[after]
+            if key not in made:
+                made[key] = len(self.barred)
+                self.barred.append(([a for a, _ in flat], [b for _, b in flat]))
+            self.behind[t] = of[id(state)] = made[key]
+
+    def reads(self, state: int, token: int) -> bool:
+        """Whether a state has an arc ``token``."""
+        starts, ends = self.barred[state]
         p = self.pre[token]
         i = bisect_right(starts, p) - 1
         return i < 0 or p >= ends[i]
 
-    def _arc(self, state: int, byte: str) -> int:
+    def _arc(self, state: int, byte: int) -> int:
         """The byte state behind an arc that hasn't been walked yet."""
-        suffix, lasts = self.facts[state]
-        suffix += byte
-        get, fits = self.whole.get, self.fits
-        for k, after in enumerate(lasts):  # the one token that ends here and that the state before it can read
-            t = get(suffix[k:])
-            if t is not None and (after < 0 or fits[after << 24 | t]):
-                break
+        suffix, lasts, _ = self.facts[state >> 8]
+        suffix += bytes((byte,))
+        get, fits, heads = self.whole.get, self.fits, self.heads
+        for k, before in enumerate(lasts):  # the one token that ends here and that the state before it can read
+            if before != UNUSED:
+                t = get(suffix[k:])
+                if t is not None and (before == START or fits[before << 24 | t]):
+                    break
         else:
-            raise ValueError(f"the vocabulary has no byte {ord(byte)}")
-        lasts += (t,)
+            raise ValueError(f"the vocabulary has no byte {byte}")
         cut = 0
-        while suffix[cut:] not in self.heads:
+        while suffix[cut:] not in heads:
             cut += 1
-        fact = (suffix[cut:], lasts[cut:])
+        suffix = suffix[cut:]
+        # a place from which no token can begin is of no more use
+        fact = (suffix, (lasts[cut], *(x if x != UNUSED and suffix[n:] in heads else UNUSED for n, x in enumerate(lasts[cut + 1 :], 1)), self.behind[t]) if suffix else (self.behind[t],), t)
         to = self.states_of.get(fact)
         if to is None:
-            to = self.states_of[fact] = len(self.arcs)
-            self.arcs.append({})
+            to = self.states_of[fact] = len(self.last) << 8
             self.last.append(t)
             self.facts.append(fact)
-        self.arcs[state][byte] = to
+        self.arcs[state | byte] = to
         return to
 
-    def walk(self, word: str) -> list[int]:
-        """The last token of each prefix's encoding, for one pre-token (bytes as Latin-1)."""
-        if len(self.arcs) > MOST:
+    def walk(self, word: bytes) -> list[int]:
+        """The byte state behind each prefix of one pre-token."""
+        if len(self.last) > MOST:
             self._forget()
-        arcs, last, state, out = self.arcs, self.last, 0, []
-        for byte in word:
-            to = arcs[state].get(byte)
-            state = self._arc(state, byte) if to is None else to
-            out.append(last[state])
-        return out
-
-    def prefixes(self, word: str) -> list[int]:
-        """Token count of each prefix of one pre-token (bytes as Latin-1), the empty one first."""
-        count, lengths = [0], self.lengths
-        for i, t in enumerate(self.walk(word), 1):
-            count.append(count[i - lengths[t]] + 1)
+        get, arc, state = self.arcs.get, self._arc, 0
+        return [state := get(state | byte) or arc(state, byte) for byte in word]  # no arc leads to state 0
+
+    def prefixes(self, word: bytes) -> list[int]:
+        """Token count of each prefix of one pre-token, the empty one first."""
+        count, last, lengths = [0], self.last, self.lengths
+        for i, state in enumerate(self.walk(word), 1):
+            count.append(count[i - lengths[last[state >> 8]]] + 1)
         return count
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of one pre-token (bytes as Latin-1): the one path of the automaton whose labels spell it."""
+    def encode_word(self, word: bytes) -> list[int]:
+        """Ids of one pre-token: the one path of the automaton whose labels spell it."""
         t = self.whole.get(word)
         if t is not None:
             return [t]
-        last, lengths, i, out = self.walk(word), self.lengths, len(word), []
+        states, last, lengths, i, out = self.walk(word), self.last, self.lengths, len(word), []
         while i:
-            out.append(t := last[i - 1])
+            out.append(t := last[states[i - 1] >> 8])
             i -= lengths[t]
-        return out[::-1]
+        out.reverse()
+        return out
 
     def decode(self, ids: list[int]) -> str:
         """The labels of the arcs in order; bytes that aren't UTF-8 become U+FFFD."""
@@ -241,11 +256,6 @@ class Special:
         return self.cut.split(text) if self.names else [text]
 
 
-def as_bytes(word: str) -> str:
-    """UTF-8 of a pre-token, each byte as the character of that number."""
-    return word if word.isascii() else word.encode().decode("latin-1")
-
-
 class Memo(dict):
     """Results by chunk; emptied when it holds ``most`` entries, so a worker's memory stays bounded."""
 

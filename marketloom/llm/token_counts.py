@@ -32,7 +32,7 @@ class PrefixCounts:
     def __init__(self, automaton: bpe.Automaton):
         self.automaton = automaton
         self.special = bpe.Special(automaton.special)
-        self.words = bpe.Memo(lambda w: automaton.prefixes(bpe.as_bytes(w))[-1])
+        self.words = bpe.Memo(lambda w: automaton.prefixes(w.encode())[-1])
         self.chunks = bpe.Memo(lambda c: sum(map(self.words.__getitem__, bpe.SPLIT.findall(c))))
 
     def pieces(self, text: str) -> list[tuple[str, int]]:
@@ -51,7 +51,8 @@ class PrefixCounts:
     def count(self, text: str) -> int:
         if self.special.within(text):
             return sum(n for _, n in self.pieces(text))
-        return sum(map(self.chunks.__getitem__, bpe.CHUNK.findall(text)))
+        words = bpe.pre_tokens(text)
+        return sum(map(self.chunks.__getitem__, bpe.CHUNK.findall(text))) if words is None else sum(map(self.words.__getitem__, words))
 
     def within(self, chunk: str) -> list[int]:
         """Tokens of each prefix of a chunk (code points, the empty prefix first), each as a text of its own."""
@@ -61,9 +62,9 @@ class PrefixCounts:
         for w in words:
             for k in range(1, len(w) + 1):
                 cut = bpe.SPLIT.findall(w[:k])
-                out.append(base + sum(self.automaton.prefixes(bpe.as_bytes(x))[-1] for x in cut) if len(cut) > 1 else 0)
+                out.append(base + sum(self.automaton.prefixes(x.encode())[-1] for x in cut) if len(cut) > 1 else 0)
             byte_at = list(accumulate(len(c.encode()) for c in w))
-            dp = self.automaton.prefixes(bpe.as_bytes(w))
+            dp = self.automaton.prefixes(w.encode())
             for k in range(1, len(w) + 1):
                 if not out[done + k]:
                     out[done + k] = base + dp[byte_at[k - 1]]

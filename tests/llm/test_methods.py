@@ -50,8 +50,8 @@ def test_automaton_is_bpe(v, words):
     ranks = {m: k for k, m in enumerate(merges)}
     for w in words:
         want = [vocab[p.decode()] for p in by_merges(w.encode(), ranks)]
-        assert a.encode_word(w) == want
-        assert a.prefixes(w) == [0] + [len(by_merges(w[:k].encode(), ranks)) for k in range(1, len(w) + 1)]
+        assert a.encode_word(w.encode()) == want
+        assert a.prefixes(w.encode()) == [0] + [len(by_merges(w[:k].encode(), ranks)) for k in range(1, len(w) + 1)]
         assert a.decode(want) == w
 
 
