@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import key_filter
-from .common import hot_join, scratch, stored
+from .common import bounded_batches, hot_join, scratch, stored
 
 LEAST = 100
 SEGMENT = 32 * 1024
@@ -281,7 +281,7 @@ def write_archives(pages: DataFrame, to: str, segment: int = SEGMENT, least: int
         close()
         yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in done], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["path", "records", "bytes"])
 
-    return stored(rows.mapInArrow(each, "path string, records long, bytes long"), "manifest")
+    return stored(bounded_batches(rows).mapInArrow(each, "path string, records long, bytes long"), "manifest")
 
 
 # ---------------------------------------------------------------------------------------------------- reading
@@ -390,7 +390,7 @@ def reassemble(segments: DataFrame) -> DataFrame:
 
         yield from _batches(rows())
 
-    return segments.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(each, READ)
+    return bounded_batches(segments).repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(each, READ)
 
 
 def resolve(records: DataFrame) -> DataFrame:
