@@ -31,31 +31,56 @@ def bundle(rows: DataFrame, features: list[str], sources: list[str]) -> DataFram
         return F.map_filter(every, lambda _, v: v.isNotNull())
 
     out = rows.select(F.coalesce(*ids).alias("evidence_id"), present(features).alias("observed_features"), present(sources).alias("sources"))
-    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
-    return out.withColumn("evidence_hash", F.sha2(F.concat_ws("|", F.coalesce("evidence_id", F.lit("")), text("observed_features"), text("sources")), 256))
+    return out.withColumn("evidence_hash", F.sha2(F.to_json(F.struct(F.coalesce("evidence_id", F.lit("")).alias("evidence_id"), "observed_features", "sources")), 256))
 
 
 def commit(evidence: DataFrame) -> DataFrame:
-    """One hash over all evidence, whatever its order: a fold of the sorted hashes' own digest, bucket by bucket.
+    """One hash over all evidence, whatever its order, and the number of rows.
 
-    Hashes are gathered by their first two digits, so no task holds more than a part of them; the last step reads 256 rows.
+    Equal hashes are counted; distinct ones are digested by their first six digits, these digests by the first three, and those
+    together. Each step joins some thousand digests at most, until the evidence has billions of rows.
     """
-    part = evidence.groupBy(F.substring("evidence_hash", 1, 3).alias("b")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("evidence_hash")), ","), 256).alias("h"), F.count("*").alias("n"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), ","), 256).alias("evidence_set_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_count"))
-
-
-def gate(evidence: DataFrame, features: list[str], least: int = 1) -> DataFrame:
-    """One row: counts of each kind of issue and the verdict."""
+    one = evidence.groupBy("evidence_hash").agg(F.count("*").alias("n"))
+    entry = F.struct(F.concat_ws(":", "evidence_hash", F.col("n").cast("string")).alias("t"))
+    digest = lambda rows: F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(rows)), lambda x: x["t"]), ","), 256)
+    six = one.groupBy(F.substring("evidence_hash", 1, 6).alias("b")).agg(digest(entry).alias("t"), F.sum("n").alias("n"))
+    three = six.groupBy(F.substring("b", 1, 3).alias("c")).agg(digest(F.struct("b", "t")).alias("t"), F.sum("n").alias("n"))
+    return three.agg(digest(F.struct("c", "t")).alias("evidence_set_hash"), F.coalesce(F.sum("n"), F.lit(0)).alias("evidence_count"))
+
+
+def gate_issues(evidence: DataFrame, features: list[str], least: int = 1) -> DataFrame:
+    """(severity, code, subject): what the gate finds in a bundle; a bundle's rows are judged where they lie."""
+    if least < 1:
+        raise ValueError("least must be positive")
+    own = F.array_compact(F.array(F.when(F.size("observed_features") == 0, F.lit("NO_OBSERVED_FEATURES")), F.when(F.coalesce(F.element_at("sources", "source"), F.lit("")) == "", F.lit("MISSING_SOURCE"))))
+    rows = evidence.select(F.explode(own).alias("code"), F.col("evidence_id").alias("subject")).select(F.lit("warning").alias("severity"), "code", "subject")
+    small = evidence.agg(F.count("*").alias("n")).filter(F.col("n") < least).select(F.lit("warning").alias("severity"), F.lit("SMALL_EVIDENCE_SET").alias("code"), F.col("n").cast("string").alias("subject"))
+    late = evidence.sparkSession.createDataFrame([("blocking", "FUTURE_OUTCOME_FEATURE", n) for n in outcome_columns(features)], "severity string, code string, subject string")
+    return rows.unionByName(small).unionByName(late)
+
+
+def gate(evidence: DataFrame | None, features: list[str], least: int = 1, reports: DataFrame | None = None) -> DataFrame:
+    """One row: counts of each kind of issue and the verdict. Only outcomes among the features, no bundle at all and blocking
+    issues of other ``reports`` (severity) make an analysis unsafe; whatever else is found is a warning."""
+    spark = (evidence if evidence is not None else reports).sparkSession
+    if evidence is None:
+        evidence = spark.createDataFrame([], "evidence_id string, observed_features map<string,string>, sources map<string,string>")
+        none = True
+    else:
+        none = False
     bad = len(outcome_columns(features))
-    one = evidence.agg(F.count("*").alias("evidence_count"), F.count_if(F.size("observed_features") == 0).alias("without_features"), F.count_if(F.size("sources") == 0).alias("without_source"))
-    blocked = (F.col("evidence_count") == 0) | (F.col("without_features") > 0) | F.lit(bad > 0)
-    warned = (F.col("evidence_count") < least) | (F.col("without_source") > 0)
-    return one.withColumns({"outcome_features": F.lit(bad), "warned": warned, "verdict": F.when(blocked, "ANALYSIS_UNSAFE").otherwise("ANALYSIS_SAFE")})
+    source = F.coalesce(F.element_at("sources", "source"), F.lit("")) == ""
+    one = evidence.agg(F.count("*").alias("evidence_count"), F.count_if(F.size("observed_features") == 0).alias("without_features"), F.count_if(source).alias("without_source"))
+    other = (reports if reports is not None else spark.createDataFrame([], "severity string")).agg(F.count_if(F.col("severity") == "blocking").alias("blocking_reports"), F.count_if(F.col("severity") == "warning").alias("_warnings"))
+    one = one.join(F.broadcast(other), F.lit(True))  # one row each
+    blocked = F.lit(none) | F.lit(bad > 0) | (F.col("blocking_reports") > 0)
+    warned = (F.col("evidence_count") < least) | (F.col("without_source") > 0) | (F.col("without_features") > 0) | (F.col("_warnings") > 0)
+    return one.withColumns({"outcome_features": F.lit(bad), "warned": warned, "verdict": F.when(blocked, "ANALYSIS_UNSAFE").otherwise("ANALYSIS_SAFE")}).drop("_warnings")
 
 
 def record_hash(*columns: str) -> Column:
-    """Hash of a record's fields in the order of their names."""
-    return F.sha2(F.concat_ws("\n", *[F.concat_ws("=", F.lit(c), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in sorted(columns)]), 256)
+    """Hash of a record's fields as JSON in the order of their names, missing ones as null."""
+    return F.sha2(F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"}), 256)
 
 
 def chain(log: DataFrame, run: str, order: str, *fields: str) -> DataFrame:
@@ -109,14 +134,3 @@ def harness_variants(questions: DataFrame) -> DataFrame:
         F.count_if("reviewed").alias("human_review_count"), (F.count_if(passed) / F.count("*")).alias("score"),
     )
     return out.withColumn("status", F.when(c("score") == 1, "ok").otherwise("limited"))
-
-
-#: The questions of the comparison (numbers, tools, states, evidence, gate, replay, review).
-QUESTIONS = (
-    ("q_market_return_calc", True, True, False, False, False, False, False),
-    ("q_point_in_time_fundamentals", True, True, True, True, True, False, False),
-    ("q_rss_context_check", False, True, True, True, True, True, False),
-    ("q_strategy_variant_compare", True, True, True, True, True, True, False),
-    ("q_human_review_decision", True, True, True, True, True, True, True),
-)
-QUESTION_SCHEMA = "question_id string, requires_numbers boolean, requires_tools boolean, requires_state_enforcement boolean, requires_evidence boolean, requires_quality_gate boolean, requires_replay boolean, requires_human_review boolean"

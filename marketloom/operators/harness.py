@@ -28,18 +28,18 @@ class Harness:
 
     def call(self, tool: str, **args):
         if not permitted(self.state, tool):
-            return self._say("tool_blocked", "error", f"tool {tool} is not permitted in state {self.state}")
+            return self._say("tool_blocked", "error", f"{self.state} has no tool {tool}")
         answer = self.tools.call(tool, **args) if self.tools else None
         self._say("tool_called", "ok" if answer is None else answer["status"], f"tool {tool}")
         return answer
 
     def advance(self, expected: str | None = None) -> tuple[str, str]:
         if expected is not None and expected != self.state:
-            return self._say("advance_blocked", "error", f"cannot complete {expected}; current state is {self.state}")
+            return self._say("advance_blocked", "error", f"{expected} was to be completed, but {self.state} is open")
         if self.state == STATES[-1]:
-            return self._say("advance_blocked", "warning", "already at terminal state")
+            return self._say("advance_blocked", "warning", "no state follows")
         before, self.state = self.state, STATES[STATES.index(self.state) + 1]
-        return self._say("advanced", "ok", f"advanced from {before} to {self.state}")
+        return self._say("advanced", "ok", f"{before} is done, {self.state} begins")
 
     def apply_gate(self, verdict: str) -> tuple[str, str]:
         if self.state != "risk_gate":

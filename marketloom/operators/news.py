@@ -171,6 +171,18 @@ def context(items: DataFrame, matches: DataFrame, key: str, decision: str, lookb
     )
 
 
+def fetch_status(sources: DataFrame, items: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """Per configured source (source_id): status, item_count and fetch_detail. ``failed`` names sources that gave an error (source_id, error)."""
+    seen = items.groupBy("source_id").agg(F.count("*").alias("item_count"), F.count_if(F.col("published_timestamp").isNull()).alias("_undated"))
+    out = sources.select("source_id").distinct().join(seen, "source_id", "left")
+    out = out.join(failed.select("source_id", F.col("error").alias("_error")), "source_id", "left") if failed is not None else out.withColumn("_error", F.lit(None).cast("string"))
+    n = F.coalesce("item_count", F.lit(0))
+    undated = F.concat(F.col("_undated").cast("string"), F.lit(" items without a publication time"))
+    status = F.when(F.col("_error").isNotNull(), "error").when((n == 0) | (F.col("_undated") > 0), "warning").otherwise("pass")
+    detail = F.when(F.col("_error").isNotNull(), F.col("_error")).when(n == 0, "the feed had no items").when(F.col("_undated") > 0, undated).otherwise("")
+    return out.select("source_id", status.alias("fetch_status"), F.when(F.col("_error").isNull(), n).otherwise(F.lit(0)).alias("item_count"), detail.alias("fetch_detail"))
+
+
 def source_health(raw: DataFrame, normalized: DataFrame, as_of: str, stale_after_hours: int = 24, sources: DataFrame | None = None, fetch: DataFrame | None = None) -> DataFrame:
     """Per source: counts, latest publication, status and what it rests on. ``fetch`` has source_id, fetch_status, fetch_detail."""
     a = raw.groupBy("source_id").agg(F.count("*").alias("raw_count"), F.max("published_timestamp").alias("latest_published_timestamp"))
@@ -186,15 +198,15 @@ def source_health(raw: DataFrame, normalized: DataFrame, as_of: str, stale_after
     hours = F.timestamp_diff("SECOND", F.col("latest_published_timestamp"), F.lit(as_of).cast("timestamp")) / 3600
     cases = [
         (F.col("fetch_status") == "error", "error", F.col("fetch_detail")),
-        (F.col("raw_count") == 0, "warning", F.lit("empty source output")),
-        (F.col("latest_published_timestamp").isNull(), "warning", F.lit("no published timestamps available")),
-        (hours > stale_after_hours, "warning", F.lit(f"latest item is older than {stale_after_hours} hours")),
-        (F.col("duplicate_count") > 0, "pass", F.concat(F.lit("deduplicated "), F.col("duplicate_count").cast("string"), F.lit(" repeated item(s)"))),
+        (F.col("raw_count") == 0, "warning", F.lit("no items")),
+        (F.col("latest_published_timestamp").isNull(), "warning", F.lit("no item has a publication time")),
+        (hours > stale_after_hours, "warning", F.lit(f"nothing newer than {stale_after_hours} hours")),
+        (F.col("duplicate_count") > 0, "pass", F.concat(F.col("duplicate_count").cast("string"), F.lit(" repeats left out"))),
     ]
     status, detail = F.when(F.lit(False), ""), F.when(F.lit(False), "")
     for mask, s, d in cases:
         status, detail = status.when(mask, s), detail.when(mask, d)
-    return out.select("source_id", status.otherwise("pass").alias("status"), "raw_count", "normalized_count", "duplicate_count", "latest_published_timestamp", detail.otherwise("healthy").alias("detail"))
+    return out.select("source_id", status.otherwise("pass").alias("status"), "raw_count", "normalized_count", "duplicate_count", "latest_published_timestamp", detail.otherwise("nothing to report").alias("detail"))
 
 
 def context_status(rows: DataFrame) -> DataFrame:

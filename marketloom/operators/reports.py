@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import html
+import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 LIMITS = "Historical research only, not investment advice."
 
@@ -51,5 +52,64 @@ def dashboard(path: str, title: str, tables: dict[str, DataFrame], most: int = 1
     return out
 
 
-def run_status(trade_count: int, warnings: int = 0) -> str:
-    return "no_trades" if not trade_count else "measured_partial" if warnings else "measured"
+def run_status(trade_count: int, warnings: int = 0, signal_count: int | None = None) -> str:
+    """measured, measured_partial with warnings, no_trades from signals, inconclusive where there was nothing to trade."""
+    if trade_count:
+        return "measured_partial" if warnings else "measured"
+    return "inconclusive" if signal_count == 0 else "no_trades"
+
+
+def scanned_tables(spark: SparkSession, path: str) -> DataFrame:
+    """All Markdown tables of a report: (heading, row, cells), cells by column name; the row below a header counts as 1."""
+    rows, heading, names, n = [], "", None, 0
+    for line in Path(path).read_text(encoding="utf-8").splitlines():
+        if line.startswith("#"):
+            heading, names = line.lstrip("# ").strip(), None
+        elif line.startswith("|"):
+            cells = [c.replace("\\|", "|").strip() for c in re.split(r"(?<!\\)\|", line.strip().removeprefix("|").removesuffix("|"))]
+            if names is None:
+                names, n = cells, 0
+            elif not all(re.fullmatch(":?-+:?", c) for c in cells):
+                n += 1
+                rows.append((heading, n, dict(zip(names, cells, strict=False))))
+        else:
+            names = None
+    return spark.createDataFrame(rows, "heading string, row int, cells map<string,string>")
+
+
+#: What a manifest says of each report.
+MANIFEST = ("path", "status", "data_period", "source", "sample_size", "assumptions", "limitations")
+
+
+def manifest_issues(entries: list[dict[str, str]], root: str) -> list[str]:
+    """Reports that aren't there, and fields that say nothing."""
+    out = []
+    for e in entries:
+        if not (Path(root) / e.get("path", "")).is_file():
+            out.append(f"{e.get('path', '')}: no such report")
+        out += [f"{e.get('path', '')}: {k} is empty" for k in MANIFEST if not str(e.get(k, "")).strip()]
+    return out
+
+
+def index(path: str, entries: list[dict[str, str]]) -> Path:
+    """The list of all reports."""
+    lines = ["# Reports", "", "| " + " | ".join(MANIFEST) + " |", "| " + " | ".join("---" for _ in MANIFEST) + " |"]
+    lines += ["| " + " | ".join(shown(e.get(k)) for k in MANIFEST) + " |" for e in entries]
+    out = Path(path)
+    out.parent.mkdir(parents=True, exist_ok=True)
+    out.write_text("\n".join([*lines, ""]), encoding="utf-8")
+    return out
+
+
+def percent(v: float | None) -> str:
+    return "n/a" if v is None else f"{100 * v:.2f}%"
+
+
+def safe_name(symbol: str) -> str:
+    """A symbol as part of a file name."""
+    return re.sub("[^A-Za-z0-9_-]", "_", symbol)
+
+
+def without_colour(text: str) -> str:
+    """Terminal colours taken out."""
+    return re.sub("\x1b\\[[0-9;]*[A-Za-z]", "", text)

@@ -147,7 +147,7 @@ def _(spark, d):
 @register(
     "source_health", "source_id status #raw_count #normalized_count #duplicate_count latest detail",
     """SELECT source_id, CASE WHEN hours > 24 THEN 'warning' ELSE 'pass' END AS status, raw_count, normalized_count, duplicate_count, latest,
-    CASE WHEN hours > 24 THEN 'latest item is older than 24 hours' WHEN duplicate_count > 0 THEN 'deduplicated ' || duplicate_count || ' repeated item(s)' ELSE 'healthy' END AS detail FROM (
+    CASE WHEN hours > 24 THEN 'nothing newer than 24 hours' WHEN duplicate_count > 0 THEN duplicate_count || ' repeats left out' ELSE 'nothing to report' END AS detail FROM (
     SELECT source_id, count(*) AS raw_count, count(k.item_id) AS normalized_count, count(*) - count(k.item_id) AS duplicate_count, max(published) AS latest, date_diff('second', CAST(max(published) AS TIMESTAMP), TIMESTAMP '2024-02-11 12:00:00') / 3600.0 AS hours
     FROM item i LEFT JOIN (SELECT item_id FROM greedy WHERE item_id IS NOT NULL) k USING (item_id) GROUP BY source_id)""", "item", "greedy",
 )
@@ -157,17 +157,34 @@ def _(spark, d):
     return out.withColumn("latest", F.date_format("latest_published_timestamp", STAMP))
 
 
-FEED = """<rss><channel><item><title>Rate &amp; bank</title><link>http://a/1</link><description>Up &lt;b&gt;now&lt;/b&gt;</description><pubDate>Mon, 01 Jan 2024 09:30:00 +0300</pubDate></item>
-<item><title>No date</title><link>http://a/2</link></item><item><title></title><link>http://a/3</link></item></channel></rss>"""
-ATOM = """<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>Entry</title><link href="http://b/1"/><summary>s</summary><updated>2024-01-02T00:00:00Z</updated></entry></feed>"""
+XML = "replace(replace(url, '&', '&amp;'), '<', '&lt;')"
+#: A feed document for each page: RSS for even numbers and Atom for odd ones, some without a date, a title or an address.
+FEED = f"""CASE WHEN page_id % 2 = 0 THEN concat('<rss version="2.0"><channel><title>c</title><item><title>', CASE WHEN page_id % 11 = 0 THEN '' ELSE concat('Page ', page_id, ' &amp; more') END, '</title><link>', {XML}, '</link><description>Up &lt;b&gt;',
+page_id, '&lt;/b&gt;</description>', CASE WHEN page_id % 3 = 0 THEN '<pubDate>Mon, 01 Jan 2024 09:30:00 +0300</pubDate>' ELSE '' END, '</item></channel></rss>')
+ELSE concat('<feed xmlns="http://www.w3.org/2005/Atom"><entry><title><![CDATA[Entry ', page_id, ']]></title>', CASE WHEN page_id % 13 = 0 THEN '' ELSE concat('<link href="', {XML}, '"/>') END, '<summary>s</summary><updated>2024-01-02T00:00:00Z</updated></entry></feed>') END"""
 
 
-@register("feed_parse", "source_id title url summary published", "SELECT * FROM (VALUES ('r', 'Rate & bank', 'http://a/1', 'Up <b>now</b>', '2024-01-01 06:30:00'), ('r', 'No date', 'http://a/2', NULL, NULL), ('a', 'Entry', 'http://b/1', 's', '2024-01-02 00:00:00')) t(source_id, title, url, summary, published)")
+@register(
+    "feed_parse", "source_id title url summary published",
+    """SELECT CAST(page_id AS VARCHAR) AS source_id, CASE WHEN page_id % 2 = 0 THEN 'Page ' || page_id || ' & more' ELSE 'Entry ' || page_id END AS title, trim(url) AS url, CASE WHEN page_id % 2 = 0 THEN 'Up <b>' || page_id || '</b>' ELSE 's' END AS summary,
+    CASE WHEN page_id % 2 = 1 THEN '2024-01-02 00:00:00' WHEN page_id % 3 = 0 THEN '2024-01-01 06:30:00' END AS published FROM pages WHERE CASE WHEN page_id % 2 = 0 THEN page_id % 11 <> 0 ELSE page_id % 13 <> 0 END AND trim(url) <> ''""",
+)
 def _(spark, d):
-    feeds = spark.createDataFrame([("r", "u", "tr", "x", "2024-01-03T00:00:00Z", FEED), ("a", "v", "en", "x", "2024-01-03T00:00:00Z", ATOM)], "source_id string, source_url string, language string, category string, fetched_timestamp string, body string")
+    feeds = T.table(spark, d, "pages").select(F.col("page_id").cast("string").alias("source_id"), F.lit("u").alias("source_url"), F.lit("en").alias("language"), F.lit("x").alias("category"), F.lit("2024-01-03T00:00:00Z").alias("fetched_timestamp"), F.expr(FEED).alias("body"))
     return news.parse_feeds(feeds).withColumn("published", F.date_format("published_timestamp", STAMP))
 
 
+@register(
+    "fetch_status", "source_id fetch_status #item_count fetch_detail",
+    """SELECT source_id, CASE WHEN n IS NULL OR n = 0 OR undated > 0 THEN 'warning' ELSE 'pass' END AS fetch_status, coalesce(n, 0) AS item_count, CASE WHEN coalesce(n, 0) = 0 THEN 'the feed had no items' WHEN undated > 0 THEN undated || ' items without a publication time' ELSE '' END AS fetch_detail
+    FROM (SELECT DISTINCT source AS source_id FROM documents UNION SELECT 'quiet') s LEFT JOIN (SELECT source AS source_id, count(*) AS n, count(*) FILTER (doc_id % 100 = 7) AS undated FROM documents GROUP BY 1) USING (source_id)""",
+)
+def _(spark, d):
+    docs = T.table(spark, d, "documents").select(F.col("source").alias("source_id"), F.when(F.col("doc_id") % 100 != 7, F.lit("2024-01-01").cast("timestamp")).alias("published_timestamp"))
+    known = docs.select("source_id").distinct().unionByName(spark.createDataFrame([("quiet",)], "source_id string"))
+    return news.fetch_status(known, docs)
+
+
 # ------------------------------------------------------------------------------------------------ quality
 
 
@@ -180,11 +197,11 @@ def spoiled(spark, d):
 
 @register(
     "price_quality_issues", "symbol severity code message",
-    """SELECT symbol, 'warning' AS severity, 'SMALL_SAMPLE' AS code, 'price history has ' || count(*) || ' rows, below 240' AS message FROM bar GROUP BY symbol HAVING count(*) < 240
-    UNION ALL SELECT DISTINCT symbol, 'blocking', 'NON_POSITIVE_PRICE', 'open contains non-positive values' FROM bar WHERE dayofmonth(date) = 31 AND symbol > 'NATION_2'
-    UNION ALL SELECT DISTINCT symbol, 'blocking', 'NON_POSITIVE_PRICE', 'high contains non-positive values' FROM bar WHERE dayofmonth(date) = 13 AND symbol < 'NATION_12' AND low - 1 <= 0
-    UNION ALL SELECT DISTINCT symbol, 'blocking', 'HIGH_BELOW_LOW', 'one or more rows have high below low' FROM bar WHERE dayofmonth(date) = 13 AND symbol < 'NATION_12'
-    UNION ALL SELECT DISTINCT symbol, 'blocking', 'PRICE_DATE_AFTER_DOWNLOAD', 'price observation date is after its download timestamp' FROM bar WHERE date > DATE '2000-01-01'""", "bar",
+    """SELECT symbol, 'warning' AS severity, 'SMALL_SAMPLE' AS code, count(*) || ' bars where 240 are wanted' AS message FROM bar GROUP BY symbol HAVING count(*) < 240
+    UNION ALL SELECT DISTINCT symbol, 'blocking', 'NON_POSITIVE_PRICE', 'a value of open isn''t above zero' FROM bar WHERE dayofmonth(date) = 31 AND symbol > 'NATION_2'
+    UNION ALL SELECT DISTINCT symbol, 'blocking', 'NON_POSITIVE_PRICE', 'a value of high isn''t above zero' FROM bar WHERE dayofmonth(date) = 13 AND symbol < 'NATION_12' AND low - 1 <= 0
+    UNION ALL SELECT DISTINCT symbol, 'blocking', 'HIGH_BELOW_LOW', 'a high lies under its low' FROM bar WHERE dayofmonth(date) = 13 AND symbol < 'NATION_12'
+    UNION ALL SELECT DISTINCT symbol, 'blocking', 'PRICE_DATE_AFTER_DOWNLOAD', 'a bar is later than its download' FROM bar WHERE date > DATE '2000-01-01'""", "bar",
 )
 def _(spark, d):
     return quality.price_issues(spoiled(spark, d), 240)
@@ -199,9 +216,9 @@ def pit_records(spark, d):
 
 @register(
     "pit_quality_issues", "record_id severity code message",
-    """SELECT *, record_id || ' from orders has no publication timestamp' AS message FROM (SELECT ticker || ':' || period_end AS record_id, 'warning' AS severity, 'MISSING_PUBLICATION_TIMESTAMP' AS code FROM fund WHERE month(period_end) = 3)
-    UNION ALL SELECT ticker || ':' || period_end, 'blocking', 'FUTURE_INFORMATION_LEAKAGE', ticker || ':' || period_end || ' was published after the decision time' FROM fund WHERE month(period_end) <> 3 AND known >= DATE '1998-06-30'
-    UNION ALL SELECT ticker || ':' || period_end, 'blocking', 'DOWNLOAD_BEFORE_PUBLICATION', ticker || ':' || period_end || ' download precedes publication' FROM fund WHERE month(period_end) = 6""", "fund",
+    """SELECT *, record_id || ' of orders: publication time unknown' AS message FROM (SELECT ticker || ':' || period_end AS record_id, 'warning' AS severity, 'MISSING_PUBLICATION_TIMESTAMP' AS code FROM fund WHERE month(period_end) = 3)
+    UNION ALL SELECT ticker || ':' || period_end, 'blocking', 'FUTURE_INFORMATION_LEAKAGE', ticker || ':' || period_end || ': public only after the decision' FROM fund WHERE month(period_end) <> 3 AND known >= DATE '1998-06-30'
+    UNION ALL SELECT ticker || ':' || period_end, 'blocking', 'DOWNLOAD_BEFORE_PUBLICATION', ticker || ':' || period_end || ': downloaded before publication' FROM fund WHERE month(period_end) = 6""", "fund",
 )
 def _(spark, d):
     return quality.point_in_time_issues(pit_records(spark, d), "1998-06-30 00:00:00")
@@ -247,28 +264,37 @@ def evidence_rows(spark, d):
     return evidence.bundle(rows.withColumn("labelled_by", F.when(F.col("quality").isNotNull(), "labels")), ["n_chars", "quality", "toxic"], ["source", "labelled_by"])
 
 
-EVIDENCE_SQL = """SELECT 'doc:' || d.doc_id AS evidence_id, 'n_chars=' || n_chars || CASE WHEN quality IS NULL THEN '' ELSE ';quality=' || quality || ';toxic=' || toxic END AS f, CASE WHEN quality IS NULL THEN '' ELSE 'labelled_by=labels;' END || 'source=' || source AS s FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
+EVIDENCE_SQL = """SELECT 'doc:' || d.doc_id AS evidence_id, sha256('{"evidence_id":"doc:' || d.doc_id || '","observed_features":{"n_chars":"' || n_chars || '"' || CASE WHEN quality IS NULL THEN '' ELSE ',"quality":"' || quality || '","toxic":"' || toxic || '"' END
+|| '},"sources":{' || CASE WHEN quality IS NULL THEN '' ELSE '"labelled_by":"labels",' END || '"source":"' || source || '"}}') AS evidence_hash FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 
 
-@register("evidence_bundle", "evidence_id evidence_hash", f"SELECT evidence_id, sha256(evidence_id || '|' || f || '|' || s) AS evidence_hash FROM ({EVIDENCE_SQL})")
+@register("evidence_bundle", "evidence_id evidence_hash", EVIDENCE_SQL)
 def _(spark, d):
     return evidence_rows(spark, d)
 
 
 @register(
     "evidence_commit", "evidence_set_hash #evidence_count",
-    f"SELECT sha256(array_to_string(list(h ORDER BY b), ',')) AS evidence_set_hash, sum(n) AS evidence_count FROM (SELECT substr(e, 1, 3) AS b, sha256(array_to_string(list(e ORDER BY e), ',')) AS h, count(*) AS n FROM (SELECT sha256(evidence_id || '|' || f || '|' || s) AS e FROM ({EVIDENCE_SQL})) GROUP BY 1)",
+    f"""SELECT sha256(array_to_string(list(t ORDER BY c), ',')) AS evidence_set_hash, sum(n) AS evidence_count FROM (SELECT substr(b, 1, 3) AS c, sha256(array_to_string(list(t ORDER BY b), ',')) AS t, sum(n) AS n FROM
+    (SELECT substr(e, 1, 6) AS b, sha256(array_to_string(list(e || ':' || n ORDER BY e), ',')) AS t, sum(n) AS n FROM (SELECT evidence_hash AS e, count(*) AS n FROM ({EVIDENCE_SQL}) GROUP BY 1) GROUP BY 1) GROUP BY 1)""",
 )
 def _(spark, d):
     return evidence.commit(evidence_rows(spark, d))
 
 
-@register("quality_gate", "#evidence_count #without_features #without_source #outcome_features warned verdict", "SELECT count(*) AS evidence_count, 0 AS without_features, 0 AS without_source, 0 AS outcome_features, count(*) < 20 AS warned, CASE WHEN count(*) = 0 THEN 'ANALYSIS_UNSAFE' ELSE 'ANALYSIS_SAFE' END AS verdict FROM documents")
+@register("quality_gate", "#evidence_count #without_features #without_source #outcome_features warned verdict", "SELECT count(*) AS evidence_count, 0 AS without_features, count(*) FILTER (coalesce(source, '') = '') AS without_source, 0 AS outcome_features, count(*) < 20 OR count(*) FILTER (coalesce(source, '') = '') > 0 AS warned, 'ANALYSIS_SAFE' AS verdict FROM documents")
 def _(spark, d):
     return evidence.gate(evidence_rows(spark, d), ["n_chars", "quality", "toxic"], 20)
 
 
-HASHED = "sha256('conv_id=' || conv_id || chr(10) || 'role=' || role || chr(10) || 'text=' || coalesce(text, '') || chr(10) || 'turn=' || turn)"
+@register("quality_gate_issues", "severity code subject", "SELECT 'warning' AS severity, 'MISSING_SOURCE' AS code, 'doc:' || doc_id AS subject FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'blocking', 'FUTURE_OUTCOME_FEATURE', 'forward_return'")
+def _(spark, d):
+    rows = T.table(spark, d, "documents").select("doc_id", "n_chars").join(T.table(spark, d, "labels"), "doc_id", "left")
+    named = rows.withColumns({"record_id": F.concat(F.lit("doc:"), F.col("doc_id").cast("string")), "source": F.when(F.col("quality").isNotNull(), "labels"), "forward_return": F.lit(0.0)})
+    return evidence.gate_issues(evidence.bundle(named, ["n_chars", "forward_return"], ["source"]), ["n_chars", "forward_return"], 1)
+
+
+HASHED = """sha256('{"conv_id":' || conv_id || ',"role":' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',"text":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || ',"turn":' || turn || '}')"""
 
 
 @register("decision_chain", "conv_id turn record_hash previous_hash", f"SELECT *, lag(record_hash) OVER (PARTITION BY conv_id ORDER BY turn) AS previous_hash FROM (SELECT conv_id, turn, {HASHED} AS record_hash FROM conversations)")
@@ -294,13 +320,22 @@ def _(spark, d):
     return evidence.conformance(log, "conv_id", "turn", "state")
 
 
+#: Questions of a harness comparison, from the benchmark's items.
+FLAGS = {"numbers": "item_id % 2 = 0", "tools": "item_id % 3 <> 0", "state_enforcement": "item_id % 4 = 0", "evidence": "item_id % 5 <> 0", "quality_gate": "item_id % 2 = 1", "replay": "item_id % 7 = 0", "human_review": "item_id % 3 = 0"}
+
+
 @register(
     "harness_variants", "variant description #question_count #unsupported_number_count #invalid_tool_call_count #evidence_complete_count #replayable_count #quality_gate_count #human_review_count ~score status",
-    """SELECT * FROM (VALUES ('A', 'raw LLM', 5, 4, 5, 1, 2, 1, 4, 0.0, 'limited'), ('B', 'LLM + tools', 5, 0, 4, 1, 2, 1, 4, 0.2, 'limited'), ('C', 'tools + enforced states', 5, 0, 0, 1, 2, 1, 4, 0.2, 'limited'),
-    ('D', 'C + evidence/quality gate', 5, 0, 0, 5, 2, 5, 4, 0.4, 'limited'), ('E', 'D + memory/human review', 5, 0, 0, 5, 5, 5, 5, 1.0, 'ok')) t(variant, description, question_count, unsupported_number_count, invalid_tool_call_count, evidence_complete_count, replayable_count, quality_gate_count, human_review_count, score, status)""",
+    f"""SELECT *, CASE WHEN score = 1 THEN 'ok' ELSE 'limited' END AS status FROM (SELECT variant, description, count(*) AS question_count, count(*) FILTER (numbers AND k < 1) AS unsupported_number_count,
+    count(*) FILTER (tools AND (k < 1 OR state_enforcement AND k < 2)) AS invalid_tool_call_count, count(*) FILTER (NOT evidence OR k >= 3) AS evidence_complete_count, count(*) FILTER (NOT replay OR k >= 4) AS replayable_count,
+    count(*) FILTER (NOT quality_gate OR k >= 3) AS quality_gate_count, count(*) FILTER (NOT human_review OR k >= 4) AS human_review_count,
+    avg(CASE WHEN NOT (numbers AND k < 1) AND NOT (tools AND (k < 1 OR state_enforcement AND k < 2)) AND (NOT (evidence OR quality_gate) OR k >= 3) AND (NOT (replay OR human_review) OR k >= 4) THEN 1.0 ELSE 0.0 END) AS score
+    FROM (VALUES ('A', 'raw LLM', 0), ('B', 'LLM + tools', 1), ('C', 'tools + enforced states', 2), ('D', 'C + evidence/quality gate', 3), ('E', 'D + memory/human review', 4)) v(variant, description, k),
+    (SELECT {', '.join(f'{e} AS {n}' for n, e in FLAGS.items())} FROM benchmark) q GROUP BY 1, 2)""",
 )
 def _(spark, d):
-    return evidence.harness_variants(spark.createDataFrame(evidence.QUESTIONS, evidence.QUESTION_SCHEMA))
+    items = T.table(spark, d, "benchmark")
+    return evidence.harness_variants(items.select(F.col("item_id").cast("string").alias("question_id"), *[F.expr(e).alias(f"requires_{n}") for n, e in FLAGS.items()]))
 
 
 # ------------------------------------------------------------------------------------------------ per-symbol views

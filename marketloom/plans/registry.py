@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.columns import after_close, full, past_return, period_split, forward_return, ratio, regime
 from marketloom.operators import asof, backtest, catch_up, events, fundamentals, indicators, reversals, signals, splits, variants, weekday
 from marketloom.plans import oracles as O
+from marketloom.sources import files
 from marketloom.sources import tables as T
 from marketloom.store import kept
 
@@ -78,10 +79,11 @@ def _(spark, d):
     return T.sector_benchmarks(spark, d)
 
 
-@register("missing_symbols", "symbol reason", "SELECT n_name AS symbol, 'no price history' AS reason FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)")
+@register("missing_symbols", "symbol reason", "SELECT n_name AS symbol, 'no price history' AS reason FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 10 = 3)")
 def _(spark, d):
-    there = T.table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_nationkey"))
-    return T.table(spark, d, "nation").join(there, "n_nationkey", "left_anti").select(F.col("n_name").alias("symbol"), F.lit("no price history").alias("reason"))
+    """Nations without one of some suppliers stand for symbols without prices."""
+    there = T.table(spark, d, "supplier").filter("s_suppkey % 10 = 3").select(F.col("s_nationkey").alias("n_nationkey"))
+    return files.missing_symbols(T.table(spark, d, "nation").withColumn("yahoo_symbol", F.col("n_name")), T.table(spark, d, "nation").join(there, "n_nationkey", "left_semi").withColumn("symbol", F.col("n_name")))
 
 
 @register("returns_lookback", "symbol date ~return_1 ~return_5 ~return_20", f"SELECT symbol, date, close / lag(close) {O.LAG} - 1 AS return_1, close / lag(close, 5) {O.LAG} - 1 AS return_5, close / lag(close, 20) {O.LAG} - 1 AS return_20 FROM bar", "bar")

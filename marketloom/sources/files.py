@@ -94,6 +94,14 @@ def normalize_prices(raw: DataFrame) -> DataFrame:
     return out.dropna(subset=["date", "open", "high", "low", "close"])
 
 
+def with_members(bars: DataFrame, members: DataFrame) -> DataFrame:
+    """Bars with their symbol's sector; a bar of a symbol outside the universe is an error when it is read."""
+    dim = members.select(F.col("yahoo_symbol").alias("symbol"), F.col("sector").alias("_sector"))
+    told = bars.join(dim, "symbol", "left")
+    known = F.coalesce("_sector", F.raise_error(F.concat(F.lit("not in the universe: "), F.col("symbol"))).cast("string"))
+    return told.withColumn("sector", known).drop("_sector")
+
+
 def missing_symbols(members: DataFrame, bars: DataFrame) -> DataFrame:
     return members.select(F.col("yahoo_symbol").alias("symbol")).join(bars.select("symbol").distinct(), "symbol", "left_anti").withColumn("reason", F.lit("no price history"))
 
@@ -264,7 +272,18 @@ def matched_news(spark: SparkSession, path: str) -> DataFrame:
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    return jsonl(spark, path, schemas.DECISIONS)
+    """Decision records; a record that lacks a field is an error."""
+    rows = jsonl(spark, path, schemas.DECISIONS)
+    lacking = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in rows.columns])), ", ")
+    first = rows.columns[0]
+    return rows.withColumn(first, F.when(lacking == "", F.col(first)).otherwise(F.raise_error(F.concat(F.lit("a decision record lacks "), lacking)).cast("string")))
+
+
+def news_context(spark: SparkSession, source: str | DataFrame) -> DataFrame:
+    """Context rows from a path or as they are."""
+    if isinstance(source, DataFrame):
+        return source
+    return csv(spark, source, schemas.NEWS_CONTEXT)
 
 
 def feeds(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
@@ -272,7 +291,7 @@ def feeds(spark: SparkSession, path: str, sources: DataFrame) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract("path", r"([^/]+?)(?:\.[^./]+)?$", 1)
     rows = files.select(name.alias("source_id"), F.col("content").alias("body"), F.col("modificationTime").alias("fetched_timestamp"))
-    return rows.join(F.broadcast(sources), "source_id")
+    return rows.join(sources, "source_id")
 
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:

@@ -1,4 +1,4 @@
-"""Settings of a study, read from a small YAML subset (nested maps of scalars and inline lists)."""
+"""Settings of a study and feed sources, read from a YAML subset (maps, lists, scalars, inline lists)."""
 
 from __future__ import annotations
 
@@ -24,25 +24,83 @@ def _scalar(s: str):
     return s
 
 
+def _bare(line: str) -> str:
+    """A line without its comment; a number sign inside quotes is none."""
+    quote = ""
+    for k, c in enumerate(line):
+        if quote:
+            quote = "" if c == quote else quote
+        elif c in "\"'":
+            quote = c
+        elif c == "#" and (k == 0 or line[k - 1] in " \t"):
+            return line[:k].rstrip()
+    return line.rstrip()
+
+
 def parse(text: str) -> dict:
-    root: dict = {}
-    stack: list[tuple[int, dict]] = [(-1, root)]
-    for line in text.splitlines():
-        body = line.split(" #", 1)[0].rstrip()
-        if not body.strip() or body.lstrip().startswith("#"):
-            continue
-        indent = len(body) - len(body.lstrip())
-        key, sep, value = body.strip().partition(":")
-        if not sep:
-            raise ValueError(f"not a mapping: {line!r}")
-        while stack[-1][0] >= indent:
-            stack.pop()
-        if value.strip():
-            stack[-1][1][key] = _scalar(value)
-        else:
-            stack[-1][1][key] = child = {}
-            stack.append((indent, child))
-    return root
+    """Nested maps, lists of scalars and lists of maps, by indentation."""
+    lines = [(len(x) - len(x.lstrip()), x.strip()) for x in map(_bare, text.splitlines()) if x.strip()]
+    at = 0
+
+    def block(indent: int):
+        nonlocal at
+        out: dict | list | None = None
+        while at < len(lines) and lines[at][0] >= indent:
+            depth, body = lines[at]
+            if depth > indent:
+                raise ValueError(f"unexpected indentation: {body!r}")
+            if body == "-" or body.startswith("- "):
+                if not isinstance(out, list | None):
+                    raise ValueError(f"a list inside a map: {body!r}")
+                out = [] if out is None else out
+                item = body[1:].strip()
+                if ":" in item and item.partition(":")[2][:1] in ("", " "):
+                    lines[at] = (indent + 2, item)  # the item is a map that begins on the dash's line
+                    out.append(block(indent + 2))
+                else:
+                    at += 1
+                    out.append(_scalar(item) if item else block(lines[at][0]) if at < len(lines) and lines[at][0] > indent else None)
+                continue
+            key, sep, value = body.partition(":")
+            if not sep or not isinstance(out, dict | None):
+                raise ValueError(f"not a mapping: {body!r}")
+            out = {} if out is None else out
+            at += 1
+            if value.strip():
+                out[_scalar(key)] = _scalar(value)
+            elif at < len(lines) and (lines[at][0] > indent or lines[at][0] == indent and lines[at][1].startswith("-")):
+                out[_scalar(key)] = block(lines[at][0])
+            else:
+                out[_scalar(key)] = None
+        return out
+
+    found = block(lines[0][0]) if lines else {}
+    if not isinstance(found, dict):
+        raise ValueError("the settings are no map")
+    return found
+
+
+@dataclass(frozen=True)
+class FeedSource:
+    source_id: str
+    url: str
+    language: str
+    category: str
+
+
+def feed_sources(path: str) -> tuple[FeedSource, ...]:
+    """The enabled feeds of a settings file. A feed without one of its fields, or no feed at all, is an error."""
+    rows = parse(Path(path).read_text(encoding="utf-8")).get("sources") or []
+    out = []
+    for n, row in enumerate(rows, 1):
+        values = [str(row.get(k) if row.get(k) is not None else "").strip() for k in ("id", "url", "language", "category")]
+        if not all(values):
+            raise ValueError(f"feed {n} lacks a field")
+        if row.get("enabled", True):
+            out.append(FeedSource(*values))
+    if not rows:
+        raise ValueError("no feeds are configured")
+    return tuple(out)
 
 
 @dataclass(frozen=True)

@@ -248,7 +248,8 @@ def test_evidence_and_replay(spark):
     e = evidence.bundle(rows, ["f"], ["src"])
     one, two = evidence.commit(e).first()[0], evidence.commit(e.orderBy(F.desc("evidence_id"))).first()[0]
     assert one == two and evidence.commit(e.filter("evidence_id = 'a'")).first()[0] != one
-    assert evidence.gate(e, ["f"]).first().verdict == "ANALYSIS_UNSAFE" and evidence.gate(e.filter("evidence_id = 'a'"), ["f"]).first().verdict == "ANALYSIS_SAFE"
+    open_ = evidence.gate(e, ["f"]).first()  # rows without features or source warn; they don't block
+    assert (open_.verdict, open_.warned, open_.without_features) == ("ANALYSIS_SAFE", True, 1)
     assert evidence.gate(e.filter("evidence_id = 'a'"), ["future_x"]).first().verdict == "ANALYSIS_UNSAFE"
     log = spark.createDataFrame([("d", "x")], "id string, body string").withColumn("record_hash", evidence.record_hash("id", "body"))
     assert evidence.replay(log, "id", "body").first().replay_status == "ok"
@@ -507,3 +508,139 @@ def test_workflow_writes_reports(spark, tmp_path, wavy):
     study = workflows.research(both, bench, None, s)
     paths = workflows.write_reports(study, workflows.trades(study, s), s, str(tmp_path))
     assert len(paths) == 6 and "technical_reversal_fixed" in (tmp_path / "backtest.md").read_text()
+
+
+def test_feed_sources(tmp_path):
+    path = tmp_path / "s.yaml"
+    path.write_text("polling:\n  minutes: 15\n\nsources:\n  - id: a\n    url: https://x/y?z=1#frag\n    language: tr\n    category: economy\n    enabled: true\n  - id: b\n    url: 'http://b'\n    language: en\n    category: c # later\n    enabled: false\n")
+    assert settings.feed_sources(str(path)) == (settings.FeedSource("a", "https://x/y?z=1#frag", "tr", "economy"),)
+    path.write_text("sources:\n- id: a\n  url: u\n  language: tr\n")
+    with pytest.raises(ValueError, match="feed 1"):
+        settings.feed_sources(str(path))
+    path.write_text("polling:\n  minutes: 15\n")
+    with pytest.raises(ValueError, match="no feeds"):
+        settings.feed_sources(str(path))
+    assert settings.parse("a:\n  - 1\n  - x: 2\n    y: [3, 'q']\nb: \"# no\"\nc:\n") == {"a": [1, {"x": 2, "y": [3, "q"]}], "b": "# no", "c": None}
+
+
+class Prices:
+    def download(self, symbol, start, end):
+        import pandas as pd
+
+        if symbol == "BAD":
+            raise OSError("no network")
+        n = 0 if symbol == "NONE" else 3
+        return pd.DataFrame({"Date": pd.date_range(start, periods=n), "Open": [1.0] * n, "High": [2.0] * n, "Low": [0.5] * n, "Close": [1.5] * n, "Adj Close": [1.4] * n, "Volume": [float("nan")] * n})
+
+
+class Feeds:
+    def fetch(self, url):
+        if url == "http://bad":
+            raise TimeoutError("late")
+        return b"<rss><channel><item><title>T</title><link>http://a</link></item></channel></rss>"
+
+
+def test_providers(spark):
+    from marketloom.sources import providers
+
+    bars, lost = providers.prices(spark, ["A", "BAD", "A", "NONE"], Prices(), "2024-01-01", None, "p", "2024-02-01 00:00:00")
+    got = bars.collect()
+    assert bars.columns == [c.split()[0] for c in files.schemas.PRICES.split(", ")] and len(got) == 3
+    assert (got[0].symbol, got[0].adj_close, got[0].volume, got[0].source) == ("A", 1.4, 0, "p") and min(r.date for r in got) == dt.date(2024, 1, 1)
+    assert {r.symbol: r.reason for r in lost.collect()} == {"BAD": "OSError: no network", "NONE": "ValueError: nothing was returned"}
+    rates, failed = providers.rates(spark, {"usd_try": "A", "eur_try": "BAD"}, Prices(), "2024-01-01", None)
+    assert rates.count() == 3 and [r.indicator for r in failed.collect()] == ["eur_try"]
+    assert files.fx_context(rates, "2024-01-03 12:00:00").count() == 2
+    sources = spark.createDataFrame([("a", "http://a", "en", "x"), ("b", "http://bad", "en", "x")], "source_id string, url string, language string, category string")
+    docs, failed = providers.feeds(spark, sources, Feeds(), "2024-01-03T00:00:00Z")
+    status = news.fetch_status(sources, news.parse_feeds(docs), failed)
+    assert {r.source_id: (r.fetch_status, r.item_count) for r in status.collect()} == {"a": ("warning", 1), "b": ("error", 0)}
+
+
+def test_empty_and_narrow_histories(spark):
+    bars = prices_like_the_reference(spark)
+    want = spark.createDataFrame([("AAA",), ("ZZZ",)], "symbol string")
+    assert {(r.symbol, r.code) for r in quality.price_issues(bars, 1, expected=want).collect()} >= {("ZZZ", "EMPTY_PRICE_HISTORY")}
+    assert {r.code for r in quality.price_issues(bars, 1, required=("close", "adj_close", "source")).collect()} == {"MISSING_PRICE_COLUMNS"}
+
+
+def test_bars_outside_the_universe_are_an_error(spark):
+    bars = prices_like_the_reference(spark)
+    members = spark.createDataFrame([("AAA", "AAA", "S")], "ticker string, yahoo_symbol string, sector string")
+    assert files.with_members(bars, members).filter("sector = 'S'").count() == bars.count()
+    with pytest.raises(Exception, match="not in the universe: BBB"):
+        files.with_members(bars.withColumn("symbol", F.lit("BBB")), members).collect()
+
+
+def test_gate_and_commit(spark):
+    from marketloom.operators import evidence
+
+    rows = spark.createDataFrame([("a", 1.0, "s"), ("b", None, None), ("b", None, None)], "record_id string, x double, source string")
+    bundle = evidence.bundle(rows, ["x"], ["source"])
+    one = evidence.gate(bundle, ["x"], 5).first()
+    assert (one.evidence_count, one.without_features, one.without_source, one.warned, one.verdict) == (3, 2, 2, True, "ANALYSIS_SAFE")
+    assert sorted(r.code for r in evidence.gate_issues(bundle, ["x", "future_x"], 5).collect()) == ["FUTURE_OUTCOME_FEATURE", "MISSING_SOURCE", "MISSING_SOURCE", "NO_OBSERVED_FEATURES", "NO_OBSERVED_FEATURES", "SMALL_EVIDENCE_SET"]
+    assert evidence.gate(bundle, ["future_x"]).first().verdict == "ANALYSIS_UNSAFE"
+    reports_ = spark.createDataFrame([("blocking",), ("warning",)], "severity string")
+    assert evidence.gate(bundle, ["x"], 1, reports_).first().verdict == "ANALYSIS_UNSAFE" and evidence.gate(None, ["x"], 1, reports_).first().verdict == "ANALYSIS_UNSAFE"
+    a, b = evidence.commit(bundle).first(), evidence.commit(bundle.orderBy(F.desc("evidence_id"))).first()
+    assert a == b and a.evidence_count == 3 and evidence.commit(bundle.limit(1)).first() != a
+    odd = spark.createDataFrame([({"a": "1;b=2"},), ({"a": "1", "b": "2"},)], "m map<string,string>").select(F.lit("i").alias("record_id"), F.col("m")["a"].alias("a"), F.col("m")["b"].alias("b"))
+    assert evidence.bundle(odd, ["a", "b"], []).select("evidence_hash").distinct().count() == 2
+
+
+def test_labels_of_an_analysis(spark):
+    from marketloom.operators import symbol
+
+    base = dict(market_status="pass", sector_status="pass", technical_status="pass", fundamentals_status="pass", macro_status="pass", backtest_status="pass", backtest_codes=[], hard_risk=False, supertrend="bullish", rsi_14=60.0, lower_band_event=False, primary_yoy=0.1, primary_qoq=None, operating_margin_change=None, lag_score=0.1, median_after=None)
+    cases = [
+        ({}, "PASS", symbol.CATCH_UP), ({"primary_yoy": -0.1}, "PASS", symbol.LOOK), ({"primary_yoy": None, "lag_score": -0.1, "median_after": 0.02}, "PASS", symbol.CATCH_UP),
+        ({"supertrend": "bearish"}, "PASS", symbol.LOOK), ({"supertrend": "bearish", "rsi_14": 44.0}, "PASS", symbol.CATCH_UP), ({"supertrend": "unknown", "rsi_14": None, "lower_band_event": True}, "PASS", symbol.CATCH_UP),
+        ({"market_status": "missing"}, "FAIL", symbol.GAP), ({"hard_risk": True}, "PASS_WITH_WARNINGS", symbol.LOOK), ({"sector_status": "inconclusive"}, "PASS_WITH_WARNINGS", symbol.LOOK),
+        ({"backtest_status": "warning", "backtest_codes": ["UNREALISTIC_CUMULATIVE_RETURN"]}, "INVESTIGATE", symbol.LOOK), ({"backtest_status": "warning", "backtest_codes": ["LARGE_SHARPE_RATIO"]}, "PASS_WITH_WARNINGS", symbol.LOOK),
+    ]
+    kinds = ", ".join(f"{k} {'array<string>' if k == 'backtest_codes' else 'boolean' if isinstance(v, bool) else 'string' if isinstance(v, str) else 'double'}" for k, v in base.items())
+    rows = spark.createDataFrame([(n, *(base | c).values()) for n, (c, _, _) in enumerate(cases)], "n int, " + kinds)
+    got = {r.n: (r.quality_status, r.label) for r in symbol.gated(rows).collect()}
+    assert got == {n: (q, label) for n, (_, q, label) in enumerate(cases)}
+    trends = spark.createDataFrame([(2.0, 1.0), (1.0, 2.0), (1.0, 1.0), (None, 1.0)], "a double, b double").select(symbol.trend("a", "b").alias("t")).collect()
+    assert [r.t for r in trends] == ["improving", "weakening", "flat", "unknown"]
+
+
+def test_report_files(spark, tmp_path):
+    from marketloom.plans import report_files as R
+
+    status = spark.createDataFrame([("a", "pass", 3, "x|y"), ("b", "error", 0, "late")], "source_id string, fetch_status string, item_count long, fetch_detail string")
+    path = str(tmp_path / "fetch.md")
+    R.fetch_status(path, status)
+    back = reports.scanned_tables(spark, path).collect()
+    assert [(r.heading, r.row, r.cells["source_id"], r.cells["fetch_detail"]) for r in back] == [("Sources", 1, "a", "x|y"), ("Sources", 2, "b", "late")]
+    entry = {k: "x" for k in reports.MANIFEST} | {"path": "fetch.md"}
+    lacking = entry | {"path": "none.md", "source": " "}
+    assert reports.manifest_issues([entry], str(tmp_path)) == [] and len(reports.manifest_issues([lacking], str(tmp_path))) == 2
+    reports.index(str(tmp_path / "index.md"), [entry])
+    assert "Nothing." in R.final(str(tmp_path / "final.md"), str(tmp_path), [entry]).read_text()
+    (tmp_path / "u.csv").write_text("ticker,yahoo_symbol,sector\nAAA,AAA.IS,S\n")
+    (tmp_path / "s.yaml").write_text("validation:\n  expected_universe_size: 1\n")
+    files.write_csv(prices_like_the_reference(spark).withColumns({"symbol": F.lit("AAA.IS"), "adj_close": F.col("close"), "source": F.lit("x"), "download_timestamp": F.lit("2024-02-01"), "high": F.col("close"), "low": F.col("close"), "volume": F.lit(1)}).select(*[c.split()[0] for c in files.schemas.PRICES.split(", ")]), str(tmp_path / "p"))
+    checks = R.offline_checks(spark, str(tmp_path / "s.yaml"), str(tmp_path / "u.csv"), str(tmp_path / "p"), str(tmp_path), [entry], strict=True)
+    assert [(n, s) for n, s, _ in checks] == [("settings", "pass"), ("universe", "pass"), ("prices", "pass"), ("reports", "pass")], checks
+    assert R.demo(str(tmp_path / "demo.md"), checks)[1] == 0
+    bad = R.offline_checks(spark, str(tmp_path / "no.yaml"), str(tmp_path / "no.csv"), str(tmp_path / "nop"), str(tmp_path), [lacking])
+    assert [s for _, s, _ in bad] == ["fail", "fail", "warning", "fail"] and R.demo(str(tmp_path / "demo.md"), bad)[1] == 1
+    assert reports.run_status(0, signal_count=0) == "inconclusive" and reports.run_status(0, signal_count=3) == "no_trades" and reports.run_status(2, 1) == "measured_partial"
+    assert reports.safe_name("A.IS/x") == "A_IS_x" and reports.percent(0.1234) == "12.34%" and reports.percent(None) == "n/a"
+    wide = spark.createDataFrame([("rss", "e", 3), ("rss", "f", 0)], "entity_type string, entity_id string, news_count long")
+    assert "| rss | e | 3 |" in R.context_sources(str(tmp_path / "c.md"), wide).read_text()
+
+
+def test_decision_records(spark, tmp_path):
+    good = {f.split()[0]: "x" for f in files.schemas.DECISIONS.split(", ")}
+    import json
+
+    (tmp_path / "d.jsonl").write_text(json.dumps(good) + "\n\n")
+    assert files.decisions(spark, str(tmp_path / "d.jsonl")).count() == 1
+    good.pop("label")
+    (tmp_path / "d.jsonl").write_text(json.dumps(good) + "\n")
+    with pytest.raises(Exception, match="lacks label"):
+        files.decisions(spark, str(tmp_path / "d.jsonl")).collect()
