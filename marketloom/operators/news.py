@@ -156,8 +156,11 @@ def context(items: DataFrame, matches: DataFrame, key: str, decision: str, lookb
     public = items.filter(F.col("published_timestamp").between(at - F.make_dt_interval(F.lit(lookback_days)), at)).select(key, "source_id", "url", "published_timestamp")
     hits = matches.withColumn("entity", F.concat_ws(":", "entity_type", "entity_id")).join(public, key)
     per_item = hits.select("entity", key, "source_id", "url", "published_timestamp").distinct()
-    urls = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("published_timestamp", F.col(key), "url"))), lambda x: x["url"]))
-    agg = per_item.groupBy("entity").agg(F.count("*").alias("news_count"), F.count_distinct("source_id").alias("source_count"), F.max("published_timestamp").alias("latest_news_timestamp"), urls.alias("evidence_urls"))
+    agg = per_item.groupBy("entity").agg(F.count("*").alias("news_count"), F.count_distinct("source_id").alias("source_count"), F.max("published_timestamp").alias("latest_news_timestamp"))
+    # of repeated addresses only the first is gathered: the list holds what the result shows
+    first = per_item.groupBy("entity", "url").agg(F.min(F.struct("published_timestamp", F.col(key).alias("item"))).alias("at"))
+    urls = F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x["url"])
+    agg = agg.join(first.groupBy("entity").agg(urls.alias("evidence_urls")), "entity")
     # terms of an item count for each of its entities
     terms = per_item.select("entity", key).join(matches.select(key, "matched_term"), key).groupBy("entity").agg(F.array_sort(F.collect_set("matched_term")).alias("matched_terms"))
     out = agg.join(terms, "entity", "left")
@@ -215,12 +218,15 @@ def context_status(rows: DataFrame) -> DataFrame:
     blank = lambda c: F.col(c).isNull() | (F.trim(F.col(c).cast("string")) == "")
     late = F.coalesce(F.col("latest_news_timestamp").cast("timestamp") > F.col("decision_timestamp").cast("timestamp"), F.lit(False))
     safe = F.col("latest_news_timestamp").isNotNull() & ~late
-    urls = F.flatten(F.transform(F.array_sort(F.collect_list(F.when(safe, F.struct("entity_type", "entity_id", "evidence_urls")))), lambda x: F.split(x["evidence_urls"], ";")))
     one = active.agg(
         F.count("*").alias("rows"), F.coalesce(F.sum(F.when(safe, F.col("news_count"))), F.lit(0)).alias("evidence_count"), F.coalesce(F.sum(F.when(safe, F.col("source_count"))), F.lit(0)).alias("source_count"),
-        F.max(F.when(safe, F.col("latest_news_timestamp"))).alias("latest_timestamp"), F.array_join(F.slice(F.array_distinct(F.filter(urls, lambda u: u != "")), 1, 5), ";").alias("evidence_urls"),
-        F.bool_or(blank("latest_news_timestamp")).alias("w1"), F.bool_or(blank("evidence_urls")).alias("w2"), F.bool_or(late).alias("w3"),
+        F.max(F.when(safe, F.col("latest_news_timestamp"))).alias("latest_timestamp"), F.bool_or(blank("latest_news_timestamp")).alias("w1"), F.bool_or(blank("evidence_urls")).alias("w2"), F.bool_or(late).alias("w3"),
     )
+    # the first five addresses in the order of entities: a top-k, whatever the number of rows
+    each = active.filter(safe).select("entity_type", "entity_id", F.posexplode(F.split("evidence_urls", ";")).alias("n", "url")).filter("url <> ''")
+    top = each.groupBy("url").agg(F.min(F.struct("entity_type", "entity_id", "n")).alias("at")).orderBy("at").limit(5)
+    shown = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x["url"]), ";")
+    one = one.join(F.broadcast(top.agg(shown.alias("evidence_urls"))), F.lit(True))  # one row each
     warnings = F.array_compact(F.array(F.when(F.col("rows") == 0, F.lit("EMPTY_RSS_CONTEXT")), F.when(F.col("w1"), F.lit("RSS_CONTEXT_MISSING_TIMESTAMP")), F.when(F.col("w2"), F.lit("RSS_CONTEXT_MISSING_EVIDENCE_URLS")), F.when(F.col("w1"), F.lit("RSS_CONTEXT_INVALID_TIMESTAMP")), F.when(F.col("w3"), F.lit("RSS_CONTEXT_FUTURE_TIMESTAMP"))))
     one = one.withColumn("_w", warnings)
     status = F.when(F.col("evidence_count") <= 0, "unavailable").when(F.size("_w") > 0, "warning").otherwise("available")
