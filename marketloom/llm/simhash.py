@@ -3,8 +3,8 @@
 1. One Arrow pass gives each row its 64-bit fingerprint over word shingles (XXH64, majority of bits).
 2. Equal fingerprints collapse to one node, so a group of copies of any size is one row from here on.
 3. Candidates: the 64 bits are four blocks; two fingerprints within radius 2 agree in two whole blocks at least, so six
-   tables keyed by two blocks (32 bits) hold every link. Buckets above ``HOT`` nodes are dealt anew by a third of the
-   remaining bits (again no link can be lost), so no bucket's comparison stays in one task.
+   tables keyed by two blocks (32 bits) hold every link. Buckets above ``HOT`` nodes are dealt anew by parts of the remaining
+   bits, until none is left (again no link can be lost), so no task compares a large bucket.
 4. In a bucket, bit planes lie vertically in machine words: one XOR per plane updates the distances of 64 fingerprints,
    carry-save counters hold them as bits, and a block is abandoned once all its distances exceed the radius.
    A bucket emits a spanning forest of its links, never all pairs.
@@ -51,6 +51,7 @@ RADIUS = 2
 SEED = 42
 BLOCKS = 4
 HOT = 2048
+FREE = 9
 TILE = 512
 COPY_SHINGLE = 5
 #: Least Jaccard similarity of near copies, as a fraction of integers.
@@ -184,7 +185,7 @@ def _signed(mask: int) -> int:
 
 
 def _linked(buckets: DataFrame, radius: int) -> DataFrame:
-    """Links inside buckets (kind, key, fp); equal keys lie in one partition, sorted, and stream through."""
+    """Links inside buckets (mask, key, fp); equal keys lie in one partition, sorted, and stream through."""
 
     def each(batches):
         held_key, held = None, []  # the bucket that may go on in the next batch
@@ -233,25 +234,35 @@ def _linked(buckets: DataFrame, radius: int) -> DataFrame:
         yield from close()
         yield from flush()
 
-    return buckets.select("kind", "key", "fp").mapInArrow(each, "a long, b long")
+    return buckets.select("mask", "key", "fp").mapInArrow(each, "a long, b long")
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints whose transitive closure is that of all links within the radius."""
+    """Pairs (a, b) of distinct fingerprints whose transitive closure is that of all links within the radius.
+
+    A bucket is a mask and the bits under it. One above ``hot`` nodes is dealt anew by each of radius + 1 blocks of the bits that
+    its mask leaves free, one of which any link agrees in, and so on. With ``FREE`` free bits a bucket can't hold more than
+    2 ** FREE fingerprints, so this ends after a few rounds with no bucket above both bounds.
+    """
     assert radius < BLOCKS
+    free = lambda m: [b for b in range(64) if not m >> b & 1]
+    bucket = lambda m: F.struct(F.lit(_signed(m)).alias("mask"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
     masks = _masks(list(range(64)), BLOCKS, BLOCKS - radius)
-    keyed = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(masks)])).alias("k")).select("k.kind", "k.key", "fp")
-    sizes = stored(keyed.groupBy("kind", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("kind", "key"), "hot-buckets")
-    dealt = keyed
-    if not sizes.isEmpty():
-        finer = []
-        for n, m in enumerate(masks):
-            rest = [b for b in range(64) if not m >> b & 1]
-            for k, x in enumerate(_masks(rest, radius + 1, 1)):
-                finer.append(F.when(F.col("kind") == n, F.struct(F.lit(len(masks) + n * (radius + 1) + k).alias("kind"), F.col("fp").bitwiseAND(F.lit(_signed(m | x))).alias("key"))))
-        large = keyed.join(sizes, ["kind", "key"], "left_semi").select("fp", F.explode(F.array_compact(F.array(*finer))).alias("k")).select("k.kind", "k.key", "fp")
-        dealt = keyed.join(sizes, ["kind", "key"], "left_anti").unionByName(large)
-    return _linked(dealt.repartition("kind", "key").sortWithinPartitions("kind", "key"), radius)
+    keyed = nodes.select("fp", F.explode(F.array(*map(bucket, masks))).alias("k")).select("k.mask", "k.key", "fp")
+    done = []
+    while masks := [m for m in masks if len(free(m)) > FREE]:
+        large = F.col("mask").isin([_signed(m) for m in masks])
+        sizes = stored(keyed.filter(large).groupBy("mask", "key").agg(F.count("*").alias("n")).filter(F.col("n") > hot).select("mask", "key"), "hot-buckets")
+        if sizes.isEmpty():
+            break
+        done.append(keyed.join(sizes, ["mask", "key"], "left_anti"))
+        finer = {m: [m | x for x in _masks(free(m), radius + 1, 1)] for m in masks}
+        anew = F.coalesce(*[F.when(F.col("mask") == _signed(m), F.array(*map(bucket, f))) for m, f in finer.items()])
+        keyed = stored(keyed.join(sizes, ["mask", "key"], "left_semi").select("fp", F.explode(anew).alias("k")).select("k.mask", "k.key", "fp").distinct(), "dealt")
+        masks = sorted({m for f in finer.values() for m in f})
+    for d in done:
+        keyed = keyed.unionByName(d)
+    return _linked(keyed.repartition("mask", "key").sortWithinPartitions("mask", "key"), radius)
 
 
 def _told(rows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
