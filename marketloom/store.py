@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,9 +45,33 @@ def scratch(spark: SparkSession, name: str) -> str:
             pass
 
     atexit.register(gone)
+    for made in _open:
+        made.append(path)
     return path
 
 
+#: Paths made inside each open ``freed`` block.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Tables that are stored inside the block go at its end: for steps whose result has been written elsewhere by then."""
+    made: list[str] = []
+    _open.append(made)
+    try:
+        yield
+    finally:
+        _open.remove(made)
+        for path in made:
+            _delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """A table in the shared folder that nobody reads any more."""
+    _delete(spark, path)
+
+
 def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here, and a lost executor loses no part of it."""
     spark, schema = df.sparkSession, df.schema

@@ -644,3 +644,16 @@ def test_decision_records(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text(json.dumps(good) + "\n")
     with pytest.raises(Exception, match="lacks label"):
         files.decisions(spark, str(tmp_path / "d.jsonl")).collect()
+
+
+def test_freed_tables_are_gone(spark):
+    from marketloom import store
+
+    with store.freed(spark):
+        inner = store.stored(spark.range(3), "inner")
+        path = inner.inputFiles()[0]
+        assert inner.count() == 3
+    outer = store.stored(spark.range(3), "outer")
+    with pytest.raises(Exception, match="(?i)not.*exist|FAILED_READ_FILE"):
+        spark.read.parquet(path.rsplit("/", 1)[0]).count()
+    assert outer.count() == 3
