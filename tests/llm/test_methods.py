@@ -121,6 +121,44 @@ def test_spelled_digits_keep_their_own_places():
     assert m[0] == "a 123" and [(a, b) for a, b in zip(m[1][2:], m[2][2:], strict=True)] == [(2, 5), (6, 9), (10, 15)]
 
 
+NAMES = "zero one two three four five six seven eight nine".split()
+
+
+@st.composite
+def disguised_identifiers(draw):
+    """(kind, disguised form) of an identifier that the text as it is shows at most in part."""
+    word = st.text("bdfgkmnqrtwz", min_size=4, max_size=8)
+    kind = draw(st.sampled_from(["email", "phone", "ip", "card"]))
+    if kind == "email":
+        name, host = draw(word) + "7", draw(word)
+        form = draw(st.sampled_from(["{n} [at] {h} [dot] com", "{n} (at) {h} (dot) org", "{n} at {h} dot com", "{n}@{h} dot net", "{n}{{at}}{h}{{dot}}com", "{n}\u043e@{h}.com", "{n}@{h}\u0435.com", "{n}\u200b@{h}.com"]))
+        return kind, form.format(n=name, h=host)
+    if kind == "phone":
+        digits = draw(st.lists(st.integers(0, 9), min_size=10, max_size=15))
+        return kind, draw(st.sampled_from(["plus ", "+"])) + draw(st.sampled_from([" ", ", ", "-"])).join(NAMES[d] for d in digits)
+    if kind == "ip":
+        parts = draw(st.lists(st.integers(0, 255), min_size=4, max_size=4))
+        if draw(st.booleans()):
+            return kind, " dot ".join(map(str, parts))
+        return kind, draw(st.sampled_from([" dot ", " point "])).join(" ".join(NAMES[int(c)] for c in str(p)) for p in parts)
+    digits = draw(st.lists(st.integers(0, 9), min_size=15, max_size=15))
+    check = next(c for c in range(10) if pii.luhn("".join(map(str, [*digits, c]))))
+    wide = draw(st.booleans())
+    return kind, "".join(chr(0xFF10 + d) for d in [*digits, check]) if wide else " ".join(NAMES[d] for d in [*digits, check])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(disguised_identifiers(), min_size=1, max_size=4), st.sampled_from(["; call. ", " \u2014 ", "\n", " und, dann: "]))
+def test_disguised_identifiers_are_found_where_they_stand(items, gap):
+    text, want = "x" + gap, []
+    for kind, form in items:
+        want.append((len(text), pii.KINDS.index(kind), len(text) + len(form)))
+        text += form + gap
+    base, every = pii.all_spans(text)
+    assert set(want) <= set(every), (text, want, every)
+    assert set(base) <= set(every) and all(0 <= s < e <= len(text) for s, _, e in every)
+
+
 def test_fragments_in_the_text_do_not_hide_whole_identifiers():
     for text, whole in (
         ("to jоhn.smith@example.com now", "jоhn.smith@example.com"),  # Cyrillic o: the text as it is shows hn.smith@example.com
