@@ -42,8 +42,8 @@ def unescaped(c: str | Column) -> Column:
     plain = text
     for name, character in PLAIN_ENTITIES.items():  # amp comes last, so that what it uncovers isn't replaced again
         plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
-    other = F.rlike(text, F.lit(OTHER_ENTITY))
-    return F.when(other, _unescaped(F.when(other, text))).otherwise(plain)
+    any_, other = F.contains(text, F.lit("&")), F.rlike(text, F.lit(OTHER_ENTITY))
+    return F.when(~any_, text).when(other, _unescaped(F.when(other, text))).otherwise(plain)
 
 
 def url_key(c: str | Column) -> Column:
@@ -84,9 +84,27 @@ def _folding() -> tuple[str, str, str]:
 
 
 FOLD_FROM, FOLD_TO, SEVERAL = _folding()
-#: Texts with characters that become several, or beyond the basic plane, take the slower function; the German sharp s doesn't.
+#: The German sharp s is the one character that becomes several and isn't rare.
 SHARP = "\xdf\u1e9e"
-RARE = "[" + "".join(c for c in SEVERAL if c not in SHARP) + "\U00010000-\U0010ffff]"
+
+
+def _ranges(characters: str) -> str:
+    """The inside of a character class: runs of neighbours as ranges, since a class is searched range by range."""
+    out: list[list[int]] = []
+    for n in sorted(map(ord, characters)):
+        if out and n == out[-1][1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "".join(f"\\u{a:04x}-\\u{b:04x}" if a < b else f"\\u{a:04x}" for a, b in out)
+
+
+#: Texts with characters that become several, or beyond the basic plane, take the slower function. Most texts have none above
+#: U+024F, which one range decides.
+RARE_LATIN = "[" + _ranges("".join(c for c in SEVERAL if c not in SHARP and c < "\u0250")) + "]"
+BEYOND = r"[^\x00-\u024f]"
+RARE_BEYOND = "[" + _ranges("".join(c for c in SEVERAL if c not in SHARP and c >= "\u0250")) + r"\x{10000}-\x{10ffff}]"
+NOT_ASCII = r"[^\x00-\x7f]"
 
 
 @F.pandas_udf(StringType())
@@ -97,10 +115,11 @@ def _match_text(s: pd.Series) -> pd.Series:
 def match_text(c: str | Column) -> Column:
     """The matching form: folded letters and digits, everything else one space. Only rare characters leave the JVM."""
     text = col(c)
+    wide = F.rlike(text, F.lit(NOT_ASCII))
     sharp = F.replace(F.replace(text, F.lit(SHARP[0]), F.lit("ss")), F.lit(SHARP[1]), F.lit("ss"))
-    plain = F.translate(sharp, FOLD_FROM, FOLD_TO)
+    plain = F.when(wide, F.translate(sharp, FOLD_FROM, FOLD_TO)).otherwise(F.lower(text))
     native = F.trim(F.regexp_replace(F.regexp_replace(plain, "<[^>]+>", " "), "[^a-z0-9]+", " "))
-    rare = F.rlike(text, F.lit(RARE))
+    rare = wide & (F.rlike(text, F.lit(RARE_LATIN)) | F.rlike(text, F.lit(BEYOND)) & F.rlike(text, F.lit(RARE_BEYOND)))
     return F.when(rare, _match_text(F.when(rare, text))).otherwise(native)
 
 
