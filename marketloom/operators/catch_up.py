@@ -21,27 +21,32 @@ def middle(values: str | Column) -> Column:
     return F.struct(F.count(c).alias("n"), first.alias("first"), F.slice(there, first + 1, F.lit(3)).alias("values"))
 
 
-def without_one(mid: Column, rank: Column, own: Column) -> Column:
-    """Median of a group, known by its ``middle``, without the value at ``rank`` (0-based); of all of it where ``own`` is missing."""
+def without_one(mid: Column, own: Column) -> Column:
+    """Median of a group, known by its ``middle``, without one row's own value; of all of it where ``own`` is missing.
+
+    Taking a value out moves those above it down by one place. Which of the middle ones move shows by comparing them with it;
+    among equal values it doesn't matter which is taken out. So a row needs no rank.
+    """
     m = mid["n"] - F.when(own.isNotNull(), 1).otherwise(0)
 
     def at(k: Column) -> Column:
-        return F.get(mid["values"], (k + F.when(own.isNotNull() & (k >= rank), 1).otherwise(0) - mid["first"]).cast("int"))
+        place = (k - mid["first"]).cast("int")
+        here = F.get(mid["values"], place)
+        return F.when(own <= here, F.get(mid["values"], place + 1)).otherwise(here)
 
     return F.when(m > 0, (at(F.floor((m - 1) / 2)) + at(F.floor(m / 2))) / 2)
 
 
-def peer_medians(frame: DataFrame, keys: tuple[str, ...] = ("sector", "date"), **of: str) -> DataFrame:
-    """Add for each ``name=value column`` the median over the other rows of the keys.
+def peer_medians(frame: DataFrame, keys: tuple[str, ...] = ("sector", "date"), size: str | None = None, **of: str) -> DataFrame:
+    """Add for each ``name=value column`` the median over the other rows of the keys, and the number of these as ``size``.
 
-    A group's values are gathered and sorted once; what is joined back onto its rows are the three in the middle, and a row
-    finds its median by its own rank. The work is k log k for k peers where a self-join would take k squared.
+    A group's values are gathered and sorted once; what is joined back onto its rows are the three in the middle. The work is
+    k log k for k peers where a self-join would take k squared.
     """
-    day = frame.groupBy(*keys).agg(*[middle(c).alias(f"_{n}") for n, c in of.items()])
-    ranks = {f"_{n}_rank": F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(c).asc_nulls_last(), "symbol")) - 1 for n, c in of.items()}
-    out = frame.withColumns(ranks).join(day, list(keys))
-    out = out.withColumns({n: without_one(F.col(f"_{n}"), F.col(f"_{n}_rank"), F.col(c)) for n, c in of.items()})
-    return out.drop(*[f"_{n}" for n in of], *ranks)
+    count = [(F.count("*") - 1).alias(size)] if size else []
+    day = frame.groupBy(*keys).agg(*[middle(c).alias(f"_{n}") for n, c in of.items()], *count)
+    out = frame.join(day, list(keys)).withColumns({n: without_one(F.col(f"_{n}"), F.col(c)) for n, c in of.items()})
+    return out.drop(*[f"_{n}" for n in of])
 
 
 def observations(bars: DataFrame, lookback_days: int = 20, horizons: tuple[int, ...] = (5, 10, 20)) -> DataFrame:
@@ -49,8 +54,8 @@ def observations(bars: DataFrame, lookback_days: int = 20, horizons: tuple[int,
     base = bars.select("symbol", "sector", "date", "close").withColumns({"lookback_return": past_return("close", lookback_days), **{f"_f{h}": forward_return("close", h) for h in horizons}})
     peers = Window.partitionBy("sector", "date")
     rank = F.row_number().over(peers.orderBy(F.col("lookback_return").desc_nulls_last(), "symbol"))
-    base = base.withColumns({"peer_count": F.count("symbol").over(peers) - 1, "rank_in_sector": F.when(F.col("lookback_return").isNotNull(), rank)})
-    base = peer_medians(base, peer_median_lookback_return="lookback_return", **{f"_m{h}": f"_f{h}" for h in horizons})
+    base = base.withColumn("rank_in_sector", F.when(F.col("lookback_return").isNotNull(), rank))
+    base = peer_medians(base, size="peer_count", peer_median_lookback_return="lookback_return", **{f"_m{h}": f"_f{h}" for h in horizons})
     each = F.explode(F.array(*[F.struct(F.lit(h).alias("horizon"), F.col(f"_f{h}").alias("future_return"), F.col(f"_m{h}").alias("peer_median_future_return")) for h in horizons]))
     rows = base.withColumn("_h", each).select("*", "_h.horizon", "_h.future_return", "_h.peer_median_future_return")
     rows = rows.withColumns({"catch_up_score": F.col("lookback_return") - F.col("peer_median_lookback_return"), "future_relative_return": F.col("future_return") - F.col("peer_median_future_return")})
