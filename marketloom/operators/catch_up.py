@@ -37,8 +37,10 @@ def without_one(mid: Column, own: Column) -> Column:
     return F.when(m > 0, (at(F.floor((m - 1) / 2)) + at(F.floor(m / 2))) / 2)
 
 
-def peer_medians(frame: DataFrame, keys: tuple[str, ...] = ("sector", "date"), size: str | None = None, **of: str) -> DataFrame:
-    """Add for each ``name=value column`` the median over the other rows of the keys, and the number of these as ``size``.
+def peer_medians(frame: DataFrame, keys: tuple[str, ...] = ("sector", "date"), size: str | None = None, measured: str | None = None, **of: str) -> DataFrame:
+    """Add for each ``name=value column`` the median over the other rows of the keys.
+
+    ``size`` names the number of other rows, ``measured`` that of those with a value in the last of the columns.
 
     A group's values are gathered and sorted once; what is joined back onto its rows are the three in the middle. The work is
     k log k for k peers where a self-join would take k squared.
@@ -46,6 +48,9 @@ def peer_medians(frame: DataFrame, keys: tuple[str, ...] = ("sector", "date"), s
     count = [(F.count("*") - 1).alias(size)] if size else []
     day = frame.groupBy(*keys).agg(*[middle(c).alias(f"_{n}") for n, c in of.items()], *count)
     out = frame.join(day, list(keys)).withColumns({n: without_one(F.col(f"_{n}"), F.col(c)) for n, c in of.items()})
+    if measured:
+        name, own = list(of.items())[-1]
+        out = out.withColumn(measured, F.col(f"_{name}")["n"] - F.col(own).isNotNull().cast("int"))
     return out.drop(*[f"_{n}" for n in of])
 
 

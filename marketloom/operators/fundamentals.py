@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marketloom.functions.columns import change, ratio, utc_date
 from marketloom.operators import asof
 from marketloom.operators.catch_up import peer_medians
+from marketloom.store import stored
 
 #: The metrics of each profile, and the columns of the result.
 INDUSTRIAL = ("revenue", "gross_margin", "operating_margin", "net_income", "debt_to_assets", "operating_cash_flow", "free_cash_flow")
@@ -54,12 +55,11 @@ def observations(records: DataFrame, bars: DataFrame, benchmark: DataFrame | Non
     asked = asked.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     # Every symbol of the sector is seen once from each date on which any of it disclosed; a record's peers are the others there.
     seen = asked.select("sector", "known", "horizon").distinct().join(records.select("symbol", "sector").distinct(), "sector")
-    own = asof.next_bar(seen.drop("sector").distinct(), bars, "known", horizons).select("symbol", "known", "horizon", "entry_date", F.col("entry_price").alias("entry_close"), "exit_date", F.col("exit_price").alias("exit_close"), (ratio("exit_price", "entry_price") - 1).alias("post_disclosure_return"))
+    # read twice below: by the records and by their peers
+    own = stored(asof.next_bar(seen.drop("sector").distinct(), bars, "known", horizons).select("symbol", "known", "horizon", "entry_date", F.col("entry_price").alias("entry_close"), "exit_date", F.col("exit_price").alias("exit_close"), (ratio("exit_price", "entry_price") - 1).alias("post_disclosure_return")), "returns")
     group = ("sector", "known", "horizon")
-    ranked = peer_medians(seen.join(own.select("symbol", "known", "horizon", "post_disclosure_return"), ["symbol", "known", "horizon"]), group, sector_peer_median_return="post_disclosure_return")
-    counts = ranked.groupBy(*group).agg(F.count("post_disclosure_return").alias("_n"))
-    peers = ranked.join(counts, list(group)).join(asked, ["symbol", *group], "left_semi")
-    peers = peers.select("symbol", *group, (F.col("_n") - F.col("post_disclosure_return").isNotNull().cast("int")).alias("sector_peer_count"), "sector_peer_median_return")
+    told = peer_medians(seen.join(own.select("symbol", "known", "horizon", "post_disclosure_return"), ["symbol", "known", "horizon"]), group, measured="sector_peer_count", sector_peer_median_return="post_disclosure_return")
+    peers = told.join(asked, ["symbol", *group], "left_semi").select("symbol", *group, "sector_peer_count", "sector_peer_median_return")
 
     rows = metric_rows(records).withColumns({"known": utc_date("disclosure_timestamp"), "horizon": F.explode(F.array(*[F.lit(h) for h in horizons]))})
     rows = rows.join(own, ["symbol", "known", "horizon"], "left").join(peers, ["symbol", "sector", "known", "horizon"], "left")

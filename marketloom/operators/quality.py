@@ -33,7 +33,7 @@ def price_issues(bars: DataFrame, least_rows: int = 20, order: str | None = None
     rows = bars
     prices = [c for c in PRICE_COLUMNS if c in bars.columns]
     n = lambda mask: F.count_if(F.coalesce(mask, F.lit(False)))
-    number = lambda c: F.try_to_number(F.col(c), F.lit("")) if False else F.col(c).try_cast("double")
+    number = lambda c: F.col(c).try_cast("double")
     if order:
         rows = rows.withColumn("_before", F.lag("date").over(Window.partitionBy("symbol").orderBy(order)))
     else:

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom import schemas
-from marketloom.operators import backtest, indicators, quality, symbol
+from marketloom.operators import backtest, indicators, quality, symbol, views
 from marketloom.plans import news_and_quality  # noqa: F401  its expressions are used below
 from marketloom.plans import oracles as O
-from marketloom.plans.registry import all_events, bars, fundamentals_records, register, reversal_rows, trade_rows
+from marketloom.plans.registry import all_events, bars, catch_up_rows, fundamentals_records, reactions, register, reversal_rows, trade_rows, weekday_rows
 from marketloom.sources import files
 from marketloom.sources import tables as T
 from marketloom.store import scratch
@@ -162,3 +162,28 @@ def _(spark, d):
     frame = indicators.add_all(bars(spark, d))
     out = symbol.analyse(T.universe(spark, d), bars(spark, d), frame, all_events(spark, d), reversal_rows(spark, d), fundamentals_records(spark, d), _macro(spark, d), believed, LIMITS)
     return out.withColumn("quality_codes", F.array_join("quality_codes", ";"))
+
+
+# ------------------------------------------------------------------------------------------------ scenarios of a symbol
+
+MEASURES = "#n ~mean_return ~median_return ~win_rate ~mean_cost_adjusted"
+
+
+def _scenario(name: str, keys: tuple[str, ...], source: str, value: str, adjusted: str, build, need: str, where: str = "status = 'ok'") -> None:
+    sql = f"SELECT {', '.join(keys)}, count(*) AS n, avg({value}) AS mean_return, median({value}) AS median_return, avg(CASE WHEN {value} > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, avg({adjusted}) AS mean_cost_adjusted FROM {source} WHERE {where} GROUP BY ALL"
+    register(name, " ".join(f"%{k}" if k in ("holding_days", "horizon") else k for k in keys) + " " + MEASURES, sql, need)(lambda spark, d: views.scenario(build(spark, d).filter(where), keys, value, adjusted))
+
+
+_scenario("scenario_holding_table", ("symbol", "holding_days"), "weekdays", "gross_return", "cost_adjusted_return", weekday_rows, "weekdays")
+_scenario("scenario_split_table", ("symbol", "period_split"), "weekdays", "gross_return", "cost_adjusted_return", weekday_rows, "weekdays")
+_scenario("scenario_fundamental_table", ("symbol", "metric_name", "horizon"), "reaction", "post_disclosure_return", "benchmark_relative_return", reactions, "reaction")
+_scenario("scenario_sector_table", ("symbol", "horizon", "is_laggard"), "catch_up", "future_return", "future_relative_return", catch_up_rows, "catch_up")
+
+
+@register(
+    "scenario_false_positives", "symbol %horizon #laggards #false_positives ~false_positive_rate",
+    "SELECT symbol, horizon, count(*) AS laggards, count(*) FILTER (false_positive) AS false_positives, avg(CASE WHEN false_positive THEN 1.0 ELSE 0.0 END) AS false_positive_rate FROM catch_up WHERE status = 'ok' AND is_laggard GROUP BY 1, 2", "catch_up",
+)
+def _(spark, d):
+    ok = catch_up_rows(spark, d).filter("status = 'ok' AND is_laggard")
+    return ok.groupBy("symbol", "horizon").agg(F.count("*").alias("laggards"), F.count_if("false_positive").alias("false_positives"), F.avg(F.col("false_positive").cast("double")).alias("false_positive_rate"))
