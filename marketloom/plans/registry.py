@@ -17,7 +17,7 @@ from marketloom.operators import asof, backtest, catch_up, events, fundamentals,
 from marketloom.plans import oracles as O
 from marketloom.sources import files
 from marketloom.sources import tables as T
-from marketloom.store import kept
+from marketloom.store import kept, together
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -262,7 +262,7 @@ def _(spark, d):
 
 @kept("reversal_rows")
 def reversal_rows(spark, d):
-    return reversals.observations(bars(spark, d), all_events(spark, d), benchmark(spark, d))
+    return reversals.observations(bars(spark, d), *together(lambda: all_events(spark, d), lambda: benchmark(spark, d)))
 
 
 @register("reversal_observations", "symbol event_family event_type event_date known_at signal_group %horizon status entry_date ~entry_close exit_date ~exit_close ~forward_return bounce market_regime", "all_reversal", "all_reversal")
@@ -341,12 +341,13 @@ def _(spark, d):
 
 @kept("signal_rows")
 def signal_rows(spark, d):
-    return signals.assemble(catch_up_rows(spark, d), weekday_rows(spark, d), reversal_rows(spark, d), reactions(spark, d))
+    return signals.assemble(*together(*[lambda study=study: study(spark, d) for study in (catch_up_rows, weekday_rows, reversal_rows, reactions)]))
 
 
 @kept("trade_rows")
 def trade_rows(spark, d):
-    return backtest.run(signal_rows(spark, d), bars(spark, d), benchmark(spark, d), T.sector_benchmarks(spark, d), T.universe(spark, d), horizons=(5, 20))
+    needs = together(*[lambda need=need: need(spark, d) for need in (signal_rows, bars, benchmark, T.sector_benchmarks)])
+    return backtest.run(*needs, T.universe(spark, d), horizons=(5, 20))
 
 
 @register("signals_assembled", "signal_id symbol known_at direction %horizon source", "signal", "signal")

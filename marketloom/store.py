@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +84,13 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
 
 
 _kept: dict[tuple[str, str, str], tuple[str, str, DataFrame]] = {}
+_locks: defaultdict[tuple[str, str, str], Lock] = defaultdict(Lock)
+
+
+def together(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+    """Independent tables at the same time: their jobs share the executors, where one alone would leave most idle between its stages."""
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [f.result() for f in [pool.submit(b) for b in builds]]
 
 
 def version(spark: SparkSession, folder: str) -> str:
@@ -103,10 +113,11 @@ def kept(name: str):
     def wrap(build):
         def get(spark: SparkSession, sf_dir: str) -> DataFrame:
             key, now = (spark.sparkContext.applicationId, sf_dir, name), version(spark, sf_dir)
-            if key not in _kept or _kept[key][0] != now:
-                made = stored(build(spark, sf_dir), name)
-                _kept[key] = (now, made.inputFiles()[0].rsplit("/", 1)[0] if made.inputFiles() else "", made)
-            return _kept[key][2]
+            with _locks[key]:  # whoever comes second waits for the table
+                if key not in _kept or _kept[key][0] != now:
+                    made = stored(build(spark, sf_dir), name)
+                    _kept[key] = (now, made.inputFiles()[0].rsplit("/", 1)[0] if made.inputFiles() else "", made)
+                return _kept[key][2]
 
         return get
 
