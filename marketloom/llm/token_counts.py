@@ -11,6 +11,7 @@ has it by default. Very long texts are counted whole.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
@@ -89,22 +90,30 @@ class PrefixCounts:
             base, before = base + n, chunk
         return out
 
+    def measured(self, text: str, limit: int) -> tuple[int, int]:
+        """The text's tokens, and the most code points of a prefix of at most ``limit`` tokens."""
+        words = None if self.special.within(text) else bpe.pre_tokens(text)
+        if words is None:
+            words, counts = zip(*self.pieces(text), strict=True) if text else ((), ())
+        else:
+            counts = map(self.words.__getitem__, words)
+        ends = list(accumulate(counts))
+        n = ends[-1] if ends else 0
+        if n <= limit:
+            return n, len(text)
+        # The word in which the budget runs out. What ends beyond it has more tokens, unless it is white space that goes on;
+        # white space before it may join it where the cut falls.
+        k = bisect_right(ends, limit)
+        tail = max(0, k - 2)
+        while tail and words[tail - 1].isspace():
+            tail -= 1
+        head, before = sum(map(len, words[:tail])), ends[tail - 1] if tail else 0
+        near = self.table("".join(words[tail : k + 2]))
+        return n, head + max(i for i, x in enumerate(near) if before + x <= limit)
+
     def fits(self, text: str, limit: int) -> int:
         """The most code points of the text whose prefix has at most ``limit`` tokens."""
-        pieces = self.pieces(text)
-        at = total = chars = 0
-        for at, (chunk, n) in enumerate(pieces):  # noqa: B007
-            if total + n > limit:
-                break
-            total, chars = total + n, chars + len(chunk)
-        else:
-            return len(text)
-        # Whatever ends beyond this chunk has more than ``limit`` tokens; the last two pieces decide what a cut in it has.
-        tail = max(0, at - 1)
-        head = sum(len(c) for c, _ in pieces[:tail])
-        before = sum(n for _, n in pieces[:tail])
-        near = self.table("".join(c for c, _ in pieces[tail : at + 1]))
-        return head + max(i for i, n in enumerate(near) if before + n <= limit)
+        return self.measured(text, limit)[1]
 
 
 @lru_cache(maxsize=4)
@@ -135,14 +144,14 @@ def count_tokens(docs: DataFrame, limit: int = LIMIT, vocabulary: str = VOCABULA
     def work(b: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(bpe.vocabulary(vocabulary))
         all_texts = texts(b)
-        n = [c.count(t) for t in all_texts]
+        both = [c.measured(t, limit) for t in all_texts]
         return pa.RecordBatch.from_pydict(
             {
                 "doc_id": b.column(0),
                 "n_bytes": pa.array([len(t.encode()) for t in all_texts], pa.int64()),
-                "n_tokens": pa.array(n, pa.int64()),
-                "over_limit": pa.array([x > limit for x in n], pa.bool_()),
-                "fit_chars": pa.array([c.fits(t, limit) if x > limit else len(t) for t, x in zip(all_texts, n, strict=True)], pa.int64()),
+                "n_tokens": pa.array([n for n, _ in both], pa.int64()),
+                "over_limit": pa.array([n > limit for n, _ in both], pa.bool_()),
+                "fit_chars": pa.array([k for _, k in both], pa.int64()),
             }
         )
 
