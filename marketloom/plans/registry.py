@@ -151,7 +151,8 @@ def _(spark, d):
 
 @register("sector_status_counts", "%horizon status #n #false_positives", "SELECT horizon, status, count(*) AS n, count(*) FILTER (false_positive) AS false_positives FROM catch_up GROUP BY horizon, status", "catch_up")
 def _(spark, d):
-    return catch_up.status_counts(catch_up_rows(spark, d))
+    # straight from the bars: of the observations' columns only what is counted is worked out, and nothing is stored
+    return catch_up.status_counts(catch_up.observations(bars(spark, d)))
 
 
 @register("sector_rank", "symbol sector date ~lookback_return %rank_in_sector #peer_count", "panel1", "panel1")
