@@ -32,10 +32,15 @@ def build(keys: DataFrame, key: Column, words: int = WORDS) -> DataFrame:
     return stored(bits, "filter")
 
 
-def split(rows: DataFrame, key: Column, filter_: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be in the filter, rows whose key is certainly not). Nothing is shuffled."""
+def marked(rows: DataFrame, key: Column, filter_: DataFrame, words: int = WORDS) -> DataFrame:
+    """The rows with ``_known``: whether their key may be in the filter. Nothing is shuffled."""
     names = rows.columns
     h = F.xxhash64(key)
     told = rows.select("*", _word(h, words).alias("_word"), _mask(h).alias("_mask")).join(F.broadcast(filter_), "_word", "left")
-    there = F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False))
-    return told.filter(there).select(*names), told.filter(~there).select(*names)
+    return told.select(*names, F.coalesce(F.col("_bits").bitwiseAND(F.col("_mask")) == F.col("_mask"), F.lit(False)).alias("_known"))
+
+
+def split(rows: DataFrame, key: Column, filter_: DataFrame, words: int = WORDS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be in the filter, rows whose key is certainly not). Nothing is shuffled."""
+    told = marked(rows, key, filter_, words)
+    return told.filter("_known").drop("_known"), told.filter("NOT _known").drop("_known")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import automaton_codec, exact_dedup, packing, pii, pu_quality, quality_rules, secret_scan, simhash, token_counts, warc
+from . import automaton_codec, conversation_repair, decontamination, exact_dedup, fill_in_middle, packing, pii, pu_quality, quality_rules, secret_scan, simhash, token_counts, warc
 from .common import table
 
 
@@ -50,6 +50,18 @@ def op10_automaton_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return automaton_codec.digests(table(spark, sf_dir, "documents"))
 
 
+def op11_checkpoint_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_filter_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_bucket_queue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.digests(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_binary_packing,
         op9_bit_sliced_simhash,
         op10_automaton_bpe,
+        op11_checkpoint_fill_in_middle,
+        op12_prefix_filter_decontamination,
+        op13_bucket_queue_repair,
     )
 }
 
