@@ -115,3 +115,116 @@ def similar(rows: list[tuple[int, str | None]]) -> dict[int, int]:
             least[a] = least[b] = min(least[a], least[b])
         if least == before:
             return least
+
+
+def unit_draws(doc_id: int) -> list[int]:
+    h = sha(f"1:{doc_id}")
+    return [int(h[8 * k : 8 * k + 8], 16) for k in range(4)]
+
+
+def middle(doc_id: int, text: str) -> tuple:
+    """(n, form, prefix length, middle length, output) of the fill-in-middle transformation."""
+    units = re.findall("[A-Za-z]+|[^A-Za-z]", text)
+    n, (h1, h2, h3, h4) = len(units), unit_draws(doc_id)
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")) or h3 % 100 >= 90:
+        return n, "plain", None, None, text
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h4 % 100 < 20:
+        return n, "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return n, "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def small(text: str | None) -> str:
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def contaminated(docs: list[tuple], items: list[tuple]) -> list[tuple]:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of each row."""
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", small(t))
+    windows: dict[tuple, set[str]] = {}
+    for i, t in items:
+        w = words(t)
+        for k in range(max(len(w) - 9, 1) if w else 0):
+            windows.setdefault(tuple(w[k : k + 10]), set()).add("" if i is None else str(i))
+    out = []
+    for i, t in docs:
+        w, hit, found = words(t), set(), set()
+        for size in {len(x) for x in windows}:
+            for k in range(len(w) - size + 1):
+                if own := windows.get(tuple(w[k : k + size])):
+                    hit |= set(range(k, k + size))
+                    found |= own
+        out.append((i, len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)))
+    return out
+
+
+def after_damage(rows: list[tuple]) -> list[tuple]:
+    """(conv_id, turn, role, text) after damage."""
+    import zlib
+
+    out = []
+    for c, t, role, text in rows:
+        blank = lambda x: " " if x is None else x
+        act = zlib.crc32(f"{blank(c)}:{blank(t)}".encode()) % 20
+        role, text = blank(role), blank(text)
+        text = "" if act == 1 else re.sub("[.!?]", "", text) if act == 2 else text
+        out += [(c, t, "user" if act == 4 else role, text)] * (0 if act == 0 else 2 if act == 3 else 1)
+    return out
+
+
+def repaired(rows: list[tuple]) -> dict:
+    """Per conv_id: (gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256), by a forward search of all prefixes."""
+    out = {}
+    left = after_damage(rows)
+    for conv in {r[0] for r in rows}:
+        own = sorted((r for r in left if r[0] == conv), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        faults, seen = [], set()
+        for _, _, role, text in own:
+            said = WORD.findall(text)
+            faults.append("blank" if not said else "duplicate" if (role, text) in seen else "truncated" if said[-1][-1] not in ".!?" else "")
+            seen.add((role, text))
+        pattern = re.compile("(s?(ua)+)?")
+        # every sequence of roles so far that can still be completed, by its last two initials; ties by the audit itself
+        best = {"": (0, "", [])}
+
+        def inserted(best):
+            for _ in range(3):
+                for q, (c, a, rows_) in list(best.items()):
+                    role = "assistant" if q.endswith("u") else "user"
+                    new = state(q + role[0])
+                    if new not in best or (c + 5, a + "I") < best[new][:2]:
+                        best[new] = (c + 5, a + "I", [*rows_, (role, "")])
+            return best
+
+        def state(q):
+            return q if len(q) < 2 and q in ("", "s") else "u" if q.endswith("u") else "a"
+
+        for (_, _, role, text), fault in zip(own, faults):
+            best, now = inserted(best), {}
+
+            def offer(q, c, a, rows_):
+                if q not in now or (c, a) < now[q][:2]:
+                    now[q] = (c, a, rows_)
+
+            for q, (c, a, rows_) in best.items():
+                offer(q, c + 2, a + "D", rows_)
+                if fault in ("blank", "duplicate"):
+                    continue
+                more = 5 * (fault == "truncated")
+                for new, edit, cost in ((role, "K", 0), ("user", "R", 1), ("assistant", "R", 1)):
+                    initial = new[:1]
+                    fits = initial == "s" and q == "" or initial == "u" and q in ("", "s", "a") or initial == "a" and q == "u"
+                    if fits:
+                        offer(state(q + initial), c + cost + more, a + edit, [*rows_, (new, text)])
+            best = now
+        best = inserted(best)
+        cost, audit, rows_ = min((v for q, v in best.items() if q in ("", "a")), key=lambda v: v[:2])
+        assert pattern.fullmatch("".join(r[:1] for r, _ in rows_))
+        turns = [r[1] for r in own if r[1] is not None]
+        pairs = [a[2][:1] + b[2][:1] for a, b in zip(own, own[1:])]
+        out[conv] = (
+            max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0, *[faults.count(f) for f in ("blank", "duplicate", "truncated")],
+            sum(p not in ("su", "ua", "au") for p in pairs), cost, audit, sha("\n".join(f"{r}:{t}" for r, t in rows_)),
+        )
+    return out
