@@ -95,4 +95,27 @@ ORACLES: dict[str, str] = {
         WITH d AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
         g AS (SELECT *, min(doc_id) OVER (PARTITION BY text_sha256) AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size::BIGINT AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g""",
+    "op11_checkpoint_fill_in_middle": r"""
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+        d AS (SELECT doc_id, text, units, len(units)::BIGINT AS n, ('0x' || substr(h, 1, 8))::UBIGINT::BIGINT AS h1, ('0x' || substr(h, 9, 8))::UBIGINT::BIGINT AS h2,
+                     ('0x' || substr(h, 17, 8))::UBIGINT::BIGINT AS h3, ('0x' || substr(h, 25, 8))::UBIGINT::BIGINT AS h4 FROM u),
+        f AS (SELECT doc_id, text, units, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+                     CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+        c AS (SELECT doc_id, text, n, form, coalesce(array_to_string(list_slice(units, 1, a), ''), '') AS p, coalesce(array_to_string(list_slice(units, a + 1, b), ''), '') AS m, coalesce(array_to_string(list_slice(units, b + 1, n), ''), '') AS s FROM f)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE '<P>' || p || '<S>' || s || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256,
+               CASE WHEN form <> 'plain' THEN octet_length(encode(p))::BIGINT END AS prefix_bytes, CASE WHEN form <> 'plain' THEN octet_length(encode(m))::BIGINT END AS middle_bytes
+        FROM c""",
+    "op12_prefix_filter_decontamination": r"""
+        WITH i AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0),
+        win AS (SELECT DISTINCT item, least(len(w), 10) AS size, array_to_string(list_slice(w, k, k + 9), ' ') AS words FROM iw),
+        d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        s AS (SELECT d.r, d.w, z.size, unnest(generate_series(1, len(d.w) - z.size + 1)) AS k FROM d, (SELECT DISTINCT size FROM win) z WHERE len(d.w) >= z.size),
+        x AS (SELECT r, size, k, array_to_string(list_slice(w, k, k + size - 1), ' ') AS words FROM s),
+        hit AS (SELECT x.r, x.k, x.size, win.item FROM x JOIN win ON x.words = win.words),
+        covered AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(generate_series(k, k + size - 1)) AS p FROM (SELECT DISTINCT r, k, size FROM hit)) GROUP BY r),
+        own AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT r, item FROM hit) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN covered USING (r) LEFT JOIN own USING (r)""",
 }
