@@ -123,11 +123,42 @@ def match_text(c: str | Column) -> Column:
     return F.when(rare, _match_text(F.when(rare, text))).otherwise(native)
 
 
+#: Zone names of mail dates, in hours from UTC. Any other name counts as UTC.
+ZONES = {"AST": -4, "ADT": -3, "EST": -5, "EDT": -4, "CST": -6, "CDT": -5, "MST": -7, "MDT": -6, "PST": -8, "PDT": -7}
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+#: A mail date's parts, each by name: day and month in either order, two to four digits of a year, a time, a zone and a remark.
+_DAY, _MONTH = r"(\d{1,2}),?", r"([a-z]+),?"
+_REST = r"[\s-]+(\d{2,4}),?\s+(\d{1,2})[:.](\d{1,2})(?:[:.](\d{1,2}))?\s*([+-][\d:]{1,6}|[a-z]+)?(?:\s*\(.*\))?$"
+DAY_FIRST = rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+|[a-z]+,\s*)?{_DAY}[\s-]+{_MONTH}{_REST}"
+MONTH_FIRST = rf"(?i)^(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+|[a-z]+,\s*)?{_MONTH}[\s-]+{_DAY}{_REST}"
+
+
+def _mail_date(v: Column, pattern: str, day: int, month: int) -> Column:
+    part = lambda n: F.nullif(F.regexp_extract(v, pattern, n), F.lit(""))
+    number = lambda n: part(n).try_cast("int")
+    name = F.lower(part(month))
+    which = F.coalesce(*[F.when(name.isin(m, m[:3]), k) for k, m in enumerate(MONTHS, 1)])
+    year = number(3)
+    year = F.when(year >= 100, year).when(year > 68, year + 1900).otherwise(year + 2000)
+    zone = F.upper(F.coalesce(part(7), F.lit("")))
+    digits = F.when(zone.rlike(r"^[+-]\d+$"), zone.try_cast("int"))
+    size = F.abs(digits)
+    shift = F.when(digits.isNotNull(), F.signum(digits).cast("int") * (F.floor(size / 100) * 60 + size % 100))
+    for z, h in ZONES.items():
+        shift = F.when(zone == z, h * 60).otherwise(shift)
+    local = F.try_make_timestamp(year, which, number(day), number(4), number(5), F.coalesce(number(6), F.lit(0)).cast("double"), F.lit("UTC"))
+    return local - F.make_dt_interval(mins=F.coalesce(shift, F.lit(0)).cast("int"))
+
+
 def feed_timestamp(c: str | Column) -> Column:
-    """RFC 822 or ISO 8601 text as a time stamp; what is neither is missing. No zone means UTC."""
+    """A mail date (RFC 822, with zone names, short years, full month names, in any case) or ISO 8601 text as a time stamp.
+
+    No zone, or a zone of another name, means UTC. What is neither is missing.
+    """
     v = F.trim(col(c))
-    rfc = F.regexp_replace(F.regexp_replace(v, "^[A-Za-z]{3,9},\\s*", ""), "(GMT|UTC|UT|Z)$", "+0000")
+    iso = F.regexp_replace(v, r"([+-]\d{2})(\d{2})$", "$1:$2")
     return F.coalesce(
-        *[F.try_to_timestamp(rfc, F.lit(p)) for p in ("d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm Z", "d MMM yyyy HH:mm:ss")],
-        F.try_to_timestamp(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}"), v)),
-    )
+        _mail_date(v, DAY_FIRST, 1, 2), _mail_date(v, MONTH_FIRST, 2, 1),
+        F.try_to_timestamp(F.when(v.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}([.,]\d+)?)?\s*(Z|z|[+-]\d{2}:?\d{2})?)?$"), F.replace(iso, F.lit("z"), F.lit("Z")))),
+        F.try_to_timestamp(F.when(v.rlike(r"^\d{8}$"), v), F.lit("yyyyMMdd")),
+    )

@@ -12,36 +12,27 @@ from pyspark.sql import functions as F
 
 from marketloom.functions import text as X
 from marketloom.operators.graph import components
+from marketloom.sources import feed_xml
 from marketloom.store import stored
 
 MOST_ALIASES = 1_000_000
 
 ITEM = ("source_id", "title", "url", "summary", "published_timestamp", "fetched_timestamp", "language", "category", "source_access", "raw_source_url", "content_hash")
-FEED = "struct<title:string,link:string,guid:string,description:string,pubDate:string>"
-
 
 def parse_feeds(feeds: DataFrame) -> DataFrame:
-    """Items of RSS and Atom documents (source_id, source_url, language, category, fetched_timestamp, body).
+    """Items of RSS and Atom documents (source_id, source_url, language, category, fetched_timestamp, body as text or bytes).
 
-    Elements are cut out by pattern and their children read by pattern, so that one row of a feed never leaves the JVM.
-    Items without a title or an address are dropped; an Atom link's href outranks its text.
+    Items without a title or an address are dropped; the first Atom link's href outranks a link's text. A document that isn't
+    XML has no items: ``feed_errors`` says what is wrong with it.
     """
-    body = F.col("body").cast("string")
-    rss = F.regexp_extract_all(body, F.lit(r"(?s)<item\b[^>]*>(.*?)</item>"), F.lit(1))
-    atom = F.regexp_extract_all(body, F.lit(r"(?s)<(?:\w+:)?entry\b[^>]*>(.*?)</(?:\w+:)?entry>"), F.lit(1))
-    rows = feeds.withColumn("_e", F.explode(F.when(F.size(rss) > 0, rss).otherwise(atom)))
-
-    def child(*names: str) -> Column:
-        def one(n: str) -> Column:
-            v = F.regexp_extract("_e", rf"(?s)<(?:\w+:)?{n}\b[^>]*>(?:\s*<!\[CDATA\[)?(.*?)(?:\]\]>\s*)?</(?:\w+:)?{n}>", 1)
-            return F.nullif(F.trim(v), F.lit(""))
+    rows = feed_xml.parsed(feeds).filter("error IS NULL").withColumnRenamed("source_url", "raw_source_url").withColumn("published_timestamp", X.feed_timestamp("published"))
+    rows = rows.withColumns({"source_access": F.lit("rss"), "content_hash": X.content_hash("source_id", "title", "url", "published_timestamp", "summary")})
+    return rows.select(*ITEM)
 
-        return F.coalesce(*[one(n) for n in names])
 
-    href = F.nullif(F.trim(F.regexp_extract("_e", r"<(?:\w+:)?link\b[^>]*\bhref=[\"']([^\"']*)[\"']", 1)), F.lit(""))
-    rows = rows.select("source_id", F.col("source_url").alias("raw_source_url"), "language", "category", "fetched_timestamp", X.unescaped(child("title")).alias("title"), X.unescaped(F.coalesce(href, child("link", "guid"))).alias("url"), X.unescaped(child("description", "summary", "content")).alias("summary"), X.feed_timestamp(child("pubDate", "published", "updated")).alias("published_timestamp"))
-    rows = rows.filter("title IS NOT NULL AND url IS NOT NULL").withColumns({"source_access": F.lit("rss"), "content_hash": X.content_hash("source_id", "title", "url", "published_timestamp", "summary")})
-    return rows.select(*ITEM)
+def feed_errors(feeds: DataFrame) -> DataFrame:
+    """(source_id, error) of the sources whose document can't be read."""
+    return feed_xml.parsed(feeds).filter("error IS NOT NULL").groupBy("source_id").agg(F.min("error").alias("error"))
 
 
 def normalize(items: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,40 +19,54 @@ def _issues(rows: DataFrame, keys: tuple[str, ...], checks: list[tuple]) -> Data
     return rows.select(*keys, F.explode(F.array_compact(each)).alias("i")).select(*keys, "i.*")
 
 
-def price_issues(bars: DataFrame, least_rows: int = 20, order: str | None = None, required: Iterable[str] = (), expected: DataFrame | None = None) -> DataFrame:
-    """One aggregation per symbol. ``order`` names the column of file order, for the check that dates come sorted.
+def backward_dates(rows: DataFrame, order: str, within: Sequence[str] = ()) -> DataFrame:
+    """(symbol, back): how often a symbol's dates go back in file order.
+
+    A symbol's dates in a split are summed up as (first, last, times they go back); summaries of splits that follow one another
+    add up, with one more where a split begins before the last one ended. No task gets more of a symbol than a split holds.
+    """
+    own = ["symbol", *within]
+    w = Window.partitionBy(*own).orderBy(order)
+    dated = rows.select(*own, order, F.col("date").try_cast("date").alias("date")).filter("date IS NOT NULL")
+    each = dated.withColumn("_back", F.lag("date").over(w) > F.col("date")).groupBy(*own).agg(F.min_by("date", order).alias("first"), F.max_by("date", order).alias("last"), F.count_if("_back").alias("back"))
+    if not within:
+        return each.select("symbol", "back")
+    joint = F.lag("last").over(Window.partitionBy("symbol").orderBy(*within)) > F.col("first")
+    return each.withColumn("_joint", joint).groupBy("symbol").agg((F.sum("back") + F.count_if("_joint")).alias("back"))
+
+
+def price_issues(bars: DataFrame, least_rows: int = 20, order: str | None = None, required: Iterable[str] = (), expected: DataFrame | None = None, within: Sequence[str] = ()) -> DataFrame:
+    """One aggregation per symbol. ``order`` names the column of file order, for the check that dates come sorted, and ``within``
+    the columns, in order, that say in which file and split that order holds (``lines.PLACE``).
 
     Where columns of ``required`` are missing that is each symbol's only issue; symbols of ``expected`` without rows are empty.
     """
     if expected is not None:
         none = expected.select("symbol").distinct().join(bars.select("symbol").distinct(), "symbol", "left_anti")
         empty = none.select("symbol", F.lit("blocking").alias("severity"), F.lit("EMPTY_PRICE_HISTORY").alias("code"), F.lit("no bars at all").alias("message"))
-        return price_issues(bars, least_rows, order, required).unionByName(empty)
+        return price_issues(bars, least_rows, order, required, None, within).unionByName(empty)
     if absent := missing_columns(bars, required):
         return bars.select("symbol").distinct().select("symbol", F.lit("blocking").alias("severity"), F.lit("MISSING_PRICE_COLUMNS").alias("code"), F.lit("columns not there: " + ", ".join(absent)).alias("message"))
     rows = bars
     prices = [c for c in PRICE_COLUMNS if c in bars.columns]
     n = lambda mask: F.count_if(F.coalesce(mask, F.lit(False)))
     number = lambda c: F.col(c).try_cast("double")
-    if order:
-        rows = rows.withColumn("_before", F.lag("date").over(Window.partitionBy("symbol").orderBy(order)))
-    else:
-        rows = rows.withColumn("_before", F.lit(None).cast("date"))
     date = F.col("date").try_cast("date")
     down = F.col("download_timestamp").try_cast("timestamp") if "download_timestamp" in bars.columns else None
-    aggs = [F.count("*").alias("rows"), F.count(date).alias("dates"), F.count_distinct("date").alias("distinct"), n(F.col("_before") > date).alias("back")]
+    aggs = [F.count("*").alias("rows"), F.count(date).alias("dates"), F.count_distinct(F.coalesce(F.col("date").cast("string"), F.lit(""))).alias("distinct")]
     for c in prices:
         aggs += [n(number(c).isNull() | F.isnan(number(c))).alias(f"bad_{c}"), n(number(c) <= 0).alias(f"low_{c}")]
     aggs += [n(number("high") < number("low")).alias("crossed"), n(number("high").isNull() | number("low").isNull()).alias("open_range"), n(number("volume").isNull() | (number("volume") < 0)).alias("volume")]
     if down is not None:
         aggs += [n(down.isNull()).alias("bad_down"), n(date > F.to_date(down)).alias("early")]
     one = rows.groupBy("symbol").agg(*aggs)
+    one = one.join(backward_dates(rows, order, within), "symbol", "left") if order else one.withColumn("back", F.lit(0))
     c = F.col
     checks = [
         (c("rows") < least_rows, "warning", "SMALL_SAMPLE", F.concat(c("rows").cast("string"), F.lit(f" bars where {least_rows} are wanted"))),
         (c("dates") < c("rows"), "blocking", "INVALID_PRICE_DATE", "a date can't be read"),
         ((c("dates") == c("rows")) & (c("back") > 0), "blocking", "NON_MONOTONIC_PRICE_DATES", "dates go back in file order"),
-        (c("distinct") < c("dates"), "blocking", "DUPLICATE_PRICE_DATES", "a date occurs twice"),
+        (c("distinct") < c("rows"), "blocking", "DUPLICATE_PRICE_DATES", "a date occurs twice"),
     ]
     for p in prices:
         checks += [(c(f"bad_{p}") > 0, "blocking", "INVALID_PRICE_VALUE", f"a value of {p} is no number"), ((c(f"bad_{p}") == 0) & (c(f"low_{p}") > 0), "blocking", "NON_POSITIVE_PRICE", f"a value of {p} isn't above zero")]
@@ -66,10 +80,10 @@ def missing_columns(frame: DataFrame, required: Iterable[str]) -> list[str]:
     return [c for c in required if c not in frame.columns]
 
 
-def dataset_issues(bars: DataFrame, expected: DataFrame, missing: DataFrame | None = None, least_rows: int = 20) -> DataFrame:
+def dataset_issues(bars: DataFrame, expected: DataFrame, missing: DataFrame | None = None, least_rows: int = 20, order: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Issues of all histories, of expected symbols that were not fetched, and of symbols reported missing (symbol, reason)."""
     absent = expected.select("symbol").distinct().join(bars.select("symbol").distinct(), "symbol", "left_anti")
-    out = price_issues(bars, least_rows).unionByName(absent.select("symbol", F.lit("warning").alias("severity"), F.lit("EXPECTED_SYMBOL_NOT_FETCHED").alias("code"), F.lit("not among the fetched symbols").alias("message")))
+    out = price_issues(bars, least_rows, order, within=within).unionByName(absent.select("symbol", F.lit("warning").alias("severity"), F.lit("EXPECTED_SYMBOL_NOT_FETCHED").alias("code"), F.lit("not among the fetched symbols").alias("message")))
     if missing is not None:
         out = out.unionByName(missing.select("symbol", F.lit("warning").alias("severity"), F.lit("MISSING_SYMBOL").alias("code"), F.col("reason").alias("message")))
     return out
@@ -94,10 +108,11 @@ def outcome_columns(names: Iterable[str]) -> list[str]:
     return [n for n in names if n.lower() in LATE or any(t in n.lower() for t in OUTCOME)]
 
 
-def market_audit(bars: DataFrame, expected: DataFrame, least_rows: int = 20) -> DataFrame:
+def market_audit(bars: DataFrame, expected: DataFrame, least_rows: int = 20, order: str | None = None, within: Sequence[str] = ()) -> DataFrame:
     """Per expected symbol: rows, first and last date, issue counts, status; a symbol without rows is an error."""
-    rows = bars.groupBy("symbol").agg(F.count("*").alias("row_count"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
-    found = price_issues(bars, least_rows).groupBy("symbol").agg(F.count_if(F.col("severity") == "blocking").alias("blocking_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
+    date = F.col("date").try_cast("date")
+    rows = bars.groupBy("symbol").agg(F.count("*").alias("row_count"), F.min(date).alias("first_date"), F.max(date).alias("last_date"))
+    found = price_issues(bars, least_rows, order, within=within).groupBy("symbol").agg(F.count_if(F.col("severity") == "blocking").alias("blocking_count"), F.count_if(F.col("severity") == "warning").alias("warning_count"))
     out = expected.select("symbol").distinct().join(rows, "symbol", "left").join(found, "symbol", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     out = out.withColumns({c: zero(c) for c in ("row_count", "blocking_count", "warning_count")})

@@ -12,6 +12,8 @@ from marketloom.operators.views import latest, snapshot
 CATCH_UP, LOOK, GAP = "POTENTIAL_CATCH_UP_CANDIDATE", "INVESTIGATE", "INCONCLUSIVE_DATA_GAP"
 #: Macro readings from which on a market counts as at risk.
 RISK = {"tuik_inflation": 80.0, "tcmb_policy_rate": 60.0}
+#: What a backtest must say of itself.
+MEASURES = ("cumulative_return", "sharpe_ratio", "maximum_drawdown", "benchmark_difference")
 SECTIONS = ("sector", "technical", "fundamentals", "macro", "backtest")
 
 
@@ -64,10 +66,11 @@ def hard_risk(records: DataFrame, decision: str | None = None, limits: dict[str,
 
 
 def sanity(summary: DataFrame) -> DataFrame:
-    """One row: whether a backtest summary is there, and the codes of measures that can't be believed."""
+    """One row: whether a backtest summary is there, and the codes of measures that are missing or can't be believed."""
+    lacking = [F.when(F.col(m).isNull(), F.lit(f"MISSING_{m.upper()}")) for m in MEASURES]
     far = lambda c, code: F.when(F.abs(F.col(c)) > 10, F.lit(code))
     depth = F.when((F.col("maximum_drawdown") < -1) | (F.col("maximum_drawdown") > 0), F.lit("DRAWDOWN_OUT_OF_RANGE"))
-    codes = F.array_compact(F.array(far("cumulative_return", "UNREALISTIC_CUMULATIVE_RETURN"), far("benchmark_difference", "UNREALISTIC_BENCHMARK_DIFFERENCE"), far("sharpe_ratio", "LARGE_SHARPE_RATIO"), depth))
+    codes = F.array_compact(F.array(*lacking, far("cumulative_return", "UNREALISTIC_CUMULATIVE_RETURN"), far("benchmark_difference", "UNREALISTIC_BENCHMARK_DIFFERENCE"), far("sharpe_ratio", "LARGE_SHARPE_RATIO"), depth))
     one = summary.agg(F.count("*").alias("_n"), F.flatten(F.collect_list(codes)).alias("backtest_codes"))
     return one.select((F.col("_n") > 0).alias("backtest_known"), "backtest_codes")
 
@@ -77,7 +80,7 @@ def gated(rows: DataFrame) -> DataFrame:
     passed = lambda s: F.col(f"{s}_status") == "pass"
     codes = F.concat(F.array_compact(F.array(F.when(~passed("backtest"), F.lit("BACKTEST_NOT_PASSED")))), F.col("backtest_codes"), F.array_compact(F.array(F.when(F.col("hard_risk"), F.lit("MACRO_HARD_RISK")))))
     out = rows.withColumn("quality_codes", codes)
-    unbelievable = F.exists("quality_codes", lambda c: c.startswith("UNREALISTIC"))
+    unbelievable = F.exists("quality_codes", lambda c: c.startswith("UNREALISTIC") | c.startswith("MISSING"))
     every = F.lit(True)
     for s in SECTIONS:
         every = every & passed(s)

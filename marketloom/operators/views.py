@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from marketloom.functions.columns import past_return, yes
 from marketloom.operators.catch_up import peer_medians
 
-GAP = {"potential": "POTENTIAL_CATCH_UP_CANDIDATE", "look": "INVESTIGATE", "open": "INCONCLUSIVE_DATA_GAP"}
-
 
 def latest(rows: DataFrame, back: tuple[int, ...] = (1,), keys: tuple[str, ...] = ("symbol",), order: str = "date") -> DataFrame:
     """The n-th latest rows per key; ``back`` counts from 1. Spark turns the bound on row_number into a limit per group."""
@@ -32,12 +30,6 @@ def snapshot(bars: DataFrame, frame: DataFrame, events: DataFrame, lookback_days
     return out.withColumns({"catch_up_gap": F.col("return_20") - F.col("peer_median_return"), "recent_event": yes(F.col("recent_event"))})
 
 
-def label(rows: DataFrame) -> DataFrame:
-    """A fixed label of each snapshot row: a gap in the data, a laggard with a recent event, or neither."""
-    gap = F.col("return_20").isNull() | F.col("peer_median_return").isNull()
-    return rows.withColumn("label", F.when(gap, GAP["open"]).when((F.col("catch_up_gap") < 0) & F.col("recent_event"), GAP["potential"]).otherwise(GAP["look"]))
-
-
 def scenario(rows: DataFrame, keys: tuple[str, ...], value: str, adjusted: str) -> DataFrame:
     """Counts, mean, median, win rate and cost-adjusted mean of the eligible rows by the keys."""
     return rows.filter("status = 'ok'").groupBy(*keys).agg(

@@ -141,11 +141,9 @@ BELIEVED = "cumulative_return double, benchmark_difference double, sharpe_ratio
 QL = "OVER (PARTITION BY symbol ORDER BY period_end, disclosure_timestamp)"
 
 
-@register(
-    "symbol_analysis", "symbol row_count ~latest_close ~lag_score ~rsi_14 supertrend kama lower_band_event last_type #similar_events ~median_after ~primary_qoq ~primary_yoy ~operating_margin_change quality_status quality_codes label",
-    f"""SELECT *, CASE WHEN row_count IS NULL THEN 'INCONCLUSIVE_DATA_GAP' WHEN quality_status <> 'PASS' THEN 'INVESTIGATE' WHEN constructive AND (coalesce(lag_score < 0 AND median_after > 0, FALSE) OR coalesce(primary_yoy > 0, FALSE) OR coalesce(primary_qoq > 0, FALSE) OR coalesce(operating_margin_change > 0, FALSE))
-    THEN 'POTENTIAL_CATCH_UP_CANDIDATE' ELSE 'INVESTIGATE' END AS label FROM (SELECT *, '' AS quality_codes, CASE WHEN row_count IS NULL THEN 'FAIL' WHEN lag_score IS NULL OR period_end IS NULL THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS quality_status,
-    supertrend = 'bullish' OR coalesce(rsi_14 < 45, FALSE) OR lower_band_event AS constructive FROM (
+O.cte(
+    "sections",
+    f"""SELECT *, supertrend = 'bullish' OR coalesce(rsi_14 < 45, FALSE) OR lower_band_event AS constructive FROM (
     SELECT n_name AS symbol, m.row_count, m.latest_close, s.return_20 - p.m AS lag_score, ri.rsi_14, CASE WHEN ri.supertrend_direction > 0 THEN 'bullish' WHEN ri.supertrend_direction < 0 THEN 'bearish' ELSE 'unknown' END AS supertrend, k.kama,
     EXISTS (SELECT 1 FROM ev_bollinger e WHERE e.symbol = n_name AND e.event_type = 'lower_band_touch' AND e.event_date BETWEEN m.last - 20 AND m.last) AS lower_band_event, h.last_type, h.similar_events, h.median_after, f.*
     FROM nation LEFT JOIN (SELECT symbol, count(*) AS row_count, max(date) AS last, arg_max(close, date) AS latest_close FROM bar GROUP BY 1) m ON m.symbol = n_name
@@ -154,9 +152,20 @@ QL = "OVER (PARTITION BY symbol ORDER BY period_end, disclosure_timestamp)"
     LEFT JOIN recursive_ind ri ON ri.symbol = n_name AND ri.date = m.last LEFT JOIN kama_now k ON k.symbol = n_name
     LEFT JOIN ({{history}}) h ON h.symbol = n_name
     LEFT JOIN (SELECT symbol AS f_symbol, period_end, main / nullif(lag(main) {QL}, 0) - 1 AS primary_qoq, main / nullif(lag(main, 4) {QL}, 0) - 1 AS primary_yoy, om - lag(om) {QL} AS operating_margin_change, row_number() OVER (PARTITION BY symbol ORDER BY period_end DESC) AS n FROM
-    (SELECT *, CASE WHEN metric_profile = 'bank' THEN net_interest_income ELSE revenue END AS main, operating_profit / nullif(revenue, 0) AS om FROM fund)) f ON f.f_symbol = n_name AND f.n = 1))""".replace("{history}", HISTORY),
+    (SELECT *, CASE WHEN metric_profile = 'bank' THEN net_interest_income ELSE revenue END AS main, operating_profit / nullif(revenue, 0) AS om FROM fund)) f ON f.f_symbol = n_name AND f.n = 1)""".replace("{history}", HISTORY),
     "bar", "ev_bollinger", "ev_all", "all_reversal", "recursive_ind", "kama_now", "fund",
 )
+#: A label of rows with quality_status, from the sections.
+LABEL = """CASE WHEN quality_status = 'FAIL' THEN 'INCONCLUSIVE_DATA_GAP' WHEN quality_status <> 'PASS' THEN 'INVESTIGATE' WHEN constructive AND (coalesce(lag_score < 0 AND median_after > 0, FALSE) OR coalesce(primary_yoy > 0, FALSE) OR coalesce(primary_qoq > 0, FALSE) OR coalesce(operating_margin_change > 0, FALSE))
+    THEN 'POTENTIAL_CATCH_UP_CANDIDATE' ELSE 'INVESTIGATE' END"""
+#: The gate's verdict of rows with codes.
+VERDICT = "CASE WHEN row_count IS NULL THEN 'FAIL' WHEN contains(quality_codes, 'UNREALISTIC') OR contains(quality_codes, 'MISSING') THEN 'INVESTIGATE' WHEN quality_codes <> '' OR lag_score IS NULL OR period_end IS NULL THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END"
+
+
+@register(
+    "symbol_analysis", "symbol row_count ~latest_close ~lag_score ~rsi_14 supertrend kama lower_band_event last_type #similar_events ~median_after ~primary_qoq ~primary_yoy ~operating_margin_change quality_status quality_codes label",
+    f"SELECT *, {LABEL} AS label FROM (SELECT *, {VERDICT} AS quality_status FROM (SELECT *, '' AS quality_codes FROM sections))", "sections",
+)
 def _(spark, d):
     believed = spark.createDataFrame([(0.5, 0.1, 1.0, -0.2)], BELIEVED)
     frame = indicators.add_all(bars(spark, d))
@@ -164,6 +173,31 @@ def _(spark, d):
     return out.withColumn("quality_codes", F.array_join("quality_codes", ";"))
 
 
+#: Codes of a backtest's summary row, as ``symbol.sanity`` gives them.
+CODES = """concat_ws(';', CASE WHEN cumulative_return IS NULL THEN 'MISSING_CUMULATIVE_RETURN' END, CASE WHEN sharpe_ratio IS NULL THEN 'MISSING_SHARPE_RATIO' END, CASE WHEN maximum_drawdown IS NULL THEN 'MISSING_MAXIMUM_DRAWDOWN' END, CASE WHEN benchmark_difference IS NULL THEN 'MISSING_BENCHMARK_DIFFERENCE' END,
+    CASE WHEN abs(cumulative_return) > 10 THEN 'UNREALISTIC_CUMULATIVE_RETURN' END, CASE WHEN abs(benchmark_difference) > 10 THEN 'UNREALISTIC_BENCHMARK_DIFFERENCE' END, CASE WHEN abs(sharpe_ratio) > 10 THEN 'LARGE_SHARPE_RATIO' END, CASE WHEN maximum_drawdown < -1 OR maximum_drawdown > 0 THEN 'DRAWDOWN_OUT_OF_RANGE' END)"""
+
+
+@register(
+    "symbol_gate", "variant symbol quality_status quality_codes label",
+    f"""SELECT *, CASE WHEN quality_status <> 'FAIL' AND risk THEN 'INVESTIGATE' ELSE {LABEL} END AS label FROM (SELECT *, {VERDICT} AS quality_status FROM (
+    SELECT *, concat_ws(';', CASE WHEN codes <> '' THEN 'BACKTEST_NOT_PASSED' END, nullif(codes, ''), CASE WHEN risk THEN 'MACRO_HARD_RISK' END) AS quality_codes FROM sections, (
+      SELECT 'own' AS variant, {CODES} AS codes, FALSE AS risk FROM bt_risk UNION ALL SELECT 'no sharpe', {CODES}, FALSE FROM (SELECT * REPLACE (CAST(NULL AS DOUBLE) AS sharpe_ratio) FROM bt_risk) UNION ALL SELECT 'at risk', {CODES}, TRUE FROM bt_risk)))""",
+    "sections", "bt_risk",
+)
+def _(spark, d):
+    """Labels upon the study's own backtest: as it is, without its Sharpe ratio, and with the market at risk."""
+    own = backtest.summary(trade_rows(spark, d))
+    frame = indicators.add_all(bars(spark, d))
+    sections = lambda summary, limits: symbol.analyse(T.universe(spark, d), bars(spark, d), frame, all_events(spark, d), reversal_rows(spark, d), fundamentals_records(spark, d), _macro(spark, d), summary, limits)
+    variants = {"own": (own, LIMITS), "no sharpe": (own.withColumn("sharpe_ratio", F.lit(None).cast("double")), LIMITS), "at risk": (own, {"purchase": 0.0})}
+    out = None
+    for name, how in variants.items():
+        rows = sections(*how).select(F.lit(name).alias("variant"), "symbol", "quality_status", F.array_join("quality_codes", ";").alias("quality_codes"), "label")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 # ------------------------------------------------------------------------------------------------ scenarios of a symbol
 
 MEASURES = "#n ~mean_return ~median_return ~win_rate ~mean_cost_adjusted"

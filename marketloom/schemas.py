@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 UNIVERSE = "ticker string, yahoo_symbol string, sector string"
 PRICES = "symbol string, date date, open double, high double, low double, close double, adj_close double, volume bigint, source string, download_timestamp timestamp"
+PRICE_NAMES = tuple(c.split()[0] for c in PRICES.split(", "))
 #: The layouts of the fundamentals and context files.
 REQUIRED_FUNDAMENTALS = ("ticker", "period_end", "period_type", "disclosure_timestamp", "download_timestamp", "source")
 NUMERIC_FUNDAMENTALS = (

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from marketloom import schemas
 from marketloom.functions import text as X
 from marketloom.functions.columns import number, yes
+from marketloom.sources import lines
 
 TRUE, FALSE = ("true", "1", "yes", "y"), ("false", "0", "no", "n")
 
@@ -26,11 +27,11 @@ def csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return named_csv(spark, path, names).select(*[F.col(n).try_cast(t).alias(n) if t != "string" else F.col(n) for n, t in (x.split() for x in schema.split(", "))])
 
 
-def named_csv(spark: SparkSession, path: str, required: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+def named_csv(spark: SparkSession, path: str, required: Sequence[str], columns: Sequence[str] | None = None, with_place: bool = False) -> DataFrame:
     """Text columns by their header names, in any order: the required ones, and those of ``columns`` that are there or missing.
 
     Spark takes an explicit schema by position, so the header is read first, and every file's header is held against it.
-    Quoted fields may hold line breaks.
+    Quoted fields may hold line breaks, if ``columns`` are given. ``with_place`` adds where each row stands (``lines.PLACE``).
     """
     reader = lambda: spark.read.option("header", True).option("multiLine", columns is not None).option("escape", '"')
     names = reader().option("inferSchema", False).csv(path).columns
@@ -38,7 +39,8 @@ def named_csv(spark: SparkSession, path: str, required: Sequence[str], columns:
     if missing:
         raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
     raw = reader().schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("enforceSchema", False).csv(path)
-    return raw.select(*[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns or required])
+    raw = lines.placed(raw) if with_place else raw
+    return raw.select(*[F.col(f"`{c}`") if c in names else F.lit(None).cast("string").alias(c) for c in columns or required], *[c for c in lines.PLACE if with_place])
 
 
 def write_header(path: str, columns: Sequence[str]) -> None:
@@ -85,12 +87,29 @@ def prices(spark: SparkSession, path: str) -> DataFrame:
     return normalize_prices(csv(spark, path, schemas.PRICES))
 
 
+def price_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The price files' rows as they are written, as text, with where they stand: for audits, before anything is dropped."""
+    found = spark.read.option("header", True).csv(path).columns
+    return named_csv(spark, path, ["symbol", *[n for n in (c.split()[0] for c in schemas.PRICES.split(", ")) if n in found and n != "symbol"]], with_place=True)
+
+
+def import_prices(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(bars, rows that are none with what is wrong with each)."""
+    raw = price_rows(spark, path)
+    checks = [(_date("date").isNull(), "date is not a date"), *[(number(F.trim(F.col(c)).try_cast("double")).isNull(), f"{c} is not a number") for c in ("open", "high", "low", "close")]]
+    valid, rejected = _checked(raw, checks)
+    names = [c.split()[0] for c in schemas.PRICES.split(", ")]
+    kinds = dict(c.split() for c in schemas.PRICES.split(", "))
+    typed = valid.select(*[F.trim(F.col(n)).try_cast(kinds[n]).alias(n) if n in valid.columns else F.lit(None).cast(kinds[n]).alias(n) for n in names])
+    return normalize_prices(typed), rejected
+
+
 def normalize_prices(raw: DataFrame) -> DataFrame:
     """Adjusted close falls back to close, volume to zero; rows without a date or a price are dropped."""
     fix = {c: number(c) for c in ("open", "high", "low", "close", "adj_close") if c in raw.columns}
     out = raw.withColumns(fix)
     adjusted = F.coalesce("adj_close", "close") if "adj_close" in raw.columns else F.col("close")
-    out = out.withColumns({"date": F.col("date").cast("date"), "adj_close": adjusted, "volume": F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)).cast("bigint")})
+    out = out.withColumns({"date": F.col("date").try_cast("date"), "adj_close": adjusted, "volume": F.coalesce(F.col("volume").try_cast("double"), F.lit(0.0)).cast("bigint")})
     return out.dropna(subset=["date", "open", "high", "low", "close"])
 
 
@@ -195,14 +214,14 @@ def normalize_fundamentals(raw: DataFrame, members: DataFrame) -> tuple[DataFram
 def statements(wide: DataFrame, labels: dict[str, tuple[str, ...]], ticker: str = "ticker", label: str = "label") -> DataFrame:
     """Statement frames (a row per label, a column per period) as one row per ticker and period.
 
-    ``labels`` names each metric's labels in order of preference; a period stays if any metric has a value.
+    ``labels`` names each metric's labels in order of preference; a period stays if it is a date and any metric has a value.
     """
     periods = [c for c in wide.columns if c not in (ticker, label)]
     long = wide.unpivot([ticker, label], periods, "period_end", "value").withColumn("_l", F.regexp_replace(F.lower(F.col(label)), "[^a-z0-9]+", ""))
     plain = lambda s: "".join(ch for ch in s.lower() if ch.isalnum())
-    one = lambda names: F.coalesce(*[F.max(F.when(F.col("_l") == plain(n), F.col("value").cast("double"))) for n in names])
-    out = long.groupBy(ticker, F.col("period_end").cast("date").alias("period_end")).agg(*[one(names).alias(m) for m, names in labels.items()])
-    return out.filter(F.coalesce(*labels).isNotNull())
+    one = lambda names: F.coalesce(*[F.max(F.when(F.col("_l") == plain(n), F.col("value").try_cast("double"))) for n in names])
+    out = long.groupBy(ticker, F.col("period_end").try_cast("date").alias("period_end")).agg(*[one(names).alias(m) for m, names in labels.items()])
+    return out.filter(F.coalesce(*labels).isNotNull() & F.col("period_end").isNotNull())
 
 
 def _next_morning(day: Column) -> Column:
@@ -212,7 +231,7 @@ def _next_morning(day: Column) -> Column:
 
 def fx_context(rates: DataFrame, downloaded: str, unit: str = "TRY", source: str = "exchange_rates") -> DataFrame:
     """Exchange rates (indicator, date, close) as macro records; a rate that wasn't public yet at the download is left out."""
-    day, at = F.col("date").cast("date"), F.lit(downloaded).cast("timestamp")
+    day, at = F.col("date").try_cast("date"), F.lit(downloaded).cast("timestamp")
     rows = rates.select("indicator", day.alias("_day"), number("close").alias("value")).filter("value IS NOT NULL AND _day IS NOT NULL")
     known = {
         "context_id": F.concat_ws("-", F.lit("macro"), "indicator", F.col("_day").cast("string")), "context_type": F.lit("macro"), "scope": F.lit("macro"), "indicator": F.col("indicator"), "value": F.col("value"),
@@ -258,25 +277,28 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({c: flag(c) for c in rows.columns if c.startswith("requires_")})
 
 
-def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One object a line; blank lines are passed over, a bad line is an error."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+#: What a news item may lack.
+OPTIONAL_NEWS = ("summary", "published_timestamp")
+
+
+def jsonl(spark: SparkSession, path: str, schema: str, optional_fields: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """One object a line: (right lines, wrong ones), each with its file and row. Every field but ``optional_fields`` must be there."""
+    names = [f.split(" ", 1)[0] for f in schema.split(", ")]
+    return lines.objects(lines.numbered(spark, path), schema, [n for n in names if n not in optional_fields])
 
 
 def news(spark: SparkSession, path: str) -> DataFrame:
-    return jsonl(spark, path, schemas.NEWS)
+    """News items; a line that isn't one is an error that names its file and row."""
+    return lines.strict(jsonl(spark, path, schemas.NEWS, OPTIONAL_NEWS))
 
 
 def matched_news(spark: SparkSession, path: str) -> DataFrame:
-    return jsonl(spark, path, schemas.MATCHED_NEWS)
+    return lines.strict(jsonl(spark, path, schemas.MATCHED_NEWS, OPTIONAL_NEWS))
 
 
 def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision records; a record that lacks a field is an error."""
-    rows = jsonl(spark, path, schemas.DECISIONS)
-    lacking = F.array_join(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in rows.columns])), ", ")
-    first = rows.columns[0]
-    return rows.withColumn(first, F.when(lacking == "", F.col(first)).otherwise(F.raise_error(F.concat(F.lit("a decision record lacks "), lacking)).cast("string")))
+    """Decision records; a record that lacks a field is an error that names its file and row."""
+    return lines.strict(jsonl(spark, path, schemas.DECISIONS))
 
 
 def news_context(spark: SparkSession, source: str | DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ of the second result. Providers must give the same answer when a task is run aga
 
 from __future__ import annotations
 
+import base64
 from collections.abc import Iterator
 from typing import Protocol
 
@@ -101,8 +102,9 @@ def statements(spark: SparkSession, symbols: list[str], provider: StatementProvi
 
 
 def feeds(spark: SparkSession, sources: DataFrame, client: FeedClient, at: str) -> tuple[DataFrame, DataFrame]:
-    """(feed documents with their source's fields, sources that failed). ``sources`` has source_id, url, language, category."""
+    """(feed documents, as bytes, with their source's fields, sources that failed). ``sources`` has source_id, url, language, category."""
     urls = {r.source_id: r.url for r in sources.select("source_id", "url").distinct().collect()}  # a settings file
-    got, failed = fetched(requests(spark, list(urls), "source_id"), "source_id", lambda s: pd.DataFrame({"body": [client.fetch(urls[s]).decode("utf-8", "replace")]}), "body string")
+    got, failed = fetched(requests(spark, list(urls), "source_id"), "source_id", lambda s: pd.DataFrame({"body": [base64.b64encode(client.fetch(urls[s])).decode()]}), "body string")
+    got = got.withColumn("body", F.unbase64("body"))  # bytes as they came: the document says how it is encoded
     rows = got.join(sources, "source_id").withColumnRenamed("url", "source_url").withColumn("fetched_timestamp", F.lit(at))
     return rows.select("source_id", "source_url", "language", "category", "fetched_timestamp", "body"), failed

@@ -9,6 +9,7 @@ from collections import defaultdict
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,24 +49,27 @@ def scratch(spark: SparkSession, name: str) -> str:
             pass
 
     atexit.register(gone)
-    for made in _open:
+    for made in _open.get():
         made.append(path)
     return path
 
 
-#: Paths made inside each open ``freed`` block.
-_open: list[list[str]] = []
+#: Paths made inside each ``freed`` block that is open in this thread, or in the one that gave it work (``together``).
+_open: ContextVar[tuple[list[str], ...]] = ContextVar("open", default=())
 
 
 @contextmanager
 def freed(spark: SparkSession) -> Iterator[None]:
-    """Tables that are stored inside the block go at its end: for steps whose result has been written elsewhere by then."""
+    """Tables that are stored inside the block go at its end: for steps whose result has been written elsewhere by then.
+
+    Tables of other threads stay, but for threads that the block itself started by ``together``.
+    """
     made: list[str] = []
-    _open.append(made)
+    token = _open.set((*_open.get(), made))
     try:
         yield
     finally:
-        _open.remove(made)
+        _open.reset(token)
         for path in made:
             _delete(spark, path)
 
@@ -90,7 +94,7 @@ _locks: defaultdict[tuple[str, str, str], Lock] = defaultdict(Lock)
 def together(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
     """Independent tables at the same time: their jobs share the executors, where one alone would leave most idle between its stages."""
     with ThreadPoolExecutor(len(builds)) as pool:
-        return [f.result() for f in [pool.submit(b) for b in builds]]
+        return [f.result() for f in [pool.submit(copy_context().run, b) for b in builds]]
 
 
 def version(spark: SparkSession, folder: str) -> str:
@@ -114,6 +118,8 @@ def kept(name: str):
             with _locks[key]:  # whoever comes second waits for the table
                 if key not in _kept or _kept[key][0] != now:
                     made = stored(build(spark, sf_dir), name)
+                    if key in _kept and _kept[key][1]:
+                        _delete(spark, _kept[key][1])  # of the source as it was
                     _kept[key] = (now, made.inputFiles()[0].rsplit("/", 1)[0] if made.inputFiles() else "", made)
                 return _kept[key][2]
 

@@ -482,7 +482,7 @@ def test_stream_first_seen(spark, tmp_path):
 
 def test_views(spark):
     rows = bars_of(spark, [100 + k for k in range(30)]).unionByName(bars_of(spark, [100 - k for k in range(30)], "BBB"))
-    snap = views.label(views.snapshot(rows, indicators.add_all(rows), events.detect(indicators.bollinger(rows), ("bollinger",))))
+    snap = views.snapshot(rows, indicators.add_all(rows), events.detect(indicators.bollinger(rows), ("bollinger",)))
     got = {r.symbol: r for r in snap.collect()}
     assert got["BBB"].catch_up_gap < 0 < got["AAA"].catch_up_gap and got["AAA"].peer_median_return == pytest.approx(got["BBB"].return_20)
 
@@ -642,7 +642,7 @@ def test_decision_records(spark, tmp_path):
     assert files.decisions(spark, str(tmp_path / "d.jsonl")).count() == 1
     good.pop("label")
     (tmp_path / "d.jsonl").write_text(json.dumps(good) + "\n")
-    with pytest.raises(Exception, match="lacks label"):
+    with pytest.raises(Exception, match="missing label"):
         files.decisions(spark, str(tmp_path / "d.jsonl")).collect()
 
 
