@@ -30,8 +30,8 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences for training."""
-    return packing.pack(docs)
+    """Sequences for training, with their token ids."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [("quality_classifier", quality), ("exact_dedup", exact), ("simhash_near_dedup", near), ("pii", private), ("packing", pack)]
