@@ -396,3 +396,27 @@ def test_samples_are_bounded_in_rows(spark, labels):
     assert say([(r.doc_id, r.text, sorted(r.roles)) for r in rows]) == say([(1, "text 0", ["a", "b"]), (2, None, ["a"])])
     both = spark.createDataFrame([(21, 1), (21, 0), (22, 1), (22, 1), (24, None)], "doc_id long, quality int")
     assert [tuple(r) for r in training.agreed(both).collect()] == [(22, 1)]
+
+
+def test_the_pipeline_delivers_what_it_packed(spark, tmp_path):
+    """The ids of each document's pieces, put together, are those of the redacted text of the stage before, and decode to its words."""
+    import struct
+
+    from tokenizers import Tokenizer
+
+    from marketloom.llm.bpe import vocabulary
+
+    src = "/root/testdata/sf0.001"
+    done = corpus_pipeline.run(spark, src).collect()
+    docs = spark.read.parquet(f"{src}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, src)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    assert "<EMAIL>" in " ".join(texts.values()) and texts.keys() == {r.doc_id for r in done}
+    library = Tokenizer.from_file(vocabulary("word_bpe_49k.json"))
+    for doc_id, text in texts.items():
+        pieces = sorted((r for r in done if r.doc_id == doc_id), key=lambda r: r.start)
+        ids = [i for r in pieces for i in struct.unpack(f"<{r.length}I", r.ids)]
+        assert all(zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length for r in pieces)
+        assert ids == [*library.encode(text, add_special_tokens=False).ids, 1]
+        assert "".join(library.decode(ids[:-1], skip_special_tokens=False).split()) == "".join(library.decode(library.encode(text, add_special_tokens=False).ids, skip_special_tokens=False).split())
