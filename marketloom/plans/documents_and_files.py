@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom import schemas
 from marketloom.functions import text as X
-from marketloom.operators import quality
+from marketloom.operators import indicator_blocks, indicators, quality
 from marketloom.plans import oracles as O
 from marketloom.plans.news_and_quality import STAMP, XML
 from marketloom.plans.registry import bars, register
@@ -181,3 +181,16 @@ def _(spark, d):
     files.write_csv(bars(spark, d).filter("year(date) = 1995").select("symbol", F.col("date").cast("string").alias("date"), "close"), narrow)
     lacking = quality.price_issues(files.price_rows(spark, narrow), 240, "_place", schemas.PRICE_NAMES, within=("_file", "_split"))
     return issues.unionByName(lacking).groupBy("symbol", "severity", "code").agg(F.count("*").alias("times"))
+
+
+# ------------------------------------------------------------------------------------------------ long histories
+
+#: To a thousandth, which is nine digits of these values: sums in another order differ in the last ones.
+THOUSANDTHS = ", ".join(f"floor({c} * 1000 + 0.5) / 1000 AS {c}" for c in indicators.RECURSIVE)
+
+
+@register("indicators_in_blocks", f"symbol date {' '.join(indicators.RECURSIVE)}", f"SELECT symbol, date, {THOUSANDTHS} FROM recursive_ind", "recursive_ind")
+def _(spark, d):
+    """Blocks of at most 97 bars, so that each symbol has many."""
+    rows = indicator_blocks.recursive(bars(spark, d), 97)
+    return rows.withColumns({c: F.floor(F.col(c) * 1000 + 0.5) / 1000 for c in indicators.RECURSIVE})
