@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import ahocorasick
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import text as X
+from marketloom.functions.columns import yes
 from marketloom.operators.graph import components
 from marketloom.sources import feed_xml
 from marketloom.store import stored
@@ -165,6 +166,72 @@ def context(items: DataFrame, matches: DataFrame, key: str, decision: str, lookb
     )
 
 
+def _windows(decisions: DataFrame, lookback_days: int) -> DataFrame:
+    """(at, since, day, whole): the days that each distinct decision time looks back on; whole days lie all in its window."""
+    if lookback_days < 1:
+        raise ValueError("lookback_days must be positive")
+    at = F.col("decision_timestamp").cast("timestamp")
+    each = decisions.select(at.alias("at")).filter("at IS NOT NULL").distinct().withColumn("since", F.col("at") - F.make_dt_interval(F.lit(lookback_days)))
+    days = each.withColumn("day", F.explode(F.sequence(F.to_date("since"), F.to_date("at"))))
+    return days.withColumn("whole", (F.col("day") > F.to_date("since")) & (F.col("day") < F.to_date("at")))
+
+
+def in_windows(items: DataFrame, decisions: DataFrame, lookback_days: int = 7) -> DataFrame:
+    """The items that lie in the window of any decision (decision_timestamp): an equi-join on days, of which there are few."""
+    days = _windows(decisions, lookback_days)
+    last = F.col("day") == F.to_date("at")
+    # of a day's windows the latest that ends there holds all that others hold which end there, and so the earliest that begins
+    said = days.groupBy(F.col("day").alias("_day")).agg(F.bool_or("whole").alias("_all"), F.max(F.when(last, F.col("at"))).alias("_until"), F.min(F.when(~last & ~F.col("whole"), F.col("since"))).alias("_from"))
+    p = F.col("published_timestamp")
+    held = F.col("_all") | yes(p <= F.col("_until")) | yes(p >= F.col("_from"))
+    return items.join(said, F.to_date("published_timestamp") == F.col("_day")).filter(held).drop("_day", "_all", "_until", "_from")
+
+
+def contexts(items: DataFrame, aliases: DataFrame, key: str, decisions: DataFrame, lookback_days: int = 7, required: Sequence[str] = ()) -> DataFrame:
+    """``context`` for many decisions (decision_timestamp) at once: a row per decision and entity that was mentioned, or required.
+
+    Only items in some window are matched. They are summed up once per entity and day, and windows that overlap share these sums:
+    a window adds up its whole days, and reads items only of the day that it begins in and the one that it ends in.
+    """
+    windows = stored(_windows(decisions, lookback_days), "windows")
+    seen = stored(in_windows(items, decisions, lookback_days), "window-items")
+    matches = stored(match_aliases(seen, aliases, key), "window-matches")
+    terms = matches.groupBy(key).agg(F.collect_set("matched_term").alias("terms"))
+    public = seen.select(key, "source_id", "url", "published_timestamp").join(terms, key)
+    entity = F.concat_ws(":", "entity_type", "entity_id").alias("entity")
+    hits = stored(matches.select(key, entity).distinct().join(public, key).withColumn("day", F.to_date("published_timestamp")), "hits")
+
+    def summed(rows: DataFrame, *keys: str) -> DataFrame:
+        one = rows.groupBy(*keys, "url").agg(
+            F.count("*").alias("n"), F.max("published_timestamp").alias("latest"), F.min(F.struct("published_timestamp", F.col(key).alias("item"))).alias("first"),
+            F.collect_set("source_id").alias("sources"), F.array_distinct(F.flatten(F.collect_set("terms"))).alias("terms"),
+        )
+        return one.groupBy(*keys).agg(
+            F.sum("n").alias("n"), F.max("latest").alias("latest"), F.collect_list(F.struct("first", "url")).alias("urls"),
+            F.array_distinct(F.flatten(F.collect_list("sources"))).alias("sources"), F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"),
+        )
+
+    buckets = stored(summed(hits, "entity", "day"), "day-sums")
+    whole = windows.filter("whole").join(buckets, "day").drop("since", "day", "whole")
+    edge = windows.filter("NOT whole").join(hits, "day").filter("published_timestamp BETWEEN since AND at")
+    parts = whole.unionByName(summed(edge, "at", "entity"))
+    none = F.array().cast("array<string>")
+    told = parts.groupBy("at", "entity").agg(
+        F.sum("n").alias("news_count"), F.max("latest").alias("latest_news_timestamp"), F.array_sort(F.flatten(F.collect_list("urls"))).alias("urls"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("sources")))).cast("bigint").alias("source_count"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("matched_terms"),
+    )
+    # addresses come in the order of their first item; later parts may repeat one
+    told = told.withColumn("urls", F.array_distinct(F.transform("urls", lambda u: u["url"])))
+    if required:
+        asked = windows.select("at").distinct().withColumn("entity", F.explode(F.array(*map(F.lit, required))))
+        told = asked.join(told, ["at", "entity"], "full")
+    return told.select(
+        F.split("entity", ":", 2)[0].alias("entity_type"), F.split("entity", ":", 2)[1].alias("entity_id"), F.col("at").alias("decision_timestamp"), F.lit(lookback_days).alias("lookback_days"),
+        F.coalesce("news_count", F.lit(0)).alias("news_count"), F.coalesce("source_count", F.lit(0)).alias("source_count"), "latest_news_timestamp",
+        F.array_join(F.coalesce("urls", none), ";").alias("evidence_urls"), F.array_join(F.coalesce("matched_terms", none), ";").alias("matched_terms"),
+    )
+
+
 def fetch_status(sources: DataFrame, items: DataFrame, failed: DataFrame | None = None) -> DataFrame:
     """Per configured source (source_id): status, item_count and fetch_detail. ``failed`` names sources that gave an error (source_id, error)."""
     seen = items.groupBy("source_id").agg(F.count("*").alias("item_count"), F.count_if(F.col("published_timestamp").isNull()).alias("_undated"))

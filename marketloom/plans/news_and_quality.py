@@ -11,7 +11,7 @@ from marketloom.operators import events, evidence, indicators, news, quality, vi
 from marketloom.plans import oracles as O
 from marketloom.plans.registry import all_events, bars, benchmark, catch_up_rows, fundamentals_records, register, reversal_rows, weekday_rows
 from marketloom.sources import tables as T
-from marketloom.store import kept
+from marketloom.store import kept, stored
 
 DECISION = O.DECISION
 #: Stand-in alias table: words of the generated texts.
@@ -127,7 +127,9 @@ O.CTES["context"] = (O.CTES["context"][0], O.CTES["context"][1].replace("list(u)
 
 def context(spark, d):
     required = aliases(spark).filter("entity_type = 'ticker'").select(F.concat(F.lit("ticker:"), "entity_id").alias("entity")).distinct()
-    rows = news.context(items(spark, d), matches(spark, d), "item_id", DECISION, required=required)
+    # only what the window holds is matched
+    seen = stored(news.in_windows(items(spark, d), spark.createDataFrame([(DECISION,)], "decision_timestamp string")), "window-items")
+    rows = news.context(seen, stored(news.match_aliases(seen, aliases(spark), "item_id"), "window-matches"), "item_id", DECISION, required=required)
     return rows.withColumn("latest_news_timestamp", F.date_format("latest_news_timestamp", STAMP))
 
 
@@ -136,6 +138,29 @@ def _(spark, d):
     return context(spark, d)
 
 
+O.cte("decision", "SELECT DISTINCT substr(published, 1, 10) || ' 12:34:56' AS moment, strftime(CAST(substr(published, 1, 10) || ' 12:34:56' AS TIMESTAMP) - INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') AS since FROM item", "item")
+O.cte("seen", "SELECT DISTINCT moment, entity_type || ':' || entity_id AS entity, h.item_id, source_id, url, published FROM decision, hit h JOIN item i USING (item_id) WHERE published BETWEEN since AND moment", "decision", "hit", "item")
+O.cte("asked", "SELECT moment, 'ticker:' || entity_id AS entity FROM decision, (SELECT DISTINCT entity_id FROM alias WHERE entity_type = 'ticker') UNION SELECT moment, entity FROM seen", "decision", "alias", "seen")
+
+
+@register(
+    "news_contexts_daily", "entity_type entity_id decision_timestamp #news_count #source_count latest_news_timestamp evidence_urls matched_terms",
+    """SELECT split_part(e.entity, ':', 1) AS entity_type, split_part(e.entity, ':', 2) AS entity_id, e.moment AS decision_timestamp, coalesce(p.n, 0) AS news_count, coalesce(p.s, 0) AS source_count, p.latest AS latest_news_timestamp,
+    coalesce(array_to_string(p.urls, ';'), '') AS evidence_urls, coalesce(array_to_string(t.terms, ';'), '') AS matched_terms
+    FROM asked e LEFT JOIN (SELECT moment, entity, count(*) AS n, count(DISTINCT source_id) AS s, max(published) AS latest, list_transform(list_sort(list(u) FILTER (u IS NOT NULL)), lambda x: x.url) AS urls FROM
+      (SELECT moment, entity, item_id, source_id, published, CASE WHEN row_number() OVER (PARTITION BY moment, entity, url ORDER BY published, item_id) = 1 THEN {'p': published, 'i': item_id, 'url': url} END AS u FROM seen) WHERE TRUE GROUP BY moment, entity) p ON p.entity = e.entity AND p.moment = e.moment
+    LEFT JOIN (SELECT moment, entity, list_sort(list(DISTINCT matched_term)) AS terms FROM (SELECT DISTINCT moment, entity, item_id FROM seen) JOIN hit USING (item_id) GROUP BY moment, entity) t ON t.entity = e.entity AND t.moment = e.moment""",
+    "asked", "seen", "hit",
+)
+def _(spark, d):
+    """A decision on each day that has news, each with its own week."""
+    rows = items(spark, d)
+    at = F.concat(F.date_format("published_timestamp", "yyyy-MM-dd"), F.lit(" 12:34:56"))
+    required = sorted({f"{t}:{i}" for t, i, _ in ALIASES if t == "ticker"})
+    out = news.contexts(rows, aliases(spark), "item_id", rows.select(at.alias("decision_timestamp")).distinct(), required=required)
+    return out.withColumns({c: F.date_format(c, STAMP) for c in ("decision_timestamp", "latest_news_timestamp")})
+
+
 @register(
     "rss_context_status", "status #evidence_count #source_count latest_timestamp warnings",
     "SELECT CASE WHEN coalesce(sum(news_count), 0) <= 0 THEN 'unavailable' ELSE 'available' END AS status, coalesce(sum(news_count), 0) AS evidence_count, coalesce(sum(source_count), 0) AS source_count, max(latest_news_timestamp) AS latest_timestamp, CASE WHEN count(*) = 0 THEN 'EMPTY_RSS_CONTEXT' ELSE '' END AS warnings FROM context WHERE news_count > 0", "context",
