@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom import schemas
 from marketloom.functions import text as X
-from marketloom.operators import indicator_blocks, indicators, quality
+from marketloom.operators import decisions, indicator_blocks, indicators, quality
 from marketloom.plans import oracles as O
 from marketloom.plans.news_and_quality import STAMP, XML
 from marketloom.plans.registry import bars, register
@@ -194,3 +194,47 @@ def _(spark, d):
     """Blocks of at most 97 bars, so that each symbol has many."""
     rows = indicator_blocks.recursive(bars(spark, d), 97)
     return rows.withColumns({c: F.floor(F.col(c) * 1000 + 0.5) / 1000 for c in indicators.RECURSIVE})
+
+
+# ------------------------------------------------------------------------------------------------ decision records
+
+
+def _decision_log(spark, d):
+    """A decision for each label, sealed and appended in two goes; some made inconsistent before, some changed or cut after it."""
+    n = F.col("doc_id")
+    kind = n % 8
+    label = F.when(F.col("quality") == 1, "POTENTIAL_CATCH_UP_CANDIDATE").otherwise("INVESTIGATE")
+    proof = F.sha2(n.cast("string"), 256)
+    rows = T.table(spark, d, "labels").filter("doc_id IS NOT NULL").select(
+        "doc_id", F.concat(F.lit("d"), n.cast("string")).alias("decision_id"), F.lit("2024-01-01T00:00:00+00:00").alias("created_at"), label.alias("output_label"), F.lit("Accept").alias("review_status"), F.lit(" someone ").alias("reviewer"), F.lit("é").alias("review_notes"),
+        F.struct(label.alias("output_label"), F.when(kind == 3, "reject").otherwise("accept").alias("review_status")).alias("harness_snapshot"), F.when(kind != 4, F.create_map(F.lit("toxic"), F.col("toxic") / 4)).otherwise(F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>"))).alias("inputs"),
+        F.when(kind != 5, F.struct((n * 1e-7).alias("small"), F.lit(True).alias("ok"))).alias("tool_outputs"), proof.alias("evidence_hash"), F.struct(F.when(kind == 2, "other").otherwise(proof).alias("evidence_hash"), F.lit("PASS").alias("gate_status")).alias("quality_gate"), F.lit(True).alias("saved"),
+    )
+    path = scratch(spark, "decision-log")
+    for half in (0, 1):
+        own = rows.filter(n % 2 == half)
+        sealed, _ = decisions.seal(own.drop("doc_id"))
+        kind_ = F.substring("decision_id", 2, 20).cast("bigint") % 8
+        line = F.when(kind_ == 1, F.regexp_replace("line", '"output_label":"[A-Z_]+","quality', '"output_label":"BUY","quality')).when(kind_ == 6, F.replace("line", F.lit('"reviewer":"someone",'), F.lit(""))).when(kind_ == 7, F.replace("line", F.lit("\\u00e9"), F.lit("e"))).otherwise(F.col("line"))
+        decisions.append(sealed.withColumn("line", line), path)
+    return path
+
+
+DECIDED = r"""WITH r AS (SELECT doc_id, doc_id % 8 AS k, CASE WHEN quality = 1 THEN 'POTENTIAL_CATCH_UP_CANDIDATE' ELSE 'INVESTIGATE' END AS label, CASE coalesce(toxic, 0) WHEN 1 THEN '0.25' ELSE '0.0' END AS toxic, sha256(CAST(doc_id AS VARCHAR)) AS proof FROM labels WHERE doc_id IS NOT NULL),
+    h AS (SELECT *, '{"created_at":"2024-01-01T00:00:00+00:00","decision_id":"d' || doc_id || '","evidence_hash":"' || proof || '","harness_snapshot":{"output_label":"' || label || '","review_status":"' || CASE k WHEN 3 THEN 'reject' ELSE 'accept' END || '"},"inputs":{' || CASE k WHEN 4 THEN '' ELSE '"toxic":' || toxic END
+      || '},"output_label":"' || label || '","quality_gate":{"evidence_hash":"' || CASE k WHEN 2 THEN 'other' ELSE proof END || '","gate_status":"PASS"},"review_notes":"\u00e9","review_status":"accept","reviewer":"someone","schema_version":"1.0","tool_outputs":null}' AS canonical FROM r)
+    SELECT 'd' || doc_id AS decision_id, CASE k WHEN 0 THEN 'ok' ELSE 'error' END AS replay_status, CASE WHEN k = 5 THEN sha256(canonical) END AS record_hash,
+    CASE k WHEN 1 THEN 'the record was changed after it was sealed;the harness had another label' WHEN 2 THEN 'the gate judged other evidence' WHEN 3 THEN 'the harness had another review' WHEN 4 THEN 'inputs is empty' WHEN 5 THEN 'tool_outputs is empty' WHEN 7 THEN 'the record was changed after it was sealed' ELSE '' END AS messages FROM h WHERE k <> 6
+    UNION ALL SELECT 'missing reviewer', CAST(count(*) AS VARCHAR), NULL, '' FROM h WHERE k = 6"""
+
+
+@register("decision_records", "decision_id replay_status record_hash messages", DECIDED.replace("WITH r AS", "SELECT * FROM (WITH r AS", 1) + ")")
+def _(spark, d):
+    """Records read from a log and replayed; the hash is shown of those whose canonical text SQL can write."""
+    right, wrong = decisions.read(spark, _decision_log(spark, d))
+    k = F.substring("decision_id", 2, 20).cast("bigint") % 8
+    rows = decisions.replay(right).select("decision_id", "replay_status", F.when(k == 5, F.col("recomputed_hash")).alias("record_hash"), F.array_join("messages", ";").alias("messages"))
+    lost = wrong.groupBy(F.col("error").alias("decision_id")).agg(F.count("*").cast("string").alias("replay_status"))
+    if lost.isEmpty():
+        lost = spark.createDataFrame([("missing reviewer", "0")], "decision_id string, replay_status string")
+    return rows.unionByName(lost.select("decision_id", "replay_status", F.lit(None).cast("string").alias("record_hash"), F.lit("").alias("messages")))

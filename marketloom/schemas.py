@@ -26,13 +26,13 @@ CONTEXT_TYPES = ("macro", "news", "video")
 SOURCE_ACCESS = ("public", "licensed", "instructor_approved")
 MACRO_INDICATORS = ("usd_try", "eur_try", "tcmb_policy_rate", "tuik_inflation", "fed_policy_rate")
 PERIOD_TYPES = ("quarterly", "annual")
+#: The layouts of the news, context, alias and question files.
 NEWS = "source_id string, title string, url string, summary string, published_timestamp timestamp, fetched_timestamp timestamp, language string, category string, source_access string, raw_source_url string, content_hash string"
 NEWS_CONTEXT = "entity_type string, entity_id string, decision_timestamp string, lookback_days int, news_count bigint, source_count bigint, latest_news_timestamp string, evidence_urls string, matched_terms string"
 MATCHED_NEWS = NEWS + ", linked_entities array<string>, matched_terms array<string>"
 ALIASES = "entity_type string, entity_id string, alias string"
 QUESTIONS = "question_id string, requires_numbers string, requires_tools string, requires_state_enforcement string, requires_evidence string, requires_quality_gate string, requires_replay string, requires_human_review string, description string"
 SIGNALS = "signal_id string, symbol string, known_at string, direction string, horizon int, source string"
-DECISIONS = "decision_id string, created_at string, symbol string, label string, evidence_hash string, gate_verdict string, review_status string, summary string, record_hash string"
 
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:

@@ -296,11 +296,6 @@ def matched_news(spark: SparkSession, path: str) -> DataFrame:
     return lines.strict(jsonl(spark, path, schemas.MATCHED_NEWS, OPTIONAL_NEWS))
 
 
-def decisions(spark: SparkSession, path: str) -> DataFrame:
-    """Decision records; a record that lacks a field is an error that names its file and row."""
-    return lines.strict(jsonl(spark, path, schemas.DECISIONS))
-
-
 def news_context(spark: SparkSession, source: str | DataFrame) -> DataFrame:
     """Context rows from a path or as they are."""
     if isinstance(source, DataFrame):

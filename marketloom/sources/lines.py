@@ -43,6 +43,17 @@ def _typed(value: Column, name: str, kind: str) -> tuple[Column, Column]:
     return got, F.coalesce(~F.is_variant_null(raw), F.lit(False)) & got.isNull()
 
 
+def parsed_object(line: Column) -> Column:
+    """A line's JSON object as VARIANT; null if it isn't one object and nothing else.
+
+    The parser passes over what follows a value, so the line is read as a list's first element that an element of ours follows.
+    """
+    read = F.try_parse_json(F.concat(F.lit("["), line, F.lit(",0]")))
+    first = F.try_variant_get(read, "$[0]", "variant")
+    alone = F.coalesce(F.try_variant_get(read, "$[1]", "int") == 0, F.lit(False)) & F.try_variant_get(read, "$[2]", "variant").isNull()
+    return F.when(alone & F.coalesce(F.schema_of_variant(first).startswith("OBJECT"), F.lit(False)), first)
+
+
 def objects(lines: DataFrame, schema: str, required: Iterable[str]) -> tuple[DataFrame, DataFrame]:
     """(file, row and the schema's fields of the lines that are right; file, row, error and line of the others).
 
@@ -51,11 +62,8 @@ def objects(lines: DataFrame, schema: str, required: Iterable[str]) -> tuple[Dat
     """
     fields = [f.strip().split(" ", 1) for f in schema.split(", ")]
     required = set(required)
-    # the parser passes over what follows a value, so the line is read as a list's first element that an element of ours follows
-    rows = lines.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("_l", F.try_parse_json(F.concat(F.lit("["), "line", F.lit(",0]"))))
-    rows = rows.withColumn("_v", F.try_variant_get("_l", "$[0]", "variant"))
-    alone = F.coalesce(F.try_variant_get("_l", "$[1]", "int") == 0, F.lit(False)) & F.try_variant_get("_l", "$[2]", "variant").isNull()
-    object_ = alone & F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
+    rows = lines.filter(F.trim(F.regexp_replace("line", r"\s+", " ")) != "").withColumn("_v", parsed_object(F.col("line")))
+    object_ = F.col("_v").isNotNull()
     typed = {n: _typed(F.col("_v"), n, t) for n, t in fields}
     wrong = F.coalesce(
         F.when(~object_, F.lit("not a JSON object")),

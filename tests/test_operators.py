@@ -634,18 +634,6 @@ def test_report_files(spark, tmp_path):
     assert "| rss | e | 3 |" in R.context_sources(str(tmp_path / "c.md"), wide).read_text()
 
 
-def test_decision_records(spark, tmp_path):
-    good = {f.split()[0]: "x" for f in files.schemas.DECISIONS.split(", ")}
-    import json
-
-    (tmp_path / "d.jsonl").write_text(json.dumps(good) + "\n\n")
-    assert files.decisions(spark, str(tmp_path / "d.jsonl")).count() == 1
-    good.pop("label")
-    (tmp_path / "d.jsonl").write_text(json.dumps(good) + "\n")
-    with pytest.raises(Exception, match="missing label"):
-        files.decisions(spark, str(tmp_path / "d.jsonl")).collect()
-
-
 def test_freed_tables_are_gone(spark):
     from marketloom import store
 
