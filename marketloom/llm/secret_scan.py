@@ -1,11 +1,10 @@
 """Secret scan with multipart credential linking (operator 2), in DataFrame functions only.
 
 Strong patterns are reported wherever they match. Weak ones (long mixed tokens, temporary access identifiers, service
-endpoints) are candidates; a candidate is reported only when a complementary part lies within ``SCOPE`` code points:
-
-* a weak secret needs an access identifier (strong or weak),
-* a weak access identifier needs a secret (assignment or weak secret),
-* an endpoint needs an access identifier or a secret.
+endpoints) are candidates; a candidate is reported only when a complementary part lies within ``SCOPE`` code points. Parts are of
+three classes: access identifiers, secrets (assignments among them) and endpoints; parts of different classes are complementary.
+That holds both ways: what vouches for a candidate is strong, or is a candidate that the other vouches for in turn, so nothing is
+reported on the word of a part that isn't (a key and the endpoint of its connection string are both reported, and neither alone).
 
 The interval join runs inside each row by sort and merge: the starts of candidates are sorted among the ends of parts, and
 their ends among the starts of parts; the candidate with number k at place i has i - k of these before it, so that the parts
@@ -41,7 +40,8 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"  # AKIA[A-Z0-9]+ of 20 characters or more: a short
 HEX = r"[0-9a-f]{24,}"  # likewise
 #: Candidates of the method.
 WEAK_PREFIXES = ("ASIA", "AROA", "AIDA", "AGPA", "ANPA")
-WEAK_ACCESS = rf"(?<![A-Za-z0-9])(?:{'|'.join(WEAK_PREFIXES)})[A-Z0-9]{{16}}(?![A-Za-z0-9])"
+LONG_PREFIX = "GOOG"
+WEAK_ACCESS = rf"(?<![A-Za-z0-9])(?:(?:{'|'.join(WEAK_PREFIXES)})[A-Z0-9]{{16}}|{LONG_PREFIX}[A-Z0-9]{{20,57}})(?![A-Za-z0-9])"
 #: 40 characters or more, of all three classes, with padding; "=" may stand before them and a full stop behind.
 WEAK_SECRET = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])(?=[A-Z0-9+/]*+[a-z])[A-Za-z0-9+/]{40,}+={0,2}(?![A-Za-z0-9+/_-])"
 HOSTS = ("amazonaws.com", "googleapis.com", "windows.net", "cloudflarestorage.com", "digitaloceanspaces.com")
@@ -123,14 +123,14 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
             found = found | F.contains(of, F.lit(w))
         return found
 
-    ids, hosts = has(("AKIA", *WEAK_PREFIXES)), has(HOSTS)
+    ids, hosts = has(("AKIA", *WEAK_PREFIXES, LONG_PREFIX)), has(HOSTS)
     long_enough = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(1)), lambda g: F.length(g) >= 6)
     one = docs.select(
         "doc_id",
         F.when(has(WORDS, F.lower(text)), matches(text, ASSIGN, long_enough)).otherwise(none).alias("assign"),
         F.when(has(("AKIA",)), matches(text, ACCESS)).otherwise(none).alias("access"),
         matches(text, HEX).alias("hex"),
-        F.when(has(WEAK_PREFIXES), matches(text, WEAK_ACCESS)).otherwise(none).alias("weak_access"),
+        F.when(has((*WEAK_PREFIXES, LONG_PREFIX)), matches(text, WEAK_ACCESS)).otherwise(none).alias("weak_access"),
         F.when(ids | hosts, matches(text, WEAK_SECRET)).otherwise(none).alias("weak_secret"),
         F.when(hosts, matches(text, ENDPOINT)).otherwise(none).alias("endpoint"),
     )
@@ -140,8 +140,8 @@ def spans(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     return one.select(
         "doc_id",
         *BASE,
-        told("weak_access", secrets).alias("weak_access"),
-        told("weak_secret", ids).alias("weak_secret"),
+        told("weak_access", F.array_sort(F.concat(secrets, F.col("endpoint")))).alias("weak_access"),
+        told("weak_secret", F.array_sort(F.concat(ids, F.col("endpoint")))).alias("weak_secret"),
         told("endpoint", F.array_sort(F.concat(ids, secrets))).alias("endpoint"),
     )
 

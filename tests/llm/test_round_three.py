@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm import conversation_repair as repair
-from marketloom.llm import decontamination, fill_in_middle
+from marketloom.llm import decontamination, fill_in_middle, secret_scan
 from marketloom.llm import queries as Q
 from marketloom.llm.common import table
 from tests.llm import brute
@@ -188,3 +188,34 @@ def test_repaired_rows_are_given(spark):
 def test_repair_query(spark):
     rows = [tuple(r) for r in table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()]
     assert say(Q.op13_bucket_queue_repair(spark, SF).collect()) == say((c, *v) for c, v in brute.repaired(rows).items())
+
+
+# --- multipart secrets
+
+KEYS = ("aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cF3iL6oR9u", "k3aB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cF3iL6oR9uaB3dE6gH9jK2mN5pQ8sT1vW4xY7zA0cF3iL6oR9uaB3d==")
+CLASSES = {"access": 0, "weak_access": 0, "assign": 1, "weak_secret": 1, "endpoint": 2}
+
+
+def credentials(text):
+    """All spans as the operator writes them: candidates that no part of another class stands near are taken out, until none is left to take."""
+    found = {(kind, s, e) for s, _, kind, e in brute.secrets(text)}
+    for kind, pattern in (("weak_access", secret_scan.WEAK_ACCESS), ("weak_secret", secret_scan.WEAK_SECRET), ("endpoint", secret_scan.ENDPOINT)):
+        found |= {(kind, m.start(), m.end()) for m in brute.re.finditer(pattern, text)}
+    near = lambda a, b: a[2] <= b[1] <= a[2] + secret_scan.SCOPE or b[2] <= a[1] <= b[2] + secret_scan.SCOPE
+    while True:
+        gone = {a for a in found if a[0] in secret_scan.WEAK and not any(b[0] in CLASSES and CLASSES[a[0]] != CLASSES[b[0]] and near(a, b) for b in found)}
+        if not gone:
+            return ",".join(f"{k}:{s}:{e}" for k, s, e in sorted(found, key=lambda x: (x[1], secret_scan.KINDS.index(x[0]), x[2])))
+        found -= gone
+
+
+def test_links_are_a_fixed_point(spark):
+    rng = random.Random(11)
+    parts = [*KEYS, "AKIA" + "ABCDEFGHIJKLMNOP", "ASIA" + "B" * 16, "GOOG1E" + "C" * 30, "GOOG" + "D" * 20, "s3.eu-central-1.amazonaws.com", "https://foo.blob.core.windows.net/", "secret=abcdefgh", "token: AKIA" + "Z" * 16, "password=" + KEYS[0], "0123456789abcdef01234567", "é", "plain words"]
+    gaps = [" ", "\n", "; ", " x" * 100, " y" * 149, " z" * 151, " w" * 400]
+    texts = [f"AccountName=foo;AccountKey={KEYS[1]};BlobEndpoint=https://foo.blob.core.windows.net/", f"AccountKey={KEYS[1]}", "https://foo.blob.core.windows.net/", f"GOOG1E{'C' * 30} {KEYS[0]}"]
+    texts += ["".join(rng.choice(parts) + rng.choice(gaps) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    got = {r.doc_id: r for r in secret_scan.secrets(docs_frame(spark, list(enumerate(texts)))).collect()}
+    for k, t in enumerate(texts):
+        assert got[k].spans == credentials(t), t
+    assert [got[k].n_linked for k in range(4)] == [2, 0, 0, 2]
