@@ -119,7 +119,7 @@ def cut(docs: DataFrame, sequence: int = SEQUENCE, vocabulary: str = VOCABULARY,
 
 def numbered(cut_pieces: DataFrame) -> DataFrame:
     """The pieces with sequence_id: 0, 1, 2, ... from the longest bucket to the shortest."""
-    rows = stored(cut_pieces.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SLOTS)).cast("int")), "pieces")
+    rows = stored(cut_pieces.withColumn("_slot", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(SLOTS)).cast("int")), "pieces", {"compression": "zstd"})
     sizes = rows.groupBy("bucket", "_slot").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy(F.col("bucket").desc(), "_slot").rowsBetween(Window.unboundedPreceding, -1))
     base = sizes.select("bucket", "_slot", F.coalesce(before, F.lit(0)).alias("_base"))
