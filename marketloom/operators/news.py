@@ -5,14 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketloom.functions import text as X
 from marketloom.functions.columns import yes
-from marketloom.operators.graph import components
 from marketloom.sources import feed_xml
 from marketloom.store import stored
 
@@ -43,17 +41,33 @@ def normalize(items: DataFrame) -> DataFrame:
     return out.withColumn("content_hash", X.content_hash("source_id", "title", X.url_key("url"), "published_timestamp", "summary"))
 
 
-def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Keep an item unless its address or title is that of an item kept before it."""
-    urls, titles, kept = set(), set(), []
-    pdf = pdf.sort_values(["_rank", "source_id", "url", "_id"], na_position="first")
-    for u, t in pdf[["_u", "_t"]].itertuples(index=False):
-        ok = u not in urls and t not in titles
-        kept.append(ok)
-        if ok:
-            urls |= {u} - {None}
-            titles |= {t} - {None}
-    return pdf[kept][["_id"]]
+def _along_chains(open_: DataFrame) -> DataFrame:
+    """Of open items (_u, _t, _o) those that stay because all that they wait for, one after the other, is decided.
+
+    An item that leads one of its keys and comes second in the other waits for the item before it alone: it stays if that one goes.
+    Such waits form chains. Each item's pointer to what it waits for is doubled until it reaches an item that doesn't wait so; if
+    that one leads both keys it stays, and of the chain every second item with it. A chain of n items takes log n steps.
+    """
+    first = lambda rows, c, name: rows.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("_o").alias(name))
+    told = open_.join(first(open_, "_u", "_fu"), "_u", "left").join(first(open_, "_t", "_ft"), "_t", "left")
+    leads = lambda c, f: F.col(c).isNull() | (F.col("_o") == F.col(f))
+    told = stored(told.withColumns({"_lu": leads("_u", "_fu"), "_lt": leads("_t", "_ft")}), "open-items")
+    second = lambda c, lead, name: first(told.filter(~F.col(lead)), c, name)
+    told = told.join(second("_u", "_lu", "_su"), "_u", "left").join(second("_t", "_lt", "_st"), "_t", "left")
+    waits = F.when(F.col("_lt") & ~F.col("_lu") & (F.col("_o") == F.col("_su")), F.col("_fu")).when(F.col("_lu") & ~F.col("_lt") & (F.col("_o") == F.col("_st")), F.col("_ft"))
+    told = stored(told.select("_u", "_t", "_o", (F.col("_lu") & F.col("_lt")).alias("_leads"), waits.alias("_to")), "waiting-items")
+    ends = told.filter("_to IS NULL").select(F.col("_o").alias("_end"), "_leads")
+    chain = told.filter("_to IS NOT NULL").select("_o", "_to", F.lit(True).alias("_odd"))
+    while True:
+        # whoever points to a waiting item points to where that one does
+        next_ = chain.select(F.col("_o").alias("_to"), F.col("_to").alias("_further"), F.col("_odd").alias("_more"))
+        longer = chain.join(next_, "_to", "left")
+        moved = stored(longer.select("_o", F.coalesce("_further", "_to").alias("_to"), (F.col("_odd") != F.coalesce("_more", F.lit(False))).alias("_odd"), F.col("_further").isNotNull().alias("_moved")), "chains")
+        chain = moved.drop("_moved")
+        if moved.filter("_moved").isEmpty():
+            break
+    stay = chain.filter("NOT _odd").join(ends.filter("_leads"), F.col("_to") == F.col("_end"), "left_semi").select("_o")
+    return told.filter("_leads").select("_u", "_t", "_o").unionByName(told.join(stay, "_o", "left_semi").select("_u", "_t", "_o"))
 
 
 def deduplicate(items: DataFrame, key: str, order: str = "published_timestamp", rounds: int = 3) -> DataFrame:
@@ -61,8 +75,8 @@ def deduplicate(items: DataFrame, key: str, order: str = "published_timestamp",
 
     Dropped items register nothing, so this isn't one deduplication per key. In each round an item that is the first of all
     with its address and with its title stays, and those that share either with it go; that decides all but chains in which
-    each item waits for another. What is open after ``rounds`` falls into components that share keys, each of which takes an
-    ordered pass over narrow rows. Copies of one (address, title) collapse before anything else.
+    each item waits for another. From then on, after ``rounds``, a round follows chains to their ends by doubled pointers, until
+    nothing is open: no task gets a chain or a component. Copies of one (address, title) collapse before anything else.
     """
     at = F.coalesce(order, "fetched_timestamp") if "fetched_timestamp" in items.columns and order == "published_timestamp" else F.col(order)
     place = F.struct(at.alias("_rank"), "source_id", "url", F.col(key).alias("_id"))
@@ -72,18 +86,20 @@ def deduplicate(items: DataFrame, key: str, order: str = "published_timestamp",
     open_ = stored(keyed.filter(~bare).groupBy("_u", "_t").agg(F.min("_o").alias("_o")), "open-items")
     kept = []
     first = lambda c: open_.filter(F.col(c).isNotNull()).groupBy(c).agg(F.min("_o").alias(f"_first{c}"))
-    for _ in range(rounds):
-        told = open_.join(first("_u"), "_u", "left").join(first("_t"), "_t", "left")
-        leads = lambda c: F.col(c).isNull() | (F.col("_o") == F.col(f"_first{c}"))
-        stay = stored(told.filter(leads("_u") & leads("_t")).select("_u", "_t", "_o"), "kept-items")
+    done = 0
+    while done < rounds or not open_.isEmpty():
+        if done < rounds:
+            told = open_.join(first("_u"), "_u", "left").join(first("_t"), "_t", "left")
+            leads = lambda c: F.col(c).isNull() | (F.col("_o") == F.col(f"_first{c}"))
+            found = told.filter(leads("_u") & leads("_t")).select("_u", "_t", "_o")
+        else:
+            found = _along_chains(open_)
+        stay = stored(found, "kept-items")
         kept.append(stay.select("_o._id"))
         rest = open_.join(stay.select("_u"), "_u", "left_anti").join(stay.select("_t"), "_t", "left_anti")
-        open_ = stored(rest, "open-items")
-    if not open_.isEmpty():
-        share = lambda c: open_.join(first(c), c).select(F.col("_o._id").alias("a"), F.col(f"_first{c}._id").alias("b"))
-        roots = components(share("_u").unionByName(share("_t")))
-        group = open_.select("_o.*", "_u", "_t").join(roots.withColumnRenamed("node", "_id"), "_id", "left").withColumn("_c", F.coalesce("root", "_id")).drop("root")
-        kept.append(group.groupBy("_c").applyInPandas(_greedy, f"_id {items.schema[key].dataType.simpleString()}"))
+        # an item without one of the keys shares the other alone, and one that stays is open no longer
+        open_ = stored(rest.join(stay.select("_o"), "_o", "left_anti"), "open-items")
+        done += 1
     ids = free
     for k in kept:
         ids = ids.unionByName(k)
