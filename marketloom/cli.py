@@ -11,7 +11,7 @@ import argparse
 import sys
 
 from marketloom.operators import reports
-from marketloom.plans import imports_and_symbols, news_and_quality, registry  # noqa: F401
+from marketloom.plans import documents_and_files, imports_and_symbols, news_and_quality, registry  # noqa: F401
 from marketloom.session import session
 
 
