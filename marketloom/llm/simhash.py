@@ -25,7 +25,8 @@ which are verified on the sets, and an exact search adds what they miss. No step
 3. Proposed links, a few for each node: the forest of the operator above at its radius, and, of the nodes that lead the groups
    of a shared prefix shingle, the one with the nearest fingerprint. Verified, they join nearly all of a large group.
 4. Exact search over what is still apart: of each shared prefix shingle, nodes outside its largest component meet the nodes of
-   other components. Pairs whose sizes and shared shingles allow the similarity are verified too.
+   other components, if it lies so far in front that it may be the first shingle both share. Pairs whose sizes and shared
+   shingles allow the similarity are verified too.
 5. A pair is verified by the intersection of its sets, made again from the texts of candidates only.
 
 A text of fewer words than a shingle is one shingle, so empty texts are alike. Sets are of 64-bit hashes.
@@ -372,6 +373,25 @@ def proposed(nodes: DataFrame, shared: DataFrame, radius: int, similar: tuple[in
     return stored(every.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "proposed")
 
 
+def meetings(open_: DataFrame, similar: tuple[int, int]) -> DataFrame:
+    """(a, b), each size and fp: nodes of different components that meet at a shingle which may be the first that both sets share.
+
+    Behind the first one only so much is left of either set; where that is too little the two aren't similar, or have met before.
+    The smaller set has it in the front part of its prefix, so two nodes that both have a shingle farther behind never meet there:
+    a passage that many texts share, and which the order puts last, makes no rows.
+    """
+    num, den = similar
+    front = F.col("at") * (num + den) <= F.col("size") * (den - num)
+    side = lambda rows, x, kinds: rows.select("h", kinds.alias("kind"), F.struct("size", "fp", "at").alias(x), F.col("root").alias(f"root_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}"))
+    few = side(open_.filter("root <> main"), "x", F.when(front, 0).otherwise(1))
+    every = side(open_, "y", F.explode(F.when(front, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    left = 1 + F.least(F.col("x.size") - 1 - F.col("x.at"), F.col("y.size") - 1 - F.col("y.at"))
+    fits = (den * F.least("x.size", "y.size") >= num * F.greatest("x.size", "y.size")) & _enough(left, F.col("x.size"), F.col("y.size"), similar)
+    met = few.join(every.hint("merge"), ["h", "kind"]).filter((F.col("root_x") != F.col("root_y")) & (F.col("main_y") | (F.col("x.fp") < F.col("y.fp"))) & fits)
+    node = lambda x: F.struct(f"{x}.fp", f"{x}.size")
+    return met.select(F.least(node("x"), node("y")).alias("a"), F.greatest(node("x"), node("y")).alias("b")).distinct()
+
+
 def remaining(shared: DataFrame, linked: DataFrame, similar: tuple[int, int]) -> DataFrame:
     """Pairs (a, b) of nodes of different components that may be similar: no link between components is missing here."""
     num, den = similar
@@ -380,17 +400,21 @@ def remaining(shared: DataFrame, linked: DataFrame, similar: tuple[int, int]) ->
     of_root = rooted.groupBy("h", "root").agg(F.count("*").alias("n"))
     main = of_root.groupBy("h").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
     open_ = stored(hot_join(rooted, stored(main, "main-roots"), "h", rooted.count()).filter("main IS NOT NULL"), "open-shingles")
-    side = lambda rows, x: rows.select("h", F.struct("size", "fp", "at").alias(x), F.col("root").alias(f"root_{x}"), (F.col("root") == F.col("main")).alias(f"main_{x}"))
-    few, every = side(open_.filter("root <> main"), "x"), side(open_, "y")
-    met = few.join(every.hint("merge"), "h").filter((F.col("root_x") != F.col("root_y")) & (F.col("main_y") | (F.col("x.fp") < F.col("y.fp"))) & (den * F.least("x.size", "y.size") >= num * F.greatest("x.size", "y.size")))
-    pair = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    common = pair.groupBy(*[F.col(f"{x}.{c}").alias(f"{c}_{x}") for x in "ab" for c in ("fp", "size")]).agg(F.count("*").alias("n"), F.max("a.at").alias("at_a"), F.max("b.at").alias("at_b"))
+    pairs = stored(meetings(open_, similar), "meetings")
+    # All that both prefixes share: of shingles that one node has alone nothing is needed.
+    asked = pairs.select(F.explode(F.array("a.fp", "b.fp")).alias("fp")).distinct()
+    own = open_.join(asked, "fp", "left_semi").groupBy("fp").agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("own"))
+    own = stored(own, "candidate-prefixes")
+    told = pairs.select("a.fp", "a", "b").join(own.withColumnRenamed("own", "_a").hint("merge"), "fp").select(F.col("b.fp"), "a", "b", "_a")
+    told = told.join(own.withColumnRenamed("own", "_b").hint("merge"), "fp").withColumn("common", F.array_intersect("_a.h", "_b.h"))
+    last = lambda x: F.element_at(F.col(f"{x}.at"), F.array_position(F.col(f"{x}.h"), F.element_at("common", -1)).cast("int"))
+    common = told.select("a", "b", F.size("common").alias("n"), last("_a").alias("at_a"), last("_b").alias("at_b"))
     # What both sets can share at most: the common shingles that both prefixes show, and none between the last of them and the
     # end of the prefix that ends first; the rest of one set is what lies behind its prefix.
-    behind = F.least(F.col("size_a") - 1 - F.col("at_a"), F.col("size_b") - 1 - F.col("at_b"))
+    behind = F.least(F.col("a.size") - 1 - F.col("at_a"), F.col("b.size") - 1 - F.col("at_b"))
     rest = lambda c: F.expr(f"({c} * {num} + {den - 1}) div {den} - 1")
-    most = F.col("n") + F.least(behind, F.greatest(rest("size_a"), rest("size_b")))
-    return stored(common.filter(_enough(most, F.col("size_a"), F.col("size_b"), similar)).select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")), "remaining")
+    most = F.col("n") + F.least(behind, F.greatest(rest("a.size"), rest("b.size")))
+    return stored(common.filter(_enough(most, F.col("a.size"), F.col("b.size"), similar)).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")), "remaining")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, shingle: int, similar: tuple[int, int]) -> DataFrame:

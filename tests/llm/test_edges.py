@@ -182,6 +182,29 @@ def test_drop_near_copies_finds_all_similar_texts(spark):
     assert {r.doc_id for r in simhash.drop_near_copies(frame(spark, rows)).collect()} == {i for i in least if least[i] == i}
 
 
+def test_a_passage_of_many_texts_makes_no_rows_where_it_comes_last(spark):
+    """It lies in all prefixes, but too far behind to be the first thing that similar sets share."""
+    rows = [(1, k, k, 100, at, 0) for k, at in enumerate([15] * 200, 1)] + [(2, k, k, 100, at, 0) for k, at in ((301, 0), (302, 11), (303, 12), (304, 19))]
+    open_ = spark.createDataFrame(rows, "h long, fp long, root long, size long, at long, main long")
+    assert sorted((r.a.fp, r.b.fp) for r in simhash.meetings(open_, simhash.SIMILAR).collect()) == [(301, 302)]
+
+
+def test_near_copies_beside_a_passage_of_many_texts(spark):
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(3000)]
+    passage = rng.choices(words, k=30)
+    texts = []
+    for _ in range(40):
+        own = rng.choices(words, k=rng.choice((20, 90, 140)))
+        for _ in range(4):
+            new = list(own)
+            for at in rng.sample(range(len(new)), rng.randrange(4)):
+                new[at] = rng.choice(words)
+            texts.append(passage + new)
+    rows = [(k, " ".join(t)) for k, t in enumerate(texts)]
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(frame(spark, rows)).collect()} == brute.similar(rows)
+
+
 def test_near_copies_of_one_text_are_not_paired_with_each_other(spark):
     """A group of edited copies that are similar to their source but hardly to each other, among texts that share a passage."""
     rng = random.Random(4)
