@@ -18,7 +18,9 @@ TURKISH_FROM = "çğıöşüÇĞİIÖŞÜ"
 TURKISH_TO = "cgiosucgiiosu"
 
 #: Unicode white space.
-WHITE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+ODD_WHITE = r"\t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of it that aren't one plain space already: most gaps are, and stay as they are.
+WHITE = rf"[{ODD_WHITE}][\x20{ODD_WHITE}]*|\x20[\x20{ODD_WHITE}]+"
 
 
 def clean(c: str | Column) -> Column:
@@ -118,7 +120,7 @@ def match_text(c: str | Column) -> Column:
     wide = F.rlike(text, F.lit(NOT_ASCII))
     sharp = F.replace(F.replace(text, F.lit(SHARP[0]), F.lit("ss")), F.lit(SHARP[1]), F.lit("ss"))
     plain = F.when(wide, F.translate(sharp, FOLD_FROM, FOLD_TO)).otherwise(F.lower(text))
-    native = F.trim(F.regexp_replace(F.regexp_replace(plain, "<[^>]+>", " "), "[^a-z0-9]+", " "))
+    native = F.trim(F.regexp_replace(F.regexp_replace(plain, "<[^>]+>", " "), "[^a-z0-9 ][^a-z0-9]*| [^a-z0-9]+", " "))
     rare = wide & (F.rlike(text, F.lit(RARE_LATIN)) | F.rlike(text, F.lit(BEYOND)) & F.rlike(text, F.lit(RARE_BEYOND)))
     return F.when(rare, _match_text(F.when(rare, text))).otherwise(native)
 

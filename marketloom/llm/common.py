@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.dealing import bounded_batches
 from marketloom.store import scratch, shared_dir, stored  # noqa: F401
 
 #: The white space of the contracts, in Java and Python regular expressions alike.
@@ -19,19 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: The most bytes of rows, more than one, that go to a Python worker at once.
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
-
-
-def bounded_batches(df: DataFrame) -> DataFrame:
-    """The frame, in a session whose Arrow batches are small enough for long texts."""
-    conf = df.sparkSession.conf
-    size = conf.get(BATCH_KEY)
-    if not size.removesuffix("b").isdecimal() or int(size.removesuffix("b")) > BATCH_BYTES:
-        conf.set(BATCH_KEY, str(BATCH_BYTES))
-    return df
-
-
 def map_rows(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, most_rows: int = 512) -> DataFrame:
     """``mapInArrow`` by slices of at most ``most_rows`` rows, so that a worker holds few long texts at a time."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketloom.dealing import bounded_batches, spread
 from marketloom.functions.columns import by_symbol, ratio
 from marketloom.store import kept
 
@@ -129,7 +130,7 @@ def disclosure(period_end: Column, lag_days: int = 40) -> Column:
 
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as feed items: title is the first line, summary the rest."""
-    d = table(spark, sf_dir, "documents")
+    d = bounded_batches(spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang"), "doc_id", "text"))
     text = F.coalesce(F.col("text"), F.lit(""))
     title = F.substring_index(text, "\n", 1)
     return d.select(
