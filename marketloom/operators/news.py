@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketloom.dealing import bounded_batches
 from marketloom.functions import text as X
 from marketloom.functions.columns import yes
 from marketloom.sources import feed_xml
@@ -138,7 +139,7 @@ def match_aliases(items: DataFrame, aliases: DataFrame, key: str, text: Column |
             columns = [b.column(0).take(pa.array(at, pa.int64())), *(pa.array([f[k] for f in found], pa.string()) for k in range(3))]
             yield pa.RecordBatch.from_arrays(columns, [key, *names])
 
-    return rows.mapInArrow(work, f"{key} {items.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} string" for n in names))
+    return bounded_batches(rows).mapInArrow(work, f"{key} {items.schema[key].dataType.simpleString()}, " + ", ".join(f"{n} string" for n in names))
 
 
 def linked(items: DataFrame, matches: DataFrame, key: str) -> DataFrame:
@@ -193,14 +194,17 @@ def _windows(decisions: DataFrame, lookback_days: int) -> DataFrame:
 
 
 def in_windows(items: DataFrame, decisions: DataFrame, lookback_days: int = 7) -> DataFrame:
-    """The items that lie in the window of any decision (decision_timestamp): an equi-join on days, of which there are few."""
+    """The items that lie in the window of any decision (decision_timestamp): an equi-join on days, of which there are few.
+
+    They are broadcast, a row each, so that no item moves: dealt by day, a whole day's items would go to one task.
+    """
     days = _windows(decisions, lookback_days)
     last = F.col("day") == F.to_date("at")
     # of a day's windows the latest that ends there holds all that others hold which end there, and so the earliest that begins
     said = days.groupBy(F.col("day").alias("_day")).agg(F.bool_or("whole").alias("_all"), F.max(F.when(last, F.col("at"))).alias("_until"), F.min(F.when(~last & ~F.col("whole"), F.col("since"))).alias("_from"))
     p = F.col("published_timestamp")
     held = F.col("_all") | yes(p <= F.col("_until")) | yes(p >= F.col("_from"))
-    return items.join(said, F.to_date("published_timestamp") == F.col("_day")).filter(held).drop("_day", "_all", "_until", "_from")
+    return items.join(F.broadcast(said), F.to_date("published_timestamp") == F.col("_day")).filter(held).drop("_day", "_all", "_until", "_from")
 
 
 def contexts(items: DataFrame, aliases: DataFrame, key: str, decisions: DataFrame, lookback_days: int = 7, required: Sequence[str] = ()) -> DataFrame:
