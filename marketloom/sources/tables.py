@@ -23,30 +23,37 @@ def universe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item: symbol, sector, date, price, quantity. Prices are whole cents, quantities whole numbers."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_extendedprice", "l_quantity")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+@kept("line_sums")
+def line_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums over line items by symbol, sector, date and quarter of the order: lines and orders meet once for bars, indices and fundamentals.
+
+    Prices are whole cents, quantities whole numbers, so that sums of sums are exact.
+    """
+    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax")
+    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    placed = order.join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey")
+    quarter = F.date_trunc("quarter", F.col("o_orderdate")).cast("date")
+    placed = order.join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", quarter.alias("quarter"))
     dim = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("symbol"), F.col("r_name").alias("sector"))
-    return (
+    cents = lambda c: F.sum(F.round(c * 100).cast("bigint"))
+    price, net = F.col("l_extendedprice") / F.col("l_quantity"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    sums = (
         line.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("symbol", "sector", F.col("l_shipdate").cast("date").alias("date"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"), F.col("l_quantity").alias("quantity"), F.col("l_extendedprice").alias("amount"))
+        .groupBy("c_nationkey", F.col("l_shipdate").cast("date").alias("date"), "quarter")
+        .agg(
+            cents(F.col("l_extendedprice")).alias("gross"), F.sum("l_quantity").alias("quantity"), F.max(price).alias("high"), F.min(price).alias("low"),
+            cents(net).alias("net"), cents(net * F.col("l_tax")).alias("tax"), F.count("*").alias("lines"),
+        )
     )
+    return sums.join(dim, F.col("c_nationkey") == F.col("n_nationkey")).drop("c_nationkey", "n_nationkey")
 
 
-def _vwap() -> Column:
-    cents = F.sum(F.round(F.col("amount") * 100).cast("bigint")).cast("double")
-    return cents / (100 * F.sum("quantity"))
-
-
-def daily(rows: DataFrame, *keys: str) -> DataFrame:
-    """Daily bars of trades by the keys and date; one partial aggregation, then one shuffle."""
-    return rows.groupBy(*keys, "date").agg(_vwap().alias("close"), F.max("price").alias("high"), F.min("price").alias("low"), F.sum("quantity").cast("bigint").alias("volume"))
+def daily(sums: DataFrame, *keys: str) -> DataFrame:
+    """Daily bars of ``line_sums`` by the keys and date."""
+    close = F.sum("gross").cast("double") / (100 * F.sum("quantity"))
+    return sums.groupBy(*keys, "date").agg(close.alias("close"), F.max("high").alias("high"), F.min("low").alias("low"), F.sum("quantity").cast("bigint").alias("volume"))
 
 
 def with_open(bars: DataFrame, *keys: str) -> DataFrame:
@@ -57,41 +64,27 @@ def with_open(bars: DataFrame, *keys: str) -> DataFrame:
 @kept("bars")
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, sector, date, open, high, low, close, volume."""
-    out = with_open(daily(trades(spark, sf_dir), "symbol", "sector"))
+    out = with_open(daily(line_sums(spark, sf_dir), "symbol", "sector"))
     return out.select("symbol", "sector", "date", "open", "high", "low", "close", "volume")
 
 
 @kept("benchmark")
 def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """date, close of the whole market."""
-    return daily(trades(spark, sf_dir)).select("date", "close")
+    return daily(line_sums(spark, sf_dir)).select("date", "close")
 
 
 @kept("sector_benchmarks")
 def sector_benchmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sector, date, close."""
-    return daily(trades(spark, sf_dir), "sector").select("sector", "date", "close")
+    return daily(line_sums(spark, sf_dir), "sector").select("sector", "date", "close")
 
 
 @kept("fundamentals")
 def fundamentals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quarterly records per nation from orders and their lines; public 40 days after the period at 18:30, UTC+3."""
-    line = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_extendedprice", "l_discount", "l_tax")
-    order = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    cust = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    r = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    dim = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("ticker"), F.col("r_name").alias("sector"))
-    placed = order.join(cust, F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "c_nationkey", "o_orderdate")
-    cents = lambda c: F.sum(F.round(c * 100).cast("bigint"))
-    net = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    quarter = F.date_trunc("quarter", F.col("o_orderdate")).cast("date")
-    q = (
-        line.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(dim, F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy("ticker", "sector", quarter.alias("quarter"))
-        .agg(cents(net).alias("net"), cents(net * F.col("l_tax")).alias("tax"), cents(F.col("l_extendedprice")).alias("gross"), F.count("*").alias("lines"))
-    )
+    sums = line_sums(spark, sf_dir).withColumnRenamed("symbol", "ticker")
+    q = sums.groupBy("ticker", "sector", "quarter").agg(*[F.sum(c).alias(c) for c in ("net", "tax", "gross", "lines")])
     period_end = F.date_sub(F.add_months("quarter", 3), 1)
     money = lambda c: (c / F.lit(100.0)).cast("double")
     return q.select(
