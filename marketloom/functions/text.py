@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -31,6 +32,15 @@ def clean(c: str | Column) -> Column:
 #: Entities that are replaced natively; a text with any other goes to the function below.
 PLAIN_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\xa0", "copy": "\xa9", "middot": "\xb7", "#39": "'", "#039": "'", "#x27": "'", "amp": "&"}
 OTHER_ENTITY = rf"&(?!(?:{'|'.join(PLAIN_ENTITIES)});)(?:#|[A-Za-z])"
+#: Ampersands, and all else that may be an entity with its semicolon.
+CLOSED_ENTITY = re.compile("&amp;?|&(#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);")
+OTHER_CLOSED_ENTITY = rf"&(?!(?:{'|'.join(PLAIN_ENTITIES)});|amp)(?:#[xX]?[0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);"
+
+
+def unescape_closed(value: str) -> str:
+    """As ``html.unescape``, but an entity that lacks its semicolon stays as it is, unless it is an ampersand."""
+    known = lambda name: name is None or name[0] == "#" or f"{name};" in html5
+    return CLOSED_ENTITY.sub(lambda m: html.unescape(m[0]) if known(m[1]) else m[0], value)
 
 
 @F.pandas_udf(StringType())
@@ -38,14 +48,23 @@ def _unescaped(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def unescaped(c: str | Column) -> Column:
-    """HTML entities as their characters. Texts with none but common ones stay in the JVM; the others' go to the full table."""
+@F.pandas_udf(StringType())
+def _unescaped_closed(s: pd.Series) -> pd.Series:
+    return s.map(unescape_closed, na_action="ignore")
+
+
+def unescaped(c: str | Column, closed: bool = False) -> Column:
+    """HTML entities as their characters. Texts with none but common ones stay in the JVM; the others' go to the full table.
+
+    closed: entities without their semicolon stay as they are, save the ampersand (``unescape_closed``).
+    """
     text = col(c)
     plain = text
     for name, character in PLAIN_ENTITIES.items():  # amp comes last, so that what it uncovers isn't replaced again
-        plain = F.replace(plain, F.lit(f"&{name};"), F.lit(character))
-    any_, other = F.contains(text, F.lit("&")), F.rlike(text, F.lit(OTHER_ENTITY))
-    return F.when(~any_, text).when(other, _unescaped(F.when(other, text))).otherwise(plain)
+        plain = F.regexp_replace(plain, "&amp;?", "&") if closed and name == "amp" else F.replace(plain, F.lit(f"&{name};"), F.lit(character))
+    rest, full = (OTHER_CLOSED_ENTITY, _unescaped_closed) if closed else (OTHER_ENTITY, _unescaped)
+    any_, other = F.contains(text, F.lit("&")), F.rlike(text, F.lit(rest))
+    return F.when(~any_, text).when(other, full(F.when(other, text))).otherwise(plain)
 
 
 def url_key(c: str | Column) -> Column:
